@@ -15,6 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import adapters as A
+from ..operators import competitors as CP
+from ..operators import customers as C
+from ..operators import delivery as D
+from ..operators import marketing as M
+from ..operators import profit as P
 from ..operators import sales as S
 from . import oracle as O
 
@@ -89,3 +94,493 @@ def q_sales_kpis(spark, sf_dir):
 def q_sales_kpis_channel(spark, sf_dir):
     s = _sales(spark, sf_dir, with_city=False)
     return S.sales_kpis(S.filter_sales(s, "1997-01-01", "1997-12-31", "1-URGENT"))
+
+
+def _trend_sql(grain: str) -> str:
+    g = f'"{grain}"'
+    return O.with_(O.SALES) + f"""
+SELECT {g}, {O.msum('netsale')} AS netsale FROM sales_e WHERE {g} IS NOT NULL GROUP BY {g}"""
+
+
+@query("sales_funnel", O.with_(O.SALES, O.FUNNEL) + f"""
+, f AS (SELECT COUNT(*) AS weeks, CAST(COALESCE(SUM(visits), 0) AS BIGINT) AS visits,
+              CAST(COALESCE(SUM(carts), 0) AS BIGINT) AS carts, CAST(COALESCE(SUM(orders), 0) AS BIGINT) AS orders
+       FROM funnel),
+ful AS (SELECT COUNT(DISTINCT orderid) AS n FROM sales_e WHERE "date" IS NOT NULL AND orderstatus = 'Completed'),
+st AS (
+  SELECT 1 AS stage_order, 'Visits' AS stage, visits AS value, visits AS first FROM f WHERE weeks > 0
+  UNION ALL SELECT 2, 'Carts', carts, visits FROM f WHERE weeks > 0
+  UNION ALL SELECT 3, 'Orders', orders, visits FROM f WHERE weeks > 0
+  UNION ALL SELECT 4, 'Fulfilled', (SELECT n FROM ful), visits FROM f WHERE weeks > 0)
+SELECT stage_order, stage, value, {O.ratio('value', 'first', '100')} AS pct_of_first FROM st""")
+def q_sales_funnel(spark, sf_dir):
+    t = A.DriverTables(spark, sf_dir)
+    s = S.filter_sales(_sales(spark, sf_dir, with_part=False, with_city=False))
+    return S.sales_funnel(s, A.sales_funnel(t))
+
+
+@query("sales_trend_day", _trend_sql("date"))
+def q_sales_trend_day(spark, sf_dir):
+    return S.sales_trend(S.filter_sales(_sales(spark, sf_dir, with_part=False, with_city=False)), "date")
+
+
+@query("sales_trend_week", _trend_sql("week"))
+def q_sales_trend_week(spark, sf_dir):
+    return S.sales_trend(S.filter_sales(_sales(spark, sf_dir, with_part=False, with_city=False)), "week")
+
+
+@query("sales_trend_month", _trend_sql("month"))
+def q_sales_trend_month(spark, sf_dir):
+    return S.sales_trend(S.filter_sales(_sales(spark, sf_dir, with_part=False, with_city=False)), "month")
+
+
+def _by_sql(key: str, top: int | None = None) -> str:
+    tail = f" ORDER BY netsale DESC, {key} ASC LIMIT {top}" if top else ""
+    return O.with_(O.SALES) + f"""
+SELECT {key}, {O.msum('netsale')} AS netsale FROM sales_e
+WHERE "date" IS NOT NULL AND {key} IS NOT NULL GROUP BY {key}{tail}"""
+
+
+@query("sales_by_category", _by_sql("category"))
+def q_sales_by_category(spark, sf_dir):
+    return S.sales_by(S.filter_sales(_sales(spark, sf_dir, with_city=False)), "category")
+
+
+@query("sales_by_channel", _by_sql("channel"))
+def q_sales_by_channel(spark, sf_dir):
+    return S.sales_by(S.filter_sales(_sales(spark, sf_dir, with_part=False, with_city=False)), "channel")
+
+
+@query("top_products", _by_sql("productname", 10))
+def q_top_products(spark, sf_dir):
+    return S.top_by_netsale(S.filter_sales(_sales(spark, sf_dir, with_city=False)), "productname", 10)
+
+
+@query("top_cities", _by_sql("city", 10))
+def q_top_cities(spark, sf_dir):
+    return S.top_by_netsale(S.filter_sales(_sales(spark, sf_dir, with_part=False)), "city", 10)
+
+
+@query("top_branches", _by_sql("locationid", 10))
+def q_top_branches(spark, sf_dir):
+    return S.top_by_netsale(S.filter_sales(_sales(spark, sf_dir, with_part=False, with_city=False)),
+                            "locationid", 10)
+
+
+@query("sales_breakdowns", O.with_(O.SALES) + "\n UNION ALL \n".join(
+    f"""SELECT '{k}' AS breakdown, CAST("{k}" AS VARCHAR) AS key, {O.msum('netsale')} AS netsale
+FROM sales_e WHERE "date" IS NOT NULL AND "{k}" IS NOT NULL GROUP BY "{k}\""""
+    for k in S.BREAKDOWN_KEYS))
+def q_sales_breakdowns(spark, sf_dir):
+    return S.sales_breakdowns(S.filter_sales(_sales(spark, sf_dir)))
+
+
+@query("sales_filter_domain", O.with_(O.SALES) + """
+SELECT DISTINCT channel FROM sales_e WHERE channel IS NOT NULL""")
+def q_sales_filter_domain(spark, sf_dir):
+    return S.channel_domain(_sales(spark, sf_dir, with_part=False, with_city=False))
+
+
+@query("sales_date_bounds", O.with_(O.SALES) + """
+SELECT MIN("date") AS min_date, MAX("date") AS max_date FROM sales_e""")
+def q_sales_date_bounds(spark, sf_dir):
+    return S.date_bounds(_sales(spark, sf_dir, with_part=False, with_city=False))
+
+
+# ----------------------------------------------------------------------------- delivery
+
+def _deliveries(spark, sf_dir):
+    return D.enrich_deliveries(A.deliveries(A.DriverTables(spark, sf_dir)))
+
+
+@query("delivery_enriched", O.with_(O.DELIVERIES) + """
+SELECT deliveryid, orderid, orderdate, promiseddate, actualdeliverydate, status, deliverypartner, city,
+       CAST(deliverycost AS DOUBLE) AS deliverycost, "date", delivery_time_days, on_time
+FROM deliveries_e""")
+def q_delivery_enriched(spark, sf_dir):
+    return _out_sales(_deliveries(spark, sf_dir))
+
+
+_DKPI_SQL = O.with_(O.DELIVERIES) + """
+SELECT COUNT(*) AS row_count,
+       CASE WHEN COUNT(*) = 0 THEN CAST(0.0 AS DOUBLE)
+            ELSE CAST(COUNT(*) FILTER (WHERE on_time) AS DOUBLE) / CAST(COUNT(*) AS DOUBLE) * 100 END AS on_time_rate,
+       CASE WHEN COUNT(*) = 0 THEN CAST(0.0 AS DOUBLE)
+            ELSE CAST(COUNT(*) FILTER (WHERE status = 'Failed') AS DOUBLE) / CAST(COUNT(*) AS DOUBLE) * 100 END
+         AS failed_rate,
+       CAST(SUM(delivery_time_days) AS DOUBLE) / CAST(NULLIF(COUNT(delivery_time_days), 0) AS DOUBLE)
+         AS avg_delivery_days,
+       CAST(SUM(deliverycost) AS DOUBLE) / CAST(NULLIF(COUNT(deliverycost), 0) AS DOUBLE) AS avg_delivery_cost
+FROM deliveries_e WHERE {where}"""
+
+
+@query("delivery_kpis", _DKPI_SQL.replace("{where}", '"date" IS NOT NULL'))
+def q_delivery_kpis(spark, sf_dir):
+    return D.delivery_kpis(D.filter_deliveries(_deliveries(spark, sf_dir)))
+
+
+@query("delivery_kpis_partner", _DKPI_SQL.replace(
+    "{where}", "\"date\" BETWEEN DATE '1997-01-01' AND DATE '1997-12-31' AND deliverypartner = 'EUROPE'"))
+def q_delivery_kpis_partner(spark, sf_dir):
+    return D.delivery_kpis(D.filter_deliveries(_deliveries(spark, sf_dir), "1997-01-01", "1997-12-31", "EUROPE"))
+
+
+@query("delivery_pipeline", O.with_(O.DELIVERIES) + "\n UNION ALL \n".join(
+    f"""SELECT {i + 1} AS position, '{s}' AS status,
+       COUNT(*) FILTER (WHERE status = '{s}') AS orders FROM deliveries_e WHERE "date" IS NOT NULL"""
+    for i, s in enumerate(D.PIPELINE_STATUSES)))
+def q_delivery_pipeline(spark, sf_dir):
+    return D.delivery_pipeline(D.filter_deliveries(_deliveries(spark, sf_dir)))
+
+
+@query("delivery_time_by_city", O.with_(O.DELIVERIES) + """
+SELECT city, CAST(SUM(delivery_time_days) AS DOUBLE) / CAST(NULLIF(COUNT(delivery_time_days), 0) AS DOUBLE)
+         AS avg_delivery_days
+FROM deliveries_e WHERE "date" IS NOT NULL AND city IS NOT NULL GROUP BY city""")
+def q_delivery_time_by_city(spark, sf_dir):
+    return D.delivery_time_by_city(D.filter_deliveries(_deliveries(spark, sf_dir)))
+
+
+@query("partner_on_time", O.with_(O.DELIVERIES) + """
+SELECT deliverypartner,
+       CAST(COUNT(*) FILTER (WHERE on_time) AS DOUBLE) / CAST(COUNT(*) AS DOUBLE) * 100 AS on_time_rate
+FROM deliveries_e WHERE "date" IS NOT NULL AND deliverypartner IS NOT NULL GROUP BY deliverypartner""")
+def q_partner_on_time(spark, sf_dir):
+    return D.partner_on_time(D.filter_deliveries(_deliveries(spark, sf_dir)))
+
+
+@query("delivery_partner_domain", O.with_(O.DELIVERIES) + """
+SELECT DISTINCT deliverypartner FROM deliveries_e WHERE deliverypartner IS NOT NULL""")
+def q_delivery_partner_domain(spark, sf_dir):
+    return D.partner_domain(_deliveries(spark, sf_dir))
+
+
+# ----------------------------------------------------------------------------- customers
+
+EARLY_AS_OF = "1995-07-01"
+
+
+def _rfm_sql(sales_where: str = "TRUE", as_of: str | None = None) -> str:
+    asof = (f"SELECT TIMESTAMP '{as_of} 00:00:00' AS t" if as_of
+            else 'SELECT MAX("timestamp") + INTERVAL 1 DAY AS t FROM sales_e')
+    return f"""
+, as_of_t AS ({asof}),
+rfm AS (
+  SELECT customerid, MAX("timestamp") AS last_purchase_date, COUNT(DISTINCT orderid) AS frequency,
+         {O.msum('netsale')} AS monetary,
+         CAST(floor(date_diff('second', MAX("timestamp"), (SELECT t FROM as_of_t)) / 86400) AS BIGINT) AS recency
+  FROM sales_e WHERE customerid IS NOT NULL AND {sales_where} GROUP BY customerid)"""
+
+
+def _status_sql(sales_where: str = "TRUE", as_of: str | None = None, cust_where: str = "TRUE") -> str:
+    return O.with_(O.SALES, O.CUSTOMERS) + _rfm_sql(sales_where, as_of) + f""",
+status AS (
+  SELECT c.customerid, c.joindate, c.city, c.segment, r.last_purchase_date, r.frequency, r.monetary, r.recency,
+         CASE WHEN floor(date_diff('second', c.joindate, a.t) / 86400) <= 90 THEN 'New'
+              WHEN r.recency IS NULL THEN 'Never Purchased'
+              WHEN r.recency <= 90 THEN 'Active'
+              WHEN r.recency <= 180 THEN 'Dormant (At-Risk)'
+              ELSE 'Churn Risk' END AS status
+  FROM customers c LEFT JOIN rfm r ON c.customerid = r.customerid CROSS JOIN as_of_t a
+  WHERE {cust_where})
+"""
+
+
+def _customers(spark, sf_dir):
+    return A.customers(A.DriverTables(spark, sf_dir))
+
+
+def _status(spark, sf_dir):
+    sales = _sales(spark, sf_dir, with_part=False, with_city=False)
+    return C.customer_status(_customers(spark, sf_dir), sales)
+
+
+@query("rfm", O.with_(O.SALES) + _rfm_sql() + """
+SELECT * FROM rfm""")
+def q_rfm(spark, sf_dir):
+    return C.rfm(_sales(spark, sf_dir, with_part=False, with_city=False))
+
+
+@query("customer_status", _status_sql() + "SELECT * FROM status")
+def q_customer_status(spark, sf_dir):
+    return _status(spark, sf_dir)
+
+
+@query("customer_status_early", _status_sql(
+    f"\"date\" < DATE '{EARLY_AS_OF}'", EARLY_AS_OF, f"c.joindate <= TIMESTAMP '{EARLY_AS_OF} 00:00:00'")
+    + "SELECT * FROM status")
+def q_customer_status_early(spark, sf_dir):
+    sales = S.filter_sales(_sales(spark, sf_dir, with_part=False, with_city=False), end="1995-06-30")
+    cust = _customers(spark, sf_dir).where(F.col("joindate") <= F.to_timestamp_ntz(F.lit(EARLY_AS_OF)))
+    return C.customer_status(cust, sales, as_of=EARLY_AS_OF)
+
+
+@query("customer_status_counts", _status_sql() + """
+SELECT COUNT(*) AS total_customers,
+       COUNT(*) FILTER (WHERE status = 'Active') AS active_customers,
+       COUNT(*) FILTER (WHERE status = 'Dormant (At-Risk)') AS dormant_customers,
+       COUNT(*) FILTER (WHERE status = 'Churn Risk') AS churn_risk_customers,
+       COUNT(*) FILTER (WHERE status = 'New') AS new_customers,
+       COUNT(*) FILTER (WHERE status = 'Never Purchased') AS never_purchased_customers
+FROM status""")
+def q_customer_status_counts(spark, sf_dir):
+    return C.status_counts(_status(spark, sf_dir))
+
+
+@query("customer_status_dist", _status_sql() + """
+SELECT status, COUNT(*) AS customers FROM status GROUP BY status""")
+def q_customer_status_dist(spark, sf_dir):
+    return C.status_distribution(_status(spark, sf_dir))
+
+
+@query("top_customers", _status_sql() + """
+SELECT customerid, city, segment, monetary, frequency, recency FROM status
+ORDER BY monetary DESC NULLS LAST, customerid LIMIT 20""")
+def q_top_customers(spark, sf_dir):
+    return C.top_customers(_status(spark, sf_dir), 20)
+
+
+@query("churn_risk_customers", _status_sql() + """
+SELECT customerid, city, segment, recency, last_purchase_date FROM status WHERE status = 'Churn Risk'""")
+def q_churn_risk_customers(spark, sf_dir):
+    return C.churn_risk_customers(_status(spark, sf_dir))
+
+
+@query("new_customers", _status_sql() + """
+SELECT customerid, city, segment, joindate FROM status WHERE status = 'New'""")
+def q_new_customers(spark, sf_dir):
+    return C.new_customers(_status(spark, sf_dir))
+
+
+# ----------------------------------------------------------------------------- marketing
+
+def _perf_sql(mode: str) -> str:
+    if mode == "pairs":
+        amounts = "SELECT DISTINCT orderid, netsale FROM sales_e"
+    else:
+        amounts = "SELECT orderid, SUM(netsale) AS netsale FROM sales_e GROUP BY orderid"
+    return O.with_(O.SALES, O.CAMPAIGNS) + f"""
+, amounts AS ({amounts}),
+att AS (SELECT a.orderid, a.campaignid, p.netsale FROM attribution a
+        LEFT JOIN amounts p ON a.orderid IS NOT DISTINCT FROM p.orderid),
+perf0 AS (SELECT campaignid, COALESCE(SUM(netsale), 0) AS net, COUNT(DISTINCT orderid) AS conv
+          FROM att WHERE campaignid IS NOT NULL GROUP BY campaignid),
+perf AS (
+  SELECT c.campaignid, c.campaignname, c.channel, c.startdate, c.enddate, c.totalcost, c.impressions, c.clicks,
+         COALESCE(p.net, 0) AS netsale, COALESCE(p.conv, 0) AS conversions,
+         {O.ratio('COALESCE(p.net, 0)', 'c.totalcost')} AS roas,
+         {O.ratio('c.totalcost', 'COALESCE(p.conv, 0)')} AS cpa
+  FROM campaigns c LEFT JOIN perf0 p ON c.campaignid = p.campaignid)
+"""
+
+
+_PERF_OUT = """SELECT campaignid, campaignname, channel, startdate, enddate, CAST(totalcost AS DOUBLE) AS totalcost,
+       impressions, clicks, CAST(netsale AS DOUBLE) AS netsale, conversions, roas, cpa FROM perf"""
+
+
+def _perf(spark, sf_dir, mode="pairs"):
+    t = A.DriverTables(spark, sf_dir)
+    sales = _sales(spark, sf_dir, with_part=False, with_city=False)
+    return M.campaign_performance(sales, A.marketing_campaigns(t), A.marketing_attribution(t), mode)
+
+
+@query("campaign_performance", _perf_sql("pairs") + _PERF_OUT)
+def q_campaign_performance(spark, sf_dir):
+    return _out_sales(_perf(spark, sf_dir))
+
+
+@query("campaign_performance_by_order", _perf_sql("order") + _PERF_OUT)
+def q_campaign_performance_by_order(spark, sf_dir):
+    return _out_sales(_perf(spark, sf_dir, "order"))
+
+
+@query("marketing_totals", _perf_sql("pairs") + f"""
+SELECT {O.msum('totalcost')} AS total_spend, {O.msum('netsale')} AS total_revenue,
+       CASE WHEN {O.msum('totalcost')} <= 0 THEN CAST(0.0 AS DOUBLE)
+            ELSE {O.msum('netsale')} / {O.msum('totalcost')} END AS overall_roas,
+       CAST(COALESCE(SUM(conversions), 0) AS BIGINT) AS total_conversions,
+       CASE WHEN COALESCE(SUM(conversions), 0) <= 0 THEN CAST(0.0 AS DOUBLE)
+            ELSE {O.msum('totalcost')} / CAST(COALESCE(SUM(conversions), 0) AS DOUBLE) END AS avg_cpa
+FROM perf""")
+def q_marketing_totals(spark, sf_dir):
+    return M.marketing_totals(_perf(spark, sf_dir))
+
+
+@query("campaign_ratios", _perf_sql("pairs") + """
+SELECT campaignid, campaignname, channel, roas, cpa FROM perf""")
+def q_campaign_ratios(spark, sf_dir):
+    return M.campaign_ratios(_perf(spark, sf_dir))
+
+
+@query("conversions_by_channel", _perf_sql("pairs") + """
+SELECT channel, CAST(SUM(conversions) AS BIGINT) AS conversions FROM perf WHERE channel IS NOT NULL GROUP BY channel""")
+def q_conversions_by_channel(spark, sf_dir):
+    return M.conversions_by_channel(_perf(spark, sf_dir))
+
+
+# ----------------------------------------------------------------------------- profit
+
+_LINES = """
+, lines AS (
+  SELECT *, netsale - costofgoodssold AS net_profit,
+         CASE WHEN netsale = 0 THEN CAST(0.0 AS DOUBLE)
+              ELSE CAST(netsale - costofgoodssold AS DOUBLE) / CAST(netsale AS DOUBLE) * 100.0 END AS profit_margin,
+         costofgoodssold AS total_cost
+  FROM sales_e)
+"""
+
+
+def _lines(spark, sf_dir, with_city=False):
+    return P.profit_lines(_sales(spark, sf_dir, with_city=with_city))
+
+
+@query("profit_lines", O.with_(O.SALES) + _LINES + """
+SELECT orderid, "timestamp", productid, productname, category, quantity,
+       CAST(grossvalue AS DOUBLE) AS grossvalue, CAST(discountvalue AS DOUBLE) AS discountvalue,
+       CAST(costofgoodssold AS DOUBLE) AS costofgoodssold, customerid, city, locationid, channel, orderstatus,
+       CAST(netsale AS DOUBLE) AS netsale, "date", week, "month",
+       CAST(net_profit AS DOUBLE) AS net_profit, profit_margin, CAST(total_cost AS DOUBLE) AS total_cost
+FROM lines""")
+def q_profit_lines(spark, sf_dir):
+    return _out_sales(_lines(spark, sf_dir, with_city=True))
+
+
+@query("profit_kpis", O.with_(O.SALES) + _LINES + f"""
+SELECT COUNT(*) AS row_count, {O.msum('net_profit')} AS total_net_profit,
+       round(AVG(profit_margin), 6) AS avg_profit_margin,
+       CAST(COALESCE(SUM(total_cost) FILTER (WHERE orderstatus = 'Returned'), 0)
+            + COALESCE(SUM(netsale) FILTER (WHERE orderstatus = 'Returned'), 0) AS DOUBLE) AS profit_lost_to_returns
+FROM lines""")
+def q_profit_kpis(spark, sf_dir):
+    return P.profit_kpis(_lines(spark, sf_dir))
+
+
+@query("profit_by_channel", O.with_(O.SALES) + _LINES + f"""
+SELECT channel, {O.msum('net_profit')} AS net_profit FROM lines WHERE channel IS NOT NULL GROUP BY channel""")
+def q_profit_by_channel(spark, sf_dir):
+    return P.profit_by(_lines(spark, sf_dir), "channel")
+
+
+@query("profit_by_category", O.with_(O.SALES) + _LINES + f"""
+SELECT category, {O.msum('net_profit')} AS net_profit FROM lines WHERE category IS NOT NULL GROUP BY category""")
+def q_profit_by_category(spark, sf_dir):
+    return P.profit_by(_lines(spark, sf_dir), "category")
+
+
+_MARGIN = """
+, pm AS (SELECT productname, round(AVG(profit_margin), 6) AS profit_margin FROM lines
+         WHERE productname IS NOT NULL GROUP BY productname)
+"""
+
+
+@query("margin_by_product", O.with_(O.SALES) + _LINES + _MARGIN + "SELECT * FROM pm")
+def q_margin_by_product(spark, sf_dir):
+    return P.margin_by_product(_lines(spark, sf_dir))
+
+
+@query("top_margin_products", O.with_(O.SALES) + _LINES + _MARGIN + """
+SELECT * FROM pm WHERE profit_margin IS NOT NULL ORDER BY profit_margin DESC, productname LIMIT 10""")
+def q_top_margin_products(spark, sf_dir):
+    return P.top_margin_products(_lines(spark, sf_dir), 10)
+
+
+@query("low_margin_products", O.with_(O.SALES) + _LINES + _MARGIN + """
+SELECT * FROM pm WHERE profit_margin IS NOT NULL ORDER BY profit_margin ASC, productname LIMIT 10""")
+def q_low_margin_products(spark, sf_dir):
+    return P.low_margin_products(_lines(spark, sf_dir), 10)
+
+
+@query("recommendations", O.with_(O.SALES) + _LINES + _MARGIN + """
+, tot AS (SELECT SUM(net_profit) AS np,
+                 COALESCE(SUM(total_cost) FILTER (WHERE orderstatus = 'Returned'), 0)
+                 + COALESCE(SUM(netsale) FILTER (WHERE orderstatus = 'Returned'), 0) AS lost FROM lines),
+ch AS (SELECT MIN(channel) AS c FROM (SELECT channel, SUM(net_profit) AS np FROM lines
+       WHERE channel IS NOT NULL GROUP BY channel) WHERE np < 0),
+best AS (SELECT productname AS p FROM pm WHERE profit_margin IS NOT NULL
+         ORDER BY profit_margin DESC, productname LIMIT 1),
+r AS (
+  SELECT 1 AS rule, 'High profit loss from returns detected. Investigate top returned products/categories.' AS message
+  FROM tot WHERE np > 0 AND lost > np * 0.1
+  UNION ALL SELECT 2, 'Channel ''' || c || ''' is unprofitable. Review marketing strategy.' FROM ch WHERE c IS NOT NULL
+  UNION ALL SELECT 3, '''' || p || ''' has a high margin. Consider promoting it.' FROM best)
+SELECT * FROM r
+UNION ALL SELECT 0, 'No critical issues detected.' WHERE NOT EXISTS (SELECT 1 FROM r)""")
+def q_recommendations(spark, sf_dir):
+    return P.recommendations(_lines(spark, sf_dir))
+
+
+# ----------------------------------------------------------------------------- competitors
+
+def _ours(spark, sf_dir):
+    return _sales(spark, sf_dir, with_city=False, brand=A.OUR_BRAND)
+
+
+def _competitors(spark, sf_dir):
+    return A.competitors(A.DriverTables(spark, sf_dir))
+
+
+_PRICE = O.with_(O.SALES, O.COMPETITORS) + f"""
+, ours AS (SELECT productname, CAST(SUM(grossvalue) AS DOUBLE) / CAST(NULLIF(SUM(quantity), 0) AS DOUBLE) AS our_price
+           FROM sales_e WHERE brand = '{A.OUR_BRAND}' AND productname IS NOT NULL GROUP BY productname),
+theirs AS (SELECT productname, CAST(SUM(price) AS DOUBLE) / CAST(NULLIF(COUNT(price), 0) AS DOUBLE)
+             AS avg_competitor_price
+           FROM competitors WHERE productname IS NOT NULL GROUP BY productname),
+cmp AS (SELECT o.productname, o.our_price, t.avg_competitor_price,
+               o.our_price - t.avg_competitor_price AS price_difference
+        FROM ours o JOIN theirs t ON o.productname = t.productname)
+"""
+
+
+@query("price_comparison", _PRICE + "SELECT * FROM cmp")
+def q_price_comparison(spark, sf_dir):
+    return CP.price_comparison(_ours(spark, sf_dir), _competitors(spark, sf_dir))
+
+
+@query("price_position", _PRICE + """
+SELECT COUNT(*) FILTER (WHERE price_difference < 0) AS products_cheaper,
+       COUNT(*) FILTER (WHERE price_difference > 0) AS products_pricier,
+       MAX(our_price) AS max_our_price FROM cmp""")
+def q_price_position(spark, sf_dir):
+    return CP.price_position(CP.price_comparison(_ours(spark, sf_dir), _competitors(spark, sf_dir)))
+
+
+@query("promo_rate", O.with_(O.COMPETITORS) + """
+SELECT CASE WHEN COUNT(*) = 0 THEN NULL
+            ELSE CAST(COUNT(*) FILTER (WHERE onpromotion) AS DOUBLE) / CAST(COUNT(*) AS DOUBLE) * 100 END
+         AS promo_rate FROM competitors""")
+def q_promo_rate(spark, sf_dir):
+    return CP.promo_rate(_competitors(spark, sf_dir))
+
+
+@query("promo_by_competitor", O.with_(O.COMPETITORS) + """
+SELECT competitor,
+       CAST(COUNT(*) FILTER (WHERE onpromotion) AS DOUBLE) / CAST(COUNT(onpromotion) AS DOUBLE) * 100 AS promo_rate
+FROM competitors WHERE competitor IS NOT NULL GROUP BY competitor""")
+def q_promo_by_competitor(spark, sf_dir):
+    return CP.promo_by_competitor(_competitors(spark, sf_dir))
+
+
+def _overlap_sql(a: str, b: str) -> str:
+    return O.with_(O.SALES, O.COMPETITORS) + f"""
+, o AS (SELECT DISTINCT productname FROM sales_e WHERE brand = '{A.OUR_BRAND}' AND productname IS NOT NULL),
+ra AS (SELECT DISTINCT productname FROM competitors WHERE competitor = '{a}' AND productname IS NOT NULL),
+rb AS (SELECT DISTINCT productname FROM competitors WHERE competitor = '{b}' AND productname IS NOT NULL),
+u AS (SELECT productname FROM o UNION SELECT productname FROM ra UNION SELECT productname FROM rb),
+f AS (SELECT u.productname,
+             u.productname IN (SELECT productname FROM o) AS io,
+             u.productname IN (SELECT productname FROM ra) AS ia,
+             u.productname IN (SELECT productname FROM rb) AS ib FROM u),
+reg AS (
+  SELECT 1 AS position, 'Ours Only' AS region, COUNT(*) FILTER (WHERE io AND NOT ia AND NOT ib) AS products FROM f
+  UNION ALL SELECT 2, '{a} Only', COUNT(*) FILTER (WHERE ia AND NOT io AND NOT ib) FROM f
+  UNION ALL SELECT 3, '{b} Only', COUNT(*) FILTER (WHERE ib AND NOT io AND NOT ia) FROM f
+  UNION ALL SELECT 4, 'Ours & {a}', COUNT(*) FILTER (WHERE io AND ia AND NOT ib) FROM f
+  UNION ALL SELECT 5, 'Ours & {b}', COUNT(*) FILTER (WHERE io AND ib AND NOT ia) FROM f
+  UNION ALL SELECT 6, '{a} & {b}', COUNT(*) FILTER (WHERE ia AND ib AND NOT io) FROM f
+  UNION ALL SELECT 7, 'All Three', COUNT(*) FILTER (WHERE io AND ia AND ib) FROM f)
+SELECT * FROM reg"""
+
+
+@query("assortment_overlap", _overlap_sql(*A.RIVAL_BRANDS))
+def q_assortment_overlap(spark, sf_dir):
+    return CP.assortment_overlap(_ours(spark, sf_dir), _competitors(spark, sf_dir), *A.RIVAL_BRANDS)

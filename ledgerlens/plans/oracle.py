@@ -102,7 +102,10 @@ funnel AS (
 CAMPAIGNS = """
 campaigns AS (
   SELECT CAST(n.n_nationkey AS BIGINT) AS campaignid, n.n_name AS campaignname, r.r_name AS channel,
-         CAST(n.n_nationkey * 10000 AS DECIMAL(18,2)) AS totalcost
+         DATE '1995-01-01' AS startdate, DATE '2001-08-01' AS enddate,
+         CAST(n.n_nationkey * 10000 AS DECIMAL(18,2)) AS totalcost,
+         CAST((n.n_nationkey + 1) * 100000 AS BIGINT) AS impressions,
+         CAST((n.n_nationkey + 1) * 2500 AS BIGINT) AS clicks
   FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey
 ),
 attribution AS (
