@@ -14,7 +14,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import unique_dir
 from ..sources import adapters as A
+from ..sources import ingest as ING
+from ..sources import schemas as SCH
+from ..streaming import file_ingest as FI
+from ..operators import churn as CH
 from ..operators import competitors as CP
 from ..operators import customers as C
 from ..operators import delivery as D
@@ -584,3 +589,127 @@ SELECT * FROM reg"""
 @query("assortment_overlap", _overlap_sql(*A.RIVAL_BRANDS))
 def q_assortment_overlap(spark, sf_dir):
     return CP.assortment_overlap(_ours(spark, sf_dir), _competitors(spark, sf_dir), *A.RIVAL_BRANDS)
+
+
+# ----------------------------------------------------------------------------- churn
+
+def _features(spark, sf_dir):
+    return CH.churn_features(_sales(spark, sf_dir, with_part=False, with_city=False), _customers(spark, sf_dir))
+
+
+@query("churn_features", O.with_(O.SALES, O.CUSTOMERS) + f"""
+, snap AS (SELECT MAX("timestamp") + INTERVAL 1 DAY AS t FROM sales_e),
+pc AS (SELECT customerid, MAX("timestamp") AS last_ts, COUNT(DISTINCT orderid) AS frequency,
+              COALESCE(SUM(netsale), 0) AS money, SUM(netsale) AS net, COUNT(netsale) AS net_n,
+              COALESCE(SUM(quantity), 0) AS qty
+       FROM sales_e WHERE customerid IS NOT NULL GROUP BY customerid),
+f AS (SELECT pc.customerid,
+             CAST(floor(date_diff('second', pc.last_ts, s.t) / 86400) AS BIGINT) AS recency,
+             pc.frequency, CAST(pc.money AS DOUBLE) AS monetary_value,
+             CAST(pc.net AS DOUBLE) / CAST(NULLIF(pc.net_n, 0) AS DOUBLE) AS avg_basket_value,
+             CAST(pc.qty AS BIGINT) AS total_quantity,
+             CAST(floor(date_diff('second', c.joindate, s.t) / 86400) AS BIGINT) AS tenure_days,
+             CASE WHEN c.segment = 'Silver' THEN 1 ELSE 0 END AS segment_silver,
+             CASE WHEN c.segment = 'Gold' THEN 1 ELSE 0 END AS segment_gold
+      FROM pc JOIN customers c ON pc.customerid = c.customerid CROSS JOIN snap s)
+SELECT *, CASE WHEN recency > {CH.CHURN_DAYS} THEN 1 ELSE 0 END AS churn FROM f""")
+def q_churn_features(spark, sf_dir):
+    return _features(spark, sf_dir)
+
+
+def _trained(spark, sf_dir):
+    feats = _features(spark, sf_dir)
+    train, test = CH.split_train_test(feats)
+    model = CH.fit_churn_model(train)
+    return model, feats, test
+
+
+@query("churn_confusion")
+def q_churn_confusion(spark, sf_dir):
+    model, _, test = _trained(spark, sf_dir)
+    return CH.confusion(CH.score(model, test))
+
+
+@query("churn_evaluation")
+def q_churn_evaluation(spark, sf_dir):
+    model, _, test = _trained(spark, sf_dir)
+    return CH.evaluation(CH.score(model, test))
+
+
+@query("churn_scores")
+def q_churn_scores(spark, sf_dir):
+    model, feats, _ = _trained(spark, sf_dir)
+    return CH.score(model, feats).select("customerid", "churn_probability")
+
+
+def _predictions(spark, sf_dir):
+    return A.predictions(A.DriverTables(spark, sf_dir))
+
+
+@query("risk_bands", O.with_(O.PREDICTIONS) + """
+SELECT 1 AS position, 'High' AS band, COUNT(*) FILTER (WHERE churn_probability > 0.7) AS customers FROM predictions
+UNION ALL SELECT 2, 'Medium', COUNT(*) FILTER (WHERE churn_probability > 0.4 AND churn_probability <= 0.7)
+  FROM predictions
+UNION ALL SELECT 3, 'Low', COUNT(*) FILTER (WHERE churn_probability <= 0.4) FROM predictions""")
+def q_risk_bands(spark, sf_dir):
+    return CH.risk_bands(_predictions(spark, sf_dir))
+
+
+@query("risk_histogram", O.with_(O.PREDICTIONS) + f"""
+, b AS (SELECT CAST(LEAST(GREATEST(floor(churn_probability * {CH.HIST_BINS}.0), 0), {CH.HIST_BINS - 1}) AS INTEGER)
+          AS bin FROM predictions WHERE churn_probability IS NOT NULL),
+n AS (SELECT bin, COUNT(*) AS customers FROM b GROUP BY bin)
+SELECT CAST(r.i AS INTEGER) AS bin, CAST(r.i AS DOUBLE) / {CH.HIST_BINS}.0 AS bin_start,
+       CAST(r.i + 1 AS DOUBLE) / {CH.HIST_BINS}.0 AS bin_end, COALESCE(n.customers, 0) AS customers
+FROM range({CH.HIST_BINS}) r(i) LEFT JOIN n ON n.bin = r.i""")
+def q_risk_histogram(spark, sf_dir):
+    return CH.risk_histogram(_predictions(spark, sf_dir))
+
+
+@query("high_risk_customers", O.with_(O.PREDICTIONS) + """
+SELECT customerid, churn_probability FROM predictions WHERE churn_probability > 0.7""")
+def q_high_risk_customers(spark, sf_dir):
+    return CH.high_risk_customers(_predictions(spark, sf_dir))
+
+
+# ----------------------------------------------------------------------------- ingest and streaming
+
+def _write_masters(spark, sf_dir, source_dir):
+    """The driver tables written as reference-style master CSV files."""
+    t = A.DriverTables(spark, sf_dir)
+    frames = {
+        "sales": A.sales(t),
+        "deliveries": A.deliveries(t),
+        "customers": A.customers(t),
+        "sales_funnel": A.sales_funnel(t),
+        "marketing_campaigns": A.marketing_campaigns(t),
+        "marketing_attribution": A.marketing_attribution(t),
+    }
+    for name, df in frames.items():
+        spec = SCH.REGISTRY[name]
+        ING.write_csv(ING.rename_headers(df, spec), f"{source_dir}/{spec.master_file}")
+
+
+@query("ingest_roundtrip")
+def q_ingest_roundtrip(spark, sf_dir):
+    """Tables -> master CSVs -> full rebuild -> safe load."""
+    root = unique_dir(spark, "ingest")
+    _write_masters(spark, sf_dir, f"{root}/masters")
+    store = ING.TableStore(spark, f"{root}/tables")
+    ING.bootstrap(store, f"{root}/masters")
+    return S.enrich_sales(ING.load_table_safely(store, "sales"))
+
+
+@query("stream_ingest")
+def q_stream_ingest(spark, sf_dir):
+    """Order lines dropped as several ``sales_*.csv`` files, ingested by the
+    file stream (availableNow), then read back from the table."""
+    root = unique_dir(spark, "stream")
+    staging = f"{root}/staging"
+    incoming = f"{root}/incoming"
+    sales = A.sales(A.DriverTables(spark, sf_dir))
+    ING.write_csv(ING.rename_headers(sales, SCH.REGISTRY["sales"]).repartition(4), staging)
+    FI.publish_parts(spark, staging, incoming, "sales_part")
+    store = ING.TableStore(spark, f"{root}/tables")
+    FI.run_once(spark, incoming, store, f"{root}/archive")
+    return ING.load_table_safely(store, "sales")
