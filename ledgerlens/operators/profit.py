@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ZERO = F.lit(0).cast("decimal(38,4)")
 MEAN_DIGITS = 6  # means of DOUBLE columns are rounded: summation order varies by plan
 
 # Recommendation texts and the returns-loss share that fires rule 1.
@@ -17,6 +16,10 @@ MSG_PRODUCT = "'{}' has a high margin. Consider promoting it."
 MSG_NONE = "No critical issues detected."
 
 
+def _zero():
+    return F.lit(0).cast("decimal(38,4)")
+
+
 def profit_lines(sales: DataFrame) -> DataFrame:
     """``net_profit`` (exact), ``profit_margin`` % (0 when net sale is 0,
     null when net sale is null) and ``total_cost``."""
@@ -37,10 +40,10 @@ def profit_kpis(lines: DataFrame) -> DataFrame:
     ret = F.col("orderstatus") == "Returned"
     agg = lines.agg(
         F.count(F.lit(1)).cast("bigint").alias("row_count"),
-        F.coalesce(F.sum("net_profit"), ZERO).alias("_np"),
+        F.coalesce(F.sum("net_profit"), _zero()).alias("_np"),
         _mean("profit_margin").alias("avg_profit_margin"),
-        (F.coalesce(F.sum(F.when(ret, F.col("total_cost"))), ZERO)
-         + F.coalesce(F.sum(F.when(ret, F.col("netsale"))), ZERO)).alias("_lost"),
+        (F.coalesce(F.sum(F.when(ret, F.col("total_cost"))), _zero())
+         + F.coalesce(F.sum(F.when(ret, F.col("netsale"))), _zero())).alias("_lost"),
     )
     return agg.select("row_count", F.col("_np").cast("double").alias("total_net_profit"),
                       "avg_profit_margin", F.col("_lost").cast("double").alias("profit_lost_to_returns"))
@@ -49,7 +52,7 @@ def profit_kpis(lines: DataFrame) -> DataFrame:
 def profit_by(lines: DataFrame, key: str) -> DataFrame:
     """Summed net profit per key (null key is not a group)."""
     return (lines.where(F.col(key).isNotNull()).groupBy(key)
-            .agg(F.coalesce(F.sum("net_profit"), ZERO).cast("double").alias("net_profit")))
+            .agg(F.coalesce(F.sum("net_profit"), _zero()).cast("double").alias("net_profit")))
 
 
 def margin_by_product(lines: DataFrame) -> DataFrame:
@@ -81,8 +84,8 @@ def recommendations(lines: DataFrame) -> DataFrame:
     ret = F.col("orderstatus") == "Returned"
     totals = lines.agg(
         F.sum("net_profit").alias("_np"),
-        (F.coalesce(F.sum(F.when(ret, F.col("total_cost"))), ZERO)
-         + F.coalesce(F.sum(F.when(ret, F.col("netsale"))), ZERO)).alias("_lost"),
+        (F.coalesce(F.sum(F.when(ret, F.col("total_cost"))), _zero())
+         + F.coalesce(F.sum(F.when(ret, F.col("netsale"))), _zero())).alias("_lost"),
     )
     channel = profit_by(lines, "channel").where(F.col("net_profit") < 0).agg(F.min("channel")).scalar()
     product = top_margin_products(lines, 1).select("productname").scalar()

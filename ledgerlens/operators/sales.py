@@ -15,7 +15,6 @@ from ..functions.exprs import date_in_range, guarded_ratio, month_label, week_la
 ALL = "All"
 GRAINS = ("date", "week", "month")
 BREAKDOWN_KEYS = ("date", "week", "month", "category", "channel", "productname", "city", "locationid")
-ZERO_MONEY = F.lit(0).cast("decimal(38,4)")
 
 
 def enrich_sales(sales: DataFrame) -> DataFrame:
@@ -55,7 +54,7 @@ def filter_sales(sales: DataFrame, start=None, end=None, channel: str = ALL) ->
 
 
 def _money_sum(c) -> Column:
-    return F.coalesce(F.sum(c), ZERO_MONEY)
+    return F.coalesce(F.sum(c), F.lit(0).cast("decimal(38,4)"))
 
 
 def sales_kpis(sales: DataFrame) -> DataFrame:
