@@ -27,6 +27,7 @@ from ..operators import marketing as M
 from ..operators import profit as P
 from ..operators import sales as S
 from . import oracle as O
+from . import workspace as W
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -42,6 +43,11 @@ def query(name: str, sql: str | None = None):
 
 
 def _sales(spark, sf_dir, with_part=True, with_city=True, brand=None):
+    """Enriched sales. The whole table comes from the materialised fact table
+    (joins run once per input, see ``plans.workspace``); a brand subset is
+    joined directly (the part filter makes it a small slice)."""
+    if brand is None:
+        return W.sales_fact(spark, sf_dir)
     t = A.DriverTables(spark, sf_dir)
     return S.enrich_sales(A.sales(t, with_part=with_part, with_city=with_city, brand=brand))
 
@@ -195,7 +201,7 @@ def q_sales_date_bounds(spark, sf_dir):
 # ----------------------------------------------------------------------------- delivery
 
 def _deliveries(spark, sf_dir):
-    return D.enrich_deliveries(A.deliveries(A.DriverTables(spark, sf_dir)))
+    return W.deliveries_fact(spark, sf_dir)
 
 
 @query("delivery_enriched", O.with_(O.DELIVERIES) + """
