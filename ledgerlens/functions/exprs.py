@@ -70,29 +70,49 @@ def as_double(x) -> Column:
     return _c(x).cast("double")
 
 
+def _fixed(x, decimals: int, grouping: bool) -> Column:
+    """Fixed-point text rounded half-to-even on the exact binary value (the
+    rounding of ``format(x, ',.2f')``); ``grouping`` adds thousands separators."""
+    text = F.format_number(_c(x).cast("double"), decimals)
+    return text if grouping else F.regexp_replace(text, ",", "")
+
+
 def format_amount(x, suffix: str = "", decimals: int = 2) -> Column:
     """Presentation text: thousands separators, fixed decimals, optional suffix."""
-    text = F.format_number(_c(x).cast("double"), decimals)
+    text = _fixed(x, decimals, True)
     return F.concat(text, F.lit(suffix)) if suffix else text
 
 
 def format_percent(x, decimals: int = 2) -> Column:
-    return F.concat(F.format_string(f"%.{decimals}f", _c(x).cast("double")), F.lit("%"))
+    return F.concat(_fixed(x, decimals, False), F.lit("%"))
+
+
+# KPI text styles (suffixes as displayed).
+KPI_STYLES = ("amount", "percent", "multiple", "days", "count")
 
 
 def format_kpi(x, kind: str) -> Column:
-    """KPI text in the reference's four styles: amount (SAR), percent, multiple, days."""
+    """KPI text in the display styles: amount (``1,234.50 SAR``),
+    percent (``12.34%``), multiple (``2.50x``), days (``3.25 Days``),
+    count (``1,234``). A null value shows as ``-``."""
     if kind == "amount":
-        return format_amount(x, " SAR")
-    if kind == "percent":
-        return format_percent(x)
-    if kind == "multiple":
-        return F.concat(F.format_string("%.2f", _c(x).cast("double")), F.lit("x"))
-    if kind == "days":
-        return F.concat(F.format_string("%.2f", _c(x).cast("double")), F.lit(" Days"))
-    if kind == "count":
-        return F.format_number(_c(x).cast("double"), 0)
-    raise ValueError(f"unknown KPI format {kind!r}")
+        text = format_amount(x, " SAR")
+    elif kind == "percent":
+        text = format_percent(x)
+    elif kind == "multiple":
+        text = F.concat(_fixed(x, 2, False), F.lit("x"))
+    elif kind == "days":
+        text = F.concat(_fixed(x, 2, False), F.lit(" Days"))
+    elif kind == "count":
+        text = _fixed(x, 0, True)
+    else:
+        raise ValueError(f"unknown KPI format {kind!r}")
+    return F.coalesce(text, F.lit("-"))
+
+
+def with_kpi_text(df, styles: dict):
+    """Add ``<column>_text`` for each ``{column: style}``; numbers stay primary."""
+    return df.select("*", *[format_kpi(c, kind).alias(f"{c}_text") for c, kind in styles.items()])
 
 
 def date_in_range(date_col, start=None, end=None, ts_col=None) -> Column:

@@ -30,18 +30,25 @@ def order_amounts(sales: DataFrame, mode: str = PAIRS) -> DataFrame:
 
 def campaign_performance(sales: DataFrame, campaigns: DataFrame, attribution: DataFrame,
                          mode: str = PAIRS) -> DataFrame:
-    """Every campaign with attributed net sale (exact DECIMAL), conversions (distinct
-    orders), ROAS and CPA; campaigns without attribution get zeros.
-
-    J2 is a left join on a null-safe key (a null order matches a null order,
-    as in the reference); an attributed order with no sale still converts.
-    Any empty input -> empty result.
+    """Every campaign with attributed net sale (exact DECIMAL),
+    conversions (distinct orders), ROAS and CPA; campaigns without
+    attribution get zeros. Any empty input -> empty result.
+
+    J2 matches attribution to the order amounts on a null-safe key (a null
+    order matches a null order, as in the reference) and is many-to-many:
+    every attribution row picks up every amount of its order. Only the sum
+    of those amounts reaches the output, so the amounts are first folded to
+    one total per order (null order = one group) and the join becomes
+    many-to-one - no per-key pair explosion, even for a hot or null key.
+    An attributed order with no sale still converts, adding 0.
     """
-    amounts = order_amounts(sales, mode).withColumnRenamed("orderid", "_oid")
+    per_order = (order_amounts(sales, mode).groupBy("orderid")
+                 .agg(F.sum("netsale").alias("_amount"))
+                 .withColumnRenamed("orderid", "_oid"))
     attributed = attribution.select("orderid", "campaignid").join(
-        amounts, F.col("orderid").eqNullSafe(F.col("_oid")), "left")
+        per_order, F.col("orderid").eqNullSafe(F.col("_oid")), "left")
     perf = (attributed.where(F.col("campaignid").isNotNull()).groupBy("campaignid")
-            .agg(F.coalesce(F.sum("netsale"), F.lit(0).cast("decimal(38,4)")).alias("_net"),
+            .agg(F.coalesce(F.sum("_amount"), F.lit(0).cast("decimal(38,4)")).alias("_net"),
                  F.count_distinct("orderid").cast("bigint").alias("_conv")))
     out = campaigns.join(perf, "campaignid", "left")
     nonempty = sales.select(F.lit(1)).exists() & attribution.select(F.lit(1)).exists()

@@ -19,6 +19,7 @@ from ..sources import adapters as A
 from ..sources import ingest as ING
 from ..sources import schemas as SCH
 from ..streaming import file_ingest as FI
+from ..functions import exprs as X
 from ..operators import churn as CH
 from ..operators import competitors as CP
 from ..operators import customers as C
@@ -113,6 +114,26 @@ def _trend_sql(grain: str) -> str:
 SELECT {g}, {O.msum('netsale')} AS netsale FROM sales_e WHERE {g} IS NOT NULL GROUP BY {g}"""
 
 
+SALES_KPI_STYLES = {"total_revenue": "amount", "gross_margin": "percent", "net_profit": "amount",
+                    "total_orders": "count", "aov": "amount", "return_rate": "percent"}
+
+
+@query("sales_kpis_text", O.with_(O.SALES) + f"""
+, k AS ({_KPI_SQL.replace("{where}", '"date" IS NOT NULL')})
+SELECT row_count,
+       COALESCE(format('{{:,.2f}} SAR', total_revenue), '-') AS total_revenue_text,
+       COALESCE(format('{{:.2f}}%', gross_margin), '-') AS gross_margin_text,
+       COALESCE(format('{{:,.2f}} SAR', net_profit), '-') AS net_profit_text,
+       COALESCE(format('{{:,}}', total_orders), '-') AS total_orders_text,
+       COALESCE(format('{{:,.2f}} SAR', aov), '-') AS aov_text,
+       COALESCE(format('{{:.2f}}%', return_rate), '-') AS return_rate_text
+FROM k""")
+def q_sales_kpis_text(spark, sf_dir):
+    k = S.sales_kpis(S.filter_sales(_sales(spark, sf_dir, with_city=False)))
+    return X.with_kpi_text(k, SALES_KPI_STYLES).select(
+        "row_count", *[f"{c}_text" for c in SALES_KPI_STYLES])
+
+
 @query("sales_funnel", O.with_(O.SALES, O.FUNNEL) + f"""
 , f AS (SELECT COUNT(*) AS weeks, CAST(COALESCE(SUM(visits), 0) AS BIGINT) AS visits,
               CAST(COALESCE(SUM(carts), 0) AS BIGINT) AS carts, CAST(COALESCE(SUM(orders), 0) AS BIGINT) AS orders
@@ -363,6 +384,12 @@ def q_new_customers(spark, sf_dir):
     return C.new_customers(_status(spark, sf_dir))
 
 
+@query("customers_by_value", _status_sql() + """
+SELECT * FROM status ORDER BY monetary DESC NULLS LAST, customerid""")
+def q_customers_by_value(spark, sf_dir):
+    return C.customers_by_value(_status(spark, sf_dir))
+
+
 # ----------------------------------------------------------------------------- marketing
 
 def _perf_sql(mode: str) -> str:

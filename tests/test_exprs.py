@@ -41,3 +41,5 @@ def test_kpi_text_formats(spark):
     r = df.select(X.format_kpi("x", "amount"), X.format_kpi(F.lit(12.345), "percent"),
                   X.format_kpi(F.lit(2.5), "multiple"), X.format_kpi(F.lit(3.0), "days")).first()
     assert tuple(r) == ("1,234,567.89 SAR", "12.35%", "2.50x", "3.00 Days")
+    assert df.select(X.format_kpi(F.lit(None).cast("double"), "amount")).first()[0] == "-"
+    assert df.select(X.format_kpi(F.lit(1234.125), "percent")).first()[0] == "1234.12%"

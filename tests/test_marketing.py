@@ -43,3 +43,15 @@ def test_empty_attribution_gives_empty(spark):
     sales = spark.createDataFrame([("o1", Decimal(50))], SALES)
     att = spark.createDataFrame([], ATT)
     assert M.campaign_performance(sales, _camps(spark), att).count() == 0
+
+
+def test_many_to_many_match_equals_pairwise_sum(spark):
+    # order o1 has amounts 5 and 6 and is credited to c1 twice and to c3 once;
+    # null orders on both sides match each other (amounts 7, 8; two null credits)
+    sales = spark.createDataFrame([("o1", Decimal(5)), ("o1", Decimal(6)), (None, Decimal(7)),
+                                   (None, Decimal(8)), (None, Decimal(8))], SALES)
+    att = spark.createDataFrame([("o1", "c1"), ("o1", "c1"), ("o1", "c3"), (None, "c3"), (None, "c3")], ATT)
+    got = {r.campaignid: (r.netsale, r.conversions) for r in M.campaign_performance(sales, _camps(spark), att).collect()}
+    # pairwise: c1 = 2 x (5 + 6); c3 = (5 + 6) + 2 x (7 + 8)
+    assert got["c1"] == (Decimal(22), 1)
+    assert got["c3"] == (Decimal(41), 1)
