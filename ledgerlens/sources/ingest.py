@@ -38,15 +38,34 @@ def read_csv(spark: SparkSession, path, null_tokens=NULL_TOKENS) -> DataFrame:
                        .otherwise(F.col(f"`{c}`")).alias(c) for c in df.columns])
 
 
+def source_headers(columns: list[str]) -> list[str]:
+    """Header names as written in the file.
+
+    Spark's CSV reader renames headers that collide case-insensitively by
+    appending their position (``City``, ``CITY`` -> ``City0``, ``CITY1``);
+    this undoes that rename so alias matching sees the file's names.
+    """
+    stripped = []
+    for i, c in enumerate(columns):
+        suffix = str(i)
+        stripped.append(c[: -len(suffix)] if c.endswith(suffix) and len(c) > len(suffix) else None)
+    counts: dict[str, int] = {}
+    for base in stripped:
+        if base is not None:
+            counts[base.lower()] = counts.get(base.lower(), 0) + 1
+    return [base if base is not None and counts[base.lower()] > 1 else c
+            for c, base in zip(columns, stripped)]
+
+
 def header_mapping(columns: list[str], aliases: dict) -> dict:
-    """S2 as a plain mapping ``{source header -> canonical name}``.
+    """S2 as a plain mapping ``{column -> canonical name}``.
 
     Case-insensitive; the first alias present wins; if two headers collide
     after lower-casing, the later one is the one matched.
     """
     lower = {}
-    for c in columns:
-        lower[c.lower()] = c
+    for c, header in zip(columns, source_headers(columns)):
+        lower[header.lower()] = c
     mapping = {}
     for canon, names in aliases.items():
         for name in names:

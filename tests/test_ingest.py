@@ -103,3 +103,11 @@ def test_export_writes_nothing_for_empty_result(spark, tmp_path):
     assert out.endswith("top_value_customers_2025-01-01.csv")
     back = I.read_csv(spark, out)
     assert sorted(tuple(r) for r in back.collect()) == [("a", "5.0"), ("b", "2.0")]
+
+
+def test_case_duplicate_headers_last_one_wins(spark, tmp_path):
+    f = write(tmp_path / "sales_dup.csv", "City,OrderID,CITY,Channel0\nfirst,1,last,web\n")
+    df = I.normalize_headers(I.read_csv(spark, f), SC.REGISTRY["sales"])
+    r = df.first()
+    assert r.city == "last" and r.orderid == "1"
+    assert I.source_headers(["City0", "CITY1", "Channel0"]) == ["City", "CITY", "Channel0"]
