@@ -36,79 +36,75 @@ class DriverTables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
 
-def sales(t: DriverTables, with_part: bool = True, with_city: bool = True,
-          brand: str | None = None) -> DataFrame:
-    """Order lines as the canonical ``sales`` table (without derived columns).
+def _lines(t: DriverTables) -> DataFrame:
+    return t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+                                "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus")
+
+
+def _parts(t: DriverTables, brand: str | None = None) -> DataFrame:
+    part = t("part")
+    if brand is not None:
+        part = part.where(F.col("p_brand") == brand)
+    return part.select("p_partkey", "p_name", "p_type", "p_retailprice")
+
+
+def _suppliers(t: DriverTables) -> DataFrame:
+    """Supplier with its nation and region names (fixed-size dimensions broadcast)."""
+    region = F.broadcast(t("region").select("r_regionkey", F.col("r_name").alias("s_region")))
+    nation = F.broadcast(t("nation").select("n_nationkey", F.col("n_name").alias("s_nation"), "n_regionkey"))
+    geo = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"), "inner")
+    return t("supplier").select("s_suppkey", "s_nationkey").join(
+        F.broadcast(geo), F.col("s_nationkey") == F.col("n_nationkey"), "inner").select("s_suppkey", "s_nation", "s_region")
 
-    ``with_part`` / ``with_city`` drop the dimension joins a query does not
-    need: Catalyst prunes columns but never removes an inner join.
-    ``brand`` keeps only lines whose part has that brand (the "our catalogue"
-    subset used by the price and assortment operators).
-    """
-    li = t("lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag")
-    if with_part or brand is not None:
-        part = t("part")
-        if brand is not None:
-            part = part.where(F.col("p_brand") == brand)
-        part = part.select("p_partkey", "p_name", "p_type", "p_retailprice")
-        li = li.join(part, li.l_partkey == part.p_partkey, "inner")
 
+def _orders(t: DriverTables, with_city: bool) -> DataFrame:
     orders = t("orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     if with_city:
-        nation = F.broadcast(t("nation").select("n_nationkey", "n_name"))
+        nation = F.broadcast(t("nation").select("n_nationkey", F.col("n_name").alias("c_nation")))
         cust = t("customer").select("c_custkey", "c_nationkey").join(
-            nation, F.col("c_nationkey") == F.col("n_nationkey"), "inner")
+            nation, F.col("c_nationkey") == F.col("n_nationkey"), "inner").select("c_custkey", "c_nation")
         orders = orders.join(cust, orders.o_custkey == cust.c_custkey, "inner")
+    return orders
 
-    j = li.join(orders, li.l_orderkey == orders.o_orderkey, "inner")
 
+def _sales_columns(with_part: bool, with_city: bool) -> list:
     gross = F.col("l_extendedprice").cast("decimal(12,2)")
     cols = [
         F.col("l_orderkey").alias("orderid"),
         F.col("o_orderdate").alias("timestamp"),
         F.col("l_partkey").alias("productid"),
     ]
-    if with_part or brand is not None:
+    if with_part:
         cols += [F.col("p_name").alias("productname"), F.col("p_type").alias("category")]
     cols += [
         F.col("l_quantity").cast("int").alias("quantity"),
         gross.cast("decimal(18,2)").alias("grossvalue"),
         (gross * F.col("l_discount").cast("decimal(4,2)")).cast("decimal(18,4)").alias("discountvalue"),
     ]
-    if with_part or brand is not None:
+    if with_part:
         cols.append((F.col("l_quantity").cast("decimal(6,0)") * F.col("p_retailprice").cast("decimal(10,2)"))
                     .cast("decimal(18,4)").alias("costofgoodssold"))
     cols.append(F.col("o_custkey").alias("customerid"))
     if with_city:
-        cols.append(F.col("n_name").alias("city"))
+        cols.append(F.col("c_nation").alias("city"))
     cols += [
         F.col("l_suppkey").alias("locationid"),
         F.col("o_orderpriority").alias("channel"),
         F.when(F.col("l_returnflag") == "R", F.lit("Returned")).otherwise(F.lit("Completed")).alias("orderstatus"),
     ]
-    return j.select(*cols)
+    return cols
 
 
-def deliveries(t: DriverTables) -> DataFrame:
-    """One delivery per order line: dates from the order, partner/city from the supplier."""
-    region = F.broadcast(t("region").select("r_regionkey", "r_name"))
-    nation = F.broadcast(t("nation").select("n_nationkey", "n_name", "n_regionkey"))
-    geo = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"), "inner")
-    supp = t("supplier").select("s_suppkey", "s_nationkey").join(
-        F.broadcast(geo), F.col("s_nationkey") == F.col("n_nationkey"), "inner")
-    li = t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus")
-    li = li.join(supp, li.l_suppkey == supp.s_suppkey, "inner")
-    orders = t("orders").select("o_orderkey", "o_orderdate")
-    j = li.join(orders, li.l_orderkey == orders.o_orderkey, "inner")
-
+def _delivery_columns(city: str = "city", with_orderid: bool = True) -> list:
     orderdate = F.to_date("o_orderdate")
     finished = F.col("l_linestatus") == "F"
     lead = (F.lit(1) + (F.col("l_partkey") + F.col("l_linenumber")) % 9).cast("int")
     cost_cents = (F.lit(1500) + (F.col("l_suppkey") * 7 + F.col("l_linenumber")) % 1000).cast("decimal(12,0)")
-    return j.select(
-        F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("deliveryid"),
-        F.col("l_orderkey").alias("orderid"),
+    cols = [F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+            .alias("deliveryid")]
+    if with_orderid:
+        cols.append(F.col("l_orderkey").alias("orderid"))
+    return cols + [
         orderdate.alias("orderdate"),
         F.date_add(orderdate, 5).alias("promiseddate"),
         F.when(finished, F.date_add(orderdate, lead)).alias("actualdeliverydate"),
@@ -116,10 +112,49 @@ def deliveries(t: DriverTables) -> DataFrame:
         .when(finished, F.lit("Delivered"))
         .when((F.col("l_linestatus") == "O") & (F.col("l_returnflag") == "N"), F.lit("Pending"))
         .otherwise(F.lit("Shipped")).alias("status"),
-        F.col("r_name").alias("deliverypartner"),
-        F.col("n_name").alias("city"),
+        F.col("s_region").alias("deliverypartner"),
+        F.col("s_nation").alias(city),
         (cost_cents / F.lit(100).cast("decimal(3,0)")).cast("decimal(10,2)").alias("deliverycost"),
-    )
+    ]
+
+
+def sales(t: DriverTables, with_part: bool = True, with_city: bool = True,
+          brand: str | None = None) -> DataFrame:
+    """Order lines as the canonical ``sales`` table (without derived columns).
+
+    ``with_part`` / ``with_city`` drop the dimension joins a query does not
+    need: Catalyst prunes columns but never removes an inner join.
+    ``brand`` keeps only lines whose part has that brand (the "our catalogue"
+    subset used by the price and assortment operators).
+    """
+    with_part = with_part or brand is not None
+    li = _lines(t)
+    if with_part:
+        li = li.join(_parts(t, brand), F.col("l_partkey") == F.col("p_partkey"), "inner")
+    j = li.join(_orders(t, with_city), F.col("l_orderkey") == F.col("o_orderkey"), "inner")
+    return j.select(*_sales_columns(with_part, with_city))
+
+
+def deliveries(t: DriverTables) -> DataFrame:
+    """One delivery per order line: dates from the order, partner/city from the supplier."""
+    li = _lines(t).join(_suppliers(t), F.col("l_suppkey") == F.col("s_suppkey"), "inner")
+    orders = t("orders").select("o_orderkey", "o_orderdate")
+    j = li.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "inner")
+    return j.select(*_delivery_columns())
+
+
+DELIVERY_CITY = "delivery_city"
+
+
+def order_lines(t: DriverTables) -> DataFrame:
+    """Every sales column and every delivery column of an order line, from
+    one join pipeline (lineitem x part x supplier, then x orders x customer).
+    The delivery city is ``delivery_city`` (``city`` is the customer's).
+    Equal to :func:`sales` and :func:`deliveries` side by side."""
+    li = (_lines(t).join(_parts(t), F.col("l_partkey") == F.col("p_partkey"), "inner")
+          .join(_suppliers(t), F.col("l_suppkey") == F.col("s_suppkey"), "inner"))
+    j = li.join(_orders(t, True), F.col("l_orderkey") == F.col("o_orderkey"), "inner")
+    return j.select(*_sales_columns(True, True), *_delivery_columns(DELIVERY_CITY, with_orderid=False))
 
 
 def customers(t: DriverTables) -> DataFrame:
