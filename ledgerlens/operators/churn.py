@@ -142,20 +142,25 @@ def evaluation(scored: DataFrame) -> DataFrame:
 
 
 def train_and_score(sales: DataFrame, customers: DataFrame, snapshot=None, exclude_recency: bool = False,
-                    model_path: str | None = None, table: str | None = None):
+                    model_path: str | None = None, store=None):
     """P1-P10 end to end. Returns (model, scores for every customer, test-set scores).
 
-    ``model_path`` saves the fitted pipeline (overwrite); ``table`` writes the
-    scores as the prediction table read by the risk views.
+    ``model_path`` saves the fitted pipeline (overwrite; reload with
+    ``PipelineModel.load``). ``store`` (a ``sources.ingest.TableStore``)
+    receives the scores as the ``customer_churn_predictions`` table that the
+    risk views read back (S12).
     """
+    from ..sources.schemas import PREDICTIONS_TABLE
+
     feats = churn_features(sales, customers, snapshot)
     train, test = split_train_test(feats)
     model = fit_churn_model(train, exclude_recency)
     if model_path:
         model.write().overwrite().save(model_path)
     scores = score(model, feats)
-    if table:
-        scores.select("customerid", "churn_probability").write.mode("overwrite").saveAsTable(table)
+    if store is not None:
+        store.write(scores.select(F.col("customerid").cast("string").alias("customerid"), "churn_probability"),
+                    PREDICTIONS_TABLE, "overwrite")
     return model, scores, score(model, test)
 
 

@@ -35,11 +35,22 @@ def test_features_on_literal_rows(spark):
     assert got["b"].churn == 0
 
 
-def test_train_and_evaluate_on_driver_tables(spark):
+def test_train_and_evaluate_on_driver_tables(spark, tmp_path):
+    from pyspark.ml import PipelineModel
+
+    from ledgerlens.operators.sales import enrich_sales
+    from ledgerlens.sources import ingest as I
+
     t = A.DriverTables(spark, "/root/testdata/sf0.001")
     sales = A.sales(t, with_part=False, with_city=False)
-    from ledgerlens.operators.sales import enrich_sales
-    model, scores, test = CH.train_and_score(enrich_sales(sales), A.customers(t))
+    store = I.TableStore(spark, str(tmp_path / "tables"))
+    model_path = str(tmp_path / "model")
+    model, scores, test = CH.train_and_score(enrich_sales(sales), A.customers(t), model_path=model_path, store=store)
+    reloaded = CH.score(PipelineModel.load(model_path), CH.churn_features(enrich_sales(sales), A.customers(t)))
+    assert reloaded.count() == scores.count()
+    preds = I.load_predictions(store)
+    assert preds.columns == ["customerid", "churn_probability"] and preds.count() == scores.count()
+    assert [tuple(r) for r in CH.risk_bands(preds).collect()][0][1] == "High"
     ev = CH.evaluation(test).first()
     assert ev.accuracy > 0.8  # the label leaks through recency, as in the reference
     conf = CH.confusion(test).collect()
