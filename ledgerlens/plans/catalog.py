@@ -53,11 +53,18 @@ def _sales(spark, sf_dir, with_part=True, with_city=True, brand=None):
     return S.enrich_sales(A.sales(t, with_part=with_part, with_city=with_city, brand=brand))
 
 
-def _out_sales(df: DataFrame) -> DataFrame:
-    """Driver-facing projection: decimals as DOUBLE."""
+def _out(df: DataFrame) -> DataFrame:
+    """Driver-facing projection: DECIMAL as DOUBLE and DATE as a midnight
+    TIMESTAMP, so every client library (row tuples, pandas, Arrow) renders
+    both sides of the oracle comparison with the same Python types."""
     cols = []
     for c, t in df.dtypes:
-        cols.append(F.col(c).cast("double").alias(c) if t.startswith("decimal") else F.col(c))
+        if t.startswith("decimal"):
+            cols.append(F.col(c).cast("double").alias(c))
+        elif t == "date":
+            cols.append(F.col(c).cast("timestamp_ntz").alias(c))
+        else:
+            cols.append(F.col(c))
     return df.select(*cols)
 
 
@@ -71,10 +78,10 @@ SALES_COLS = ("orderid, \"timestamp\", productid, productname, category, quantit
 SELECT orderid, "timestamp", productid, productname, category, quantity,
        CAST(grossvalue AS DOUBLE) AS grossvalue, CAST(discountvalue AS DOUBLE) AS discountvalue,
        CAST(costofgoodssold AS DOUBLE) AS costofgoodssold, customerid, city, locationid, channel, orderstatus,
-       CAST(netsale AS DOUBLE) AS netsale, "date", week, "month"
+       CAST(netsale AS DOUBLE) AS netsale, CAST("date" AS TIMESTAMP) AS "date", week, "month"
 FROM sales_e""")
 def q_sales_enriched(spark, sf_dir):
-    return _out_sales(_sales(spark, sf_dir))
+    return _out(_sales(spark, sf_dir))
 
 
 _KPI_SQL = """
@@ -110,8 +117,9 @@ def q_sales_kpis_channel(spark, sf_dir):
 
 def _trend_sql(grain: str) -> str:
     g = f'"{grain}"'
+    out = f'CAST({g} AS TIMESTAMP) AS {g}' if grain == "date" else g
     return O.with_(O.SALES) + f"""
-SELECT {g}, {O.msum('netsale')} AS netsale FROM sales_e WHERE {g} IS NOT NULL GROUP BY {g}"""
+SELECT {out}, {O.msum('netsale')} AS netsale FROM sales_e WHERE {g} IS NOT NULL GROUP BY {g}"""
 
 
 SALES_KPI_STYLES = {"total_revenue": "amount", "gross_margin": "percent", "net_profit": "amount",
@@ -153,7 +161,7 @@ def q_sales_funnel(spark, sf_dir):
 
 @query("sales_trend_day", _trend_sql("date"))
 def q_sales_trend_day(spark, sf_dir):
-    return S.sales_trend(S.filter_sales(_sales(spark, sf_dir, with_part=False, with_city=False)), "date")
+    return _out(S.sales_trend(S.filter_sales(_sales(spark, sf_dir, with_part=False, with_city=False)), "date"))
 
 
 @query("sales_trend_week", _trend_sql("week"))
@@ -214,9 +222,9 @@ def q_sales_filter_domain(spark, sf_dir):
 
 
 @query("sales_date_bounds", O.with_(O.SALES) + """
-SELECT MIN("date") AS min_date, MAX("date") AS max_date FROM sales_e""")
+SELECT CAST(MIN("date") AS TIMESTAMP) AS min_date, CAST(MAX("date") AS TIMESTAMP) AS max_date FROM sales_e""")
 def q_sales_date_bounds(spark, sf_dir):
-    return S.date_bounds(_sales(spark, sf_dir, with_part=False, with_city=False))
+    return _out(S.date_bounds(_sales(spark, sf_dir, with_part=False, with_city=False)))
 
 
 # ----------------------------------------------------------------------------- delivery
@@ -226,11 +234,13 @@ def _deliveries(spark, sf_dir):
 
 
 @query("delivery_enriched", O.with_(O.DELIVERIES) + """
-SELECT deliveryid, orderid, orderdate, promiseddate, actualdeliverydate, status, deliverypartner, city,
-       CAST(deliverycost AS DOUBLE) AS deliverycost, "date", delivery_time_days, on_time
+SELECT deliveryid, orderid, CAST(orderdate AS TIMESTAMP) AS orderdate,
+       CAST(promiseddate AS TIMESTAMP) AS promiseddate, CAST(actualdeliverydate AS TIMESTAMP) AS actualdeliverydate,
+       status, deliverypartner, city, CAST(deliverycost AS DOUBLE) AS deliverycost,
+       CAST("date" AS TIMESTAMP) AS "date", delivery_time_days, on_time
 FROM deliveries_e""")
 def q_delivery_enriched(spark, sf_dir):
-    return _out_sales(_deliveries(spark, sf_dir))
+    return _out(_deliveries(spark, sf_dir))
 
 
 _DKPI_SQL = O.with_(O.DELIVERIES) + """
@@ -412,7 +422,8 @@ perf AS (
 """
 
 
-_PERF_OUT = """SELECT campaignid, campaignname, channel, startdate, enddate, CAST(totalcost AS DOUBLE) AS totalcost,
+_PERF_OUT = """SELECT campaignid, campaignname, channel, CAST(startdate AS TIMESTAMP) AS startdate,
+       CAST(enddate AS TIMESTAMP) AS enddate, CAST(totalcost AS DOUBLE) AS totalcost,
        impressions, clicks, CAST(netsale AS DOUBLE) AS netsale, conversions, roas, cpa FROM perf"""
 
 
@@ -424,12 +435,12 @@ def _perf(spark, sf_dir, mode="pairs"):
 
 @query("campaign_performance", _perf_sql("pairs") + _PERF_OUT)
 def q_campaign_performance(spark, sf_dir):
-    return _out_sales(_perf(spark, sf_dir))
+    return _out(_perf(spark, sf_dir))
 
 
 @query("campaign_performance_by_order", _perf_sql("order") + _PERF_OUT)
 def q_campaign_performance_by_order(spark, sf_dir):
-    return _out_sales(_perf(spark, sf_dir, "order"))
+    return _out(_perf(spark, sf_dir, "order"))
 
 
 @query("marketing_totals", _perf_sql("pairs") + f"""
@@ -476,11 +487,11 @@ def _lines(spark, sf_dir, with_city=False):
 SELECT orderid, "timestamp", productid, productname, category, quantity,
        CAST(grossvalue AS DOUBLE) AS grossvalue, CAST(discountvalue AS DOUBLE) AS discountvalue,
        CAST(costofgoodssold AS DOUBLE) AS costofgoodssold, customerid, city, locationid, channel, orderstatus,
-       CAST(netsale AS DOUBLE) AS netsale, "date", week, "month",
+       CAST(netsale AS DOUBLE) AS netsale, CAST("date" AS TIMESTAMP) AS "date", week, "month",
        CAST(net_profit AS DOUBLE) AS net_profit, profit_margin, CAST(total_cost AS DOUBLE) AS total_cost
 FROM lines""")
 def q_profit_lines(spark, sf_dir):
-    return _out_sales(_lines(spark, sf_dir, with_city=True))
+    return _out(_lines(spark, sf_dir, with_city=True))
 
 
 @query("profit_kpis", O.with_(O.SALES) + _LINES + f"""
