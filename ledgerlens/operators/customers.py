@@ -36,12 +36,13 @@ def order_rollup(sales: DataFrame) -> DataFrame:
     one row per order, so a customer holding a third of all lines costs no
     more than its order count.
     """
+    qty = F.sum("quantity") if "quantity" in sales.columns else F.lit(None).cast("bigint")
     return (sales.where(F.col("customerid").isNotNull())
             .groupBy("customerid", "orderid")
             .agg(F.max("timestamp").alias("last_ts"),
                  F.sum("netsale").alias("net"),
                  F.count("netsale").alias("net_n"),
-                 F.sum("quantity").alias("qty")))
+                 qty.alias("qty")))
 
 
 def rfm(sales: DataFrame, as_of=None) -> DataFrame:
