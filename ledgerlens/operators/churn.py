@@ -183,16 +183,23 @@ def risk_bands(predictions: DataFrame) -> DataFrame:
 
 def risk_histogram(predictions: DataFrame, bins: int = HIST_BINS) -> DataFrame:
     """Fixed-width histogram of probabilities on [0, 1]; 1.0 falls in the
-    last bin; every bin listed. One aggregate row, unpivoted."""
+    last bin; every bin listed, 0 when empty.
+
+    One ``groupBy(bin).count()`` (partial aggregation, at most ``bins``
+    groups); the <= ``bins`` counts are then folded into one map and expanded
+    over ``sequence(0, bins - 1)`` to zero-fill - bounded by the bin count,
+    not by the data, and no join.
+    """
     p = F.col("churn_probability")
-    b = F.least(F.greatest(F.floor(p * F.lit(float(bins))), F.lit(0)), F.lit(bins - 1))
-    agg = predictions.where(p.isNotNull()).agg(
-        *[F.count_if(b == i).cast("bigint").alias(f"_b{i}") for i in range(bins)])
-    cells = F.array(*[F.struct(F.lit(i).alias("bin"),
-                               (F.lit(float(i)) / F.lit(float(bins))).alias("bin_start"),
-                               (F.lit(float(i + 1)) / F.lit(float(bins))).alias("bin_end"),
-                               F.col(f"_b{i}").alias("customers")) for i in range(bins)])
-    return agg.select(F.inline(cells))
+    b = F.least(F.greatest(F.floor(p * F.lit(float(bins))), F.lit(0)), F.lit(bins - 1)).cast("int")
+    counts = predictions.where(p.isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    table = counts.agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("m"))
+    cells = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.struct(
+        i.alias("bin"),
+        (i.cast("double") / F.lit(float(bins))).alias("bin_start"),
+        ((i + 1).cast("double") / F.lit(float(bins))).alias("bin_end"),
+        F.coalesce(F.col("m")[i], F.lit(0)).cast("bigint").alias("customers")))
+    return table.select(F.inline(cells))
 
 
 def high_risk_customers(predictions: DataFrame, threshold: float = HIGH_RISK) -> DataFrame:

@@ -62,32 +62,55 @@ def code_version() -> str:
     return h.hexdigest()[:12]
 
 
+def input_files(spark: SparkSession, sf_dir: str, names) -> list[tuple[str, int, int]]:
+    """(path, length, modification time) of every input file (metadata only)."""
+    out = []
+    for name in sorted(names):
+        jvm, fs, p = _fs(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
+        files = fs.listFiles(p, True)
+        while files.hasNext():
+            st = files.next()
+            out.append((st.getPath().toString(), int(st.getLen()), int(st.getModificationTime())))
+    return sorted(out)
+
+
 def input_signature(spark: SparkSession, sf_dir: str, names) -> str:
     """Hash of the derivation code and of (path, length, modification time)
     of every input file."""
     h = hashlib.sha1(code_version().encode())
-    for name in sorted(names):
-        jvm, fs, p = _fs(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
-        for st in sorted(fs.listStatus(p), key=lambda s: s.getPath().toString()):
-            h.update(f"{st.getPath().toString()}|{st.getLen()}|{st.getModificationTime()};".encode())
+    for path, length, mtime in input_files(spark, sf_dir, names):
+        h.update(f"{path}|{length}|{mtime};".encode())
     return h.hexdigest()[:16]
 
 
-def write_table(spark: SparkSession, df: DataFrame, path: str, sort_col: str | None = None) -> None:
+BYTES_PER_FILE = 256 * 1024 * 1024  # input bytes per written file
+ROWS_PER_FILE = 8_000_000  # hard cap on rows in one output file
+
+
+def file_count(spark: SparkSession, input_bytes: int) -> int:
+    """Files to write: ~256 MB of input each, never fewer than the shuffle
+    partitions (so small inputs still scan in parallel)."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(n, -(-input_bytes // BYTES_PER_FILE))
+
+
+def write_table(spark: SparkSession, df: DataFrame, path: str, sort_col: str | None = None,
+                files: int | None = None) -> None:
     """Write ``df`` as Parquet at ``path`` atomically (temp dir + rename).
 
-    Rows are spread round-robin over ``spark.sql.shuffle.partitions`` files
-    and sorted by ``sort_col`` within each file.
+    Rows are spread round-robin over ``files`` tasks (default: the shuffle
+    partitions), sorted by ``sort_col`` within each, and no file holds more
+    than ``ROWS_PER_FILE`` rows.
     """
     jvm, fs, final = _fs(spark, path)
     if fs.exists(final):
         return
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     tmp = f"{path}.tmp-{uuid.uuid4().hex[:8]}"
     out = df.repartition(n)
     if sort_col:
         out = out.sortWithinPartitions(sort_col)
-    out.write.mode("overwrite").parquet(tmp)
+    out.write.mode("overwrite").option("maxRecordsPerFile", ROWS_PER_FILE).parquet(tmp)
     if not fs.exists(final):
         fs.mkdirs(final.getParent())
         if not fs.rename(jvm.org.apache.hadoop.fs.Path(tmp), final) and not fs.exists(final):
@@ -125,7 +148,8 @@ class Workspace:
             path = self._paths.get(name)
             if path is None:
                 path = self._location(name, inputs)
-                write_table(self.spark, build(), path, sort_col)
+                size = sum(length for _, length, _ in input_files(self.spark, self.sf_dir, inputs))
+                write_table(self.spark, build(), path, sort_col, file_count(self.spark, size))
                 self._paths[name] = path
         return self.spark.read.parquet(path)
 
