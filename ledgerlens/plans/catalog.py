@@ -734,17 +734,33 @@ def _write_masters(spark, sf_dir, source_dir):
         ING.write_csv(ING.rename_headers(df, spec), f"{source_dir}/{spec.master_file}")
 
 
-@query("ingest_roundtrip")
+_INGESTED_SALES_SQL = O.with_(O.SALES) + """
+SELECT CAST(orderid AS VARCHAR) AS orderid, CAST(productid AS VARCHAR) AS productid, productname, category,
+       quantity, CAST(grossvalue AS DOUBLE) AS grossvalue, CAST(discountvalue AS DOUBLE) AS discountvalue,
+       CAST(costofgoodssold AS DOUBLE) AS costofgoodssold, CAST(customerid AS VARCHAR) AS customerid, city,
+       CAST(locationid AS VARCHAR) AS locationid, channel, orderstatus, "timestamp",
+       CAST(netsale AS DOUBLE) AS netsale, CAST("date" AS TIMESTAMP) AS "date", week, "month"
+FROM sales_e"""
+
+
+def _ingested(df: DataFrame) -> DataFrame:
+    """An ingested sales table as the driver sees it: bookkeeping columns
+    dropped, derived columns recomputed, driver-facing types."""
+    return _out(S.enrich_sales(df.drop("_source_file", "_batch_id")))
+
+
+@query("ingest_roundtrip", _INGESTED_SALES_SQL)
 def q_ingest_roundtrip(spark, sf_dir):
-    """Tables -> master CSVs -> full rebuild -> safe load."""
+    """Tables -> master CSVs -> full rebuild -> safe load.
+    Ids come back as text (the declared CSV types); every value must survive."""
     root = unique_dir(spark, "ingest")
     _write_masters(spark, sf_dir, f"{root}/masters")
     store = ING.TableStore(spark, f"{root}/tables")
     ING.bootstrap(store, f"{root}/masters")
-    return S.enrich_sales(ING.load_table_safely(store, "sales"))
+    return _ingested(ING.load_table_safely(store, "sales"))
 
 
-@query("stream_ingest")
+@query("stream_ingest", _INGESTED_SALES_SQL)
 def q_stream_ingest(spark, sf_dir):
     """Order lines dropped as several ``sales_*.csv`` files, ingested by the
     file stream (availableNow), then read back from the table."""
@@ -756,4 +772,4 @@ def q_stream_ingest(spark, sf_dir):
     FI.publish_parts(spark, staging, incoming, "sales_part")
     store = ING.TableStore(spark, f"{root}/tables")
     FI.run_once(spark, incoming, store, f"{root}/archive")
-    return ING.load_table_safely(store, "sales")
+    return _ingested(ING.load_table_safely(store, "sales"))

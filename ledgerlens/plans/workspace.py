@@ -176,6 +176,13 @@ class Workspace:
             self._sales_cols = S.enrich_sales(A.sales(self.tables)).columns
         return self._sales_cols
 
+    def refresh(self) -> None:
+        """Forget the tables located so far: the next access re-lists the
+        inputs and reuses a table only if nothing changed."""
+        with _LOCK:
+            self._paths.clear()
+            self.fresh = False
+
     def build(self, fresh: bool = False) -> None:
         """Materialise the fact table now (otherwise done on first use).
         ``fresh`` ignores a table an earlier session left for the same input."""
