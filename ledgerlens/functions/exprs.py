@@ -61,15 +61,6 @@ def safe_division(num, den) -> Column:
     return F.coalesce(F.try_divide(_c(num).cast("double"), _c(den).cast("double")), F.lit(0.0))
 
 
-def money(x) -> Column:
-    """Exact money amount; sums of DECIMAL are order-independent."""
-    return _c(x).cast("decimal(18,4)")
-
-
-def as_double(x) -> Column:
-    return _c(x).cast("double")
-
-
 def _fixed(x, decimals: int, grouping: bool) -> Column:
     """Fixed-point text rounded half-to-even on the exact binary value (the
     rounding of ``format(x, ',.2f')``); ``grouping`` adds thousands separators."""

@@ -130,10 +130,6 @@ def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(c.strip() for c in ctes) + "\n"
 
 
-def d(x: str) -> str:
-    return f"CAST({x} AS DOUBLE)"
-
-
 def msum(x: str) -> str:
     """Money sum: DECIMAL, 0 when there is nothing to add, DOUBLE out."""
     return f"CAST(COALESCE(SUM({x}), 0) AS DOUBLE)"

@@ -192,9 +192,6 @@ class TableStore:
         else:
             df.write.mode(mode).parquet(self.path(name))
 
-    def columns(self, name: str) -> list[str] | None:
-        return self.read(name).columns if self.exists(name) else None
-
 
 def load_table_safely(store: TableStore, name: str) -> DataFrame:
     """Registered name + existing table -> full lazy scan with lower-cased
@@ -342,8 +339,3 @@ def _path_exists(spark: SparkSession, path: str) -> bool:
 def rename_headers(df: DataFrame, spec: SC.TableSpec) -> DataFrame:
     """Canonical -> first alias (the file header a producer would write)."""
     return df.select(*[F.col(c).alias(spec.aliases[c][0]) if c in spec.aliases else F.col(c) for c in df.columns])
-
-
-def local_path(path: str) -> str:
-    return path[len("file:"):] if path.startswith("file:") else path
-

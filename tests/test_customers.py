@@ -62,3 +62,16 @@ def test_top_customers_nulls_last_and_lists(spark):
     assert (counts.total_customers, counts.active_customers, counts.churn_risk_customers) == (3, 0, 1)
     assert [tuple(r) for r in C.status_distribution(st).collect()] == [
         ("Churn Risk", 1), ("Never Purchased", 1), ("New", 1)]
+
+
+def test_export_lists_select_and_write(spark, tmp_path):
+    from ledgerlens.sources import ingest as I
+
+    st = spark.createDataFrame([
+        ("a", "Never Purchased", None), ("b", "New", 5.0), ("c", "Churn Risk", 9.0), ("d", "Churn Risk", 1.0),
+    ], "customerid string, status string, monetary double")
+    assert [r.customerid for r in C.customer_list(st, "top_value").collect()] == ["c", "b", "d", "a"]
+    assert sorted(r.customerid for r in C.customer_list(st, "churn_risk").collect()) == ["c", "d"]
+    out = I.export_csv(C.customer_list(st, "new"), str(tmp_path), "new_customers", day="2025-02-03")
+    assert out.endswith("new_customers_2025-02-03.csv")
+    assert [r.customerid for r in I.read_csv(spark, out).collect()] == ["b"]

@@ -53,3 +53,15 @@ def test_filter_partner_and_range(spark):
     df = _frame(spark, [d(1, a, a, a, partner="P1"), d(2, b, b, b, partner="P2"), d(3, None, a, a)])
     assert D.filter_deliveries(df).count() == 2
     assert [r.deliveryid for r in D.filter_deliveries(df, "2025-01-01", "2025-01-31", "P1").collect()] == ["1"]
+
+
+def test_pipeline_counts_bounded_by_rows_on_driver_tables(spark):
+    from ledgerlens.plans.workspace import deliveries_fact
+
+    df = deliveries_fact(spark, "/root/testdata/sf0.001")
+    rows = D.delivery_kpis(df).first().row_count
+    pipeline = {r.status: r.orders for r in D.delivery_pipeline(df).collect()}
+    assert sum(pipeline.values()) <= rows
+    assert sum(pipeline.values()) == df.where(df.status.isin(*D.PIPELINE_STATUSES)).count()
+    by_city = D.delivery_time_by_city(df).collect()
+    assert len(by_city) == df.select("city").distinct().count()

@@ -39,3 +39,14 @@ def test_fact_scan_reads_only_needed_columns(spark):
     schema = scan.split("ReadSchema:")[1].splitlines()[0]
     assert "channel" in schema and "netsale" in schema
     assert "productname" not in schema and "deliverycost" not in schema
+
+
+def test_workspace_reuses_table_until_inputs_change(spark):
+    from ledgerlens.plans.workspace import Workspace
+
+    ws = Workspace.of(spark, SF)
+    first = ws.lines().inputFiles()[0]
+    ws.refresh()
+    assert ws.lines().inputFiles()[0] == first  # same inputs and code: same table
+    ws.build(fresh=True)
+    assert ws.lines().inputFiles()[0] != first  # forced rebuild: new location
