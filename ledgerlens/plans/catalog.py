@@ -44,11 +44,11 @@ def query(name: str, sql: str | None = None):
 
 
 def _sales(spark, sf_dir, with_part=True, with_city=True, brand=None):
-    """Enriched sales. The whole table comes from the materialised fact table
-    (joins run once per input, see ``plans.workspace``); a brand subset is
-    joined directly (the part filter makes it a small slice)."""
-    if brand is None:
-        return W.sales_fact(spark, sf_dir)
+    """Enriched sales from the materialised fact table (joins run once per
+    input, see ``plans.workspace``). With materialisation switched off, the
+    joins run lazily and only the dimensions the query reads are joined."""
+    if W.materialize_enabled(spark):
+        return W.sales_fact(spark, sf_dir, brand)
     t = A.DriverTables(spark, sf_dir)
     return S.enrich_sales(A.sales(t, with_part=with_part, with_city=with_city, brand=brand))
 
@@ -230,7 +230,9 @@ def q_sales_date_bounds(spark, sf_dir):
 # ----------------------------------------------------------------------------- delivery
 
 def _deliveries(spark, sf_dir):
-    return W.deliveries_fact(spark, sf_dir)
+    if W.materialize_enabled(spark):
+        return W.deliveries_fact(spark, sf_dir)
+    return D.enrich_deliveries(A.deliveries(A.DriverTables(spark, sf_dir)))
 
 
 @query("delivery_enriched", O.with_(O.DELIVERIES) + """

@@ -160,9 +160,13 @@ class Workspace:
             "lines", LINE_INPUTS,
             lambda: D.enrich_deliveries(S.enrich_sales(A.order_lines(self.tables))), "timestamp")
 
-    def sales(self) -> DataFrame:
-        """Enriched order lines (E5) with every canonical column."""
-        return self.lines().select(*self._sales_columns())
+    def sales(self, brand: str | None = None) -> DataFrame:
+        """Enriched order lines (E5) with every canonical column; ``brand``
+        keeps the lines of that part brand (a pushed-down scan filter)."""
+        lines = self.lines()
+        if brand is not None:
+            lines = lines.where(lines[A.BRAND] == brand)
+        return lines.select(*self._sales_columns())
 
     def deliveries(self) -> DataFrame:
         """Enriched deliveries."""
@@ -193,8 +197,18 @@ class Workspace:
         self.lines()
 
 
-def sales_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Workspace.of(spark, sf_dir).sales()
+MATERIALIZE_CONF = "spark.ledgerlens.materialize"
+
+
+def materialize_enabled(spark: SparkSession) -> bool:
+    """``spark.ledgerlens.materialize`` (default true): false makes queries run
+    the joins lazily instead of writing the fact table first - the better
+    choice for a single query over a huge input."""
+    return spark.conf.get(MATERIALIZE_CONF, "true").lower() != "false"
+
+
+def sales_fact(spark: SparkSession, sf_dir: str, brand: str | None = None) -> DataFrame:
+    return Workspace.of(spark, sf_dir).sales(brand)
 
 
 def deliveries_fact(spark: SparkSession, sf_dir: str) -> DataFrame:

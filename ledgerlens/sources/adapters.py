@@ -45,7 +45,7 @@ def _parts(t: DriverTables, brand: str | None = None) -> DataFrame:
     part = t("part")
     if brand is not None:
         part = part.where(F.col("p_brand") == brand)
-    return part.select("p_partkey", "p_name", "p_type", "p_retailprice")
+    return part.select("p_partkey", "p_name", "p_type", "p_retailprice", "p_brand")
 
 
 def _suppliers(t: DriverTables) -> DataFrame:
@@ -144,17 +144,20 @@ def deliveries(t: DriverTables) -> DataFrame:
 
 
 DELIVERY_CITY = "delivery_city"
+BRAND = "brand"
 
 
 def order_lines(t: DriverTables) -> DataFrame:
     """Every sales column and every delivery column of an order line, from
     one join pipeline (lineitem x part x supplier, then x orders x customer).
-    The delivery city is ``delivery_city`` (``city`` is the customer's).
+    The delivery city is ``delivery_city`` (``city`` is the customer's); the
+    part's ``brand`` is kept so brand subsets are a scan filter.
     Equal to :func:`sales` and :func:`deliveries` side by side."""
     li = (_lines(t).join(_parts(t), F.col("l_partkey") == F.col("p_partkey"), "inner")
           .join(_suppliers(t), F.col("l_suppkey") == F.col("s_suppkey"), "inner"))
     j = li.join(_orders(t, True), F.col("l_orderkey") == F.col("o_orderkey"), "inner")
-    return j.select(*_sales_columns(True, True), *_delivery_columns(DELIVERY_CITY, with_orderid=False))
+    return j.select(*_sales_columns(True, True), *_delivery_columns(DELIVERY_CITY, with_orderid=False),
+                    F.col("p_brand").alias(BRAND))
 
 
 def customers(t: DriverTables) -> DataFrame:
