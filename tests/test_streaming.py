@@ -44,3 +44,20 @@ def test_replayed_batch_does_not_duplicate(spark, tmp_path):
     p.write_text(HEADER + "A9,2025-01-01 10:00:00,P1,1,10,1,4,C1,web\n")
     FI.process_batch(store, str(tmp_path / "arch2"), [path], batch_id=7)
     assert store.read("sales").count() == 1
+
+
+def test_polling_trigger_picks_up_new_files(spark, tmp_path):
+    inc = tmp_path / "poll"
+    inc.mkdir()
+    (inc / "sales_a.csv").write_text(HEADER + "P1,2025-01-01 10:00:00,P1,1,10,1,4,C1,web\n")
+    store = I.TableStore(spark, str(tmp_path / "tables"))
+    q = FI.start_file_ingest(spark, str(inc), store, str(tmp_path / "archive"), str(tmp_path / "ckpt"),
+                             interval="1 second")
+    try:
+        q.processAllAvailable()
+        (inc / "sales_b.csv").write_text(HEADER + "P2,2025-01-02 10:00:00,P2,2,20,0,8,app\n")
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert sorted(r.orderid for r in store.read("sales").collect()) == ["P1", "P2"]
+    assert sorted(os.listdir(tmp_path / "archive")) == ["sales_a.csv", "sales_b.csv"]
