@@ -111,10 +111,18 @@ def write_table(spark: SparkSession, df: DataFrame, path: str, sort_col: str | N
     if sort_col:
         out = out.sortWithinPartitions(sort_col)
     out.write.mode("overwrite").option("maxRecordsPerFile", ROWS_PER_FILE).parquet(tmp)
+    tmp_path = jvm.org.apache.hadoop.fs.Path(tmp)
     if not fs.exists(final):
         fs.mkdirs(final.getParent())
-        if not fs.rename(jvm.org.apache.hadoop.fs.Path(tmp), final) and not fs.exists(final):
+        if not fs.rename(tmp_path, final) and not fs.exists(final):
             raise OSError(f"could not move {tmp} to {path}")
+    # Another writer may have won the race: a directory renamed onto an
+    # existing one lands inside it. Remove only our own copy.
+    nested = jvm.org.apache.hadoop.fs.Path(final, tmp_path.getName())
+    if fs.exists(nested):
+        fs.delete(nested, True)
+    if fs.exists(tmp_path):
+        fs.delete(tmp_path, True)
 
 
 class Workspace:

@@ -65,3 +65,15 @@ def test_lazy_join_path_gives_the_same_answers(spark):
             assert sorted(map(tuple, df.collect())) == fact[n], n
     finally:
         spark.conf.unset(MATERIALIZE_CONF)
+
+
+def test_losing_a_fact_write_race_leaves_the_winner_intact(spark, tmp_path):
+    from ledgerlens.plans.workspace import write_table
+
+    path = str(tmp_path / "fact")
+    write_table(spark, spark.range(10).toDF("x"), path)
+    write_table(spark, spark.range(99).toDF("x"), path)  # already there: kept as is
+    assert spark.read.parquet(path).count() == 10
+    import os
+    assert all(not n.startswith("fact.tmp") for n in os.listdir(tmp_path))
+    assert all(".tmp-" not in n for n in os.listdir(path))
