@@ -110,3 +110,27 @@ def test_competitor_tab(tables):
     regions = {r.region: r.products for r in
                CP.assortment_overlap(tables["sales"], tables["competitors"], "RivalA", "RivalB").collect()}
     assert regions["All Three"] == 1 and regions["Ours Only"] == 2 and regions["RivalA Only"] == 1
+
+
+def test_tab_api_returns_every_output(tables, spark):
+    from ledgerlens.plans import tabs
+
+    d = D.enrich_deliveries(tables["deliveries"])
+    preds = spark.createDataFrame([("C1", 0.9), ("C2", 0.1)], "customerid string, churn_probability double")
+    outs = {
+        **{f"sales.{k}": v for k, v in tabs.sales_tab(tables["sales"], tables["sales_funnel"], grain="month").items()},
+        **{f"delivery.{k}": v for k, v in tabs.delivery_tab(d).items()},
+        **{f"customer.{k}": v for k, v in tabs.customer_tab(tables["customers"], tables["sales"]).items()},
+        **{f"marketing.{k}": v for k, v in tabs.marketing_tab(
+            tables["sales"], tables["marketing_campaigns"], tables["marketing_attribution"]).items()},
+        **{f"profit.{k}": v for k, v in tabs.profit_tab(tables["sales"]).items()},
+        **{f"competitor.{k}": v for k, v in tabs.competitor_tab(
+            tables["sales"], tables["competitors"], "RivalA", "RivalB").items()},
+        **{f"predictive.{k}": v for k, v in tabs.predictive_tab(preds).items()},
+    }
+    counts = {k: v.count() for k, v in outs.items()}
+    assert len(counts) == 36
+    assert counts["sales.kpis"] == 1 and counts["sales.funnel"] == 4 and counts["delivery.pipeline"] == 4
+    assert counts["competitor.overlap"] == 7 and counts["predictive.histogram"] == 50
+    k = tabs.sales_tab(tables["sales"], tables["sales_funnel"], "2025-05-01", "2025-05-31", "Store")["kpis"].first()
+    assert (k.row_count, k.total_orders) == (1, 1)
