@@ -3,8 +3,9 @@
 Each query reads the driver tables through ``sources.adapters`` and applies
 one operator (or a small composition) with the default parameters of
 SURVEY §7.4: whole period and ``'All'``. ``ORACLE`` holds the DuckDB
-statement for every query whose result SQL can state; queries that train a
-model or move files have none (row-count check only).
+statement for every query whose result SQL can state, including the batch
+and streaming ingest round-trips; the three that train a model have none
+(row-count check only).
 """
 
 from __future__ import annotations
@@ -14,11 +15,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import unique_dir
-from ..sources import adapters as A
-from ..sources import ingest as ING
-from ..sources import schemas as SCH
-from ..streaming import file_ingest as FI
 from ..functions import exprs as X
 from ..operators import churn as CH
 from ..operators import competitors as CP
@@ -27,6 +23,11 @@ from ..operators import delivery as D
 from ..operators import marketing as M
 from ..operators import profit as P
 from ..operators import sales as S
+from ..session import unique_dir
+from ..sources import adapters as A
+from ..sources import ingest as ING
+from ..sources import schemas as SCH
+from ..streaming import file_ingest as FI
 from . import oracle as O
 from . import workspace as W
 
@@ -70,9 +71,6 @@ def _out(df: DataFrame) -> DataFrame:
 
 # ----------------------------------------------------------------------------- sales
 
-SALES_COLS = ("orderid, \"timestamp\", productid, productname, category, quantity, grossvalue, discountvalue, "
-              "costofgoodssold, customerid, city, locationid, channel, orderstatus, netsale, \"date\", week, \"month\"")
-
 
 @query("sales_enriched", O.with_(O.SALES) + """
 SELECT orderid, "timestamp", productid, productname, category, quantity,
