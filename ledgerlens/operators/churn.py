@@ -74,6 +74,19 @@ def churn_features(sales: DataFrame, customers: DataFrame, snapshot=None) -> Dat
     )
 
 
+def checkpointed(features: DataFrame) -> DataFrame:
+    """Cut the lineage of the feature table before training: a reliable
+    checkpoint in ``spark.checkpoint.dir`` (the shared folder; set up by
+    ``session.shared_dir`` only when the session has none). The fit, the test
+    scoring and the full scoring then read the same files instead of
+    re-running the aggregation, and a lost executor re-reads files rather
+    than recomputing from the fact scan."""
+    from ..session import shared_dir
+
+    shared_dir(features.sparkSession)
+    return features.checkpoint(eager=True)
+
+
 def split_train_test(features: DataFrame, train_share: int = TRAIN_SHARE, seed: int = SEED):
     """Deterministic hash split, applied within each label (stratified in
     expectation). No sort, no per-label window: every row decides alone."""
@@ -152,7 +165,7 @@ def train_and_score(sales: DataFrame, customers: DataFrame, snapshot=None, exclu
     """
     from ..sources.schemas import PREDICTIONS_TABLE
 
-    feats = churn_features(sales, customers, snapshot)
+    feats = checkpointed(churn_features(sales, customers, snapshot))
     train, test = split_train_test(feats)
     model = fit_churn_model(train, exclude_recency)
     if model_path:

@@ -662,7 +662,7 @@ def q_churn_features(spark, sf_dir):
 
 
 def _trained(spark, sf_dir):
-    feats = _features(spark, sf_dir)
+    feats = CH.checkpointed(_features(spark, sf_dir))
     train, test = CH.split_train_test(feats)
     model = CH.fit_churn_model(train)
     return model, feats, test

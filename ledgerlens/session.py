@@ -48,16 +48,16 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def shared_dir(spark: SparkSession, *parts: str) -> str:
     """Return a directory on the cluster's shared checkpoint filesystem.
 
-    Reads ``spark.checkpoint.dir`` (or the context's checkpoint dir). Only if
-    neither is set, a local temporary directory is created and registered as
-    the checkpoint dir, so later ``checkpoint()`` calls land there too.
+    Reads ``spark.checkpoint.dir`` (or the context's checkpoint dir) and makes
+    sure ``DataFrame.checkpoint()`` writes there too. Only if neither is set,
+    a local temporary directory is created and registered (tests, one machine).
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = jdir.get() if jdir.isDefined() else None
+    jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
+    context_dir = jdir.get() if jdir.isDefined() else None
+    base = spark.conf.get("spark.checkpoint.dir", None) or context_dir
     if not base:
         base = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
+    if context_dir is None:
         spark.sparkContext.setCheckpointDir(base)
     path = base.rstrip("/")
     for p in parts:
