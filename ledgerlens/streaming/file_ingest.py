@@ -185,8 +185,11 @@ def start_file_ingest(spark: SparkSession, incoming_dir: str, store: I.TableStor
     """Start the ingest stream; returns the ``StreamingQuery``.
 
     ``available_now=True`` processes what is there and stops (batch-style
-    runs, tests); otherwise it polls every ``interval``. The checkpoint
-    defaults to a fresh directory under the shared checkpoint location.
+    runs, tests); otherwise it polls every ``interval``. Pass a stable
+    ``checkpoint`` path in the shared folder for a long-running ingest, so a
+    restart resumes where it stopped. Without one, a fresh directory is used,
+    and everything still in ``incoming_dir`` is offered again (appended files
+    are already archived, so only previously rejected ones reappear).
     """
     checkpoint = checkpoint or unique_dir(spark, "ingest-checkpoint")
 
