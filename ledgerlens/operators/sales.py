@@ -104,8 +104,9 @@ def sales_funnel(sales: DataFrame, funnel: DataFrame) -> DataFrame:
     """Visits, Carts, Orders (whole funnel table, unfiltered) and Fulfilled
     (distinct Completed orders of ``sales``), each with its % of the first stage.
 
-    No funnel rows -> no result. ``Fulfilled`` is a scalar subquery, so the
-    two one-row aggregates meet without a join.
+    No funnel rows, or no sales rows left by the filter (the dashboard then
+    shows "No Data" everywhere) -> no result. ``Fulfilled`` is a scalar
+    subquery, so the two one-row aggregates meet without a join.
     """
     fulfilled = (sales.where(F.col("orderstatus") == "Completed")
                  .agg(F.count_distinct("orderid").cast("bigint")).scalar())
@@ -114,7 +115,7 @@ def sales_funnel(sales: DataFrame, funnel: DataFrame) -> DataFrame:
         F.coalesce(F.sum("visits"), F.lit(0)).cast("bigint").alias("visits"),
         F.coalesce(F.sum("carts"), F.lit(0)).cast("bigint").alias("carts"),
         F.coalesce(F.sum("orders"), F.lit(0)).cast("bigint").alias("orders"),
-    ).where(F.col("weeks") > 0)
+    ).where((F.col("weeks") > 0) & sales.select(F.lit(1)).exists())
     stages = F.array(
         F.struct(F.lit(1).alias("stage_order"), F.lit("Visits").alias("stage"), F.col("visits").alias("value")),
         F.struct(F.lit(2).alias("stage_order"), F.lit("Carts").alias("stage"), F.col("carts").alias("value")),

@@ -78,6 +78,7 @@ def test_funnel_uses_whole_funnel_and_filtered_fulfilled(spark):
                    (4, "Fulfilled", 2, 1.0)]
     empty = funnel.where(F.lit(False))
     assert S.sales_funnel(s, empty).count() == 0
+    assert S.sales_funnel(S.filter_sales(s, "2030-01-01", "2030-01-31"), funnel).count() == 0
 
 
 def test_breakdowns_equal_separate_and_sum_to_total(spark):
