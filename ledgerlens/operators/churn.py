@@ -179,13 +179,14 @@ def train_and_score(sales: DataFrame, customers: DataFrame, snapshot=None, exclu
 
 def risk_bands(predictions: DataFrame) -> DataFrame:
     """High (> 0.7), Medium (0.4, 0.7], Low (<= 0.4); null is in no band;
-    every band listed, 0 when empty."""
+    every band listed, 0 when empty; an empty score table -> no rows."""
     p = F.col("churn_probability")
     agg = predictions.agg(
+        F.count(F.lit(1)).alias("_rows"),
         F.count_if(p > HIGH_RISK).cast("bigint").alias("_h"),
         F.count_if((p > MEDIUM_RISK) & (p <= HIGH_RISK)).cast("bigint").alias("_m"),
         F.count_if(p <= MEDIUM_RISK).cast("bigint").alias("_l"),
-    )
+    ).where(F.col("_rows") > 0)
     bands = F.array(
         F.struct(F.lit(1).alias("position"), F.lit("High").alias("band"), F.col("_h").alias("customers")),
         F.struct(F.lit(2).alias("position"), F.lit("Medium").alias("band"), F.col("_m").alias("customers")),
@@ -196,7 +197,7 @@ def risk_bands(predictions: DataFrame) -> DataFrame:
 
 def risk_histogram(predictions: DataFrame, bins: int = HIST_BINS) -> DataFrame:
     """Fixed-width histogram of probabilities on [0, 1]; 1.0 falls in the
-    last bin; every bin listed, 0 when empty.
+    last bin; every bin listed, 0 when empty; no scores -> no rows.
 
     One ``groupBy(bin).count()`` (partial aggregation, at most ``bins``
     groups); the <= ``bins`` counts are then folded into one map and expanded
@@ -206,7 +207,9 @@ def risk_histogram(predictions: DataFrame, bins: int = HIST_BINS) -> DataFrame:
     p = F.col("churn_probability")
     b = F.least(F.greatest(F.floor(p * F.lit(float(bins))), F.lit(0)), F.lit(bins - 1)).cast("int")
     counts = predictions.where(p.isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    table = counts.agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("m"))
+    table = (counts.agg(F.count(F.lit(1)).alias("_bins"),
+                        F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("m"))
+             .where(F.col("_bins") > 0))
     cells = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.struct(
         i.alias("bin"),
         (i.cast("double") / F.lit(float(bins))).alias("bin_start"),

@@ -66,9 +66,11 @@ def delivery_kpis(deliveries: DataFrame) -> DataFrame:
 
 def delivery_pipeline(deliveries: DataFrame, statuses=PIPELINE_STATUSES) -> DataFrame:
     """One row per listed status, in list order, 0 when absent; other
-    statuses are not shown. One aggregate row, unpivoted - no join."""
-    agg = deliveries.agg(*[F.count_if(F.col("status") == s).cast("bigint").alias(f"_n{i}")
-                           for i, s in enumerate(statuses)])
+    statuses are not shown; no deliveries at all -> no rows (no chart).
+    One aggregate row, unpivoted - no join."""
+    agg = deliveries.agg(F.count(F.lit(1)).alias("_rows"),
+                         *[F.count_if(F.col("status") == s).cast("bigint").alias(f"_n{i}")
+                           for i, s in enumerate(statuses)]).where(F.col("_rows") > 0)
     rows = F.array(*[F.struct(F.lit(i + 1).alias("position"), F.lit(s).alias("status"),
                               F.col(f"_n{i}").alias("orders")) for i, s in enumerate(statuses)])
     return agg.select(F.inline(rows))

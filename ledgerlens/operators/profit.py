@@ -45,8 +45,10 @@ def profit_kpis(lines: DataFrame) -> DataFrame:
         (F.coalesce(F.sum(F.when(ret, F.col("total_cost"))), _zero())
          + F.coalesce(F.sum(F.when(ret, F.col("netsale"))), _zero())).alias("_lost"),
     )
-    return agg.select("row_count", F.col("_np").cast("double").alias("total_net_profit"),
-                      "avg_profit_margin", F.col("_lost").cast("double").alias("profit_lost_to_returns"))
+    some = F.col("row_count") > 0  # F8: no lines -> null measures
+    return agg.select("row_count", F.when(some, F.col("_np").cast("double")).alias("total_net_profit"),
+                      "avg_profit_margin",
+                      F.when(some, F.col("_lost").cast("double")).alias("profit_lost_to_returns"))
 
 
 def profit_by(lines: DataFrame, key: str) -> DataFrame:

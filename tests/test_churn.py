@@ -57,3 +57,8 @@ def test_train_and_evaluate_on_driver_tables(spark, tmp_path):
     assert len(conf) == 4 and sum(r["count"] for r in conf) == test.count()
     probs = [r.churn_probability for r in scores.collect()]
     assert all(0.0 <= p <= 1.0 for p in probs)
+
+
+def test_empty_score_table_gives_no_rows(spark):
+    p = spark.createDataFrame([], PRED)
+    assert CH.risk_bands(p).count() == 0 and CH.risk_histogram(p).count() == 0

@@ -65,3 +65,11 @@ def test_pipeline_counts_bounded_by_rows_on_driver_tables(spark):
     assert sum(pipeline.values()) == df.where(df.status.isin(*D.PIPELINE_STATUSES)).count()
     by_city = D.delivery_time_by_city(df).collect()
     assert len(by_city) == df.select("city").distinct().count()
+
+
+def test_no_deliveries_no_pipeline_rows(spark):
+    a = dt.date(2025, 1, 1)
+    df = _frame(spark, [d(1, a, a, a)])
+    assert D.delivery_pipeline(D.filter_deliveries(df, "2030-01-01", "2030-01-02")).count() == 0
+    k = D.delivery_kpis(D.filter_deliveries(df, "2030-01-01", "2030-01-02")).first()
+    assert k.row_count == 0 and k.on_time_rate is None

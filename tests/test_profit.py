@@ -48,3 +48,8 @@ def test_margin_lists_tie_and_skip_null(spark):
     assert top[:6] == ["p0", "p10", "p2", "p4", "p6", "p8"] and "nullmargin" not in top
     low = [r.productname for r in P.low_margin_products(df).collect()]
     assert low[:6] == ["p1", "p11", "p3", "p5", "p7", "p9"]
+
+
+def test_empty_lines_null_measures(spark):
+    k = P.profit_kpis(_lines(spark, [])).first()
+    assert k.row_count == 0 and k.total_net_profit is None and k.profit_lost_to_returns is None
