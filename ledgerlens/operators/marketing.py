@@ -64,20 +64,23 @@ def campaign_performance(sales: DataFrame, campaigns: DataFrame, attribution: Da
 
 
 def marketing_totals(perf: DataFrame) -> DataFrame:
-    """Spend, revenue, overall ROAS (ratio of sums), conversions, CPA."""
+    """Spend, revenue, overall ROAS (ratio of sums), conversions, CPA.
+    No campaign rows (an input was empty) -> one row of nulls (F8)."""
     agg = perf.agg(
+        F.count(F.lit(1)).alias("_rows"),
         F.coalesce(F.sum("totalcost"), F.lit(0).cast("decimal(38,2)")).alias("spend"),
         F.coalesce(F.sum("netsale"), F.lit(0).cast("decimal(38,4)")).alias("revenue"),
         F.coalesce(F.sum("conversions"), F.lit(0)).cast("bigint").alias("total_conversions"),
     )
     spend = F.col("spend").cast("double")
     revenue = F.col("revenue").cast("double")
+    some = F.col("_rows") > 0
     return agg.select(
-        spend.alias("total_spend"),
-        revenue.alias("total_revenue"),
-        guarded_ratio(revenue, spend, zero_test=spend <= 0).alias("overall_roas"),
-        "total_conversions",
-        guarded_ratio(spend, F.col("total_conversions"), zero_test=F.col("total_conversions") <= 0)
+        F.when(some, spend).alias("total_spend"),
+        F.when(some, revenue).alias("total_revenue"),
+        F.when(some, guarded_ratio(revenue, spend, zero_test=spend <= 0)).alias("overall_roas"),
+        F.when(some, F.col("total_conversions")).alias("total_conversions"),
+        F.when(some, guarded_ratio(spend, F.col("total_conversions"), zero_test=F.col("total_conversions") <= 0))
         .alias("avg_cpa"),
     )
 

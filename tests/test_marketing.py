@@ -42,7 +42,10 @@ def test_totals_ratio_of_sums_and_channel(spark):
 def test_empty_attribution_gives_empty(spark):
     sales = spark.createDataFrame([("o1", Decimal(50))], SALES)
     att = spark.createDataFrame([], ATT)
-    assert M.campaign_performance(sales, _camps(spark), att).count() == 0
+    perf = M.campaign_performance(sales, _camps(spark), att)
+    assert perf.count() == 0
+    t = M.marketing_totals(perf).first()
+    assert t.total_spend is None and t.total_conversions is None and t.avg_cpa is None
 
 
 def test_many_to_many_match_equals_pairwise_sum(spark):
