@@ -16,7 +16,9 @@ Each micro-batch:
 
 ``foreachBatch`` is at-least-once: before appending, the batch id and file
 names already present in the target are looked up and skipped, so a replayed
-batch does not duplicate rows. A file dropped again under an already-seen
+batch does not duplicate rows. (A table first built by the batch rebuild has
+no bookkeeping columns; appends to it keep its schema and have no replay
+guard, like the reference.) A file dropped again under an already-seen
 name is not picked up again by the file source (it is tracked in the
 checkpoint) - a deliberate difference from a directory poller.
 """
@@ -121,21 +123,24 @@ def process_batch(store: I.TableStore, archive_dir: str, paths: list[str], batch
         spec = SC.REGISTRY[table]
         try:
             df = I.load_file(spark, files, spec, strict)
-            cols, types = I.target_layout(store, spec)
-            cols = [c for c in cols if c not in ("_source_file", "_batch_id")]
+            all_cols, types = I.target_layout(store, spec)
+            # bookkeeping columns only where the table has them (or is new):
+            # a table built by the batch rebuild keeps one file schema
+            bookkeeping = "_batch_id" in all_cols or not store.exists(table)
+            cols = [c for c in all_cols if c not in ("_source_file", "_batch_id")]
             problem = I.schema_problem(df.columns, cols)
             if problem:
                 rejects.extend((f, problem, batch_id) for f in files)
                 continue
-            done = _already_written(store, table, batch_id, files)
+            done = _already_written(store, table, batch_id, files) if bookkeeping else set()
             todo = [f for f in files if _basename(f) not in done]
             if todo:
-                src = F.input_file_name()
-                out = (I.align_to(df, cols, types)
-                       .withColumn("_source_file", src)
-                       .withColumn("_batch_id", F.lit(batch_id).cast("bigint")))
-                if done:
-                    out = out.where(~_base(F.col("_source_file")).isin(list(done)))
+                out = I.align_to(df, cols, types)
+                if bookkeeping:
+                    out = (out.withColumn("_source_file", F.input_file_name())
+                           .withColumn("_batch_id", F.lit(batch_id).cast("bigint")))
+                    if done:
+                        out = out.where(~_base(F.col("_source_file")).isin(list(done)))
                 store.write(out, table, "append")
             appended.extend(files)
         except Exception as e:  # noqa: BLE001 - a bad group must not stop the others

@@ -61,3 +61,19 @@ def test_polling_trigger_picks_up_new_files(spark, tmp_path):
         q.stop()
     assert sorted(r.orderid for r in store.read("sales").collect()) == ["P1", "P2"]
     assert sorted(os.listdir(tmp_path / "archive")) == ["sales_a.csv", "sales_b.csv"]
+
+
+def test_stream_into_a_rebuilt_table_keeps_its_schema(spark, tmp_path):
+    src = tmp_path / "masters"
+    src.mkdir()
+    (src / "sales_data.csv").write_text(HEADER + "M1,2025-01-01 10:00:00,P1,1,10,1,4,C1,web\n")
+    store = I.TableStore(spark, str(tmp_path / "tables"))
+    I.bootstrap(store, str(src))
+    before = store.read("sales").columns
+    inc = tmp_path / "in"
+    inc.mkdir()
+    (inc / "sales_new.csv").write_text(HEADER + "M2,2025-01-02 10:00:00,P2,2,20,0,8,app\n")
+    FI.run_once(spark, str(inc), store, str(tmp_path / "arch"), str(tmp_path / "ck"))
+    after = store.read("sales")
+    assert after.columns == before
+    assert sorted(r.orderid for r in after.collect()) == ["M1", "M2"]
