@@ -9,9 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SECONDS_PER_DAY = 86400
-
-
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -19,11 +16,17 @@ def _c(x) -> Column:
 def whole_days(start, end) -> Column:
     """Whole days from ``start`` to ``end``, floored (-0.75 d -> -1).
 
-    ``timestamp_diff(DAY, ..)`` truncates toward zero and ``datediff`` ignores
-    the time of day, so neither matches a floored day count.
+    Calendar-day difference, minus one when the end's time of day is earlier
+    than the start's. This needs no time zone, so a daylight-saving change in
+    the session zone cannot shift the count (a difference in seconds would).
+    ``timestamp_diff(DAY, ..)`` truncates toward zero and ``datediff`` alone
+    ignores the time of day, so neither matches a floored day count.
     """
-    secs = F.timestamp_diff("SECOND", _c(start), _c(end))
-    return F.floor(secs / F.lit(SECONDS_PER_DAY)).cast("bigint")
+    s, e = _c(start), _c(end)
+    days = F.datediff(F.to_date(e), F.to_date(s))
+    time_of_day = "HH:mm:ss.SSSSSS"
+    earlier = F.date_format(e, time_of_day) < F.date_format(s, time_of_day)
+    return (days - F.when(earlier, F.lit(1)).otherwise(F.lit(0))).cast("bigint")
 
 
 def week_label(ts) -> Column:

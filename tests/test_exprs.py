@@ -43,3 +43,16 @@ def test_kpi_text_formats(spark):
     assert tuple(r) == ("1,234,567.89 SAR", "12.35%", "2.50x", "3.00 Days")
     assert df.select(X.format_kpi(F.lit(None).cast("double"), "amount")).first()[0] == "-"
     assert df.select(X.format_kpi(F.lit(1234.125), "percent")).first()[0] == "1234.12%"
+
+
+def test_whole_days_ignores_session_time_zone(spark):
+    df = spark.createDataFrame([(dt.datetime(1995, 3, 30), dt.datetime(1995, 4, 6)),
+                                (dt.datetime(1995, 3, 30, 18), dt.datetime(1995, 4, 6, 6))],
+                               "a timestamp_ntz, b timestamp_ntz")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")  # daylight time began 1995-04-02
+    try:
+        got = [r[0] for r in df.select(X.whole_days("a", "b")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert got == [7, 6]
