@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import public_tokenizers
+
+from . import cdc, decontaminate, line_runs, packing, quality_rules, rans
 from . import common as C
-from . import line_runs, quality_rules
+from . import tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -23,6 +26,22 @@ def query(sql: str | None = None):
     return register
 
 
+def _byte_bpe() -> tokens.WordIds:
+    return tokens.byte_level(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def _word_bpe() -> tokens.WordIds:
+    return tokens.word_level(public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query()
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.token_pieces(C.table(spark, sf_dir, "documents"), _byte_bpe)
+    # the digests are taken before the join, so the ids themselves stay where they are
+    digests = pieces.select("piece", "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+    return packing.sequences(digests, packing.place(pieces)).drop("piece")
+
+
 #: Strips white space at both ends and lower-cases A-Z of a DuckDB column ``line``.
 _SQL_KEY = """translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"""
@@ -74,3 +93,44 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_re
   NOT base_failed AND n_words - n_removed_words >= CAST({quality_rules.MIN_LEFT} AS DOUBLE) * n_words AS kept FROM judged""")
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(C.table(spark, sf_dir, "documents")).drop("_host", "_digest")
+
+
+_SQL_ITEM_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query(f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_SQL_ITEM_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_SQL_ITEM_WORDS} AS w FROM benchmark),
+sizes AS (SELECT DISTINCT least(10, len(w)) AS n FROM b WHERE len(w) > 0),
+iw AS (SELECT DISTINCT item_id, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g FROM
+  (SELECT item_id, w, least(10, len(w)) AS n, unnest(generate_series(1, len(w) - least(10, len(w)) + 1)) AS i FROM b WHERE len(w) > 0)),
+dw AS (SELECT r, i, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g FROM
+  (SELECT r, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d, sizes WHERE len(w) >= n)),
+h AS (SELECT r, i, n, item_id FROM dw JOIN iw USING (n, g)),
+hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(generate_series(i, i + n - 1)) AS p FROM h) GROUP BY r),
+its AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY r)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)""")
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontaminate.hits(docs, C.table(spark, sf_dir, "benchmark"))
+    n_hit = decontaminate.n_hit("_spans")
+    return out.select("doc_id", F.col("_n_words").alias("n_words"), n_hit.alias("n_hit"),
+                      F.size("_items").cast("bigint").alias("n_items"),
+                      F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+@query()
+def op9_rans_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = rans.scratch(spark)
+    rans.write_ids(C.table(spark, sf_dir, "documents"), _word_bpe, 2, path)
+    digests = rans.read_ids(spark, path).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return rans.with_starts(C.saved(digests, "decoded-ids")).drop("part", "segment")
+
+
+@query()
+def op10_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = cdc.dedup_chunks(C.table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_chunks_removed"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
