@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import cdc, decontaminate, line_runs, packing, quality_rules, rans
+from . import cdc, decontaminate, legacy_archive, line_runs, packing, quality_rules, rans
 from . import common as C
 from . import tokens
 
@@ -95,6 +95,21 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(C.table(spark, sf_dir, "documents")).drop("_host", "_digest")
 
 
+@query("""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN first_id END AS refers_to FROM f""")
+def op5_legacy_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arc, warc = legacy_archive.scratch(spark, "arc"), legacy_archive.scratch(spark, "warc")
+    legacy_archive.write_arc(C.table(spark, sf_dir, "pages"), arc)
+    legacy_archive.convert(spark, arc, warc)
+    records = C.saved(legacy_archive.read_warc(spark, warc).drop("block"), "warc-records")
+    return legacy_archive.with_targets(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 _SQL_ITEM_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
