@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import cdc, decontaminate, legacy_archive, line_runs, packing, quality_rules, rans
+from . import cdc, chosen_path, decontaminate, legacy_archive, line_runs, packing, quality_rules, rans
 from . import common as C
 from . import tokens
 
@@ -95,6 +95,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(C.table(spark, sf_dir, "documents")).drop("_host", "_digest")
 
 
+@query()
+def op3_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.classes(C.table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha256(html) AS payload_digest FROM p),
