@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import cdc, chosen_path, decontaminate, legacy_archive, line_runs, packing, quality_rules, rans
+from . import cdc, chosen_path, decontaminate, legacy_archive, line_runs, packing, prefix_free, quality_rules, rans
 from . import common as C
 from . import tokens
 
@@ -141,6 +141,14 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+@query()
+def op8_prefix_free(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = prefix_free.dedup_substrings(C.table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda s, x: s + x["last"] - x["first"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query()
 def op9_rans_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = rans.scratch(spark)
