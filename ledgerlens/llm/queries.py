@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import cdc, chosen_path, decontaminate, legacy_archive, line_runs, packing, prefix_free, quality_rules, rans
+from . import block_lstm, cdc, chosen_path, decontaminate, legacy_archive, line_runs, packing, prefix_free, quality_rules, rans
 from . import common as C
 from . import tokens
 
@@ -34,6 +34,12 @@ def _word_bpe() -> tokens.WordIds:
     return tokens.word_level(public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query()
+def op1_block_lstm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = block_lstm.extract(C.table(spark, sf_dir, "pages"))
+    return out.withColumn("n_chars", F.char_length("text").cast("bigint"))
+
+
 @query()
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(C.table(spark, sf_dir, "documents"), _byte_bpe)
