@@ -16,17 +16,13 @@ def _c(x) -> Column:
 def whole_days(start, end) -> Column:
     """Whole days from ``start`` to ``end``, floored (-0.75 d -> -1).
 
-    Calendar-day difference, minus one when the end's time of day is earlier
-    than the start's. This needs no time zone, so a daylight-saving change in
-    the session zone cannot shift the count (a difference in seconds would).
-    ``timestamp_diff(DAY, ..)`` truncates toward zero and ``datediff`` alone
-    ignores the time of day, so neither matches a floored day count.
+    The difference of two zone-less timestamps is a day-time interval of
+    exactly that many microseconds, so neither the session zone nor a
+    daylight-saving change can shift the count.
     """
-    s, e = _c(start), _c(end)
-    days = F.datediff(F.to_date(e), F.to_date(s))
-    time_of_day = "HH:mm:ss.SSSSSS"
-    earlier = F.date_format(e, time_of_day) < F.date_format(s, time_of_day)
-    return (days - F.when(earlier, F.lit(1)).otherwise(F.lit(0))).cast("bigint")
+    elapsed = _c(end).cast("timestamp_ntz") - _c(start).cast("timestamp_ntz")
+    # interval -> DECIMAL seconds with all six digits, so the floor is exact
+    return F.floor(elapsed.cast("interval second").cast("decimal(20,6)") / F.lit(86400)).cast("bigint")
 
 
 def week_label(ts) -> Column:

@@ -45,10 +45,10 @@ def promo_rate(competitors: DataFrame) -> DataFrame:
 
 
 def promo_by_competitor(competitors: DataFrame) -> DataFrame:
-    """M4: promotion share per competitor, in %."""
+    """M4: promotion share per competitor, in %; null if none of its rows says."""
     return (competitors.where(F.col("competitor").isNotNull()).groupBy("competitor")
-            .agg((F.count_if(F.col("onpromotion")).cast("double")
-                  / F.count("onpromotion").cast("double") * F.lit(100.0)).alias("promo_rate")))
+            .agg(guarded_ratio(F.count_if(F.col("onpromotion")), F.count("onpromotion"), 100.0, when_zero=None)
+                 .alias("promo_rate")))
 
 
 def assortment_overlap(our_sales: DataFrame, competitors: DataFrame, rival_a: str, rival_b: str) -> DataFrame:

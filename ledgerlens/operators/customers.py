@@ -73,13 +73,20 @@ def status_rule(join_days: Column, recency: Column) -> Column:
 
 def customer_status(customers: DataFrame, sales: DataFrame, as_of=None) -> DataFrame:
     """A18 = A16 + customers LEFT JOIN rfm + A17. Empty customers or empty
-    sales -> empty result (an uncorrelated EXISTS, planned as a scalar)."""
+    sales -> empty result (an uncorrelated EXISTS, planned as a scalar).
+
+    With ``as_of`` the view is as of that instant: later sales and customers
+    who joined later do not exist yet."""
     now = as_of_column(sales, as_of)
+    if as_of is not None:
+        sales = sales.where(F.col("timestamp") <= now)
     r = rfm(sales, as_of)
     joindate = F.col("joindate")
     if dict(customers.dtypes).get("joindate") == "string":
         joindate = F.to_timestamp_ntz(joindate)
     c = customers.withColumn("joindate", joindate)
+    if as_of is not None:
+        c = c.where(F.col("joindate").isNull() | (F.col("joindate") <= now))
     out = c.join(r, "customerid", "left").where(sales.select(F.lit(1)).exists())
     return out.withColumn("status", status_rule(whole_days(F.col("joindate"), now), F.col("recency")))
 

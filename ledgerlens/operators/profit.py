@@ -76,7 +76,8 @@ def low_margin_products(lines: DataFrame, n: int = 10) -> DataFrame:
 
 
 def recommendations(lines: DataFrame) -> DataFrame:
-    """The rules that fire, in rule order; ``rule`` 0 when none does.
+    """The rules that fire, in rule order; ``rule`` 0 when none does. No
+    lines -> no rows (the dashboard says that there is not enough data).
 
     (1) total profit > 0 and returns loss > 10 % of it; (2) the first loss-
     making channel in *key order* (not the worst one); (3) the product with
@@ -85,10 +86,11 @@ def recommendations(lines: DataFrame) -> DataFrame:
     """
     ret = F.col("orderstatus") == "Returned"
     totals = lines.agg(
+        F.count(F.lit(1)).alias("_rows"),
         F.sum("net_profit").alias("_np"),
         (F.coalesce(F.sum(F.when(ret, F.col("total_cost"))), _zero())
          + F.coalesce(F.sum(F.when(ret, F.col("netsale"))), _zero())).alias("_lost"),
-    )
+    ).where(F.col("_rows") > 0)
     channel = profit_by(lines, "channel").where(F.col("net_profit") < 0).agg(F.min("channel")).scalar()
     product = top_margin_products(lines, 1).select("productname").scalar()
     r1 = (F.col("_np").isNotNull() & (F.col("_np") > 0)

@@ -44,14 +44,16 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
-def _sales(spark, sf_dir, with_part=True, with_city=True, brand=None):
+def _sales(spark, sf_dir, with_part=True, with_city=True, start=None, end=None):
     """Enriched sales from the materialised fact table (joins run once per
     input, see ``plans.workspace``). With materialisation switched off, the
-    joins run lazily and only the dimensions the query reads are joined."""
+    joins run lazily and only the dimensions the query reads are joined.
+    ``start`` / ``end`` are the dates that the caller filters on anyway: only
+    the months they touch are listed and read."""
     if W.materialize_enabled(spark):
-        return W.sales_fact(spark, sf_dir, brand)
+        return W.sales_fact(spark, sf_dir, start, end)
     t = A.DriverTables(spark, sf_dir)
-    return S.enrich_sales(A.sales(t, with_part=with_part, with_city=with_city, brand=brand))
+    return S.enrich_sales(A.sales(t, with_part=with_part, with_city=with_city))
 
 
 def _out(df: DataFrame) -> DataFrame:
@@ -109,7 +111,7 @@ def q_sales_kpis(spark, sf_dir):
 @query("sales_kpis_channel", O.with_(O.SALES) + _KPI_SQL.replace(
     "{where}", "\"date\" BETWEEN DATE '1997-01-01' AND DATE '1997-12-31' AND channel = '1-URGENT'"))
 def q_sales_kpis_channel(spark, sf_dir):
-    s = _sales(spark, sf_dir, with_city=False)
+    s = _sales(spark, sf_dir, with_city=False, start="1997-01-01", end="1997-12-31")
     return S.sales_kpis(S.filter_sales(s, "1997-01-01", "1997-12-31", "1-URGENT"))
 
 
@@ -227,9 +229,9 @@ def q_sales_date_bounds(spark, sf_dir):
 
 # ----------------------------------------------------------------------------- delivery
 
-def _deliveries(spark, sf_dir):
+def _deliveries(spark, sf_dir, start=None, end=None):
     if W.materialize_enabled(spark):
-        return W.deliveries_fact(spark, sf_dir)
+        return W.deliveries_fact(spark, sf_dir, start, end)
     return D.enrich_deliveries(A.deliveries(A.DriverTables(spark, sf_dir)))
 
 
@@ -264,7 +266,8 @@ def q_delivery_kpis(spark, sf_dir):
 @query("delivery_kpis_partner", _DKPI_SQL.replace(
     "{where}", "\"date\" BETWEEN DATE '1997-01-01' AND DATE '1997-12-31' AND deliverypartner = 'EUROPE'"))
 def q_delivery_kpis_partner(spark, sf_dir):
-    return D.delivery_kpis(D.filter_deliveries(_deliveries(spark, sf_dir), "1997-01-01", "1997-12-31", "EUROPE"))
+    return D.delivery_kpis(D.filter_deliveries(
+        _deliveries(spark, sf_dir, "1997-01-01", "1997-12-31"), "1997-01-01", "1997-12-31", "EUROPE"))
 
 
 @query("delivery_pipeline", O.with_(O.DELIVERIES) + "\n UNION ALL \n".join(
@@ -349,12 +352,11 @@ def q_customer_status(spark, sf_dir):
 
 
 @query("customer_status_early", _status_sql(
-    f"\"date\" < DATE '{EARLY_AS_OF}'", EARLY_AS_OF, f"c.joindate <= TIMESTAMP '{EARLY_AS_OF} 00:00:00'")
+    f"\"timestamp\" <= TIMESTAMP '{EARLY_AS_OF} 00:00:00'", EARLY_AS_OF, f"(c.joindate IS NULL OR c.joindate <= TIMESTAMP '{EARLY_AS_OF} 00:00:00')")
     + "SELECT * FROM status")
 def q_customer_status_early(spark, sf_dir):
-    sales = S.filter_sales(_sales(spark, sf_dir, with_part=False, with_city=False), end="1995-06-30")
-    cust = _customers(spark, sf_dir).where(F.col("joindate") <= F.to_timestamp_ntz(F.lit(EARLY_AS_OF)))
-    return C.customer_status(cust, sales, as_of=EARLY_AS_OF)
+    sales = _sales(spark, sf_dir, with_part=False, with_city=False, end=EARLY_AS_OF)
+    return C.customer_status(_customers(spark, sf_dir), sales, as_of=EARLY_AS_OF)
 
 
 @query("customer_status_counts", _status_sql() + """
@@ -561,7 +563,7 @@ def q_recommendations(spark, sf_dir):
 # ----------------------------------------------------------------------------- competitors
 
 def _ours(spark, sf_dir):
-    return _sales(spark, sf_dir, with_city=False, brand=A.OUR_BRAND)
+    return _sales(spark, sf_dir, with_city=False)
 
 
 def _competitors(spark, sf_dir):
@@ -570,7 +572,7 @@ def _competitors(spark, sf_dir):
 
 _PRICE = O.with_(O.SALES, O.COMPETITORS) + f"""
 , ours AS (SELECT productname, CAST(SUM(grossvalue) AS DOUBLE) / CAST(NULLIF(SUM(quantity), 0) AS DOUBLE) AS our_price
-           FROM sales_e WHERE brand = '{A.OUR_BRAND}' AND productname IS NOT NULL GROUP BY productname),
+           FROM sales_e WHERE productname IS NOT NULL GROUP BY productname),
 theirs AS (SELECT productname, CAST(SUM(price) AS DOUBLE) / CAST(NULLIF(COUNT(price), 0) AS DOUBLE)
              AS avg_competitor_price
            FROM competitors WHERE productname IS NOT NULL GROUP BY productname),
@@ -611,7 +613,7 @@ def q_promo_by_competitor(spark, sf_dir):
 
 def _overlap_sql(a: str, b: str) -> str:
     return O.with_(O.SALES, O.COMPETITORS) + f"""
-, o AS (SELECT DISTINCT productname FROM sales_e WHERE brand = '{A.OUR_BRAND}' AND productname IS NOT NULL),
+, o AS (SELECT DISTINCT productname FROM sales_e WHERE productname IS NOT NULL),
 ra AS (SELECT DISTINCT productname FROM competitors WHERE competitor = '{a}' AND productname IS NOT NULL),
 rb AS (SELECT DISTINCT productname FROM competitors WHERE competitor = '{b}' AND productname IS NOT NULL),
 u AS (SELECT productname FROM o UNION SELECT productname FROM ra UNION SELECT productname FROM rb),
@@ -768,7 +770,7 @@ def q_stream_ingest(spark, sf_dir):
     staging = f"{root}/staging"
     incoming = f"{root}/incoming"
     sales = A.sales(A.DriverTables(spark, sf_dir))
-    ING.write_csv(ING.rename_headers(sales, SCH.REGISTRY["sales"]).repartition(4), staging)
+    ING.write_csv(ING.rename_headers(sales, SCH.REGISTRY["sales"]), staging)
     FI.publish_parts(spark, staging, incoming, "sales_part")
     store = ING.TableStore(spark, f"{root}/tables")
     FI.run_once(spark, incoming, store, f"{root}/archive")

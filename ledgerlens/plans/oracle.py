@@ -31,13 +31,12 @@ sales AS (
          n.n_name AS city,
          l.l_suppkey AS locationid,
          o.o_orderpriority AS channel,
-         CASE WHEN l.l_returnflag = 'R' THEN 'Returned' ELSE 'Completed' END AS orderstatus,
-         p.p_brand AS brand
+         CASE WHEN l.l_returnflag = 'R' THEN 'Returned' ELSE 'Completed' END AS orderstatus
   FROM lineitem l
-  JOIN part p ON l.l_partkey = p.p_partkey
-  JOIN orders o ON l.l_orderkey = o.o_orderkey
-  JOIN customer c ON o.o_custkey = c.c_custkey
-  JOIN nation n ON c.c_nationkey = n.n_nationkey
+  LEFT JOIN part p ON l.l_partkey = p.p_partkey
+  LEFT JOIN orders o ON l.l_orderkey = o.o_orderkey
+  LEFT JOIN customer c ON o.o_custkey = c.c_custkey
+  LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
 ),
 sales_e AS (
   SELECT *,
@@ -51,7 +50,7 @@ sales_e AS (
 
 DELIVERIES = """
 deliveries AS (
-  SELECT CAST(l.l_orderkey AS VARCHAR) || '-' || CAST(l.l_linenumber AS VARCHAR) AS deliveryid,
+  SELECT concat_ws('-', CAST(l.l_orderkey AS VARCHAR), CAST(l.l_linenumber AS VARCHAR)) AS deliveryid,
          l.l_orderkey AS orderid,
          CAST(o.o_orderdate AS DATE) AS orderdate,
          CAST(o.o_orderdate AS DATE) + 5 AS promiseddate,
@@ -67,10 +66,10 @@ deliveries AS (
          CAST(CAST(1500 + (l.l_suppkey * 7 + l.l_linenumber) % 1000 AS DECIMAL(12,0)) / 100 AS DECIMAL(10,2))
            AS deliverycost
   FROM lineitem l
-  JOIN supplier s ON l.l_suppkey = s.s_suppkey
-  JOIN nation n ON s.s_nationkey = n.n_nationkey
-  JOIN region r ON n.n_regionkey = r.r_regionkey
-  JOIN orders o ON l.l_orderkey = o.o_orderkey
+  LEFT JOIN supplier s ON l.l_suppkey = s.s_suppkey
+  LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey
+  LEFT JOIN region r ON n.n_regionkey = r.r_regionkey
+  LEFT JOIN orders o ON l.l_orderkey = o.o_orderkey
 ),
 deliveries_e AS (
   SELECT *,
@@ -87,7 +86,7 @@ customers AS (
          n.n_name AS city,
          CASE c.c_mktsegment WHEN 'AUTOMOBILE' THEN 'Gold' WHEN 'BUILDING' THEN 'Silver' ELSE 'Bronze' END
            AS segment
-  FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey
+  FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
 )"""
 
 FUNNEL = """
@@ -106,17 +105,17 @@ campaigns AS (
          CAST(n.n_nationkey * 10000 AS DECIMAL(18,2)) AS totalcost,
          CAST((n.n_nationkey + 1) * 100000 AS BIGINT) AS impressions,
          CAST((n.n_nationkey + 1) * 2500 AS BIGINT) AS clicks
-  FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey
+  FROM nation n LEFT JOIN region r ON n.n_regionkey = r.r_regionkey
 ),
 attribution AS (
-  SELECT o_orderkey AS orderid, o_orderkey % 20 AS campaignid FROM orders WHERE o_orderkey % 10 < 7
+  SELECT o_orderkey AS orderid, o_orderkey % 20 AS campaignid FROM orders
 )"""
 
 COMPETITORS = """
 competitors AS (
   SELECT p_brand AS competitor, p_partkey AS productid, p_name AS productname,
          CAST(p_retailprice AS DECIMAL(10,2)) AS price, (p_size % 4) = 0 AS onpromotion
-  FROM part WHERE p_size > 20
+  FROM part
 )"""
 
 PREDICTIONS = """

@@ -1,26 +1,19 @@
-"""Derived fact tables, built once per input and shared by every query.
-
-The reference derives its enriched frames once at start-up and answers every
-dashboard view from them. The Spark equivalent is a *materialised* fact
-table: the order-line joins (lineitem x part x supplier x nation x region,
-then x orders x customer x nation) run once in one pipeline, the enriched
-sales and delivery columns of every line are written as one Parquet table to
-the cluster's shared checkpoint folder, and every query scans that table
-(``sales()`` and ``deliveries()`` are column projections of it) instead of
-re-running the joins.
-
-- Scale: the joins are the only operations that move whole fact tables
-  across the network; doing them once instead of per view removes one
-  full-width shuffle per query. Scans of the written table are column-pruned
-  and, because each file is sorted by time, date-range filters skip row
-  groups by their min/max statistics.
-- Skew: files are laid out round-robin (not by key), so a key holding a
-  third of the rows cannot make one writer task - or one file - hold it.
-- Fault tolerance: the table is written to a temporary directory and
-  renamed into place; a reader never sees a half-written table, and the
-  lineage of every later query starts at these files.
-- Freshness: the location includes a signature of the input files (path,
-  size, modification time), so changed inputs produce a new table.
+"""Derived fact table, built once per input and shared by every query.
+
+The order-line joins (lineitem x part x supplier x nation x region, then x orders x customer x nation) run once in
+one pipeline. The enriched sales and delivery columns of every line are written as one Parquet table to the
+cluster's shared checkpoint folder, and every query scans that table (``sales()`` and ``deliveries()`` are column
+projections of it) instead of re-running the joins.
+
+- Layout: one directory per order month (``fact_month`` = yyyymm), and inside a month rows are dealt by a hash of
+  the order. A date range lists and opens only its months' files. All lines of an order stand in one file, so
+  per-order aggregates fold them before the shuffle. The write is a rebalancing exchange on (month, order hash):
+  Spark splits a month or order that holds a large share of the rows and merges small ones.
+- Commit: each build writes to a directory of its own; Spark's committer adds ``_SUCCESS`` last. A reader takes the
+  first committed build of its signature, so no rename is needed, a half-written table is never seen, and of two
+  builds that race both are valid.
+- Freshness: the location holds a signature of the inputs and of the deriving code. It is checked on every access
+  (a few metadata calls), so a changed input is never answered from an old table.
 """
 
 from __future__ import annotations
@@ -31,6 +24,7 @@ import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators import delivery as D
@@ -41,146 +35,119 @@ from ..sources import adapters as A
 LINE_INPUTS = ("lineitem", "orders", "part", "customer", "supplier", "nation", "region")
 DELIVERY_COLUMNS = ["deliveryid", "orderid", "orderdate", "promiseddate", "actualdeliverydate", "status",
                     "deliverypartner", "city", "deliverycost", "date", "delivery_time_days", "on_time"]
+MONTH = "fact_month"
+ROWS_PER_FILE = 8_000_000  # hard cap on rows in one output file
+BYTES_PER_BUCKET = 256 * 1024 * 1024  # input bytes for each order-hash bucket of a month
+MATERIALIZE_CONF = "spark.ledgerlens.materialize"
 
-_LOCK = threading.Lock()
+_LOCK = threading.Lock()  # guards the dictionary only, never a build
 _CACHE: dict[tuple, "Workspace"] = {}
 
 
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path)
-    return jvm, p.getFileSystem(conf), p
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
 def code_version() -> str:
-    """Hash of the source of every module that shapes a fact table, so a
-    changed derivation never reuses a table written by an older one."""
+    """Hash of the source of every module that shapes the fact table."""
     h = hashlib.sha1()
     for mod in (A, S, D, X):
         h.update(inspect.getsource(mod).encode())
     return h.hexdigest()[:12]
 
 
-def input_files(spark: SparkSession, sf_dir: str, names) -> list[tuple[str, int, int]]:
-    """(path, length, modification time) of every input file (metadata only)."""
+def input_state(spark: SparkSession, sf_dir: str, names) -> list[tuple[str, int, int, int]]:
+    """(table, modification time, bytes, files) of every input: two metadata calls a table, however many files."""
     out = []
     for name in sorted(names):
-        jvm, fs, p = _fs(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
-        files = fs.listFiles(p, True)
-        while files.hasNext():
-            st = files.next()
-            out.append((st.getPath().toString(), int(st.getLen()), int(st.getModificationTime())))
-    return sorted(out)
+        fs, p = _fs(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
+        size = fs.getContentSummary(p)
+        out.append((name, int(fs.getFileStatus(p).getModificationTime()), int(size.getLength()), int(size.getFileCount())))
+    return out
 
 
-def input_signature(spark: SparkSession, sf_dir: str, names) -> str:
-    """Hash of the derivation code and of (path, length, modification time)
-    of every input file."""
-    h = hashlib.sha1(code_version().encode())
-    for path, length, mtime in input_files(spark, sf_dir, names):
-        h.update(f"{path}|{length}|{mtime};".encode())
-    return h.hexdigest()[:16]
+def signature(state) -> str:
+    return hashlib.sha1(f"{code_version()}|{state}".encode()).hexdigest()[:16]
 
 
-BYTES_PER_FILE = 256 * 1024 * 1024  # input bytes per written file
-ROWS_PER_FILE = 8_000_000  # hard cap on rows in one output file
+def committed(spark: SparkSession, base: str) -> str | None:
+    """The first committed build below ``base``."""
+    fs, p = _fs(spark, base)
+    if not fs.exists(p):
+        return None
+    builds = sorted(f"{base}/{st.getPath().getName()}" for st in fs.listStatus(p))
+    return next((b for b in builds if fs.exists(_fs(spark, f"{b}/_SUCCESS")[1])), None)
 
 
-def file_count(spark: SparkSession, input_bytes: int) -> int:
-    """Files to write: ~256 MB of input each, never fewer than the shuffle
-    partitions (so small inputs still scan in parallel)."""
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(n, -(-input_bytes // BYTES_PER_FILE))
-
-
-def write_table(spark: SparkSession, df: DataFrame, path: str, sort_col: str | None = None,
-                files: int | None = None) -> None:
-    """Write ``df`` as Parquet at ``path`` atomically (temp dir + rename).
-
-    Rows are spread round-robin over ``files`` tasks (default: the shuffle
-    partitions), sorted by ``sort_col`` within each, and no file holds more
-    than ``ROWS_PER_FILE`` rows.
-    """
-    jvm, fs, final = _fs(spark, path)
-    if fs.exists(final):
-        return
-    n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tmp = f"{path}.tmp-{uuid.uuid4().hex[:8]}"
-    out = df.repartition(n)
-    if sort_col:
-        out = out.sortWithinPartitions(sort_col)
-    out.write.mode("overwrite").option("maxRecordsPerFile", ROWS_PER_FILE).parquet(tmp)
-    tmp_path = jvm.org.apache.hadoop.fs.Path(tmp)
-    if not fs.exists(final):
-        fs.mkdirs(final.getParent())
-        if not fs.rename(tmp_path, final) and not fs.exists(final):
-            raise OSError(f"could not move {tmp} to {path}")
-    # Another writer may have won the race: a directory renamed onto an
-    # existing one lands inside it. Remove only our own copy.
-    nested = jvm.org.apache.hadoop.fs.Path(final, tmp_path.getName())
-    if fs.exists(nested):
-        fs.delete(nested, True)
-    if fs.exists(tmp_path):
-        fs.delete(tmp_path, True)
+def write_lines(lines: DataFrame, path: str, input_bytes: int) -> None:
+    """Writes order lines in the layout above."""
+    per_month = max(1, -(-input_bytes // (BYTES_PER_BUCKET * 64)))
+    month = (F.year("timestamp") * 100 + F.month("timestamp")).cast("int")
+    out = lines.withColumn(MONTH, month).withColumn("_bucket", F.pmod(F.xxhash64("orderid"), F.lit(per_month)))
+    (out.hint("rebalance", MONTH, "_bucket").sortWithinPartitions(MONTH, "orderid").drop("_bucket")
+     .write.partitionBy(MONTH).option("maxRecordsPerFile", ROWS_PER_FILE).parquet(path))
+
+
+def _month(day) -> int:
+    y, m = str(day).split("-")[:2]
+    return int(y) * 100 + int(m)
 
 
 class Workspace:
-    """Materialised enriched ``sales`` and ``deliveries`` for one source directory."""
+    """Materialised order lines for one source directory."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
         self.tables = A.DriverTables(spark, self.sf_dir)
-        self._paths: dict[str, str] = {}
+        self._building = threading.Lock()
+        self._known: tuple[str, str] | None = None  # signature, path
         self._sales_cols: list[str] | None = None
-        self.fresh = False
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> "Workspace":
         key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
         with _LOCK:
-            ws = _CACHE.get(key)
-            if ws is None:
-                ws = _CACHE[key] = cls(spark, sf_dir)
-            return ws
-
-    def _location(self, name: str, inputs) -> str:
-        sig = input_signature(self.spark, self.sf_dir, inputs)
-        if self.fresh:
-            sig = f"{sig}-{uuid.uuid4().hex[:8]}"
-        return shared_dir(self.spark, "ledgerlens", "facts", f"{name}-{sig}")
-
-    def _materialise(self, name: str, inputs, build, sort_col: str) -> DataFrame:
-        with _LOCK:
-            path = self._paths.get(name)
-            if path is None:
-                path = self._location(name, inputs)
-                size = sum(length for _, length, _ in input_files(self.spark, self.sf_dir, inputs))
-                write_table(self.spark, build(), path, sort_col, file_count(self.spark, size))
-                self._paths[name] = path
-        return self.spark.read.parquet(path)
-
-    def lines(self) -> DataFrame:
-        """The wide order-line fact: enriched sales (E5) and enriched
-        deliveries (E8) of every line, written once."""
-        return self._materialise(
-            "lines", LINE_INPUTS,
-            lambda: D.enrich_deliveries(S.enrich_sales(A.order_lines(self.tables))), "timestamp")
-
-    def sales(self, brand: str | None = None) -> DataFrame:
-        """Enriched order lines (E5) with every canonical column; ``brand``
-        keeps the lines of that part brand (a pushed-down scan filter)."""
-        lines = self.lines()
-        if brand is not None:
-            lines = lines.where(lines[A.BRAND] == brand)
-        return lines.select(*self._sales_columns())
-
-    def deliveries(self) -> DataFrame:
+            return _CACHE.setdefault(key, cls(spark, sf_dir))
+
+    def base(self) -> str:
+        """Folder of this input's builds, by signature."""
+        name = hashlib.sha1(self.sf_dir.encode()).hexdigest()[:12]
+        return shared_dir(self.spark, "ledgerlens", "facts", f"lines-{name}")
+
+    def path(self, fresh: bool = False) -> str:
+        """Where the table for the inputs as they are now stands; built if need be."""
+        state = input_state(self.spark, self.sf_dir, LINE_INPUTS)
+        sig = signature(state)
+        with self._building:
+            if fresh or self._known is None or self._known[0] != sig:
+                found = None if fresh else committed(self.spark, f"{self.base()}/{sig}")
+                if found is None:
+                    found = f"{self.base()}/{sig}/{uuid.uuid4().hex}"
+                    lines = D.enrich_deliveries(S.enrich_sales(A.order_lines(self.tables)))
+                    write_lines(lines, found, sum(size for _, _, size, _ in state))
+                self._known = (sig, found)
+            return self._known[1]
+
+    def lines(self, start=None, end=None) -> DataFrame:
+        """The wide order-line fact; with dates, only the months they touch."""
+        lines = self.spark.read.parquet(self.path())
+        if start is not None:
+            lines = lines.where(F.col(MONTH) >= _month(start))
+        if end is not None:
+            lines = lines.where(F.col(MONTH) <= _month(end))
+        return lines
+
+    def sales(self, start=None, end=None) -> DataFrame:
+        """Enriched order lines (E5) with every canonical column."""
+        return self.lines(start, end).select(*self._sales_columns())
+
+    def deliveries(self, start=None, end=None) -> DataFrame:
         """Enriched deliveries."""
-        lines = self.lines()
-        return lines.select(*[lines[A.DELIVERY_CITY].alias("city") if c == "city" else lines[c]
-                              for c in DELIVERY_COLUMNS])
+        lines = self.lines(start, end)
+        return lines.select(*[lines[A.DELIVERY_CITY].alias("city") if c == "city" else lines[c] for c in DELIVERY_COLUMNS])
 
     def _sales_columns(self) -> list[str]:
         """Column order of the enriched canonical sales frame (plan only, no job)."""
@@ -188,37 +155,31 @@ class Workspace:
             self._sales_cols = S.enrich_sales(A.sales(self.tables)).columns
         return self._sales_cols
 
-    def refresh(self) -> None:
-        """Forget the tables located so far: the next access re-lists the
-        inputs and reuses a table only if nothing changed."""
-        with _LOCK:
-            self._paths.clear()
-            self.fresh = False
-
     def build(self, fresh: bool = False) -> None:
-        """Materialise the fact table now (otherwise done on first use).
-        ``fresh`` ignores a table an earlier session left for the same input."""
-        with _LOCK:
-            if fresh:
-                self._paths.clear()
-            self.fresh = fresh
-        self.lines()
+        """Builds the table now; ``fresh`` also if there is one for the same input."""
+        self.path(fresh)
 
-
-MATERIALIZE_CONF = "spark.ledgerlens.materialize"
+    def vacuum(self) -> int:
+        """Deletes the builds of older signatures; call it when nothing reads them. Returns how many."""
+        keep, gone = self.path().rsplit("/", 2)[1], 0
+        fs, p = _fs(self.spark, self.base())
+        for st in fs.listStatus(p):
+            if st.getPath().getName() != keep:
+                fs.delete(st.getPath(), True)
+                gone += 1
+        return gone
 
 
 def materialize_enabled(spark: SparkSession) -> bool:
     """``spark.ledgerlens.materialize`` (default true): false makes queries run
     the joins lazily instead of writing the fact table first - the better
-    choice for a single query over a huge input."""
+    choice for a single query over a huge input. The answers are the same."""
     return spark.conf.get(MATERIALIZE_CONF, "true").lower() != "false"
 
 
-def sales_fact(spark: SparkSession, sf_dir: str, brand: str | None = None) -> DataFrame:
-    return Workspace.of(spark, sf_dir).sales(brand)
-
+def sales_fact(spark: SparkSession, sf_dir: str, start=None, end=None) -> DataFrame:
+    return Workspace.of(spark, sf_dir).sales(start, end)
 
-def deliveries_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Workspace.of(spark, sf_dir).deliveries()
 
+def deliveries_fact(spark: SparkSession, sf_dir: str, start=None, end=None) -> DataFrame:
+    return Workspace.of(spark, sf_dir).deliveries(start, end)

@@ -5,10 +5,9 @@ in. ``build_session`` is only a convenience for tests, the bench and local
 runs: it pins the settings the operators assume (UTC session time zone, ANSI
 mode, AQE with partition coalescing and skew-join splitting).
 
-``shared_dir`` is the one place that decides where intermediate files go. On
-a cluster that is ``spark.checkpoint.dir`` (a shared filesystem every
-executor can reach); a machine-local temporary folder is only created when
-the session has none, which is the test / single-machine case.
+``shared_dir`` is the one place that decides where intermediate files go: the
+checkpoint folder, a shared filesystem that every executor can reach. Only a
+local master gets a temporary folder when the session has none.
 """
 
 from __future__ import annotations
@@ -48,21 +47,24 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def shared_dir(spark: SparkSession, *parts: str) -> str:
     """Return a directory on the cluster's shared checkpoint filesystem.
 
-    Reads ``spark.checkpoint.dir`` (or the context's checkpoint dir) and makes
-    sure ``DataFrame.checkpoint()`` writes there too. Only if neither is set,
-    a local temporary directory is created and registered (tests, one machine).
+    ``spark.checkpoint.dir`` if it is set, else what ``setCheckpointDir`` was given. With neither, a temporary directory is made and registered if the master is local
+    (tests, one machine); on a cluster that is an error, as executors would write to their own disks.
     """
-    jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-    context_dir = jdir.get() if jdir.isDefined() else None
-    base = spark.conf.get("spark.checkpoint.dir", None) or context_dir
-    if not base:
+    registered = spark.sparkContext._jsc.sc().getCheckpointDir()
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if registered.isDefined() and not configured:
+        base = registered.get()
+    elif configured:
+        base = configured
+        if not registered.isDefined():
+            spark.sparkContext.setCheckpointDir(base)
+    else:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
-    if context_dir is None:
         spark.sparkContext.setCheckpointDir(base)
-    path = base.rstrip("/")
-    for p in parts:
-        path = f"{path}/{p}"
-    return path
+    return "/".join([base.rstrip("/"), *parts])
 
 
 def unique_dir(spark: SparkSession, label: str) -> str:

@@ -8,10 +8,14 @@ second shuffle before every per-order aggregate).
 Join order is written for scale: dimension joins that change the partitioning
 key (part on ``partkey``, customer on ``custkey``) come first and the
 ``orderkey`` join comes last, so the result is hash-partitioned by order and
-the per-order aggregates downstream reuse that exchange. ``nation`` and
-``region`` are fixed-size (25 / 5 rows) and are the only explicit broadcasts;
-every other join is left to AQE, whose broadcast conversion is bounded by
-``spark.sql.autoBroadcastJoinThreshold`` at run time.
+the per-order aggregates downstream reuse that exchange. There is no broadcast
+hint: every join is left to the planner and AQE, whose broadcast conversion is
+bounded by ``spark.sql.autoBroadcastJoinThreshold``.
+
+Every join is a LEFT join from the line (or customer, or nation), on the
+dimension's primary key: a line whose part, supplier, order, customer or nation
+is missing stays, with null in the columns that come from there. So dropping a
+dimension that a query does not read never changes its rows.
 """
 
 from __future__ import annotations
@@ -20,7 +24,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed values of the mapping (must match the oracle SQL).
-OUR_BRAND = "Brand#3"
 RIVAL_BRANDS = ("Brand#1", "Brand#2")
 JOIN_EPOCH = "1995-01-01"
 
@@ -41,29 +44,26 @@ def _lines(t: DriverTables) -> DataFrame:
                                 "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus")
 
 
-def _parts(t: DriverTables, brand: str | None = None) -> DataFrame:
-    part = t("part")
-    if brand is not None:
-        part = part.where(F.col("p_brand") == brand)
-    return part.select("p_partkey", "p_name", "p_type", "p_retailprice", "p_brand")
+def _parts(t: DriverTables) -> DataFrame:
+    return t("part").select("p_partkey", "p_name", "p_type", "p_retailprice")
 
 
 def _suppliers(t: DriverTables) -> DataFrame:
-    """Supplier with its nation and region names (fixed-size dimensions broadcast)."""
-    region = F.broadcast(t("region").select("r_regionkey", F.col("r_name").alias("s_region")))
-    nation = F.broadcast(t("nation").select("n_nationkey", F.col("n_name").alias("s_nation"), "n_regionkey"))
-    geo = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"), "inner")
+    """Supplier with its nation and region names."""
+    region = t("region").select("r_regionkey", F.col("r_name").alias("s_region"))
+    nation = t("nation").select("n_nationkey", F.col("n_name").alias("s_nation"), "n_regionkey")
+    geo = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left")
     return t("supplier").select("s_suppkey", "s_nationkey").join(
-        F.broadcast(geo), F.col("s_nationkey") == F.col("n_nationkey"), "inner").select("s_suppkey", "s_nation", "s_region")
+        geo, F.col("s_nationkey") == F.col("n_nationkey"), "left").select("s_suppkey", "s_nation", "s_region")
 
 
 def _orders(t: DriverTables, with_city: bool) -> DataFrame:
     orders = t("orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     if with_city:
-        nation = F.broadcast(t("nation").select("n_nationkey", F.col("n_name").alias("c_nation")))
+        nation = t("nation").select("n_nationkey", F.col("n_name").alias("c_nation"))
         cust = t("customer").select("c_custkey", "c_nationkey").join(
-            nation, F.col("c_nationkey") == F.col("n_nationkey"), "inner").select("c_custkey", "c_nation")
-        orders = orders.join(cust, orders.o_custkey == cust.c_custkey, "inner")
+            nation, F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", "c_nation")
+        orders = orders.join(cust, orders.o_custkey == cust.c_custkey, "left")
     return orders
 
 
@@ -118,52 +118,45 @@ def _delivery_columns(city: str = "city", with_orderid: bool = True) -> list:
     ]
 
 
-def sales(t: DriverTables, with_part: bool = True, with_city: bool = True,
-          brand: str | None = None) -> DataFrame:
+def sales(t: DriverTables, with_part: bool = True, with_city: bool = True) -> DataFrame:
     """Order lines as the canonical ``sales`` table (without derived columns).
 
-    ``with_part`` / ``with_city`` drop the dimension joins a query does not
-    need: Catalyst prunes columns but never removes an inner join.
-    ``brand`` keeps only lines whose part has that brand (the "our catalogue"
-    subset used by the price and assortment operators).
+    ``with_part`` / ``with_city`` leave out the dimension joins a query does
+    not need (the columns go, the rows stay the same).
     """
-    with_part = with_part or brand is not None
     li = _lines(t)
     if with_part:
-        li = li.join(_parts(t, brand), F.col("l_partkey") == F.col("p_partkey"), "inner")
-    j = li.join(_orders(t, with_city), F.col("l_orderkey") == F.col("o_orderkey"), "inner")
+        li = li.join(_parts(t), F.col("l_partkey") == F.col("p_partkey"), "left")
+    j = li.join(_orders(t, with_city), F.col("l_orderkey") == F.col("o_orderkey"), "left")
     return j.select(*_sales_columns(with_part, with_city))
 
 
 def deliveries(t: DriverTables) -> DataFrame:
     """One delivery per order line: dates from the order, partner/city from the supplier."""
-    li = _lines(t).join(_suppliers(t), F.col("l_suppkey") == F.col("s_suppkey"), "inner")
+    li = _lines(t).join(_suppliers(t), F.col("l_suppkey") == F.col("s_suppkey"), "left")
     orders = t("orders").select("o_orderkey", "o_orderdate")
-    j = li.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "inner")
+    j = li.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
     return j.select(*_delivery_columns())
 
 
 DELIVERY_CITY = "delivery_city"
-BRAND = "brand"
 
 
 def order_lines(t: DriverTables) -> DataFrame:
     """Every sales column and every delivery column of an order line, from
     one join pipeline (lineitem x part x supplier, then x orders x customer).
-    The delivery city is ``delivery_city`` (``city`` is the customer's); the
-    part's ``brand`` is kept so brand subsets are a scan filter.
+    The delivery city is ``delivery_city`` (``city`` is the customer's).
     Equal to :func:`sales` and :func:`deliveries` side by side."""
-    li = (_lines(t).join(_parts(t), F.col("l_partkey") == F.col("p_partkey"), "inner")
-          .join(_suppliers(t), F.col("l_suppkey") == F.col("s_suppkey"), "inner"))
-    j = li.join(_orders(t, True), F.col("l_orderkey") == F.col("o_orderkey"), "inner")
-    return j.select(*_sales_columns(True, True), *_delivery_columns(DELIVERY_CITY, with_orderid=False),
-                    F.col("p_brand").alias(BRAND))
+    li = (_lines(t).join(_parts(t), F.col("l_partkey") == F.col("p_partkey"), "left")
+          .join(_suppliers(t), F.col("l_suppkey") == F.col("s_suppkey"), "left"))
+    j = li.join(_orders(t, True), F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    return j.select(*_sales_columns(True, True), *_delivery_columns(DELIVERY_CITY, with_orderid=False))
 
 
 def customers(t: DriverTables) -> DataFrame:
-    nation = F.broadcast(t("nation").select("n_nationkey", "n_name"))
+    nation = t("nation").select("n_nationkey", "n_name")
     c = t("customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    c = c.join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "inner")
+    c = c.join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
     offset = ((F.col("c_custkey") * 37) % 2400).cast("int")
     return c.select(
         F.col("c_custkey").alias("customerid"),
@@ -185,9 +178,9 @@ def sales_funnel(t: DriverTables) -> DataFrame:
 
 
 def marketing_campaigns(t: DriverTables) -> DataFrame:
-    region = F.broadcast(t("region").select("r_regionkey", "r_name"))
+    region = t("region").select("r_regionkey", "r_name")
     n = t("nation").select("n_nationkey", "n_name", "n_regionkey").join(
-        region, F.col("n_regionkey") == F.col("r_regionkey"), "inner")
+        region, F.col("n_regionkey") == F.col("r_regionkey"), "left")
     return n.select(
         F.col("n_nationkey").cast("bigint").alias("campaignid"),
         F.col("n_name").alias("campaignname"),
@@ -201,12 +194,12 @@ def marketing_campaigns(t: DriverTables) -> DataFrame:
 
 
 def marketing_attribution(t: DriverTables) -> DataFrame:
-    o = t("orders").select("o_orderkey").where(F.col("o_orderkey") % 10 < 7)
+    o = t("orders").select("o_orderkey")
     return o.select(F.col("o_orderkey").alias("orderid"), (F.col("o_orderkey") % 20).alias("campaignid"))
 
 
 def competitors(t: DriverTables) -> DataFrame:
-    p = t("part").select("p_partkey", "p_name", "p_brand", "p_size", "p_retailprice").where(F.col("p_size") > 20)
+    p = t("part").select("p_partkey", "p_name", "p_brand", "p_size", "p_retailprice")
     return p.select(
         F.lit(None).cast("date").alias("date"),
         F.col("p_brand").alias("competitor"),

@@ -7,10 +7,11 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from ledgerlens.plans.catalog import ORACLE as SQL
+from ledgerlens.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
-SQL = oracle_sql()
 
 
 def _norm(v):
@@ -52,13 +53,14 @@ def test_entry_smoke(spark):
 
 def test_every_query_has_oracle_or_is_declared_rows_only():
     rows_only = {"churn_confusion", "churn_evaluation", "churn_scores"}
-    assert set(queries()) - set(SQL) == rows_only
+    assert set(QUERIES) - set(SQL) == rows_only
+    assert set(QUERIES) <= set(queries()) and set(SQL) <= set(oracle_sql())
 
 
 @pytest.mark.skipif(not os.path.exists(SF), reason="driver tables not present")
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_oracle(spark, con, name):
-    got = queries()[name](spark, SF).toPandas()
+    got = QUERIES[name](spark, SF).toPandas()
     want = con.execute(SQL[name]).fetchdf()
     gc, gr = _rows(got)
     wc, wr = _rows(want)
