@@ -1,19 +1,22 @@
-"""Batch ingest and sinks: CSV scan (S1), header normalisation (S2), typing
-(S3), derived net sale (S4), full rebuild (S5), routing (S6), per-file append
-(S7), table store access (S9-S12) and CSV export (S13, S14).
+"""Batch ingest and sinks: CSV scan (S1), header normalisation (S2), typing (S3), derived net sale (S4), full
+rebuild (S5), routing (S6), per-file append (S7), table access (S9-S12) and CSV export (S13, S14).
 
-CSV files are read with every column as STRING and bound *by header name*:
-a user schema handed to the CSV reader binds by position and would silently
-swap reordered columns. Types are applied afterwards from the registry.
+CSV files are read with every column as STRING and bound *by header name*: a user schema handed to the CSV reader
+binds by position and would silently swap reordered columns. Types are applied afterwards. Every row carries what
+is wrong with it in ``PROBLEM`` (too many fields, a value that its type cannot hold exactly); strict readers raise
+on it, the stream rejects just the file it came from.
 """
 
 from __future__ import annotations
 
+import datetime as _dt
 import logging
 import posixpath
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import schemas as SC
 
@@ -25,17 +28,45 @@ NULL_TOKENS = ["#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
                "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
 TIMESTAMP_OUT_FORMAT = "yyyy-MM-dd HH:mm:ss"
+#: A quote inside a quoted field is doubled, in files read and written.
+QUOTES = {"quote": '"', "escape": '"'}
+PROBLEM = "_problem"
+_RAW = "_raw_record"
 
 
 # ----------------------------------------------------------------------------- S1-S4
 
-def read_csv(spark: SparkSession, path, null_tokens=NULL_TOKENS) -> DataFrame:
-    """Header CSV, every column STRING; missing-value tokens -> null."""
-    df = (spark.read.option("header", True).option("inferSchema", False).option("mode", "PERMISSIVE")
-          .option("multiLine", False).csv(path))
-    tokens = F.array(*[F.lit(t) for t in null_tokens])
-    return df.select(*[F.when(F.array_contains(tokens, F.col(f"`{c}`")), F.lit(None).cast("string"))
-                       .otherwise(F.col(f"`{c}`")).alias(c) for c in df.columns])
+def read_csv(spark: SparkSession, path, null_tokens=NULL_TOKENS, multi_line: bool = False) -> DataFrame:
+    """Header CSV, every column STRING, missing-value tokens -> null. Short rows are filled with nulls; a row
+    with more fields than the header raises when it is read."""
+    return _raise_problems(_scan(spark, path, null_tokens, multi_line))
+
+
+def _scan(spark: SparkSession, path, null_tokens=NULL_TOKENS, multi_line: bool = False) -> DataFrame:
+    """The CSV columns and ``PROBLEM``."""
+    reader = spark.read.options(header=True, inferSchema=False, mode="PERMISSIVE", multiLine=multi_line, **QUOTES)
+    names = reader.csv(path).columns
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, _RAW]])
+    # without pruning in the parser, else it does not see that a row is too long when few columns are asked for
+    df = reader.options(columnNameOfCorruptRecord=_RAW, enforceSchema=True, columnPruning=False).schema(schema).csv(path)
+    # the reader keeps the raw text of short and of long rows; only the long ones lose fields
+    separators = F.regexp_count(F.regexp_replace(F.col(_RAW), F.lit('"(?:[^"]|"")*"'), F.lit("")), F.lit(","))
+    missing = F.array(*[F.lit(t) for t in null_tokens])
+    return df.select(
+        *[F.when(~F.array_contains(missing, F.col(f"`{c}`")), F.col(f"`{c}`")).alias(c) for c in names],
+        F.when(separators >= len(names), F.lit("row with more fields than the header")).alias(PROBLEM))
+
+
+def open_quotes(spark: SparkSession, paths) -> DataFrame:
+    """(path) of the files in which some line has an odd number of quotes, that is a quoted line break."""
+    lines = spark.read.text(paths).select(F.input_file_name().alias("path"), "value")
+    quotes = F.char_length("value") - F.char_length(F.replace("value", F.lit('"'), F.lit("")))
+    return lines.where(quotes % 2 == 1).select("path").distinct()
+
+
+def _raise_problems(df: DataFrame) -> DataFrame:
+    problem = F.col(PROBLEM)
+    return df.where(F.when(problem.isNull(), F.lit(True)).otherwise(F.raise_error(problem).cast("boolean"))).drop(PROBLEM)
 
 
 def source_headers(columns: list[str]) -> list[str]:
@@ -45,86 +76,84 @@ def source_headers(columns: list[str]) -> list[str]:
     appending their position (``City``, ``CITY`` -> ``City0``, ``CITY1``);
     this undoes that rename so alias matching sees the file's names.
     """
-    stripped = []
-    for i, c in enumerate(columns):
-        suffix = str(i)
-        stripped.append(c[: -len(suffix)] if c.endswith(suffix) and len(c) > len(suffix) else None)
-    counts: dict[str, int] = {}
-    for base in stripped:
-        if base is not None:
-            counts[base.lower()] = counts.get(base.lower(), 0) + 1
-    return [base if base is not None and counts[base.lower()] > 1 else c
-            for c, base in zip(columns, stripped)]
-
-
-def header_mapping(columns: list[str], aliases: dict) -> dict:
-    """S2 as a plain mapping ``{column -> canonical name}``.
-
-    Case-insensitive; the first alias present wins; if two headers collide
-    after lower-casing, the later one is the one matched.
-    """
-    lower = {}
-    for c, header in zip(columns, source_headers(columns)):
-        lower[header.lower()] = c
-    mapping = {}
-    for canon, names in aliases.items():
-        for name in names:
-            src = lower.get(name.lower())
-            if src is not None:
-                mapping[src] = canon
-                break
-    return mapping
-
-
-def normalize_headers(df: DataFrame, spec_or_aliases) -> DataFrame:
-    """Rename aliased headers to canonical names; others pass through."""
-    aliases = spec_or_aliases.aliases if isinstance(spec_or_aliases, SC.TableSpec) else spec_or_aliases
-    mapping = header_mapping(df.columns, aliases)
+    bare = [c.removesuffix(str(i)) or c for i, c in enumerate(columns)]
+    cut = [b.lower() for b, c in zip(bare, columns, strict=True) if b != c]
+    return [b if b != c and cut.count(b.lower()) > 1 else c for b, c in zip(bare, columns, strict=True)]
+
+
+def header_mapping(columns: list[str], spec: SC.TableSpec) -> dict[str, str]:
+    """S2 as a plain mapping ``{column -> canonical name}``. Every column is looked up in the table's header index;
+    of the columns that claim one canonical name, the best-ranked header wins, of equal headers the last."""
+    claims: dict[str, tuple[int, int, str]] = {}
+    for position, (column, header) in enumerate(zip(columns, source_headers(columns), strict=True)):
+        known = spec.headers.get(header.lower())
+        if known:
+            canonical, rank = known
+            claims[canonical] = min(claims.get(canonical, (rank, 1, "")), (rank, -position, column))
+    return {column: canonical for canonical, (_, _, column) in claims.items()}
+
+
+def normalize_headers(df: DataFrame, spec: SC.TableSpec) -> DataFrame:
+    """Rename known headers to canonical names; others pass through."""
+    mapping = header_mapping(df.columns, spec)
     return df.select(*[F.col(f"`{c}`").alias(mapping.get(c, c)) for c in df.columns])
 
 
-def _typed(c: Column, type_name: str, strict: bool) -> Column:
-    if type_name == "timestamp_ntz":
-        return F.to_timestamp_ntz(c) if strict else F.try_to_timestamp(c).cast("timestamp_ntz")
-    if type_name == "date":
-        return F.to_date(c) if strict else F.try_to_timestamp(c).cast("date")
-    if type_name in ("int", "bigint"):
-        num = c.cast("double") if strict else c.try_cast("double")
-        return num.cast(type_name) if strict else num.try_cast(type_name)
-    if type_name == "boolean":
-        return c.cast("boolean") if strict else c.try_cast("boolean")
-    return c.cast(type_name) if strict else c.try_cast(type_name)
+def _typed(c: Column, kind: str) -> Column:
+    """The value as ``kind``, or null if ``kind`` cannot hold it exactly."""
+    if kind == "timestamp_ntz":
+        return F.try_to_timestamp(c).cast("timestamp_ntz")
+    if kind == "date":
+        return F.try_to_timestamp(c).cast("date")
+    if kind in ("int", "bigint") or kind.startswith("decimal"):
+        exact = c.try_cast("decimal(38,12)")
+        value = exact.try_cast(kind)
+        return F.when(value.cast("decimal(38,12)") == exact, value)
+    return c.try_cast(kind)
+
+
+def typed_columns(df: DataFrame, spec: SC.TableSpec) -> DataFrame:
+    """S3: canonical text columns as their declared types; a value that does not fit becomes null and is named in
+    ``PROBLEM``. Other columns are left as they are."""
+    types, kinds = {**spec.types, **spec.extra_types}, dict(df.dtypes)
+    out, misfits = [], [F.col(PROBLEM)] if PROBLEM in df.columns else []
+    for c in df.columns:
+        col = F.col(f"`{c}`")
+        want = types.get(c)
+        if c == PROBLEM:
+            continue
+        if want is None or kinds[c] != "string" or want == "string":
+            out.append(col)
+            continue
+        out.append(_typed(col, want).alias(c))
+        misfits.append(F.when(col.isNotNull() & _typed(col, want).isNull(), F.concat(F.lit(f"{c} is not {want}: "), col)))
+    return df.select(*out, (F.coalesce(*misfits) if misfits else F.lit(None).cast("string")).alias(PROBLEM))
 
 
 def coerce_types(df: DataFrame, spec: SC.TableSpec, strict: bool = True) -> DataFrame:
-    """S3: cast canonical columns from text to their declared types.
-
-    ``strict`` (the default, like the reference) raises on an unparseable
-    value under ANSI mode; ``strict=False`` turns it into null instead.
-    Non-canonical columns are left as they are.
-    """
-    types = dict(spec.types)
-    types.update(spec.extra_types)
-    out = []
-    for c, t in df.dtypes:
-        want = types.get(c)
-        if want is None or t != "string":
-            out.append(F.col(f"`{c}`"))
-        else:
-            out.append(_typed(F.col(f"`{c}`"), want, strict).alias(c))
-    return df.select(*out)
+    """S3. ``strict`` (the default) raises on a value that does not fit; otherwise it becomes null."""
+    typed = typed_columns(df, spec)
+    return _raise_problems(typed) if strict else typed.drop(PROBLEM)
 
 
 def derive_netsale(df: DataFrame) -> DataFrame:
     """``netsale = grossvalue - discountvalue`` when both columns exist."""
-    if "grossvalue" in df.columns and "discountvalue" in df.columns:
+    if {"grossvalue", "discountvalue"} <= set(df.columns):
         return df.withColumn("netsale", F.col("grossvalue") - F.col("discountvalue"))
     return df
 
 
+def parse_files(spark: SparkSession, path, spec: SC.TableSpec) -> DataFrame:
+    """S1 -> S2 -> S3 -> S4 for files that share a header, with ``PROBLEM`` per row."""
+    return derive_netsale(typed_columns(normalize_headers(_scan(spark, path, multi_line=spec.multi_line), spec), spec))
+
+
 def load_file(spark: SparkSession, path, spec: SC.TableSpec, strict: bool = True) -> DataFrame:
     """S1 -> S2 -> S3 -> S4 for one file, directory or list of same-header files."""
-    return derive_netsale(coerce_types(normalize_headers(read_csv(spark, path), spec), spec, strict))
+    if not spec.multi_line and not open_quotes(spark, path).isEmpty():
+        raise ValueError(f"quoted line break in {path}; {spec.name} is read line by line")
+    parsed = parse_files(spark, path, spec)
+    return _raise_problems(parsed) if strict else parsed.drop(PROBLEM)
 
 
 # ----------------------------------------------------------------------------- S6
@@ -132,26 +161,11 @@ def load_file(spark: SparkSession, path, spec: SC.TableSpec, strict: bool = True
 def route_file(filename: str, registry=None) -> str | None:
     """Table for a file name: first registry entry whose prefix starts
     the lower-cased base name; ``None`` when nothing matches."""
-    registry = registry or SC.REGISTRY
     base = posixpath.basename(filename.rstrip("/")).lower()
-    for name, spec in registry.items():
-        if base.startswith(spec.file_prefix):
-            return name
-    return None
-
-
-def route_column(path_col, registry=None) -> Column:
-    """S6 as a Column over a column of paths (same first-match rule)."""
-    registry = registry or SC.REGISTRY
-    base = F.lower(F.regexp_extract(path_col if isinstance(path_col, Column) else F.col(path_col), r"([^/]*)$", 1))
-    expr = None
-    for name, spec in registry.items():
-        cond = base.startswith(F.lit(spec.file_prefix))
-        expr = F.when(cond, F.lit(name)) if expr is None else expr.when(cond, F.lit(name))
-    return expr.otherwise(F.lit(None).cast("string"))
+    return next((name for name, spec in (registry or SC.INGESTED).items() if base.startswith(spec.file_prefix)), None)
 
 
-# ----------------------------------------------------------------------------- table store
+# ----------------------------------------------------------------------------- table access
 
 class TableStore:
     """Named tables on a shared filesystem (one Parquet directory each), or in
@@ -164,27 +178,20 @@ class TableStore:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def _fs(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(conf), p
-
     def exists(self, name: str) -> bool:
-        """Existence check; an inspection error counts as "no"."""
+        """S9. What cannot be looked up does not exist for the caller, nor does the folder that a failed first write
+        leaves behind."""
         try:
             if self.root is None:
-                return bool(self.spark.catalog.tableExists(name))
-            fs, p = self._fs(self.path(name))
-            return bool(fs.exists(p))
-        except Exception:  # noqa: BLE001 - reference semantics: any failure = absent
-            log.exception("table existence check failed for %s", name)
+                return self.spark.catalog.tableExists(name)
+            p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path(name)}/part-*")
+            return len(p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p) or ()) > 0
+        except Exception:  # noqa: BLE001
+            log.exception("looking up %s", name)
             return False
 
     def read(self, name: str) -> DataFrame:
-        if self.root is None:
-            return self.spark.table(name)
-        return self.spark.read.parquet(self.path(name))
+        return self.spark.table(name) if self.root is None else self.spark.read.parquet(self.path(name))
 
     def write(self, df: DataFrame, name: str, mode: str) -> None:
         if self.root is None:
@@ -193,147 +200,124 @@ class TableStore:
             df.write.mode(mode).parquet(self.path(name))
 
 
+@dataclass(frozen=True)
+class Loaded:
+    """A frame that can always be used, and how it came about: stored, missing, unregistered or unreadable."""
+
+    frame: DataFrame
+    status: str
+
+
+def load(store: TableStore, name: str) -> Loaded:
+    """A lazy scan of a stored table with lower-case columns; whatever stands in its way, an empty frame
+    of the declared schema and the reason. Never raises."""
+    frame, status = None, "unregistered"
+    if SC.spec_for(name):
+        status = "missing"
+        if store.exists(name):
+            try:
+                stored = store.read(name)
+                frame, status = stored.toDF(*map(str.lower, stored.columns)), "stored"
+            except Exception:  # noqa: BLE001
+                log.exception("reading %s", name)
+                status = "unreadable"
+    if status != "stored":
+        log.warning("table %s is %s", name, status)
+    return Loaded(SC.empty_frame(store.spark, name) if frame is None else frame, status)
+
+
 def load_table_safely(store: TableStore, name: str) -> DataFrame:
-    """Registered name + existing table -> full lazy scan with lower-cased
-    columns; unknown name, missing table or any error -> empty frame with the
-    declared schema. Never raises."""
-    spark = store.spark
-    if SC.spec_for(name) is None:
-        log.error("table %r is not registered", name)
-        return SC.empty_frame(spark, name)
-    try:
-        if not store.exists(name):
-            log.warning("table %r not found", name)
-            return SC.empty_frame(spark, name)
-        df = store.read(name)
-        return df.toDF(*[c.lower() for c in df.columns])
-    except Exception:  # noqa: BLE001
-        log.exception("could not load table %r", name)
-        return SC.empty_frame(spark, name)
+    """S10."""
+    return load(store, name).frame
 
 
 def refresh_all(store: TableStore) -> dict[str, DataFrame]:
-    """Every registered table, lazily."""
-    return {name: load_table_safely(store, name) for name in SC.REGISTRY}
+    """Every ingested table, lazily."""
+    return {name: load(store, name).frame for name in SC.INGESTED}
 
 
 def load_predictions(store: TableStore) -> DataFrame:
-    """The churn score table if present (outside the registry), else empty."""
-    name = SC.PREDICTIONS_TABLE
-    try:
-        if store.exists(name):
-            return store.read(name)
-    except Exception:  # noqa: BLE001
-        log.exception("could not load %s", name)
-    return SC.empty_frame(store.spark, name)
+    """The churn score table if present, else empty."""
+    return load(store, SC.PREDICTIONS_TABLE).frame
 
 
 # ----------------------------------------------------------------------------- S5, S7
 
 def bootstrap(store: TableStore, source_dir: str, registry=None, strict: bool = True) -> dict[str, bool]:
-    """Rebuild every registered table from its master file (overwrite).
-
-    A missing master file is logged and skipped; any other failure aborts.
-    Returns which tables were written.
-    """
-    spark = store.spark
-    registry = registry or SC.REGISTRY
-    done = {}
-    for name, spec in registry.items():
-        src = f"{source_dir.rstrip('/')}/{spec.master_file}"
-        if not _path_exists(spark, src):
-            log.error("master file not found: %s; skipping", spec.master_file)
-            done[name] = False
-            continue
-        store.write(load_file(spark, src, spec, strict), name, "overwrite")
-        done[name] = True
-    return done
+    """Rebuild every table from its master file (overwrite). A missing master file is logged and skipped; any
+    other failure aborts. Returns which tables were written."""
+    masters = {name: f"{source_dir.rstrip('/')}/{spec.master_file}" for name, spec in (registry or SC.INGESTED).items()}
+    there = {name: _path_exists(store.spark, path) for name, path in masters.items()}
+    for name, path in masters.items():
+        if there[name]:
+            store.write(load_file(store.spark, path, SC.spec_for(name), strict), name, "overwrite")
+        else:
+            log.error("no master file %s; table %s is left alone", path, name)
+    return there
 
 
 def schema_problem(incoming: list[str], target: list[str] | None) -> str | None:
     """S7 schema rule: a column the target table lacks rejects the file;
     target columns the file lacks become null."""
-    if target is None:
-        return None
-    have = {c.lower() for c in target}
-    extra = [c for c in incoming if c.lower() not in have]
+    known = None if target is None else {c.lower() for c in target}
+    extra = [] if known is None else [c for c in incoming if c.lower() not in known]
     return f"unknown columns {extra}" if extra else None
 
 
 def align_to(df: DataFrame, target_cols: list[str], target_types: dict | None = None) -> DataFrame:
     """Order/complete ``df`` to the target's columns; missing ones are null."""
-    target_types = target_types or {}
-    have = {c.lower(): c for c in df.columns}
-    out = []
-    for c in target_cols:
-        if c.lower() in have:
-            out.append(F.col(f"`{have[c.lower()]}`").alias(c))
-        else:
-            out.append(F.lit(None).cast(target_types.get(c, "string")).alias(c))
-    return df.select(*out)
+    have, types = {c.lower(): c for c in df.columns}, target_types or {}
+    return df.select(*[F.col(f"`{have[c.lower()]}`").alias(c) if c.lower() in have
+                       else F.lit(None).cast(types.get(c, "string")).alias(c) for c in target_cols])
 
 
 def target_layout(store: TableStore, spec: SC.TableSpec) -> tuple[list[str], dict]:
     """Columns and types a file is appended under: the stored table's if it
     exists, else the declared schema."""
-    if store.exists(spec.name):
-        t = store.read(spec.name)
-        return t.columns, dict(t.dtypes)
-    cols = dict(spec.types)
-    cols.update(spec.extra_types)
-    return list(cols), cols
+    types = dict(store.read(spec.name).dtypes) if store.exists(spec.name) else {**spec.types, **spec.extra_types}
+    return list(types), types
 
 
 def append_file(store: TableStore, path: str, strict: bool = True) -> bool:
     """Route, load and append one file. ``False`` (never an exception)
     when the name matches no table, the columns do not fit, or loading fails.
     No de-duplication: the same rows sent twice are stored twice."""
-    name = route_file(path)
-    if name is None:
-        log.warning("unrecognised file prefix: %s", path)
-        return False
-    spec = SC.REGISTRY[name]
     try:
+        spec = SC.spec_for(route_file(path) or "")
+        if spec is None:
+            raise ValueError("no table for this file name")
         df = load_file(store.spark, path, spec, strict)
         cols, types = target_layout(store, spec)
         problem = schema_problem(df.columns, cols)
         if problem:
-            log.error("rejecting %s: %s", path, problem)
-            return False
-        store.write(align_to(df, cols, types), name, "append")
-        return True
+            raise ValueError(problem)
+        store.write(align_to(df, cols, types), spec.name, "append")
     except Exception:  # noqa: BLE001
-        log.exception("failed to append %s", path)
+        log.exception("%s is not appended", path)
         return False
+    return True
 
 
 # ----------------------------------------------------------------------------- S13, S14
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Header CSV (the same sink S13 uses); timestamps as ``yyyy-MM-dd HH:mm:ss``."""
-    (df.write.mode(mode).option("header", True)
-     .option("timestampNTZFormat", TIMESTAMP_OUT_FORMAT).option("timestampFormat", TIMESTAMP_OUT_FORMAT)
-     .csv(path))
+    """Header CSV (the same sink S13 uses); timestamps as ``yyyy-MM-dd HH:mm:ss``, quotes doubled."""
+    df.write.mode(mode).options(header=True, timestampNTZFormat=TIMESTAMP_OUT_FORMAT, timestampFormat=TIMESTAMP_OUT_FORMAT, **QUOTES).csv(path)
 
 
 def export_csv(df: DataFrame, directory: str, stem: str, day: str | None = None) -> str | None:
     """Export a list as ``<stem>_<yyyy-MM-dd>.csv`` (a CSV directory);
     an empty result writes nothing and returns ``None``."""
-    import datetime as _dt
-
     if df.isEmpty():
         return None
-    day = day or _dt.date.today().isoformat()
-    out = f"{directory.rstrip('/')}/{stem}_{day}.csv"
+    out = f"{directory.rstrip('/')}/{stem}_{day or _dt.date.today().isoformat()}.csv"
     write_csv(df, out)
     return out
 
 
 def _path_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return bool(p.getFileSystem(conf).exists(p))
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
 
 
 def rename_headers(df: DataFrame, spec: SC.TableSpec) -> DataFrame:

@@ -9,6 +9,7 @@ case-insensitive and the first alias that is present wins.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import types as T
 
@@ -21,11 +22,19 @@ class TableSpec:
     master_file: str
     file_prefix: str
     extra_types: dict = field(default_factory=dict)  # derived columns stored with the table
+    # Quoted line breaks keep Spark from splitting a file, so they are a choice per table; where they are off, a
+    # file with an open quote is refused.
+    multi_line: bool = False
 
     @property
     def columns(self) -> list[str]:
         return list(self.aliases)
 
+    @cached_property
+    def headers(self) -> dict[str, tuple[str, int]]:
+        """Accepted header in lower case -> (canonical column, rank among that column's headers)."""
+        return {name.lower(): (column, rank) for column, names in self.aliases.items() for rank, name in enumerate(names)}
+
     def struct(self, with_extra: bool = True) -> T.StructType:
         cols = dict(self.types)
         if with_extra:
@@ -135,27 +144,19 @@ REGISTRY: dict[str, TableSpec] = {
                                        "marketing_attribution.csv", "attribution_"),
 }
 
-# Competitor prices are ingestible too but are not part of the routed registry.
+# Competitor prices arrive and are rebuilt like the rest; views list them apart from the business tables.
 COMPETITORS = TableSpec("competitors", COMPETITOR_ALIASES, COMPETITOR_TYPES, "competitor_data.csv", "competitor_")
+INGESTED: dict[str, TableSpec] = {**REGISTRY, COMPETITORS.name: COMPETITORS}
 
 PREDICTIONS_TABLE = "customer_churn_predictions"
+PREDICTIONS = TableSpec(PREDICTIONS_TABLE, {}, PREDICTION_TYPES, "", "")
 
 
 def spec_for(name: str) -> TableSpec | None:
-    if name in REGISTRY:
-        return REGISTRY[name]
-    if name == COMPETITORS.name:
-        return COMPETITORS
-    return None
+    return PREDICTIONS if name == PREDICTIONS_TABLE else INGESTED.get(name)
 
 
 def empty_frame(spark, name: str):
-    """Empty DataFrame with the declared schema of a registered table (or no columns)."""
+    """Empty DataFrame with the declared schema of a table (no columns if the name is unknown)."""
     spec = spec_for(name)
-    if spec is None:
-        if name == PREDICTIONS_TABLE:
-            schema = T.StructType([T.StructField(c, T._parse_datatype_string(t), True)
-                                   for c, t in PREDICTION_TYPES.items()])
-            return spark.createDataFrame([], schema)
-        return spark.createDataFrame([], T.StructType([]))
-    return spark.createDataFrame([], spec.struct())
+    return spark.createDataFrame([], spec.struct() if spec else T.StructType([]))

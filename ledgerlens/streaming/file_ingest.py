@@ -1,31 +1,26 @@
 """Incremental file ingest with Structured Streaming.
 
-The stream carries file *paths* only (``binaryFile`` source, ``content``
-pruned), so the streaming schema is fixed even though CSV headers vary.
-Each micro-batch:
-
-1. collects its paths (bounded by ``maxFilesPerTrigger``: control data, not rows);
-2. routes every path to a table by file-name prefix (S6); unroutable files
-   are logged as rejected and left in place;
-3. reads each file's header line and groups files of one table that share a
-   header, so a single batch read covers many files and binds by name;
-4. per group: normalise, type, derive (S1-S4), check the columns against the
-   target (S7), append with ``_source_file`` / ``_batch_id``;
-5. moves every appended file to the archive directory (only after its
-   append committed) and logs failures to the ``_rejected_files`` table.
-
-``foreachBatch`` is at-least-once: before appending, the batch id and file
-names already present in the target are looked up and skipped, so a replayed
-batch does not duplicate rows. (A table first built by the batch rebuild has
-no bookkeeping columns; appends to it keep its schema and have no replay
-guard, like the reference.) A file dropped again under an already-seen
-name is not picked up again by the file source (it is tracked in the
-checkpoint) - a deliberate difference from a directory poller.
+The stream carries file *metadata* only (``binaryFile`` source, ``content`` pruned), so the streaming schema is fixed
+even though CSV headers vary. A micro-batch tells that files have arrived; it then takes every file that lies in the
+incoming folder and is not in the ledger, so a name that is dropped again with new content is a new file:
+
+1. a file is known by (path, length, modification time); known ones are skipped;
+2. the name gives the table (S6); files of one table that share a header line are read together and bound by name;
+3. the rows of a group are checked first, in one job that lists the files with a bad row; those are rejected and
+   the rest is appended, so one bad file never holds back another;
+4. files are archived under a free name after their append committed.
+
+The ledger (``_ingested_files``) gets a row "started" before an append and "stored" after it. Delivery is at least
+once, so a file that is started but not stored when it is seen again may have been appended: only then the target
+is searched for it (by ``_source_file`` and ``_batch_id``), and it is appended only if it is not there. A table that
+was built by the batch rebuild has no such columns; appends to it keep its schema and have no such guard.
+A rejected file stays where it is and is tried again when its content changes.
 """
 
 from __future__ import annotations
 
 import logging
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,125 +32,159 @@ from ..sources import schemas as SC
 log = logging.getLogger(__name__)
 
 REJECTED = "_rejected_files"
-PATHS_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+LEDGER = "_ingested_files"
+LEDGER_SCHEMA = "path string, length bigint, modified bigint, status string, batch_id bigint"
+BOOKKEEPING = ("_source_file", "_batch_id")
+FILES_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def _fs_for(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path)
-    return jvm, p.getFileSystem(conf), p
+    return jvm, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def read_header(spark: SparkSession, path: str) -> tuple[str, ...] | None:
-    """First line of a file, split on commas (header names only)."""
-    jvm, fs, p = _fs_for(spark, path)
-    stream = fs.open(p)
-    try:
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-        line = reader.readLine()
-    finally:
-        stream.close()
-    if line is None:
-        return None
-    return tuple(h.strip().strip('"').lstrip("﻿") for h in line.split(","))
+def read_headers(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """First line of every file, in one job; a file without a line is not in the result."""
+    lines = spark.read.option("wholetext", False).text(paths).select(
+        F.input_file_name().alias("path"), "value", F.input_file_block_start().alias("at"))
+    first = lines.where("at = 0").withColumn("n", F.monotonically_increasing_id()).groupBy("path").agg(F.min_by("value", "n").alias("header"))
+    return {_plain(r["path"]): r["header"].removeprefix("﻿") for r in first.collect()}
 
 
-def move_file(spark: SparkSession, src: str, archive_dir: str) -> bool:
-    jvm, fs, p = _fs_for(spark, src)
-    dest_dir = jvm.org.apache.hadoop.fs.Path(archive_dir)
-    fs.mkdirs(dest_dir)
-    return bool(fs.rename(p, jvm.org.apache.hadoop.fs.Path(dest_dir, p.getName())))
+def _plain(path: str) -> str:
+    """One spelling of a path: input_file_name() percent-encodes and writes ``file:///``."""
+    from urllib.parse import unquote
 
+    scheme, colon, rest = unquote(path).partition(":")
+    return f"{scheme}:/{rest.lstrip('/')}" if colon and scheme == "file" else (f"file:/{path.lstrip('/')}" if path.startswith("/") else unquote(path))
 
-def _base(path_col):
-    return F.regexp_extract(path_col, r"([^/]*)$", 1)
 
+def incoming_files(spark: SparkSession, incoming_dir: str) -> list[tuple[str, int, int]]:
+    """(path, length, modification time) of every CSV file that lies in the folder."""
+    jvm, fs, p = _fs_for(spark, incoming_dir)
+    if not fs.exists(p):
+        return []
+    return sorted((st.getPath().toString(), int(st.getLen()), int(st.getModificationTime())) for st in fs.listStatus(p)
+                  if st.isFile() and st.getPath().getName().endswith(".csv"))
 
-def _basename(path: str) -> str:
-    return path.rstrip("/").rsplit("/", 1)[-1]
 
+def _state(spark: SparkSession, path: str) -> tuple[str, int, int]:
+    _, fs, p = _fs_for(spark, path)
+    st = fs.getFileStatus(p)
+    return st.getPath().toString(), int(st.getLen()), int(st.getModificationTime())
 
-def _already_written(store: I.TableStore, table: str, batch_id: int, files: list[str]) -> set[str]:
-    """Base names of ``files`` that batch ``batch_id`` already appended (replay guard)."""
-    if not store.exists(table):
-        return set()
-    t = store.read(table)
-    if "_batch_id" not in t.columns:
+
+def archive_file(spark: SparkSession, src: str, archive_dir: str, modified: int) -> bool:
+    """Moves a file into the archive; if its name is taken there, the modification time is added to it."""
+    jvm, fs, p = _fs_for(spark, src)
+    folder = jvm.org.apache.hadoop.fs.Path(archive_dir)
+    fs.mkdirs(folder)
+    target, n = jvm.org.apache.hadoop.fs.Path(folder, p.getName()), 0
+    while fs.exists(target):
+        stem, dot, end = p.getName().rpartition(".")
+        target, n = jvm.org.apache.hadoop.fs.Path(folder, f"{stem}-{modified}{f'-{n}' if n else ''}{dot}{end}"), n + 1
+    return bool(fs.rename(p, target))
+
+
+def _ledger(store: I.TableStore, files: Iterable[tuple[str, int, int]]) -> dict[tuple[str, int, int], set[str]]:
+    """What the ledger says of some files."""
+    if not store.exists(LEDGER):
+        return {}
+    asked = store.spark.createDataFrame(list(files), "path string, length bigint, modified bigint")
+    rows = store.read(LEDGER).join(asked, ["path", "length", "modified"], "left_semi").collect()  # a few per file
+    out: dict[tuple[str, int, int], set[str]] = {}
+    for r in rows:
+        out.setdefault((r["path"], r["length"], r["modified"]), set()).add(r["status"])
+    return out
+
+
+def _note(store: I.TableStore, files: list[tuple[str, int, int]], status: str, batch_id: int) -> None:
+    if files:
+        store.write(store.spark.createDataFrame([(*f, status, batch_id) for f in files], LEDGER_SCHEMA).coalesce(1), LEDGER, "append")
+
+
+def _stored_already(store: I.TableStore, table: str, files: list[tuple[str, int, int]], known: dict) -> set[tuple[str, int, int]]:
+    """Files that were started earlier and whose rows are in the target."""
+    doubtful = [f for f in files if "started" in known.get(f, ())]
+    if not doubtful or not store.exists(table) or BOOKKEEPING[0] not in store.read(table).columns:
         return set()
-    names = [_basename(f) for f in files]
-    rows = (t.where((F.col("_batch_id") == batch_id) & _base(F.col("_source_file")).isin(names))
-            .select(_base(F.col("_source_file"))).distinct().collect())
-    return {r[0] for r in rows}
+    names = [f"{p}|{n}|{m}" for p, n, m in doubtful]
+    found = {r[0] for r in store.read(table).where(F.col(BOOKKEEPING[0]).isin(names)).select(BOOKKEEPING[0]).distinct().collect()}
+    return {f for f, name in zip(doubtful, names, strict=True) if name in found}
 
 
-def _log_rejects(store: I.TableStore, rows: list[tuple[str, str, int]]) -> None:
-    if not rows:
-        return
-    spark = store.spark
-    df = spark.createDataFrame(rows, "path string, reason string, batch_id bigint")
-    store.write(df.withColumn("logged_at", F.current_timestamp()), REJECTED, "append")
+def _bad_files(spark: SparkSession, parsed: DataFrame, spec: SC.TableSpec, paths: list[str], strict: bool) -> dict[str, str]:
+    """Files with a row that does not fit, and why (one aggregate over the group)."""
+    bad = {_plain(r["path"]): "quoted line break" for r in ([] if spec.multi_line else I.open_quotes(spark, paths).collect())}
+    if strict:
+        rows = parsed.where(F.col(I.PROBLEM).isNotNull()).groupBy(F.input_file_name().alias("path")).agg(F.min(I.PROBLEM).alias("why")).collect()
+        bad |= {_plain(r["path"]): r["why"] for r in rows}
+    return bad
 
 
-def process_batch(store: I.TableStore, archive_dir: str, paths: list[str], batch_id: int,
-                  strict: bool = True) -> dict:
-    """Ingest one batch of file paths. Returns ``{'appended': [...], 'rejected': [...]}``."""
+def process_batch(store: I.TableStore, archive_dir: str, files: list, batch_id: int, strict: bool = True) -> dict:
+    """Ingest some files, given by path or by (path, length, modification time). Returns
+    ``{'appended': [...], 'rejected': [...]}`` (paths)."""
     spark = store.spark
-    rejects: list[tuple[str, str, int]] = []
-    groups: dict[tuple[str, tuple], list[str]] = {}
-    for path in sorted(paths):
-        table = I.route_file(path)
-        if table is None:
-            rejects.append((path, "unrecognised file prefix", batch_id))
-            continue
-        try:
-            header = read_header(spark, path)
-        except Exception as e:  # noqa: BLE001
-            rejects.append((path, f"unreadable: {e}", batch_id))
-            continue
-        if not header:
-            rejects.append((path, "empty file", batch_id))
-            continue
-        groups.setdefault((table, header), []).append(path)
-
-    appended: list[str] = []
-    for (table, header), files in groups.items():
-        spec = SC.REGISTRY[table]
+    files = sorted(_state(spark, f) if isinstance(f, str) else f for f in files)
+    known = _ledger(store, files) if files else {}
+    settled = [f for f in files if "stored" in known.get(f, ())]  # stored, but not yet archived
+    rejects: list[tuple[tuple[str, int, int], str]] = []
+    groups: dict[tuple[str, str], list[tuple[str, int, int]]] = {}
+    todo = [f for f in files if not known.get(f, set()) & {"stored", "rejected"}]
+    headers = read_headers(spark, [f[0] for f in todo if I.route_file(f[0])]) if any(I.route_file(f[0]) for f in todo) else {}
+    for f in todo:
+        table, header = I.route_file(f[0]), headers.get(_plain(f[0]))
+        if table is None or not header:
+            rejects.append((f, "unrecognised file prefix" if table is None else "empty file"))
+        else:
+            groups.setdefault((table, header), []).append(f)
+
+    appended = list(settled)
+    for (table, _), group in groups.items():
+        spec = SC.spec_for(table)
         try:
-            df = I.load_file(spark, files, spec, strict)
-            all_cols, types = I.target_layout(store, spec)
-            # bookkeeping columns only where the table has them (or is new):
-            # a table built by the batch rebuild keeps one file schema
-            bookkeeping = "_batch_id" in all_cols or not store.exists(table)
-            cols = [c for c in all_cols if c not in ("_source_file", "_batch_id")]
-            problem = I.schema_problem(df.columns, cols)
-            if problem:
-                rejects.extend((f, problem, batch_id) for f in files)
-                continue
-            done = _already_written(store, table, batch_id, files) if bookkeeping else set()
-            todo = [f for f in files if _basename(f) not in done]
-            if todo:
-                out = I.align_to(df, cols, types)
-                if bookkeeping:
-                    out = (out.withColumn("_source_file", F.input_file_name())
-                           .withColumn("_batch_id", F.lit(batch_id).cast("bigint")))
-                    if done:
-                        out = out.where(~_base(F.col("_source_file")).isin(list(done)))
+            cols, types = I.target_layout(store, spec)
+            marked = BOOKKEEPING[0] in cols or not store.exists(table)
+            cols = [c for c in cols if c not in BOOKKEEPING]
+            parsed = I.parse_files(spark, [f[0] for f in group], spec)
+            problem = I.schema_problem([c for c in parsed.columns if c != I.PROBLEM], cols)
+            bad = dict.fromkeys((_plain(f[0]) for f in group), problem) if problem else _bad_files(spark, parsed, spec, [f[0] for f in group], strict)
+            rejects += [(f, bad[_plain(f[0])]) for f in group if _plain(f[0]) in bad]
+            good = [f for f in group if _plain(f[0]) not in bad]
+            there = _stored_already(store, table, good, known) if marked else set()
+            new = [f for f in good if f not in there]
+            if new:
+                _note(store, new, "started", batch_id)
+                rows = I.parse_files(spark, [f[0] for f in new], spec)
+                if marked:
+                    rows = rows.withColumn("_path", F.input_file_name())
+                out = I.align_to(rows.drop(I.PROBLEM), [*cols, "_path"] if marked else cols, types)
+                if marked:
+                    name = F.create_map(*[F.lit(x) for f in new for x in (_plain(f[0]), f"{f[0]}|{f[1]}|{f[2]}")])
+                    plain = F.regexp_replace(F.url_decode(F.replace("_path", F.lit("+"), F.lit("%2B"))), "^file:/*", "file:/")
+                    out = out.withColumn(BOOKKEEPING[0], name[plain]).withColumn(BOOKKEEPING[1], F.lit(batch_id).cast("bigint")).drop("_path")
                 store.write(out, table, "append")
-            appended.extend(files)
+            _note(store, good, "stored", batch_id)
+            appended += good
         except Exception as e:  # noqa: BLE001 - a bad group must not stop the others
-            log.exception("append failed for %s", files)
-            rejects.extend((f, f"append failed: {type(e).__name__}", batch_id) for f in files)
+            log.exception("append failed for %s", group)
+            rejects += [(f, f"append failed: {type(e).__name__}") for f in group if f not in appended]
 
     moved = []
-    for f in appended:
+    for path, _, modified in appended:
         try:
-            if move_file(spark, f, archive_dir):
-                moved.append(f)
-        except Exception:  # noqa: BLE001
-            log.exception("archive move failed for %s", f)
-    _log_rejects(store, rejects)
-    return {"appended": moved, "rejected": [r[0] for r in rejects]}
+            if archive_file(spark, path, archive_dir, modified):
+                moved.append(path)
+        except Exception:  # noqa: BLE001 - the ledger keeps it from being appended again
+            log.exception("archive move failed for %s", path)
+    if rejects:
+        rows = [(f[0], why, batch_id) for f, why in rejects]
+        frame = spark.createDataFrame(rows, "path string, reason string, batch_id bigint").withColumn("logged_at", F.current_timestamp())
+        store.write(frame, REJECTED, "append")
+        _note(store, [f for f, why in rejects if not why.startswith("append failed")], "rejected", batch_id)
+    return {"appended": moved, "rejected": [f[0] for f, _ in rejects]}
 
 
 def publish_parts(spark: SparkSession, staging_dir: str, incoming_dir: str, stem: str) -> list[str]:
@@ -175,9 +204,9 @@ def publish_parts(spark: SparkSession, staging_dir: str, incoming_dir: str, stem
     return out
 
 
-def path_stream(spark: SparkSession, incoming_dir: str, max_files_per_trigger: int = 1000) -> DataFrame:
-    """Streaming frame of new ``*.csv`` paths under ``incoming_dir``."""
-    return (spark.readStream.format("binaryFile").schema(PATHS_SCHEMA)
+def file_stream(spark: SparkSession, incoming_dir: str, max_files_per_trigger: int = 1000) -> DataFrame:
+    """Streaming frame of new ``*.csv`` files under ``incoming_dir`` (metadata)."""
+    return (spark.readStream.format("binaryFile").schema(FILES_SCHEMA)
             .option("pathGlobFilter", "*.csv")
             .option("maxFilesPerTrigger", max_files_per_trigger)
             .load(incoming_dir)
@@ -191,20 +220,19 @@ def start_file_ingest(spark: SparkSession, incoming_dir: str, store: I.TableStor
 
     ``available_now=True`` processes what is there and stops (batch-style
     runs, tests); otherwise it polls every ``interval``. Pass a stable
-    ``checkpoint`` path in the shared folder for a long-running ingest, so a
-    restart resumes where it stopped. Without one, a fresh directory is used,
-    and everything still in ``incoming_dir`` is offered again (appended files
-    are already archived, so only previously rejected ones reappear).
+    ``checkpoint`` path in the shared folder for a long-running ingest. Which
+    files are done is kept in the ledger, not in the checkpoint, so either
+    kind of start ingests each file once.
     """
     checkpoint = checkpoint or unique_dir(spark, "ingest-checkpoint")
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        paths = [r.path for r in batch.select("path").collect()]
-        if paths:
-            res = process_batch(store, archive_dir, paths, batch_id, strict)
+        files = incoming_files(spark, incoming_dir)
+        for first in range(0, len(files), max_files_per_trigger):
+            res = process_batch(store, archive_dir, files[first : first + max_files_per_trigger], batch_id, strict)
             log.info("batch %s: appended %d, rejected %d", batch_id, len(res["appended"]), len(res["rejected"]))
 
-    writer = (path_stream(spark, incoming_dir, max_files_per_trigger).writeStream
+    writer = (file_stream(spark, incoming_dir, max_files_per_trigger).writeStream
               .foreachBatch(on_batch).option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)
     return writer.start()

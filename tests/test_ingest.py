@@ -29,7 +29,7 @@ def test_alias_order_first_alias_wins(spark):
     df = spark.createDataFrame([("1", "2")], "order_id string, OrderID string")
     out = I.normalize_headers(df, SC.REGISTRY["sales"])
     assert out.columns == ["order_id", "orderid"]
-    assert I.header_mapping(["ORDER_ID", "qty"], SC.SALES_ALIASES) == {"ORDER_ID": "orderid", "qty": "quantity"}
+    assert I.header_mapping(["ORDER_ID", "qty"], SC.REGISTRY["sales"]) == {"ORDER_ID": "orderid", "qty": "quantity"}
 
 
 def test_routing_first_prefix_match():
@@ -39,11 +39,42 @@ def test_routing_first_prefix_match():
     assert I.route_file("campaigns_2025.csv") == "marketing_campaigns"
 
 
-def test_route_column_matches_python_rule(spark):
-    names = ["/in/sales_funnel_1.csv", "marketing_campaigns.csv", "/x/SALES_x.csv", "/a/delivery_1.csv"]
-    df = spark.createDataFrame([(n,) for n in names], "path string")
-    got = [r[0] for r in df.select(I.route_column("path")).collect()]
-    assert got == [I.route_file(n) for n in names]
+def test_competitor_prices_are_routed_rebuilt_and_refreshed(spark, tmp_path):
+    assert I.route_file("competitor_1.csv") == "competitors"
+    write(tmp_path / "competitor_data.csv", "Date,Competitor,ProductID,ProductName,Price,OnPromotion\n2025-03-04,Shop,P7,Tea,10.25,True\n")
+    store = I.TableStore(spark, str(tmp_path / "tables"))
+    assert I.bootstrap(store, str(tmp_path))["competitors"]
+    assert tuple(I.refresh_all(store)["competitors"].first()) == (dt.date(2025, 3, 4), "Shop", "P7", "Tea", Decimal("10.25"), True)
+
+
+def test_quotes_and_exact_numbers(spark, tmp_path):
+    f = write(tmp_path / "sales_q.csv", 'OrderID,ProductName,Quantity,GrossValue\n1,"Vitamin ""C"", 500mg",3.0,1e1\n2,short\n')
+    rows = {r.orderid: r for r in I.load_file(spark, f, SC.REGISTRY["sales"]).collect()}
+    assert rows["1"].productname == 'Vitamin "C", 500mg' and rows["1"].quantity == 3 and rows["1"].grossvalue == 10
+    assert rows["2"].productname == "short" and rows["2"].quantity is None
+    big = write(tmp_path / "funnel_b.csv", "Week,Visits\n2025-01-06,9007199254740993\n")
+    assert I.load_file(spark, big, SC.REGISTRY["sales_funnel"]).first().visits == 9007199254740993
+    out = str(tmp_path / "out")
+    I.write_csv(I.load_file(spark, f, SC.REGISTRY["sales"]).select("orderid", "productname"), out)
+    text = "".join(p.read_text() for p in (tmp_path / "out").glob("*.csv"))
+    assert '"Vitamin ""C"", 500mg"' in text
+
+
+@pytest.mark.parametrize("rows", ["1,2.7,1\n", "1,2,10.555\n", "1,x,1\n", "1,2,3,4\n", "1,2,3,\n", '1,2,"3\n4"\n'])
+def test_files_that_do_not_fit_are_refused(spark, tmp_path, rows):
+    store = I.TableStore(spark, str(tmp_path / "tables"))
+    bad = write(tmp_path / "sales_bad.csv", f"OrderID,Quantity,GrossValue\n9,1,1\n{rows}")
+    assert not I.append_file(store, bad) and not store.exists("sales")
+
+
+def test_quoted_line_breaks_are_a_choice(spark, tmp_path):
+    from dataclasses import replace
+
+    f = write(tmp_path / "customer_1.csv", 'CustomerID,City\n1,"two\nlines"\n2,x\n')
+    spec = replace(SC.REGISTRY["customers"], multi_line=True)
+    assert {r.customerid: r.city for r in I.load_file(spark, f, spec).collect()} == {"1": "two\nlines", "2": "x"}
+    with pytest.raises(ValueError):
+        I.load_file(spark, f, SC.REGISTRY["customers"])
 
 
 def test_strict_typing_raises_and_lenient_nulls(spark, tmp_path):
@@ -81,7 +112,11 @@ def test_safe_load_unknown_and_missing_tables(spark, tmp_path):
     assert missing.count() == 0 and missing.columns == list(SC.DELIVERY_TYPES)
     assert not store.exists("sales")
     assert I.load_predictions(store).columns == ["customerid", "churn_probability"]
-    assert set(I.refresh_all(store)) == set(SC.REGISTRY)
+    assert set(I.refresh_all(store)) == set(SC.INGESTED)
+    assert (I.load(store, "not_a_table").status, I.load(store, "sales").status) == ("unregistered", "missing")
+    (tmp_path / "empty" / "sales").mkdir(parents=True)
+    (tmp_path / "empty" / "sales" / "part-0.parquet").write_text("no parquet")
+    assert I.load(store, "sales").status == "unreadable" and I.load(store, "sales").frame.count() == 0
 
 
 def test_bootstrap_skips_missing_masters(spark, tmp_path):

@@ -39,13 +39,50 @@ def test_replayed_batch_does_not_duplicate(spark, tmp_path):
     p.write_text(HEADER + "A9,2025-01-01 10:00:00,P1,1,10,1,4,C1,web\n")
     store = I.TableStore(spark, str(tmp_path / "tables"))
     path = "file:" + str(p)
-    FI.process_batch(store, str(tmp_path / "arch"), [path], batch_id=7)
-    # replay of the same batch id: the file is back (e.g. the move had not happened yet)
-    p.write_text(HEADER + "A9,2025-01-01 10:00:00,P1,1,10,1,4,C1,web\n")
-    FI.process_batch(store, str(tmp_path / "arch2"), [path], batch_id=7)
+    state = FI._state(spark, path)
+    FI.process_batch(store, str(tmp_path / "arch"), [state], batch_id=7)
+    # the same file is back: its move had not happened yet
+    os.rename(tmp_path / "arch" / "sales_9.csv", p)
+    assert FI._state(spark, path) == state
+    FI.process_batch(store, str(tmp_path / "arch"), [state], batch_id=7)
+    assert store.read("sales").count() == 1 and not p.exists()
+    # the crash came between the append and its ledger row
+    os.rename(tmp_path / "arch" / "sales_9.csv", p)
+    ledger = store.read(FI.LEDGER).where("status = 'started'").collect()
+    store.write(spark.createDataFrame(ledger, FI.LEDGER_SCHEMA), "copy", "overwrite")
+    store.write(store.read("copy"), FI.LEDGER, "overwrite")
+    FI.process_batch(store, str(tmp_path / "arch"), [state], batch_id=8)
     assert store.read("sales").count() == 1
 
 
+def test_a_bad_file_does_not_hold_back_a_good_one(spark, tmp_path):
+    inc, store = tmp_path / "in", I.TableStore(spark, str(tmp_path / "tables"))
+    inc.mkdir()
+    (inc / "sales_good 1.csv").write_text(HEADER + "A1,2025-01-01 10:00:00,P1,1,10,1,4,C1,web\n")
+    (inc / "sales_bad.csv").write_text(HEADER + "A2,no date,P1,1,10,1,4,C1,web\n")
+    (inc / "sales_long.csv").write_text(HEADER + "A3,2025-01-01 10:00:00,P1,1,10,1,4,C1,web,extra\n")
+    (inc / "competitor_1.csv").write_text("Competitor,ProductName,Price\nShop,Tea,2\n")
+    FI.run_once(spark, str(inc), store, str(tmp_path / "archive"))
+    assert [r.orderid for r in store.read("sales").collect()] == ["A1"] and store.read("competitors").count() == 1
+    assert sorted(os.listdir(inc)) == ["sales_bad.csv", "sales_long.csv"]
+    reasons = {os.path.basename(r.path): r.reason for r in store.read(FI.REJECTED).collect()}
+    assert "timestamp" in reasons["sales_bad.csv"] and "more fields" in reasons["sales_long.csv"]
+    (inc / "sales_bad.csv").write_text(HEADER + "A2,2025-01-02 10:00:00,P1,1,10,1,4,C1,web\n")  # mended
+    FI.run_once(spark, str(inc), store, str(tmp_path / "archive"))
+    assert sorted(r.orderid for r in store.read("sales").collect()) == ["A1", "A2"]
+
+
+def test_the_same_name_next_day_is_a_new_file(spark, tmp_path):
+    inc, store = tmp_path / "in", I.TableStore(spark, str(tmp_path / "tables"))
+    inc.mkdir()
+    for day in (1, 2):
+        (inc / "sales_daily.csv").write_text(HEADER + f"D{day},2025-01-0{day} 10:00:00,P1,1,10,1,4,C1,web\n")
+        os.utime(inc / "sales_daily.csv", (1_700_000_000 + day, 1_700_000_000 + day))
+        FI.run_once(spark, str(inc), store, str(tmp_path / "archive"))
+    assert sorted(r.orderid for r in store.read("sales").collect()) == ["D1", "D2"]
+    assert len(os.listdir(tmp_path / "archive")) == 2 and not os.listdir(inc)
+
+
 def test_polling_trigger_picks_up_new_files(spark, tmp_path):
     inc = tmp_path / "poll"
     inc.mkdir()
