@@ -112,7 +112,7 @@ def dedup_chunks(docs: DataFrame) -> DataFrame:
         _digests, "_order bigint, _text bigint, _at int, _size int, _name binary"), "chunks")
     first = (chunks.groupBy("_name").agg(F.min(F.struct("_order", "_at")).alias("_first"), F.count(F.lit(1)).alias("_n"))
              .where("_n > 1").select("_name", "_first"))
-    lost = (chunks.join(first, "_name").where(F.col("_first") != F.struct("_order", "_at"))
-            .groupBy("_order", "_text").agg(F.collect_set(F.struct("_at", "_size")).alias("_spans")))
+    lost = C.saved(chunks.join(first, "_name").where(F.col("_first") != F.struct("_order", "_at"))
+            .groupBy("_order", "_text").agg(F.collect_set(F.struct("_at", "_size")).alias("_spans")), "lost-chunks")
     return rows.join(lost, ["_order", "_text"], "left").select("doc_id", "text", "_spans").mapInArrow(
         _cut, "doc_id bigint, n_bytes bigint, n_removed bigint, spans array<struct<_at:int,_size:int>>, kept binary")
