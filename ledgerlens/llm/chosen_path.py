@@ -38,7 +38,7 @@ SHINGLE = 5
 SIMILARITY = (4, 5)  # 0.8, as a fraction for exact comparison
 RECALL = 0.9999
 COORDINATES = 64
-LEAF = 64
+LEAF = 1024
 #: Equal tokens: for a candidate in a leaf, for a link to a pivot, and for leaving the bucket after that.
 LEAF_LINK, PIVOT_LINK, PIVOT_LEAVE = 38, 28, 45
 TILE_SETS, TILE_BYTES = 1024, 4 << 20
@@ -100,21 +100,16 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["_order", "_digest", "_set", "_size", "_sketch"])
 
 
-def _forest(pairs: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the given pairs."""
-    root, out = list(range(n)), []
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for a, b in pairs.tolist():
-        ra, rb = find(a), find(b)
-        if ra != rb:
-            root[max(ra, rb)] = min(ra, rb)
-            out.append((a, b))
+def _forest(adjacent: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of a symmetric relation; earlier members stand first."""
+    label, out = np.arange(len(adjacent)), []
+    for i in range(len(adjacent)):
+        others = np.flatnonzero(adjacent[i, i + 1 :]) + i + 1
+        others = others[label[others] != label[i]]
+        if len(others):
+            roots, first = np.unique(label[others], return_index=True)
+            out += [(i, j) for j in others[first].tolist()]
+            label[np.isin(label, roots)] = label[i]
     return out
 
 
@@ -124,12 +119,15 @@ def _leaf_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in batch.column("_group"):
             ids = group.values.field("id").to_numpy()
             tokens = group.values.field("_sketch").flatten().to_numpy().reshape(len(ids), COORDINATES)
-            if len(ids) < 2:
-                continue
-            same = (tokens[:, None, :] == tokens[None, :, :]).sum(axis=2)
-            for a, b in _forest(np.argwhere(np.triu(same >= LEAF_LINK, 1)), len(ids)):
-                u.append(ids[a])
-                v.append(ids[b])
+            order = np.argsort(ids)
+            ids, tokens = ids[order], tokens[order]
+            near = np.zeros((len(ids), len(ids)), bool)
+            for first in range(0, len(ids), 64):
+                part = tokens[first : first + 64, None, :] == tokens[None, first:, :]
+                near[first : first + 64, first:] = part.sum(axis=2) >= LEAF_LINK
+            for a, b in _forest(near):
+                u.append(ids[b])
+                v.append(ids[a])
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
@@ -154,34 +152,33 @@ def _roots(sets: DataFrame, runs: int, seed: int) -> DataFrame:
     return sets.select(F.explode(F.array(*paths)).alias("node"), "id")
 
 
-def candidate_links(sets: DataFrame, recall: float = RECALL, leaf: int = LEAF, seed: int = 1) -> DataFrame:
+def candidate_links(sets: DataFrame, recall: float = RECALL, leaf: int | None = None, seed: int = 1) -> DataFrame:
     """(u, v) links between sets (id, _sketch) that may be similar; only a forest of each bucket."""
+    leaf = leaf or LEAF
     rows, leaves, links = _roots(sets, runs_needed(recall), seed), [], []
     sketch = sets.select("id", "_sketch")
     while True:
-        counts = C.saved(rows.groupBy("node").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "bucket-sizes")
-        small = rows.join(counts.where(F.col("_n") <= leaf).select("node"), "node")
+        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("_pivot")).where("_n > 1")
+        met = C.saved(rows.join(sizes, "node"), "buckets")
         # the same few sets meet in many runs; they are compared once
-        leaves.append(small.groupBy("node").agg(F.sort_array(F.collect_list("id")).alias("_ids")).select("_ids").distinct())
-        large = counts.where(F.col("_n") > leaf).select("node")
+        leaves.append(met.where(F.col("_n") <= leaf).groupBy("node").agg(F.sort_array(F.collect_list("id")).alias("_ids")).select("_ids"))
+        large = met.where(F.col("_n") > leaf)
         if large.isEmpty():
             break
-        rows = C.saved(rows.join(large, "node").join(sketch, "id"), "buckets")
-        pivots = rows.groupBy("node").agg(F.min(F.struct(F.xxhash64("node", "id").alias("_draw"), "id", "_sketch")).alias("_pivot"))
-        pivots = pivots.select("node", F.col("_pivot.id").alias("_pivot_id"), F.col("_pivot._sketch").alias("_pivot_sketch"))
-        near = C.saved(rows.join(pivots, "node").withColumn("_same", _equal_tokens("_sketch", "_pivot_sketch"))
-                       .drop("_pivot_sketch"), "buckets")
-        links.append(near.where((F.col("_same") >= PIVOT_LINK) & (F.col("id") != F.col("_pivot_id")))
-                     .select(F.col("id").alias("u"), F.col("_pivot_id").alias("v")).distinct())
-        rows = _children(near.where((F.col("_same") < PIVOT_LEAVE) & (F.col("id") != F.col("_pivot_id"))))
+        # the smallest id is the pivot, so a group of copies has the same one in most buckets of all runs
+        pivots = large.select(F.col("_pivot").alias("id")).distinct().join(sketch, "id").select(F.col("id").alias("_pivot"), F.col("_sketch").alias("_pivot_sketch"))
+        near = C.saved(large.join(sketch, "id").join(pivots, "_pivot").withColumn("_same", _equal_tokens("_sketch", "_pivot_sketch"))
+                       .drop("_pivot_sketch").where(F.col("id") != F.col("_pivot")), "near-pivots")
+        links.append(near.where(F.col("_same") >= PIVOT_LINK).select(F.col("id").alias("u"), F.col("_pivot").alias("v")).distinct())
+        rows = _children(near.where(F.col("_same") < PIVOT_LEAVE))
     groups = reduce(DataFrame.unionByName, leaves).distinct().select(F.xxhash64("_ids").alias("_leaf"), F.explode("_ids").alias("id"))
     compared = (groups.join(sketch, "id").groupBy("_leaf").agg(F.collect_list(F.struct("id", "_sketch")).alias("_group"))
                 .select("_group").mapInArrow(_leaf_links, "u bigint, v bigint"))
     return reduce(DataFrame.unionByName, links, compared).distinct()
 
 
-def exact_links(sets: list[np.ndarray], left: np.ndarray) -> np.ndarray:
-    """Pairs (a < b) of similar sets; ``left`` marks the first of two tiles (all equal: one tile, all pairs)."""
+def exact_links(sets: list[np.ndarray], tile: np.ndarray) -> np.ndarray:
+    """Which sets are similar, as a symmetric matrix; only pairs across tiles if ``tile`` names two of them."""
     sizes = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(len(sets)), sizes)
     _, which, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -197,27 +194,28 @@ def exact_links(sets: list[np.ndarray], left: np.ndarray) -> np.ndarray:
         held[owner[a:b], columns[a:b] - first] = 1
         common += held @ held.T
     union = sizes[:, None] + sizes[None, :] - common
-    similar = np.triu(SIMILARITY[1] * common >= SIMILARITY[0] * union, 1)
-    if not (left == left[0]).all():
-        similar &= left[:, None] != left[None, :]
-    return np.argwhere(similar)
+    similar = SIMILARITY[1] * common >= SIMILARITY[0] * union
+    np.fill_diagonal(similar, False)
+    if not (tile == tile[0]).all():
+        similar &= tile[:, None] != tile[None, :]
+    return similar
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, others, counts = [], [], []
         for group in batch.column("_group").to_pylist():
+            group.sort(key=lambda g: g["id"])
             sets = shingle_sets([(g["text"] or "").encode() for g in group])
-            pairs = exact_links(sets, np.array([g["_tile"] for g in group]))
-            copies = np.array([g["_copies"] for g in group])
-            linked = np.bincount(pairs[:, 0], copies[pairs[:, 1]], len(group)) + np.bincount(pairs[:, 1], copies[pairs[:, 0]], len(group))
+            similar = exact_links(sets, np.array([g["_tile"] for g in group]))
+            linked = similar @ np.array([g["_copies"] for g in group])
             for i in np.flatnonzero(linked):
                 ids.append(group[i]["id"])
                 others.append(None)
                 counts.append(int(linked[i]))
-            for a, b in _forest(pairs, len(group)):
-                ids.append(group[a]["id"])
-                others.append(group[b]["id"])
+            for a, b in _forest(similar):
+                ids.append(group[b]["id"])
+                others.append(group[a]["id"])
                 counts.append(0)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(others, pa.int64()), pa.array(counts, pa.int64())],
                                          names=["id", "other", "n"])

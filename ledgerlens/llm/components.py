@@ -20,7 +20,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         moved = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:  # in small steps every edge points from the larger to the smaller node
         moved = joined.select("v", "m").unionByName(low.select(F.col("u").alias("v"), "m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.where("u <> v").distinct()
+    moved = moved.where("u <> v")
+    return moved if large else moved.distinct()
 
 
 def connected(edges: DataFrame) -> DataFrame:

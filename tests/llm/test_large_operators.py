@@ -170,7 +170,9 @@ def _near_copies():
     return texts
 
 
-def test_every_link_and_class(spark, documents):
+@pytest.mark.parametrize("leaf", [1024, 40])
+def test_every_link_and_class(spark, documents, monkeypatch, leaf):
+    monkeypatch.setattr(chosen_path, "LEAF", leaf)
     texts = _near_copies()
     got = Counter((r.doc_id, r.class_id, r.n_links) for r in chosen_path.classes(documents(texts)).collect())
     expect = Counter((doc, c, n) for (doc, _), (c, n) in zip(texts, _linked(texts), strict=True))
