@@ -6,9 +6,11 @@ Notes on parity with the reference (a scikit-learn script):
 - The label is ``recency > 180`` while ``recency`` is also a feature, so the
   model leaks by construction. Kept for parity; ``exclude_recency=True``
   trains without it.
-- The split is a hash of the customer id (stable across runs and cluster
-  sizes) applied per class, so each class is split ~70/30; membership cannot
+- The split is an MD5 of the customer id and its class (stable across runs,
+  cluster sizes and engines), so each class is split ~70/30; membership cannot
   equal scikit-learn's shuffled split.
+- A missing measure (a basket without net sales, a customer without a join
+  date) counts as 0 in training and scoring; no row is dropped.
 - Spark's StandardScaler divides by the sample standard deviation and its
   logistic regression does not penalise the intercept; scikit-learn's
   liblinear does both differently. With ``regParam = 1 / n_train`` and
@@ -87,12 +89,23 @@ def checkpointed(features: DataFrame) -> DataFrame:
     return features.checkpoint(eager=True)
 
 
+def in_training(train_share: int = TRAIN_SHARE, seed: int = SEED):
+    """P6 as a condition: the first 8 hex digits of an MD5, modulo 10, below the share. Every row decides alone."""
+    name = F.concat_ws("|", F.col("customerid").cast("string"), F.lit(str(seed)), F.col("churn").cast("string"))
+    return F.pmod(F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("bigint"), F.lit(10)) < train_share
+
+
 def split_train_test(features: DataFrame, train_share: int = TRAIN_SHARE, seed: int = SEED):
     """Deterministic hash split, applied within each label (stratified in
-    expectation). No sort, no per-label window: every row decides alone."""
-    bucket = F.pmod(F.xxhash64(F.col("customerid").cast("string"), F.lit(seed), F.col("churn")), F.lit(10))
-    tagged = features.withColumn("_train", bucket < train_share)
-    return tagged.where("_train").drop("_train"), tagged.where(~F.col("_train")).drop("_train")
+    expectation). No sort, no per-label window."""
+    train = in_training(train_share, seed)
+    return features.where(train), features.where(~train)
+
+
+def split_counts(features: DataFrame) -> DataFrame:
+    """Customers per label and part (``train``, ``test``)."""
+    part = F.when(in_training(), F.lit("train")).otherwise(F.lit("test"))
+    return features.groupBy("churn", part.alias("part")).agg(F.count(F.lit(1)).cast("bigint").alias("customers"))
 
 
 def class_weights(train: DataFrame) -> DataFrame:
@@ -102,11 +115,24 @@ def class_weights(train: DataFrame) -> DataFrame:
     return counts.select("churn", (total.cast("double") / (F.lit(2.0) * F.col("_nc"))).alias("class_weight"))
 
 
+def filled(features: DataFrame) -> DataFrame:
+    """Features without nulls, as the model reads them."""
+    return features.fillna(0.0, subset=FEATURES)
+
+
+def scaler_stats(train: DataFrame) -> DataFrame:
+    """Mean and sample standard deviation of every feature over the training rows, in one pass."""
+    rows = filled(train)
+    one = rows.agg(*[f(F.col(c).cast("double")).alias(f"{n}_{c}") for c in FEATURES for n, f in (("m", F.avg), ("s", F.stddev_samp))])
+    stats = F.array(*[F.struct(F.lit(c).alias("feature"), F.round(f"m_{c}", 4).alias("mean"), F.round(f"s_{c}", 4).alias("std")) for c in FEATURES])
+    return one.select(F.inline(stats))
+
+
 def fit_churn_model(train: DataFrame, exclude_recency: bool = False) -> PipelineModel:
     """P7 + P8: assemble -> standardise (train statistics) -> weighted L2
     logistic regression with ``regParam = 1 / n_train`` (C = 1)."""
     feats = [f for f in FEATURES if not (exclude_recency and f == "recency")]
-    weighted = train.join(F.broadcast(class_weights(train)), "churn", "inner")  # 2-row side
+    weighted = train.join(class_weights(train), "churn", "inner")  # one row a label
     n_train = weighted.count()
     if n_train == 0:
         raise ValueError("no training rows")
@@ -116,12 +142,12 @@ def fit_churn_model(train: DataFrame, exclude_recency: bool = False) -> Pipeline
         LogisticRegression(featuresCol="_scaled", labelCol="churn", weightCol="class_weight",
                            regParam=1.0 / n_train, elasticNetParam=0.0, standardization=False, maxIter=100),
     ])
-    return pipe.fit(weighted.fillna(0.0, subset=["avg_basket_value"]))
+    return pipe.fit(filled(weighted))
 
 
 def score(model: PipelineModel, features: DataFrame) -> DataFrame:
     """P10: ``customerid``, predicted class and churn probability."""
-    out = model.transform(features.fillna(0.0, subset=["avg_basket_value"]))
+    out = model.transform(filled(features))
     return out.select("customerid", "churn",
                       F.col("prediction").cast("int").alias("prediction"),
                       vector_to_array("probability")[1].alias("churn_probability"))

@@ -11,6 +11,7 @@ and streaming ingest round-trips; the three that train a model have none
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -643,7 +644,7 @@ def _features(spark, sf_dir):
     return CH.churn_features(_sales(spark, sf_dir, with_part=False, with_city=False), _customers(spark, sf_dir))
 
 
-@query("churn_features", O.with_(O.SALES, O.CUSTOMERS) + f"""
+_FEATURES_SQL = O.with_(O.SALES, O.CUSTOMERS) + f"""
 , snap AS (SELECT MAX("timestamp") + INTERVAL 1 DAY AS t FROM sales_e),
 pc AS (SELECT customerid, MAX("timestamp") AS last_ts, COUNT(DISTINCT orderid) AS frequency,
               COALESCE(SUM(netsale), 0) AS money, SUM(netsale) AS net, COUNT(netsale) AS net_n,
@@ -658,16 +659,61 @@ f AS (SELECT pc.customerid,
              CASE WHEN c.segment = 'Silver' THEN 1 ELSE 0 END AS segment_silver,
              CASE WHEN c.segment = 'Gold' THEN 1 ELSE 0 END AS segment_gold
       FROM pc JOIN customers c ON pc.customerid = c.customerid CROSS JOIN snap s)
-SELECT *, CASE WHEN recency > {CH.CHURN_DAYS} THEN 1 ELSE 0 END AS churn FROM f""")
+SELECT *, CASE WHEN recency > {CH.CHURN_DAYS} THEN 1 ELSE 0 END AS churn FROM f"""
+
+
+@query("churn_features", _FEATURES_SQL)
 def q_churn_features(spark, sf_dir):
     return _features(spark, sf_dir)
 
 
+def _split_sql(rest: str) -> str:
+    """The features with the part that the split gives them, then ``rest``."""
+    return _FEATURES_SQL.replace("\nSELECT *, CASE", ",\nlabelled AS (SELECT *, CASE") + f"""),
+parts AS (SELECT *, CAST('0x' || substr(md5(CAST(customerid AS VARCHAR) || '|{CH.SEED}|' || CAST(churn AS VARCHAR)), 1, 8) AS BIGINT)
+  % 10 < {CH.TRAIN_SHARE} AS training FROM labelled)
+""" + rest
+
+
+@query("churn_split_counts", _split_sql("""
+SELECT churn, CASE WHEN training THEN 'train' ELSE 'test' END AS part, COUNT(*) AS customers FROM parts GROUP BY ALL"""))
+def q_churn_split_counts(spark, sf_dir):
+    return CH.split_counts(_features(spark, sf_dir))
+
+
+@query("churn_class_weights", _split_sql("""
+SELECT churn, CAST((SELECT COUNT(*) FROM parts WHERE training) AS DOUBLE) / (2.0 * COUNT(*)) AS class_weight
+FROM parts WHERE training GROUP BY churn"""))
+def q_churn_class_weights(spark, sf_dir):
+    return CH.class_weights(CH.split_train_test(_features(spark, sf_dir))[0])
+
+
+@query("churn_scaler_stats", _split_sql("\nUNION ALL ".join(
+    f"SELECT '{c}' AS feature, round(AVG(CAST(COALESCE({c}, 0) AS DOUBLE)), 4) AS mean, "
+    f"round(stddev_samp(CAST(COALESCE({c}, 0) AS DOUBLE)), 4) AS std FROM parts WHERE training" for c in CH.FEATURES)))
+def q_churn_scaler_stats(spark, sf_dir):
+    return CH.scaler_stats(CH.split_train_test(_features(spark, sf_dir))[0])
+
+
+@query("churn_support", _split_sql("""
+SELECT churn AS label, COUNT(*) AS support FROM parts WHERE NOT training GROUP BY churn"""))
+def q_churn_support(spark, sf_dir):
+    """The labels of the test set, as the evaluation of a trained model counts them."""
+    model, _, test = _trained(spark, sf_dir)
+    return CH.evaluation(CH.score(model, test)).where("support > 0").select("label", "support")
+
+
+_MODELS: dict = {}
+
+
 def _trained(spark, sf_dir):
-    feats = CH.checkpointed(_features(spark, sf_dir))
-    train, test = CH.split_train_test(feats)
-    model = CH.fit_churn_model(train)
-    return model, feats, test
+    """Model, features and test set; trained once for the inputs as they are."""
+    key = (spark.sparkContext.applicationId, sf_dir, W.signature(W.input_state(spark, sf_dir, W.LINE_INPUTS)))
+    if key not in _MODELS:
+        feats = CH.checkpointed(_features(spark, sf_dir))
+        train, test = CH.split_train_test(feats)
+        _MODELS[key] = (CH.fit_churn_model(train), feats, test)
+    return _MODELS[key]
 
 
 @query("churn_confusion")
@@ -718,22 +764,72 @@ def q_high_risk_customers(spark, sf_dir):
     return CH.high_risk_customers(_predictions(spark, sf_dir))
 
 
+# ----------------------------------------------------------------------------- KPI text (E14), empty ranges (F8)
+
+#: DuckDB formats of the KPI styles.
+_SQL_STYLES = {"amount": "{:,.2f} SAR", "percent": "{:.2f}%", "multiple": "{:.2f}x", "days": "{:.2f} Days", "count": "{:,}"}
+
+TAB_STYLES = {
+    "delivery_kpis": {"on_time_rate": "percent", "avg_delivery_days": "days", "failed_rate": "percent", "avg_delivery_cost": "amount"},
+    "customer_status_counts": {"total_customers": "count", "active_customers": "count", "dormant_customers": "count",
+                               "churn_risk_customers": "count", "new_customers": "count"},
+    "marketing_totals": {"total_spend": "amount", "total_revenue": "amount", "overall_roas": "multiple", "avg_cpa": "amount"},
+    "profit_kpis": {"total_net_profit": "amount", "avg_profit_margin": "percent", "profit_lost_to_returns": "amount"},
+    "risk_bands": {"customers": "count"},
+}
+
+
+def _register_text(name: str, styles: dict) -> None:
+    texts = ", ".join(f"COALESCE(format('{_SQL_STYLES[kind]}', {c}), '-') AS {c}_text" for c, kind in styles.items())
+    extra = ["band"] if name == "risk_bands" else []
+
+    @query(f"{name}_text", f"SELECT {', '.join([*extra, texts])} FROM ({ORACLE[name]}) k")
+    def q_text(spark, sf_dir):
+        return X.with_kpi_text(QUERIES[name](spark, sf_dir), styles).select(*extra, *[f"{c}_text" for c in styles])
+
+
+for _name, _styles in TAB_STYLES.items():
+    _register_text(_name, _styles)
+
+
+_KPI_MEASURES = ("total_revenue", "total_cogs", "net_profit", "gross_margin", "total_orders", "aov", "returned_orders", "return_rate")
+
+
+@query("sales_kpis_no_data", O.with_(O.SALES) + f"""
+, k AS ({_KPI_SQL.replace("{where}", "date BETWEEN DATE '1900-01-01' AND DATE '1900-12-31'")})
+SELECT row_count, {", ".join(f"CASE WHEN row_count > 0 THEN {c} END AS {c}" for c in _KPI_MEASURES)} FROM k""")
+def q_sales_kpis_no_data(spark, sf_dir):
+    """F8: a range without sales gives row_count 0 and null measures."""
+    return S.sales_kpis(S.filter_sales(_sales(spark, sf_dir, with_city=False, start="1900-01-01", end="1900-12-31"), "1900-01-01", "1900-12-31"))
+
+
 # ----------------------------------------------------------------------------- ingest and streaming
 
-def _write_masters(spark, sf_dir, source_dir):
-    """The driver tables written as reference-style master CSV files."""
+def _masters(spark, sf_dir) -> dict[str, DataFrame]:
     t = A.DriverTables(spark, sf_dir)
-    frames = {
+    # a quote and a comma in every third name, so that the files have quoted fields
+    return {
         "sales": A.sales(t),
         "deliveries": A.deliveries(t),
         "customers": A.customers(t),
         "sales_funnel": A.sales_funnel(t),
         "marketing_campaigns": A.marketing_campaigns(t),
         "marketing_attribution": A.marketing_attribution(t),
+        "competitors": A.competitors(t).withColumn("productname", F.when(
+            F.col("productid") % 3 == 0, F.concat(F.lit('"'), "productname", F.lit('", big'))).otherwise(F.col("productname"))),
     }
-    for name, df in frames.items():
-        spec = SCH.REGISTRY[name]
-        ING.write_csv(ING.rename_headers(df, spec), f"{source_dir}/{spec.master_file}")
+
+
+def _rebuilt(spark, sf_dir, *names: str) -> ING.TableStore:
+    """Some tables written as reference-style master CSV files and rebuilt from them."""
+    root = unique_dir(spark, "ingest")
+    masters = _masters(spark, sf_dir)
+    for name in names:
+        spec = SCH.spec_for(name)
+        ING.write_csv(ING.rename_headers(masters[name], spec), f"{root}/masters/{spec.master_file}")
+    store = ING.TableStore(spark, f"{root}/tables")
+    ING.bootstrap(store, f"{root}/masters", {n: SCH.spec_for(n) for n in names})
+    return store
 
 
 _INGESTED_SALES_SQL = O.with_(O.SALES) + """
@@ -753,13 +849,74 @@ def _ingested(df: DataFrame) -> DataFrame:
 
 @query("ingest_roundtrip", _INGESTED_SALES_SQL)
 def q_ingest_roundtrip(spark, sf_dir):
-    """Tables -> master CSVs -> full rebuild -> safe load.
+    """Table -> master CSV -> full rebuild -> safe load.
     Ids come back as text (the declared CSV types); every value must survive."""
-    root = unique_dir(spark, "ingest")
-    _write_masters(spark, sf_dir, f"{root}/masters")
-    store = ING.TableStore(spark, f"{root}/tables")
-    ING.bootstrap(store, f"{root}/masters")
-    return _ingested(ING.load_table_safely(store, "sales"))
+    return _ingested(ING.load_table_safely(_rebuilt(spark, sf_dir, "sales"), "sales"))
+
+
+def _columns_sql(spec: SCH.TableSpec) -> str:
+    """The canonical columns of a table as the driver sees them after ingest."""
+    out = []
+    for c, kind in spec.types.items():
+        as_kind = {"string": "VARCHAR", "date": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP", "bigint": "BIGINT", "int": "INTEGER",
+                   "boolean": "BOOLEAN"}.get(kind, "DOUBLE")
+        out.append(f'CAST("{c}" AS {as_kind}) AS "{c}"')
+    return ", ".join(out)
+
+
+def _register_ingest(name: str, ctes: list[str], source: str) -> None:
+    @query(f"ingest_{name}", O.with_(*ctes) + f"SELECT {_columns_sql(SCH.spec_for(name))} FROM {source}")
+    def q_ingest(spark, sf_dir):
+        return _out(ING.load_table_safely(_rebuilt(spark, sf_dir, name), name).select(*SCH.spec_for(name).types))
+
+
+for _name, _ctes, _source in (
+        ("deliveries", [O.DELIVERIES], "deliveries"), ("customers", [O.CUSTOMERS], "customers"), ("sales_funnel", [O.FUNNEL], "funnel"),
+        ("marketing_campaigns", [O.CAMPAIGNS], "campaigns"), ("marketing_attribution", [O.CAMPAIGNS], "attribution"),
+        ("competitors", [O.COMPETITORS], """(SELECT NULL AS "date", competitor, productid, price, onpromotion,
+          CASE WHEN productid % 3 = 0 THEN '"' || productname || '", big' ELSE productname END AS productname FROM competitors)""")):
+    _register_ingest(_name, _ctes, _source)
+
+
+@query("refresh_counts", O.with_(O.CUSTOMERS, O.FUNNEL) + """
+SELECT 'customers' AS table_name, COUNT(*) AS row_count FROM customers UNION ALL SELECT 'sales_funnel', COUNT(*) FROM funnel
+UNION ALL SELECT unnest(['sales', 'deliveries', 'marketing_campaigns', 'marketing_attribution', 'competitors']), 0""")
+def q_refresh_counts(spark, sf_dir):
+    """Rows of every ingested table after a rebuild of two; the others are empty."""
+    frames = ING.refresh_all(_rebuilt(spark, sf_dir, "customers", "sales_funnel"))
+    counts = [df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).cast("bigint").alias("row_count")) for name, df in frames.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
+@query("predictions_stored", O.with_(O.PREDICTIONS) + """
+SELECT CAST(customerid AS VARCHAR) AS customerid, churn_probability FROM predictions""")
+def q_predictions_stored(spark, sf_dir):
+    """The score table, written and loaded again."""
+    store = ING.TableStore(spark, unique_dir(spark, "scores"))
+    store.write(_predictions(spark, sf_dir).withColumn("customerid", F.col("customerid").cast("string")), SCH.PREDICTIONS_TABLE, "overwrite")
+    return ING.load_predictions(store)
+
+
+_EXPORTS = ("top_value", "churn_risk", "new")
+
+
+@query("customer_exports", _status_sql() + """
+, x AS (SELECT 'top_value' AS list, * FROM status
+  UNION ALL SELECT 'churn_risk', * FROM status WHERE status = 'Churn Risk'
+  UNION ALL SELECT 'new', * FROM status WHERE status = 'New')
+SELECT list, CAST(customerid AS VARCHAR) AS customerid, city, segment, status, CAST(frequency AS VARCHAR) AS frequency FROM x
+UNION ALL SELECT 'high_risk', CAST(c_custkey AS VARCHAR), NULL, NULL, NULL, NULL FROM customer WHERE ((c_custkey * 7919) % 1000) / 1000.0 > 0.7""")
+def q_customer_exports(spark, sf_dir):
+    """The three customer lists and the high-risk list, exported as CSV and read back."""
+    root, status = unique_dir(spark, "exports"), _status(spark, sf_dir)
+    lists = {k: C.customer_list(status, k) for k in _EXPORTS} | {"high_risk": CH.high_risk_customers(_predictions(spark, sf_dir))}
+    columns, out = ["customerid", "city", "segment", "status", "frequency"], []
+    for name, df in lists.items():
+        path = ING.export_csv(df, root, name, day="2025-01-01")
+        if path:
+            out.append(ING.align_to(ING.read_csv(spark, path), columns).select(F.lit(name).alias("list"), *columns))
+    empty = spark.createDataFrame([], ", ".join(f"{c} string" for c in ["list", *columns]))
+    return reduce(DataFrame.unionByName, out, empty)
 
 
 @query("stream_ingest", _INGESTED_SALES_SQL)
