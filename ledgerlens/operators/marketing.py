@@ -19,7 +19,7 @@ def order_amounts(sales: DataFrame, mode: str = PAIRS) -> DataFrame:
     per order with the order's summed net sale.
 
     Both group on a superset of ``orderid``, so an order-partitioned input
-    needs no exchange here and the join below reuses the same partitioning.
+    needs no exchange here.
     """
     if mode == PAIRS:
         return sales.select("orderid", "netsale").distinct()
@@ -41,15 +41,23 @@ def campaign_performance(sales: DataFrame, campaigns: DataFrame, attribution: Da
     one total per order (null order = one group) and the join becomes
     many-to-one - no per-key pair explosion, even for a hot or null key.
     An attributed order with no sale still converts, adding 0.
+
+    The order stands in a struct, so that null orders match in a plain join;
+    amounts, join and conversions all use one partitioning by that key: the
+    lines move once, the attribution once, then one row a task and campaign.
     """
-    per_order = (order_amounts(sales, mode).groupBy("orderid")
-                 .agg(F.sum("netsale").alias("_amount"))
-                 .withColumnRenamed("orderid", "_oid"))
-    attributed = attribution.select("orderid", "campaignid").join(
-        per_order, F.col("orderid").eqNullSafe(F.col("_oid")), "left")
-    perf = (attributed.where(F.col("campaignid").isNotNull()).groupBy("campaignid")
+    if mode not in (PAIRS, ORDER):
+        raise ValueError(f"mode must be {PAIRS!r} or {ORDER!r}")
+    lines = sales.select(F.struct("orderid").alias("_order"), "netsale").repartition("_order")
+    if mode == PAIRS:
+        lines = lines.distinct()
+    per_order = lines.groupBy("_order").agg(F.sum("netsale").alias("_amount"))
+    attributed = attribution.where(F.col("campaignid").isNotNull()).select(F.struct("orderid").alias("_order"), "campaignid")
+    per_pair = (attributed.join(per_order, "_order", "left").groupBy("_order", "campaignid")
+                .agg(F.sum("_amount").alias("_amount")))
+    perf = (per_pair.groupBy("campaignid")
             .agg(F.coalesce(F.sum("_amount"), F.lit(0).cast("decimal(38,4)")).alias("_net"),
-                 F.count_distinct("orderid").cast("bigint").alias("_conv")))
+                 F.count("_order.orderid").cast("bigint").alias("_conv")))
     out = campaigns.join(perf, "campaignid", "left")
     nonempty = sales.select(F.lit(1)).exists() & attribution.select(F.lit(1)).exists()
     net = F.coalesce(F.col("_net"), F.lit(0).cast("decimal(38,4)"))

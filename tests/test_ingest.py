@@ -122,13 +122,13 @@ def test_safe_load_unknown_and_missing_tables(spark, tmp_path):
 def test_bootstrap_skips_missing_masters(spark, tmp_path):
     src = tmp_path / "src"
     src.mkdir()
-    write(src / "funnel_data.csv", "Week,Visits,Carts,Orders\n2025-01-06,10000,1000,250\n2025-01-13,12000,1200,300\n")
+    write(src / "funnel_data.csv", "Week,Visits,Carts,Orders\n2025-02-03,9100,870,240\n2025-02-10,8700,910,310\n")
     store = I.TableStore(spark, str(tmp_path / "tables"))
     done = I.bootstrap(store, str(src))
     assert done["sales_funnel"] and not done["sales"]
     f = I.load_table_safely(store, "sales_funnel")
-    assert sorted(tuple(r) for r in f.collect()) == [(dt.date(2025, 1, 6), 10000, 1000, 250),
-                                                     (dt.date(2025, 1, 13), 12000, 1200, 300)]
+    assert sorted(tuple(r) for r in f.collect()) == [(dt.date(2025, 2, 3), 9100, 870, 240),
+                                                     (dt.date(2025, 2, 10), 8700, 910, 310)]
 
 
 def test_export_writes_nothing_for_empty_result(spark, tmp_path):
