@@ -5,8 +5,8 @@ of open elements. Each block becomes a vector: hashed tokens of the tag path (el
 and role), hashed words of the whole text, and a few measures. The LSTM reads the sequence in both directions, so
 each label depends on the whole page. Everything is numpy; a batch of pages is run in step, longest first.
 
-The model is fitted on the driver on at most ``SAMPLE_PAGES`` pages (a bounded sample, the smallest page_id
-hashes). Their blocks are labelled by the page's own semantic elements, and dealt anew into ``TRAINING_PAGES``
+The model is fitted on the driver on about ``SAMPLE_PAGES`` pages, twice as many at most (a bounded sample by a
+hash of the page's key). Their blocks are labelled by the page's own semantic elements, and dealt anew into ``TRAINING_PAGES``
 layouts with other elements, class names and orders, so that the model reads layout and context rather than one
 template. Fitting is deterministic. All pages are labelled, each by its whole html, in one pass without a shuffle.
 
@@ -497,8 +497,12 @@ def train(sources: list[str], pages: int = TRAINING_PAGES, seed: int = 7) -> dic
 
 def extract(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> DataFrame:
     """One row per page: page_id, url, text (the main blocks, one a line), n_blocks, n_main."""
-    sample = pages.where("html IS NOT NULL").select("html", F.xxhash64("page_id", "html").alias("_draw")).orderBy("_draw").limit(sample_pages)
-    held = pages.sparkSession.sparkContext.broadcast(train([row["html"] for row in sample.collect()]))
+    # a share of the pages by a hash of their key: what reaches the driver does not grow with pages or tasks
+    total = max(1, pages.count())
+    draw = F.xxhash64("page_id", "url").bitwiseAND(F.lit((1 << 52) - 1))
+    sample = pages.where("html IS NOT NULL").where(draw < int(min(1.0, sample_pages / total) * (1 << 52))).select("html", draw.alias("_draw"))
+    rows = sorted(sample.limit(2 * sample_pages).collect(), key=lambda r: (r["_draw"], r["html"]))
+    held = pages.sparkSession.sparkContext.broadcast(train([row["html"] for row in rows]))
     return pages.select("page_id", "url", "html").mapInArrow(_labeller(held), _schema(pages))
 
 
