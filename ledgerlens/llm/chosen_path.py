@@ -271,8 +271,7 @@ def keep_one(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     of repeated rows any one). Documents without words stay."""
     found = similar(docs, recall).withColumn("_stays", F.col("_first") == F.struct("_order", "_digest"))
     found = found.groupBy("_order", "_digest").agg(F.max("_stays").alias("_stays"))
-    own = docs.withColumns({"_order": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)), "_digest": C.digest(C.whole_text())})
+    own = docs.select(C.as_struct(docs), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("_order"), C.digest(C.whole_text()).alias("_digest"))
     judged = own.join(found, ["_order", "_digest"], "left")
-    wordless = judged.where("_stays IS NULL")
     kept = judged.where("_stays").dropDuplicates(["_order", "_digest"])
-    return kept.unionByName(wordless).select(*[F.col(c) for c in docs.columns])
+    return kept.unionByName(judged.where("_stays IS NULL")).select("_doc.*")

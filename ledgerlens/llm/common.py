@@ -30,6 +30,11 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def as_struct(docs: DataFrame) -> Column:
+    """All columns of a row as ``_doc``, so that no helper column can clash with one of them; ``_doc.*`` unpacks it."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+
+
 def whole_text(col: str = "text") -> Column:
     """The text; null counts as empty."""
     return F.coalesce(F.col(col), F.lit(""))

@@ -136,7 +136,8 @@ def blocks(benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, block_w
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM,
          block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` with _n_words, _spans (sorted, disjoint word spans inside window occurrences) and _items."""
+    """``docs`` with _n_words, _spans (sorted, disjoint word spans inside window occurrences) and _items; columns of
+    these names that ``docs`` has are replaced."""
     if window < gram:
         raise ValueError("a window holds at least one gram")
     context, found, first = docs.sparkSession.sparkContext, docs, True

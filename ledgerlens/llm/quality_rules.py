@@ -42,11 +42,13 @@ def _without(text: Column, chars: str) -> Column:
     return F.char_length(F.translate(text, chars, ""))
 
 
+def _host(column: str) -> Column:
+    return F.coalesce(F.concat(F.lit("h"), F.col(column).cast("string")), F.lit("none"))
+
+
 def _keys(docs: DataFrame, host: str) -> DataFrame:
     """Whole text, host key and text digest of every document."""
-    host_key = F.coalesce(F.concat(F.lit("h"), F.col(host).cast("string")), F.lit("none"))
-    return docs.select(F.col("doc_id").alias("doc_id"), C.whole_text().alias("_text"), host_key.alias("_host"),
-                       C.digest(C.whole_text()).alias("_digest"))
+    return docs.select("doc_id", C.whole_text().alias("_text"), _host(host).alias("_host"), C.digest(C.whole_text()).alias("_digest"))
 
 
 def base_measures(keyed: DataFrame) -> DataFrame:
@@ -120,7 +122,5 @@ def _removed(keyed: DataFrame, max_docs: int, max_share: float) -> DataFrame:
 def keep(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
     """The documents that the rules keep, with all their columns."""
     verdict = (assess(docs, host, **limits).where("kept").select("_host", "_digest").distinct())
-    keyed = docs.withColumns({
-        "_host": F.coalesce(F.concat(F.lit("h"), F.col(host).cast("string")), F.lit("none")),
-        "_digest": C.digest(C.whole_text())})
-    return keyed.join(verdict, ["_host", "_digest"], "left_semi").select(*[keyed[c] for c in docs.columns])
+    keyed = docs.select(C.as_struct(docs), _host(host).alias("_host"), C.digest(C.whole_text()).alias("_digest"))
+    return keyed.join(verdict, ["_host", "_digest"], "left_semi").select("_doc.*")

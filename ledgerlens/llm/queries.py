@@ -65,8 +65,8 @@ SELECT d.doc_id, f.n_lines, f.n_dropped, sha256(f.kept) AS kept_sha256
 FROM (SELECT row_number() OVER () AS rowid, doc_id FROM documents) d JOIN folded f ON d.rowid = f.r""")
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_runs.drop_frequent_lines(C.table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"),
-                      F.sha2("text", 256).alias("kept_sha256"))
+    return out.select("_doc.doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"),
+                      F.sha2("_doc.text", 256).alias("kept_sha256"))
 
 
 _SQL_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"

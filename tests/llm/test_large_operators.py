@@ -259,12 +259,12 @@ def test_pipeline_stages(spark, tmp_path, documents):
     texts = good + [(20, good[0][1].replace(" ", " inserted ", 1), "s0"), (21, words_of(70, 77) + " " + leak, "s1"), (22, "too short", "s1"),
                     (23, None, "s2"), (24, "rep eat " * 60, "s2"), (1, good[1][1], "s1")]
     path = str(tmp_path)
-    documents(texts).drop("_text").write.parquet(f"{path}/documents.parquet")
+    documents(texts).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     docs, seen = spark.read.parquet(f"{path}/documents.parquet"), []
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = corpus_pipeline.C.saved(stage(spark, docs, path), "t")
-        assert out.columns == docs.columns
+        assert out.columns == docs.columns and out.where("_digest <> '_digest' OR _spans <> '_spans' OR id <> 'id'").count() == 0
         seen.append((name, sorted(x.doc_id for x in out.collect())))
         docs = out
     assert seen[0][1] == sorted([*range(12), 1, 20, 21])

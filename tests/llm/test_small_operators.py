@@ -153,8 +153,8 @@ def test_lines_in_many_documents_go(spark, documents):
         kept = [x for x in lines if held[_key(x)] < 4]
         expect[doc, len(lines), len(lines) - len(kept), "\n".join(kept)] += 1
     out = line_runs.drop_frequent_lines(documents(texts), min_docs=4, batches=5, fanout=2)
-    assert Counter((r.doc_id, r._n_lines, r._n_dropped, r.text) for r in out.collect()) == expect
-    assert out.columns[:6] == ["doc_id", "text", "lang", "source", "n_chars", "_text"]
+    assert Counter((r._doc.doc_id, r._n_lines, r._n_dropped, r._doc.text) for r in out.collect()) == expect
+    assert out.select("_doc.*").columns == documents([]).columns and {r._doc["_lost"] for r in out.collect()} == {"_lost"}
     assert line_runs.drop_frequent_lines(documents([])).count() == 0
 
 
