@@ -31,10 +31,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """n_chars, where the table has it, follows the new text."""
-    out = line_runs.drop_frequent_lines(docs).drop("_n_lines", "_n_dropped")
-    if "n_chars" not in docs.columns:
-        return out
-    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    doc = F.col("_doc")
+    if "n_chars" in docs.columns:
+        doc = doc.withField("n_chars", F.char_length("_doc.text").cast(docs.schema["n_chars"].dataType))
+    return line_runs.drop_frequent_lines(docs).select(doc.alias("_doc")).select("_doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +42,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.hits(docs, C.table(spark, sf_dir, "benchmark"))
-    return found.where(F.size("_spans") == 0).select(*docs.columns)
+    found = decontaminate.hits(docs.select(C.as_struct(docs), "text"), C.table(spark, sf_dir, "benchmark"))
+    return found.where(F.size("_spans") == 0).select("_doc.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
