@@ -121,6 +121,7 @@ def _removed(keyed: DataFrame, max_docs: int, max_share: float) -> DataFrame:
 
 def keep(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
     """The documents that the rules keep, with all their columns."""
-    verdict = (assess(docs, host, **limits).where("kept").select("_host", "_digest").distinct())
+    # written first: a filter on the verdict would be pushed through the measures and repeat their expressions
+    verdict = C.saved(assess(docs, host, **limits).select("_host", "_digest", "kept").distinct(), "verdicts").where("kept")
     keyed = docs.select(C.as_struct(docs), _host(host).alias("_host"), C.digest(C.whole_text()).alias("_digest"))
     return keyed.join(verdict, ["_host", "_digest"], "left_semi").select("_doc.*")
