@@ -100,7 +100,9 @@ def common_lines(lines: DataFrame, max_docs: int = MAX_DOCS, max_share: float =
 
 def assess(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE,
            min_left: float = MIN_LEFT) -> DataFrame:
-    """One row per document: doc_id, n_words, the base measures, n_removed_words, base_failed, kept."""
+    """One row per document: doc_id, n_words, the base measures, n_removed_words, base_failed, kept.
+
+    Filter a written copy, as :func:`keep` does: the optimizer would push a filter below the measures."""
     keyed = _keys(docs, host)
     verdicts = _removed(keyed, max_docs, max_share)
     out = base_measures(keyed).join(verdicts, ["_host", "_digest"], "left")
