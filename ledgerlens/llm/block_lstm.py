@@ -48,6 +48,7 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 SAME_CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
                "option": ("option",)}
 SCOPES = frozenset("ul ol dl table tbody thead".split())
+MARKUP = frozenset("template svg math object canvas audio video select".split())  # raw elements that hold markup, hence comments
 MAIN_ELEMENTS = frozenset(("article", "main"))
 OTHER_ELEMENTS = frozenset("nav header footer aside form".split())
 
@@ -57,6 +58,14 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _SPACES = re.compile(r"[ \t\n\x0b\x0c\r]+")
 
 
+def _end_of(name: str, source: str, at: int) -> re.Match | None:
+    """The end tag of a raw element. What stands before it is not markup: a '<' or an open '<!--' there starts nothing."""
+    end = f"</({name})(?:[\\s/][^>]*)?>"
+    if name not in MARKUP:
+        return re.compile(end, re.I).search(source, at)
+    return next((m for m in re.compile(f"<!--(?:(?!<!--).)*?-->|{end}", re.I | re.S).finditer(source, at) if m[1]), None)
+
+
 def _names(attributes: str) -> tuple[str, ...]:
     """Words of class, id and role."""
     if "=" not in attributes:
@@ -80,7 +89,7 @@ class Page:
 
 def blocks(source: str) -> Page:
     page, stack, held, path, linked, total = Page(), [], [], (), 0, 0
-    at, skip, in_link = 0, None, 0
+    at, in_link = 0, 0
 
     def flush() -> None:
         nonlocal held, linked, total
@@ -110,12 +119,8 @@ def blocks(source: str) -> Page:
             if e[0] == name:
                 return
 
-    for m in _TOKEN.finditer(source):
-        if skip is not None:
-            if not (m[1] and m[2] and m[2].lower() == skip):
-                continue
-            skip = None
-        elif m.start() > at:
+    while m := _TOKEN.search(source, at):
+        if m.start() > at:
             add(source[at : m.start()])
         at = m.end()
         if not m[2]:
@@ -128,15 +133,12 @@ def blocks(source: str) -> Page:
                 close(name)
             continue
         if name in RAW:
-            if not m[3].endswith("/"):
-                end = re.compile(f"</{re.escape(name)}\\b", re.I).search(source, at)
-                if name == "head":
-                    continue  # its elements are raw themselves; the end tag may be missing
+            # the elements of a head are raw themselves, and its end tag may be missing
+            if name != "head" and not m[3].endswith("/"):
+                end = _end_of(name, source, at)
+                at = end.end() if end else len(source)
                 if end:
-                    skip = name
-                else:
-                    at = len(source)
-                    break
+                    flush()
             continue
         if name in INLINE:
             if name == "br":
@@ -157,7 +159,7 @@ def blocks(source: str) -> Page:
                     break
         if name not in VOID and not m[3].endswith("/"):
             stack.append((name, _names(m[3])))
-    if skip is None and at < len(source):
+    if at < len(source):
         add(source[at:])
     flush()
     return page

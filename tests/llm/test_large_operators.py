@@ -26,6 +26,15 @@ def test_leaf_blocks():
     assert block_lstm.blocks("<div><script>never ends").texts == []
 
 
+@pytest.mark.parametrize("raw", ["<script>for(i=0;i<n;i++){a()}</script>", "<script>if(a<b)x='</p>'</script >", "<script><!-- a<b</script>",
+                                 "<SCRIPT>document.write('<p title=\"')</Script\n>", "<style>/* <!-- <x */</style>", "<svg><!-- </svg> --><text>i<n</text></svg>",
+                                 "<template><!-- open <p>no</template>", "<script>s='</scripts>'+(i<n)</script x='>"])
+def test_text_behind_raw_elements_stays(raw):
+    page = block_lstm.blocks(f"<div>menu</div>{raw}<article><p>first<p>second</article><script>track(1)</script><p>last")
+    assert page.texts == ["menu", "first", "second", "last"]
+    assert block_lstm.blocks(f"a{raw}b").texts == ["a", "b"]
+
+
 def test_gradients_match_differences(monkeypatch):
     r = random.Random(1)
     pages = [block_lstm.blocks(block_lstm.layout(r, [words_of(30, 1)])) for _ in range(3)]
