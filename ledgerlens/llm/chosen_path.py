@@ -177,8 +177,8 @@ def candidate_links(sets: DataFrame, recall: float = RECALL, leaf: int | None =
     return reduce(DataFrame.unionByName, links, compared).distinct()
 
 
-def exact_links(sets: list[np.ndarray], tile: np.ndarray) -> np.ndarray:
-    """Which sets are similar, as a symmetric matrix; only pairs across tiles if ``tile`` names two of them."""
+def exact_links(sets: list[np.ndarray], tile: np.ndarray, across: bool) -> np.ndarray:
+    """Which sets are similar, as a symmetric matrix; with ``across`` only pairs of different tiles."""
     sizes = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(len(sets)), sizes)
     _, which, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -196,7 +196,7 @@ def exact_links(sets: list[np.ndarray], tile: np.ndarray) -> np.ndarray:
     union = sizes[:, None] + sizes[None, :] - common
     similar = SIMILARITY[1] * common >= SIMILARITY[0] * union
     np.fill_diagonal(similar, False)
-    if not (tile == tile[0]).all():
+    if across:
         similar &= tile[:, None] != tile[None, :]
     return similar
 
@@ -204,18 +204,20 @@ def exact_links(sets: list[np.ndarray], tile: np.ndarray) -> np.ndarray:
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, others, counts = [], [], []
-        for group in batch.column("_group").to_pylist():
+        for a, b, group in zip(*(batch.column(c).to_pylist() for c in ("_a", "_b", "_group")), strict=True):
+            if a != b and len({g["_tile"] for g in group}) < 2:
+                continue  # the other tile is empty
             group.sort(key=lambda g: g["id"])
             sets = shingle_sets([(g["text"] or "").encode() for g in group])
-            similar = exact_links(sets, np.array([g["_tile"] for g in group]))
+            similar = exact_links(sets, np.array([g["_tile"] for g in group]), a != b)
             linked = similar @ np.array([g["_copies"] for g in group])
             for i in np.flatnonzero(linked):
                 ids.append(group[i]["id"])
                 others.append(None)
                 counts.append(int(linked[i]))
-            for a, b in _forest(similar):
-                ids.append(group[b]["id"])
-                others.append(group[a]["id"])
+            for i, j in _forest(similar):
+                ids.append(group[j]["id"])
+                others.append(group[i]["id"])
                 counts.append(0)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(others, pa.int64()), pa.array(counts, pa.int64())],
                                          names=["id", "other", "n"])
@@ -244,7 +246,7 @@ def similar(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     dealt = texts.join(tiles, "component").withColumn("_tile", F.pmod(F.xxhash64("id"), F.col("_tiles")).cast("int"))
     dealt = dealt.select("component", "id", "_copies", "text", "_tile", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)).alias("_with"))
     checked = C.saved(dealt.groupBy("component", F.least("_tile", "_with").alias("_a"), F.greatest("_tile", "_with").alias("_b"))
-                      .agg(F.collect_list(F.struct("id", "_copies", "_tile", "text")).alias("_group")).select("_group")
+                      .agg(F.collect_list(F.struct("id", "_copies", "_tile", "text")).alias("_group")).select("_a", "_b", "_group")
                       .mapInArrow(_verified, "id bigint, other bigint, n bigint"), "links")
     linked = checked.where("other IS NULL").groupBy("id").agg(F.sum("n").alias("_linked"))
     classes = connected(checked.where("other IS NOT NULL").select(F.col("id").alias("u"), F.col("other").alias("v")))

@@ -197,6 +197,14 @@ def test_groups_are_dealt_into_tiles(spark, documents, monkeypatch):
     assert got == Counter((doc, c, n) for (doc, _), (c, n) in zip(texts, _linked(texts), strict=True))
 
 
+def test_empty_tiles_count_nothing(spark, documents, monkeypatch):
+    monkeypatch.setattr(chosen_path, "TILE_BYTES", 1000)
+    r, base = random.Random(3), words_of(400, 1)
+    texts = [(i, _edited(base, r, 4)) for i in range(3)]  # 3 sets in about 10 tiles
+    got = Counter((x.doc_id, x.class_id, x.n_links) for x in chosen_path.classes(documents(texts)).collect())
+    assert got == Counter({(i, 0, 2): 1 for i in range(3)})
+
+
 def test_one_of_each_class_stays(spark, documents):
     texts = _near_copies()
     out = chosen_path.keep_one(documents(texts))
