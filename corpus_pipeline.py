@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
 next stage's docs. All stages but the last return the columns of ``documents``.
 
-1. quality rules: documents that the rules reject go (native expressions only);
+1. quality rules: documents that the rules reject go, and lines above the limits of their host go from all texts of
+   the others but one (native expressions only);
 2. line dedup: lines found in at least ten documents go, the rest of the text stays; documents without text go on;
 3. near duplicates: of every class of documents with a shingle similarity of 0.8 or more, the one with the
    smallest doc_id stays;
@@ -26,15 +27,19 @@ from ledgerlens.llm.queries import _byte_bpe
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_rules.keep(docs)
+    return _recounted(quality_rules.keep(docs))
 
 
-def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def _recounted(docs: DataFrame) -> DataFrame:
     """n_chars, where the table has it, follows the new text."""
-    doc = F.col("_doc")
-    if "n_chars" in docs.columns:
-        doc = doc.withField("n_chars", F.char_length("_doc.text").cast(docs.schema["n_chars"].dataType))
-    return line_runs.drop_frequent_lines(docs).select(doc.alias("_doc")).select("_doc.*")
+    if "n_chars" not in docs.columns:
+        return docs
+    doc = F.col("_doc").withField("n_chars", F.char_length("_doc.text").cast(docs.schema["n_chars"].dataType))
+    return docs.select(C.as_struct(docs)).select(doc.alias("_doc")).select("_doc.*")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _recounted(line_runs.drop_frequent_lines(docs).select("_doc.*"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

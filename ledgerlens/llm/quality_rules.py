@@ -6,12 +6,13 @@ limit - more than ``max_docs`` texts and more than ``max_share`` of the host's t
 text of the host but one (that with the smallest digest), so that a passage never vanishes altogether. A
 document whose removed lines leave less than ``min_left`` of its words is depleted and rejected.
 
-Everything is a DataFrame expression. Only line hashes and counts are shuffled, never texts; counts are
+Everything is a DataFrame expression. :func:`assess` shuffles only line hashes and counts, never texts; :func:`keep`
+moves each text once, to meet its verdict and the positions of the lines that it loses. Counts are
 pre-aggregated per task, so a line or host that holds a third of all rows arrives as one row a task.
 
 Defined cases: null text counts as empty (no words: rejected by the base rule); null host is a host of its own;
 null or repeated doc_id and repeated rows are judged alike and each gets its row; an empty table gives an empty
-result; extra columns are ignored by :func:`assess` and passed through by :func:`keep`.
+result; extra columns are ignored by :func:`assess` and passed through unchanged by :func:`keep`.
 """
 
 from __future__ import annotations
@@ -80,12 +81,18 @@ def base_measures(keyed: DataFrame) -> DataFrame:
     return step.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("bigint")).drop("_at")
 
 
+def _lines(keyed: DataFrame) -> DataFrame:
+    """The lines with words, by position."""
+    return keyed.select("_host", "_digest", F.posexplode(F.split("_text", "\n")).alias("_at", "_line")).where(_has_word(F.col("_line")))
+
+
+def _line_key() -> Column:
+    return F.xxhash64(C.ascii_lower(C.stripped(F.col("_line")))).alias("_key")
+
+
 def line_words(keyed: DataFrame) -> DataFrame:
     """(host, text, line hash, words of that line in the text): one row a different line of a different text."""
-    lines = (keyed.select("_host", "_digest", F.posexplode(F.split("_text", "\n")).alias("_at", "_line"))
-             .where(_has_word(F.col("_line"))))
-    lines = lines.select("_host", "_digest", "_at", F.size(words(F.col("_line"))).alias("_n"),
-                         F.xxhash64(C.ascii_lower(C.stripped(F.col("_line")))).alias("_key"))
+    lines = _lines(keyed).select("_host", "_digest", "_at", F.size(words(F.col("_line"))).alias("_n"), _line_key())
     # copies of a text repeat its positions, hence the distinct count
     return lines.groupBy("_host", "_digest", "_key").agg(F.max("_n").alias("_n"), F.count_distinct("_at").alias("_times"))
 
@@ -104,7 +111,12 @@ def assess(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_
 
     Filter a written copy, as :func:`keep` does: the optimizer would push a filter below the measures."""
     keyed = _keys(docs, host)
-    verdicts = _removed(keyed, max_docs, max_share)
+    return _assessed(keyed, _hits(keyed, max_docs, max_share), min_left)
+
+
+def _assessed(keyed: DataFrame, hits: DataFrame, min_left: float) -> DataFrame:
+    # words that the common lines take from each (host, text); texts that lose none have no row
+    verdicts = hits.groupBy("_host", "_digest").agg(F.sum(F.col("_n") * F.col("_times")).alias("_removed"))
     out = base_measures(keyed).join(verdicts, ["_host", "_digest"], "left")
     removed = F.coalesce("_removed", F.lit(0)).cast("bigint")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
@@ -114,16 +126,31 @@ def assess(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_
                       (~failed & ~depleted).alias("kept"), "_host", "_digest")
 
 
-def _removed(keyed: DataFrame, max_docs: int, max_share: float) -> DataFrame:
-    """Words that the common lines take from each (host, text); texts that lose none have no row."""
+def _hits(keyed: DataFrame, max_docs: int, max_share: float) -> DataFrame:
+    """(host, text, line hash, words, times) of the common lines in every text that loses them."""
     lines = C.saved(line_words(keyed), "line-words")
-    hits = lines.join(common_lines(lines, max_docs, max_share), ["_host", "_key"]).where(F.col("_digest") != F.col("_keeper"))
-    return hits.groupBy("_host", "_digest").agg(F.sum(F.col("_n") * F.col("_times")).alias("_removed"))
+    return lines.join(common_lines(lines, max_docs, max_share), ["_host", "_key"]).where(F.col("_digest") != F.col("_keeper")).drop("_keeper")
+
 
+def _lost(keyed: DataFrame, hits: DataFrame) -> DataFrame:
+    """(host, text, positions of the lines that the text loses)."""
+    return (_lines(keyed).select("_host", "_digest", "_at", _line_key()).join(hits, ["_host", "_digest", "_key"], "left_semi")
+            .groupBy("_host", "_digest").agg(F.collect_set("_at").alias("_lost")))
 
-def keep(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
-    """The documents that the rules keep, with all their columns."""
+
+def keep(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE,
+         min_left: float = MIN_LEFT) -> DataFrame:
+    """The documents that the rules keep, with all their columns; ``text`` goes without the lines above the limits,
+    except in the text that keeps them. The other lines stay as they are, also those without words; a null text
+    would stay null."""
+    keyed = _keys(docs, host)
+    hits = C.saved(_hits(keyed, max_docs, max_share), "common-lines")
     # written first: a filter on the verdict would be pushed through the measures and repeat their expressions
-    verdict = C.saved(assess(docs, host, **limits).select("_host", "_digest", "kept").distinct(), "verdicts").where("kept")
-    keyed = docs.select(C.as_struct(docs), _host(host).alias("_host"), C.digest(C.whole_text()).alias("_digest"))
-    return keyed.join(verdict, ["_host", "_digest"], "left_semi").select("_doc.*")
+    verdict = C.saved(_assessed(keyed, hits, min_left).select("_host", "_digest", "kept").distinct(), "verdicts").where("kept")
+    # written, so that the join with the texts has plain shuffles on both sides and Spark can split a text with many copies
+    judged = C.saved(verdict.join(_lost(keyed, hits), ["_host", "_digest"], "left").select("_host", "_digest", "_lost"), "kept-texts")
+    rows = docs.select(C.as_struct(docs), _host(host).alias("_host"), C.digest(C.whole_text()).alias("_digest"))
+    joined = rows.join(judged, ["_host", "_digest"]).withColumn("_lines", F.when(F.col("_lost").isNotNull(), F.split("_doc.text", "\n")))
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_lost"), lambda i: F.get("_lines", i))
+    text = F.when(F.col("_lost").isNull(), F.col("_doc.text")).otherwise(F.array_join(left, "\n"))
+    return joined.select(F.col("_doc").withField("text", text).alias("_doc")).select("_doc.*")

@@ -242,3 +242,23 @@ def test_quality_measures_and_verdicts(spark, documents):
     kept = quality_rules.keep(documents(texts), max_docs=3, max_share=0.1)
     assert Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in rows if r.kept)
     assert quality_rules.assess(documents([])).count() == 0
+
+
+def test_lines_above_the_limits_go_from_kept_texts(spark, documents):
+    texts = [(i, f" Shared LINE\n{words_of(60, i)}\n\nshared line\nonly here {i}", "h") for i in range(6)]
+    texts += [(2, texts[2][1], "h"), (20, "shared line\n" + words_of(60, 20), "g"), (21, words_of(60, 21), "h"), (22, "shared line", "h"), (23, None, "h")]
+    keeper = min((hashlib.md5(t.encode()).hexdigest(), t) for _, t, h in texts if t and h == "h" and "hared" in t)[1]
+    expect = Counter((i, t if h == "g" or t == keeper else "\n".join(x for x in t.split("\n") if _key(x) != "shared line"))
+                     for i, t, h in texts if t and len(t) > 20)
+    out = quality_rules.keep(documents(texts), max_docs=3)
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == expect
+    assert out.columns == documents([]).columns and out.where("_lost <> '_lost' OR _lines <> '_lines'").count() == 0
+    assert sum("hared" not in t for _, t in expect.elements()) >= 5
+
+
+def test_pipeline_writes_the_texts_without_common_lines(spark, documents):
+    import corpus_pipeline
+
+    docs = documents([(i, f"shared line\n{words_of(60, i)}", "h") for i in range(22)])
+    rows = corpus_pipeline.quality(spark, docs, "").collect()
+    assert len(rows) == 22 and sum("shared line" in r.text for r in rows) == 1 and all(r.n_chars == len(r.text) for r in rows)
