@@ -7,7 +7,8 @@ with probability 1 / (similarity * coordinates), the same for all sets of a buck
 similarity follows at least one common path in the mean. Buckets of at most ``LEAF`` sets are compared in full on
 their tokens. In a larger bucket every set is compared with one pivot: what is near it is linked to it, what is
 very near leaves the bucket (its own neighbours are near the pivot, too), and the rest is split further. Runs are
-repeated until the chance to miss a pair is below 1 - ``recall``.
+repeated until the chance to miss a pair is below 1 - ``recall``: first as many as two splits need, then more for
+the sets that were split more often, until every set has had the runs that its own deepest bucket needs.
 
 The candidate links (a forest per bucket, never all pairs) join sets to candidate groups; inside a group every
 pair is checked exactly on the whole shingle sets. Groups of any size are dealt into tiles, and pairs of tiles are
@@ -143,20 +144,20 @@ def _children(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode(F.filter(paths, lambda p: p.isNotNull())).alias("node"), "id")
 
 
-def _roots(sets: DataFrame, runs: int, seed: int) -> DataFrame:
-    """The first split of all runs. A root's paths are the same for all sets, so they are drawn here."""
-    draw = random.Random(seed)
+def _roots(sets: DataFrame, first: int, runs: int, seed: int) -> DataFrame:
+    """The first split of the runs from ``first`` to ``runs``. A root's paths are the same for all sets, so they are drawn here."""
+    draw = random.Random(f"{seed} {first}" if first else seed)
     share = SIMILARITY[1] / (SIMILARITY[0] * COORDINATES)
-    chosen = [(r, i) for r in range(runs) for i in range(COORDINATES) if draw.random() < share]
+    chosen = [(r, i) for r in range(first, runs) for i in range(COORDINATES) if draw.random() < share]
     paths = [F.xxhash64(F.lit(r), F.lit(i), F.get("_sketch", F.lit(i))) for r, i in chosen]
     return sets.select(F.explode(F.array(*paths)).alias("node"), "id")
 
 
-def candidate_links(sets: DataFrame, recall: float = RECALL, leaf: int | None = None, seed: int = 1) -> DataFrame:
-    """(u, v) links between sets (id, _sketch) that may be similar; only a forest of each bucket."""
-    leaf = leaf or LEAF
-    rows, leaves, links = _roots(sets, runs_needed(recall), seed), [], []
-    sketch = sets.select("id", "_sketch")
+def _split(sketch: DataFrame, rows: DataFrame, leaf: int, leaves: list, links: list) -> list[DataFrame]:
+    """Splits the buckets of ``rows`` down to leaves; adds to ``leaves`` and ``links``. Gives the ids that were split
+    a third time, a fourth time and so on."""
+    deep: list[DataFrame] = []
+    splits = 1
     while True:
         sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("_pivot")).where("_n > 1")
         met = C.saved(rows.join(sizes, "node"), "buckets")
@@ -164,13 +165,37 @@ def candidate_links(sets: DataFrame, recall: float = RECALL, leaf: int | None =
         leaves.append(met.where(F.col("_n") <= leaf).groupBy("node").agg(F.sort_array(F.collect_list("id")).alias("_ids")).select("_ids"))
         large = met.where(F.col("_n") > leaf)
         if large.isEmpty():
-            break
+            return deep
         # the smallest id is the pivot, so a group of copies has the same one in most buckets of all runs
         pivots = large.select(F.col("_pivot").alias("id")).distinct().join(sketch, "id").select(F.col("id").alias("_pivot"), F.col("_sketch").alias("_pivot_sketch"))
         near = C.saved(large.join(sketch, "id").join(pivots, "_pivot").withColumn("_same", _equal_tokens("_sketch", "_pivot_sketch"))
                        .drop("_pivot_sketch").where(F.col("id") != F.col("_pivot")), "near-pivots")
         links.append(near.where(F.col("_same") >= PIVOT_LINK).select(F.col("id").alias("u"), F.col("_pivot").alias("v")).distinct())
-        rows = _children(near.where(F.col("_same") < PIVOT_LEAVE))
+        rest = near.where(F.col("_same") < PIVOT_LEAVE)
+        rows, splits = _children(rest), splits + 1
+        if splits > 2:
+            deep.append(rest.select("id").distinct())
+
+
+def candidate_links(sets: DataFrame, recall: float = RECALL, leaf: int | None = None, seed: int = 1) -> DataFrame:
+    """(u, v) links between sets (id, _sketch) that may be similar; only a forest of each bucket."""
+    leaf, leaves, links = leaf or LEAF, [], []
+    sketch = sets.select("id", "_sketch")
+    part, done, runs = sketch, 0, runs_needed(recall)
+    deep: list[DataFrame] = []  # at k: ids that were split k + 3 times or more, in any run so far
+    while True:
+        found = _split(sketch, _roots(part, done, runs, seed), leaf, leaves, links)
+        deep = [reduce(DataFrame.unionByName, both) for both in
+                ([ids for level in (deep, found) for ids in level[k : k + 1]] for k in range(max(len(deep), len(found))))]
+        done = runs
+        # a pair's buckets are no deeper than those of either set, so both sets of a pair that lacks runs are in all further runs
+        lacking = [k for k in range(len(deep)) if runs_needed(recall, k + 3) > done]
+        if not lacking:
+            break
+        part = C.saved(sketch.join(deep[lacking[0]].distinct(), "id", "left_semi"), "deep-sets")
+        if part.isEmpty():
+            break
+        runs = runs_needed(recall, len(deep) + 2)
     groups = reduce(DataFrame.unionByName, leaves).distinct().select(F.xxhash64("_ids").alias("_leaf"), F.explode("_ids").alias("id"))
     compared = (groups.join(sketch, "id").groupBy("_leaf").agg(F.collect_list(F.struct("id", "_sketch")).alias("_group"))
                 .select("_group").mapInArrow(_leaf_links, "u bigint, v bigint"))

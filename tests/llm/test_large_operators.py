@@ -224,6 +224,22 @@ def test_runs_follow_the_recall():
     assert chosen_path.runs_needed(0.9) < chosen_path.runs_needed(0.99) < chosen_path.runs_needed(0.9999) == 15
 
 
+def test_deep_buckets_get_the_runs_they_need(spark, monkeypatch):
+    r, rows, runs, depths = np.random.default_rng(4), [], [], []
+    family = r.integers(0, 1 << 30, 64)
+    for i in range(400):  # mutual similarity about 0.36, so that small leaves need many levels; every second one has a near copy
+        one = np.where(r.random(64) < 0.6, family, r.integers(0, 1 << 30, 64))
+        rows += [(2 * i, one.tolist()), (2 * i + 1, np.where(r.random(64) < 0.8, one, r.integers(0, 1 << 30, 64)).tolist())]
+    roots, split = chosen_path._roots, chosen_path._split
+    monkeypatch.setattr(chosen_path, "_roots", lambda sets, first, last, seed: runs.append((first, last)) or roots(sets, first, last, seed))
+    monkeypatch.setattr(chosen_path, "_split", lambda *a: depths.append(split(*a)) or depths[-1])
+    sets = spark.createDataFrame(rows, "id long, _sketch array<int>")
+    assert chosen_path.candidate_links(sets, leaf=20).count() > 0
+    deepest = max(map(len, depths)) + 2
+    assert deepest >= 5 and runs[0] == (0, 15) and runs[-1][1] >= chosen_path.runs_needed(chosen_path.RECALL, deepest)
+    assert all(a[1] == b[0] for a, b in zip(runs, runs[1:], strict=False))
+
+
 # -- prefix-free parsing
 
 def _removed(texts, span=50):
