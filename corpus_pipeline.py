@@ -7,7 +7,7 @@ next stage's docs. All stages but the last return the columns of ``documents``.
    the others but one (native expressions only);
 2. line dedup: lines found in at least ten documents go, the rest of the text stays; documents without text go on;
 3. near duplicates: of every class of documents with a shingle similarity of 0.8 or more, the one with the
-   smallest doc_id stays;
+   smallest doc_id stays, and one of equal texts without words;
 4. decontamination: documents that hold ten words in a row (or a whole shorter item) of the benchmark go;
 5. packing: the token ids of what is left, cut and packed into sequences of 1024.
 

@@ -295,10 +295,14 @@ def classes(docs: DataFrame, recall: float = RECALL) -> DataFrame:
 
 def keep_one(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     """``docs`` without all but one document of every class (the one with the smallest doc_id, then text digest;
-    of repeated rows any one). Documents without words stay."""
+    of repeated rows any one). Of documents without words one of every group of equal texts stays (null and empty
+    differ here), also the one with the smallest doc_id; other such documents stay."""
     found = similar(docs, recall).withColumn("_stays", F.col("_first") == F.struct("_order", "_digest"))
     found = found.groupBy("_order", "_digest").agg(F.max("_stays").alias("_stays"))
     own = docs.select(C.as_struct(docs), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("_order"), C.digest(C.whole_text()).alias("_digest"))
     judged = own.join(found, ["_order", "_digest"], "left")
     kept = judged.where("_stays").dropDuplicates(["_order", "_digest"])
-    return kept.unionByName(judged.where("_stays IS NULL")).select("_doc.*")
+    # folded per task first, as one such text may stand in very many documents
+    wordless = (judged.where("_stays IS NULL").groupBy("_digest", F.col("_doc.text").isNull().alias("_null"))
+                .agg(F.min_by("_doc", "_order").alias("_doc")))
+    return kept.select("_doc").unionByName(wordless.select("_doc")).select("_doc.*")

@@ -214,6 +214,13 @@ def test_one_of_each_class_stays(spark, documents):
     assert out.columns == documents([]).columns
 
 
+def test_one_of_equal_texts_without_words_stays(spark, documents):
+    texts = [(9, ""), (7, ""), (None, ""), (8, " "), (7, ""), (3, None), (2, None), (5, "some words")]
+    out = chosen_path.keep_one(documents(texts))
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter([(7, ""), (8, " "), (2, None), (5, "some words")])
+    assert out.columns == documents([]).columns
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 150)] + [(7, 7), (200, 201), (201, 200)]
     got = {r.id: r.component for r in connected(spark.createDataFrame(edges, "u long, v long")).collect()}
