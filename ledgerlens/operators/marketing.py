@@ -42,13 +42,14 @@ def campaign_performance(sales: DataFrame, campaigns: DataFrame, attribution: Da
     many-to-one - no per-key pair explosion, even for a hot or null key.
     An attributed order with no sale still converts, adding 0.
 
-    The order stands in a struct, so that null orders match in a plain join;
-    amounts, join and conversions all use one partitioning by that key: the
-    lines move once, the attribution once, then one row a task and campaign.
+    The order stands in a struct, so that null orders match in a plain join.
+    Lines are folded per task before they move (to different pairs, or to one
+    sum per order), so the lines of a hot or null order do not meet in one
+    task; then one row a task and order, and one a task and campaign.
     """
     if mode not in (PAIRS, ORDER):
         raise ValueError(f"mode must be {PAIRS!r} or {ORDER!r}")
-    lines = sales.select(F.struct("orderid").alias("_order"), "netsale").repartition("_order")
+    lines = sales.select(F.struct("orderid").alias("_order"), "netsale")
     if mode == PAIRS:
         lines = lines.distinct()
     per_order = lines.groupBy("_order").agg(F.sum("netsale").alias("_amount"))

@@ -1,5 +1,7 @@
 from decimal import Decimal
 
+import pytest
+
 from ledgerlens.operators import marketing as M
 
 SALES = "orderid string, netsale decimal(19,4)"
@@ -58,3 +60,14 @@ def test_many_to_many_match_equals_pairwise_sum(spark):
     # pairwise: c1 = 2 x (5 + 6); c3 = (5 + 6) + 2 x (7 + 8)
     assert got["c1"] == (Decimal(22), 1)
     assert got["c3"] == (Decimal(41), 1)
+
+
+@pytest.mark.parametrize("mode", ["pairs", "order"])
+def test_lines_are_folded_before_they_move(spark, mode):
+    sales = spark.range(1000).selectExpr("CAST(NULL AS STRING) AS orderid", "CAST(id % 2 AS DECIMAL(19,4)) AS netsale")
+    att = spark.createDataFrame([(None, "c1")], ATT)
+    perf = M.campaign_performance(sales, _camps(spark), att, mode)
+    plan = perf._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY" not in plan
+    got = {r.campaignid: r.netsale for r in perf.collect()}
+    assert got["c1"] == Decimal(1 if mode == "pairs" else 500)
