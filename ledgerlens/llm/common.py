@@ -24,10 +24,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def saved(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to a fresh table in the shared folder and read it back (cuts the lineage)."""
+    return saved_at(df, label)[0]
+
+
+def saved_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """As :func:`saved`, with the folder, for tables that their writer discards."""
     spark = df.sparkSession
     path = unique_dir(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def as_struct(docs: DataFrame) -> Column:
