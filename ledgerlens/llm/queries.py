@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from . import block_lstm, cdc, chosen_path, decontaminate, legacy_archive, line_runs, packing, prefix_free, quality_rules, rans
+from . import secret_scan, spelling_groups, vector_codes
 from . import common as C
 from . import tokens
 
@@ -168,3 +169,118 @@ def op10_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = cdc.dedup_chunks(C.table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_chunks_removed"),
                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
+_SQL_CANDIDATE = f"{secret_scan.CANDIDATE}{{{min(c.window for c in secret_scan.CLASSES)},}}"
+
+
+def _sql_matches(source: str, text: str, at: str, keep: str, pattern: str) -> str:
+    """(keep, s, first) of the matches of a pattern: places follow from the pieces between the matches."""
+    p = pattern.replace("'", "''")
+    return f"""SELECT {keep}, s, CAST({at} + sum(length(gap) + length(s)) OVER (PARTITION BY {keep} ORDER BY k) - length(s) AS BIGINT) AS first
+  FROM (SELECT {keep}, {at}, unnest(found) AS s, unnest(gaps[1:len(found)]) AS gap, unnest(generate_series(1, len(found))) AS k
+    FROM (SELECT {keep}, {at}, regexp_extract_all({text}, '{p}') AS found, string_split_regex({text}, '{p}') AS gaps FROM {source}) WHERE len(found) > 0)"""
+
+
+def _secrets_sql() -> str:
+    S = secret_scan
+    quoted = S.ASSIGN.replace("'", "''")
+    ctes = [f"""d AS (SELECT row_number() OVER () AS r, 0 AS zero, doc_id, coalesce(text, '') AS text FROM documents),
+base AS (SELECT r, 0 AS kind, first, first + length(s) AS last FROM ({_sql_matches('d', 'text', 'zero', 'r', S.ASSIGN)})
+    WHERE length(regexp_extract(s, '{quoted}', 2)) >= {S.MIN_ASSIGN}
+  UNION ALL SELECT r, 1, first, first + length(s) FROM ({_sql_matches('d', 'text', 'zero', 'r', S.ACCESS)}) WHERE length(s) >= {S.MIN_ACCESS}
+  UNION ALL SELECT r, 2, first, first + length(s) FROM ({_sql_matches('d', 'text', 'zero', 'r', S.HEX)}) WHERE length(s) >= {S.MIN_HEX}),
+runs AS (SELECT r, first AS start, s AS run FROM ({_sql_matches('d', 'text', 'zero', 'r', _SQL_CANDIDATE)})
+  WHERE NOT ({" OR ".join(f"regexp_matches(s, '{a}')" for a in S.ALLOWED)}))"""]
+    taken = "SELECT r, first, last FROM base"
+    for i, c in enumerate(S.CLASSES):
+        inner = f"[{c.chars}]{{{c.window},}}"
+        w = c.window
+        ctes.append(f"""c{i} AS (SELECT r, first, s FROM ({_sql_matches('runs', 'run', 'start', 'r, start', inner)})),
+w{i} AS (SELECT r, first, s, unnest(generate_series(0, length(s) - {w})) AS i FROM c{i}),
+n{i} AS (SELECT r, first + i AS spot, ch, count(*) AS n FROM (SELECT r, first, i, unnest(string_split(substr(s, i + 1, {w}), '')) AS ch FROM w{i}) GROUP BY r, first, i, ch),
+h{i} AS (SELECT r, spot FROM n{i} GROUP BY r, spot HAVING sum(CAST(round(n * log2(n) * 1000000) AS BIGINT)) <= {S.most_sum(w, c.min_bits)}),
+g{i} AS (SELECT r, spot, sum(fresh) OVER (PARTITION BY r ORDER BY spot) AS island FROM
+  (SELECT r, spot, CASE WHEN spot - lag(spot) OVER (PARTITION BY r ORDER BY spot) <= {w} THEN 0 ELSE 1 END AS fresh FROM h{i})),
+j{i} AS (SELECT r, min(spot) AS first, max(spot) + {w} AS last FROM g{i} GROUP BY r, island),
+f{i} AS (SELECT r, {len(S.BASE_KINDS) + i} AS kind, first, last FROM j{i} j
+  WHERE NOT EXISTS (SELECT 1 FROM ({taken}) t WHERE t.r = j.r AND t.first < j.last AND j.first < t.last))""")
+        taken += f" UNION ALL SELECT r, first, last FROM f{i}"
+    kinds = [*S.BASE_KINDS, *(c.name for c in S.CLASSES)]
+    name = "CASE kind " + " ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(kinds)) + " END"
+    line = f"string_agg({name} || ':' || first || ':' || last, ',' ORDER BY first, kind)"
+    ctes.append(f"""b AS (SELECT r, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1, count(*) FILTER (kind = 2) AS n2, {line} AS spans FROM base GROUP BY r),
+e AS (SELECT r, {line} AS spans FROM (SELECT * FROM base {"".join(f" UNION ALL SELECT * FROM f{i}" for i in range(len(S.CLASSES)))}) GROUP BY r)""")
+    return "WITH " + ",\n".join(ctes) + """
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex,
+  sha256(coalesce(b.spans, '')) AS base_sha256, coalesce(e.spans, '') AS spans FROM d LEFT JOIN b USING (r) LEFT JOIN e USING (r)"""
+
+
+@query(_secrets_sql())
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    S = secret_scan
+    out = S.scan(C.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("_doc.doc_id", S.n_of("assign").alias("n_assign"), S.n_of("access").alias("n_access"), S.n_of("hex").alias("n_hex"),
+                      F.sha2(S.joined("_base"), 256).alias("base_sha256"), S.joined("_spans").alias("spans"))
+
+
+def _codes_sql() -> str:
+    V = vector_codes
+    ctes = [f"""k AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, embedding AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS (SELECT r, i // (n // {V.PARTS}) AS part, i % (n // {V.PARTS}) AS pos, CAST(floor({V.SCALE} * CAST(v[i + 1] AS DOUBLE)) AS BIGINT) AS x
+  FROM (SELECT r, v, len(v) AS n, unnest(generate_series(0, len(v) - 1)) AS i FROM k)),
+b0 AS (SELECT part, r - 1 AS entry, pos, x AS c FROM x WHERE r <= {V.ENTRIES})"""]
+    for t in range(V.ROUNDS + 1):
+        ctes.append(f"""d{t} AS (SELECT r, x.part, entry, sum((x - c) * (x - c)) AS d FROM x JOIN b{t} b ON x.part = b.part AND x.pos = b.pos GROUP BY ALL),
+a{t} AS MATERIALIZED (SELECT r, part, arg_min(entry, d * {V.ENTRIES} + entry) AS entry, min(d) AS d FROM d{t} GROUP BY r, part)""")
+        if t < V.ROUNDS:
+            ctes.append(f"""m{t} AS (SELECT x.part, entry, pos, CAST(floor(sum(x) / count(*)) AS BIGINT) AS c FROM x JOIN a{t} a ON x.r = a.r AND x.part = a.part GROUP BY ALL),
+b{t + 1} AS MATERIALIZED (SELECT b.part, b.entry, b.pos, coalesce(m.c, b.c) AS c FROM b{t} b LEFT JOIN m{t} m ON b.part = m.part AND b.entry = m.entry AND b.pos = m.pos)""")
+    t = V.ROUNDS
+    ctes.append(f"""f AS (SELECT r, string_agg(printf('%02x', CAST(entry AS INTEGER)), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{t} GROUP BY r),
+s AS (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM b{t})""")
+    return "WITH " + ",\n".join(ctes) + """
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM k JOIN f USING (r), s"""
+
+
+@query(_codes_sql())
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.quantize(C.table(spark, sf_dir, "embeddings"))
+    out = vector_codes.with_label_error(coded)
+    return out.select(F.col("id").alias("vec_id"), F.lower(F.hex("codes")).alias("code"), "error", "label_error",
+                      F.lit(vector_codes.book_digest(books[-1])).alias("codebooks_sha256"))
+
+
+#: CRC-32 of a DuckDB column ``s`` in UTF-8, by the table ``t`` of 256 remainders.
+_SQL_CRC = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+    list_transform(generate_series(1, octet_length(encode(s))), lambda i: CAST('0x' || substr(hex(encode(s)), 2 * i - 1, 2) AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS INTEGER) + 1])))"""
+
+
+@query(f"""
+WITH RECURSIVE rem AS (SELECT v AS b, 0 AS k, CAST(v AS BIGINT) AS c FROM (SELECT unnest(generate_series(0, 255)) AS v)
+  UNION ALL SELECT b, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM rem WHERE k < 8),
+crc AS (SELECT list(c ORDER BY b) AS t FROM rem WHERE k = 8),
+runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+kinds AS (SELECT run, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS s, count(*) AS n FROM runs
+  WHERE length(run) >= {spelling_groups.MIN_LENGTH} GROUP BY ALL),
+hashed AS (SELECT run, n, {_SQL_CRC} AS h FROM kinds, crc),
+fated AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word, n FROM hashed),
+v AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM fated WHERE length(word) >= {spelling_groups.MIN_LENGTH} GROUP BY word HAVING sum(n) >= {spelling_groups.MIN_COUNT}),
+cuts AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(generate_series(0, length(word) - 1)) AS i FROM v)),
+pairs AS (SELECT a.word AS a, b.word AS b, b.n FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cuts a JOIN v b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM cuts a JOIN v b ON a.rest = b.word),
+best AS (SELECT a, count(*) AS n_near, max(n) AS most FROM pairs GROUP BY a),
+picked AS (SELECT p.a, min(p.b) AS form, any_value(n_near) AS n_near, any_value(most) AS most FROM pairs p JOIN best USING (a) WHERE p.n = most GROUP BY p.a),
+formed AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= {spelling_groups.MIN_RATIO} * v.n THEN form END AS form,
+  CASE WHEN most >= {spelling_groups.MIN_RATIO} * v.n THEN most END AS form_n FROM v LEFT JOIN picked ON v.word = picked.a),
+walk AS (SELECT word, form AS tip, 1 AS k FROM formed WHERE form IS NOT NULL
+  UNION ALL SELECT walk.word, f.form, k + 1 FROM walk JOIN formed f ON walk.tip = f.word WHERE f.form IS NOT NULL),
+ends AS (SELECT word, arg_max(tip, k) AS root FROM walk GROUP BY word)
+SELECT f.word, f.form, coalesce(root, f.word) AS root, f.n, f.n_near, f.form_n FROM formed f LEFT JOIN ends USING (word)""")
+def op11_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling_groups.noisy_words(C.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return spelling_groups.group(spelling_groups.vocabulary(words))
