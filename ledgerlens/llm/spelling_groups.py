@@ -38,9 +38,9 @@ from . import common as C
 
 LETTERS = r"A-Za-zÀ-ÿ"
 MIN_LENGTH, MIN_COUNT, MIN_RATIO = 7, 2, 10
-#: Symbols by level; each divides the next, so that a symbol of one level lies in one of the level before. The last
-#: level has a symbol for every letter.
-SYMBOLS = (8, 64, 256)
+#: Symbols by level: the first divides the second, so that a symbol of one level lies in one of the level before, and
+#: the last has a symbol for every letter. Few symbols make few neighbours, many make few words with one reduced word.
+SYMBOLS = (5, 40, 256)
 MAX_SHARED = 32
 #: Neighbours made at a time in a task.
 BLOCK = 1 << 19
@@ -76,10 +76,10 @@ def _symbol_values(symbols: int) -> np.ndarray:
 def reduce(words: list[str], symbols: int) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of all words one after the other, and each word's length.
 
-    A letter's symbol is its code point times an odd number, modulo ``symbols``: with 256 every letter up to U+00FF
-    has its own, and a smaller power of two takes the same product's low bits."""
+    A letter's symbol is its code point times an odd number modulo 256, modulo ``symbols``: with 256 every letter
+    up to U+00FF has its own."""
     joined = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
-    return ((joined.astype(np.int64) * 181) % symbols).astype(np.int64), np.array([len(w) for w in words], np.int64)
+    return joined.astype(np.int64) * 181 % 256 % symbols, np.array([len(w) for w in words], np.int64)
 
 
 def _powers(n: int) -> np.ndarray:
@@ -182,6 +182,8 @@ def _near(a: Column, b: Column) -> Column:
 def near_pairs(vocab: DataFrame, symbols: tuple[int, ...] = SYMBOLS, max_shared: int = MAX_SHARED) -> DataFrame:
     """(a, b) of all near words with a < b, each pair once."""
     found, active = None, None
+    # a number of partitions of its own, as each small group makes a hundred rows
+    deal = int(vocab.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for level, k in enumerate(symbols):
         last = level == len(symbols) - 1
         keyed = reduced(vocab, k)
@@ -191,7 +193,7 @@ def near_pairs(vocab: DataFrame, symbols: tuple[int, ...] = SYMBOLS, max_shared:
             free = keyed.join(crowded, "key", "left_anti")
         else:
             free = keyed
-        groups = C.saved(free.groupBy("key", "reduced").agg(F.collect_list("word").alias("words")), "reduced-words")
+        groups = C.saved(free.repartition(deal, "key").groupBy("key", "reduced").agg(F.collect_list("word").alias("words")), "reduced-words")
         if active is None:
             sources = groups
         else:
