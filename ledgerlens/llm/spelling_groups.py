@@ -15,8 +15,8 @@ level where neither word is crowded, from the one that was crowded before. So no
 ``max_shared`` words, and nothing is capped.
 
 Spark: counts are partial aggregates of words, so a word that makes up a third of the corpus is one row a task.
-Neighbours are made in Arrow batches from distinct reduced words and shuffled as 64-bit hashes with their words; all
-else are joins and aggregates. Forms are followed by pointer jumping; a form has at least ``min_ratio`` times the
+Neighbours are made in Arrow batches from distinct reduced words and shuffled as two 64-bit hashes each, so a long
+word is not copied to its neighbours; words are joined to those that meet. All else are joins and aggregates. Forms are followed by pointer jumping; a form has at least ``min_ratio`` times the
 occurrences, so chains have at most log10 of the largest count steps.
 
 Defined cases: null or empty text has no words; a null id counts as an empty one in the planted-deletion rule of
@@ -145,8 +145,7 @@ def reduced(vocab: DataFrame, symbols: int) -> DataFrame:
 
 
 def neighbours(shared: DataFrame, symbols: int, half: bool) -> DataFrame:
-    """(key, words) for every neighbour of every reduced word; ``shared`` holds (key, reduced, words), the words
-    of one reduced word together. With ``half`` only neighbours whose hash is at or above the own one: of two reduced words
+    """(key, own) for every neighbour of every reduced word: its hash and that of the reduced word itself. With ``half`` only neighbours whose hash is at or above the own one: of two reduced words
     that generate each other, one is enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,9 +169,9 @@ def neighbours(shared: DataFrame, symbols: int, half: bool) -> DataFrame:
                         at, key = at[order], key[order]
                         new = np.ones(len(key), bool)
                         new[1:] = (key[1:] != key[:-1]) | (at[1:] != at[:-1])
-                        yield pa.RecordBatch.from_arrays([pa.array(key[new]), batch.column("words").take(pa.array(rows[at[new]]))], ["key", "words"])
+                        yield pa.RecordBatch.from_arrays([pa.array(key[new]), pa.array(own[rows[at[new]]])], ["key", "own"])
 
-    return shared.select("key", "reduced", "words").mapInArrow(run, "key bigint, words array<string>")
+    return shared.select("key", "reduced").mapInArrow(run, "key bigint, own bigint")
 
 
 def _near(a: Column, b: Column) -> Column:
@@ -194,11 +193,12 @@ def near_pairs(vocab: DataFrame, symbols: tuple[int, ...] = SYMBOLS, max_shared:
         else:
             free = keyed
         groups = C.saved(free.repartition(deal, "key").groupBy("key", "reduced").agg(F.collect_list("word").alias("words")), "reduced-words")
-        if active is None:
-            sources = groups
-        else:
-            sources = free.join(active, "word", "left_semi").groupBy("key", "reduced").agg(F.collect_list("word").alias("words"))
-        met = neighbours(sources, k, half=active is None).join(groups.select("key", F.col("words").alias("others")), "key")
+        sources = groups
+        if active is not None:
+            sources = C.saved(free.join(active, "word", "left_semi").groupBy("key", "reduced").agg(F.collect_list("word").alias("words")), "reduced-words")
+        # never broadcast: the planner takes the neighbours to be as few as their sources
+        met = (neighbours(sources, k, half=active is None).hint("merge").join(groups.select("key", F.col("words").alias("others")), "key")
+               .select("own", "others").join(sources.select(F.col("key").alias("own"), "words"), "own"))
         pairs = (met.select(F.explode("words").alias("a"), "others").select("a", F.explode("others").alias("b"))
                  .where((F.col("a") != F.col("b")) & _near(F.col("a"), F.col("b")))
                  .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
