@@ -102,11 +102,11 @@ def test_words_of_documents(spark, documents):
 
 def test_a_very_long_word(spark, documents):
     r = random.Random(9)
-    word = "".join(r.choice("abcdefgh") for _ in range(60_000))
+    word = "".join(r.choice("abcdefgh") for _ in range(20_000))
     texts = [(1, word), (2, word), (3, word[:-1] + "z"), (4, word[:-1] + "z"), (5, word[:500] + word[501:] + " " + word[:500] + word[501:])]
     rows = spelling_groups.group(spelling_groups.vocabulary(spelling_groups.noisy_words(documents(texts), divisor=10**12))).collect()
     by_length = sorted((len(r.word), r.n_near) for r in rows)
-    assert by_length == [(59_999, 1), (60_000, 1), (60_000, 2)]
+    assert by_length == [(19_999, 1), (20_000, 1), (20_000, 2)]
 
 
 @pytest.mark.parametrize("symbols", [2, 5, 256])
@@ -182,7 +182,7 @@ def test_kinds_and_places(spark, documents):
 def test_allow_list_and_prose_stay_silent(spark, documents):
     prose = "Donaudampfschifffahrtsgesellschaftskapitaenswitwe usr/local/lib/python3/site-packages/pandas/core/frame"
     texts = [prose, "https://a.test/" + RANDOM64, "abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
-             "a" * 5000, "well-known-words-of-a-slug-with-2024-in-it", "0123456789" * 9, "EXAMPLE" + RANDOM64, "4444555566667777" * 3]
+             "z" * 5000, "well-known-words-of-a-slug-with-2024-in-it", "0123456789" * 9, "EXAMPLE" + RANDOM64, "4444555566667777" * 3]
     got, _ = spans_of(spark, documents, texts)
     assert [bool(g) for g in got] == [False, True, False, False, False, True, False, True]  # digits alone are hex: base kind
     assert {k for g in (got[5], got[7]) for k, _, _ in g} == {"hex"}
