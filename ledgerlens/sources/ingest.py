@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import schemas as SC
+from .snapshots import Conflict, Snapshots
 
 log = logging.getLogger(__name__)
 
@@ -31,6 +32,8 @@ TIMESTAMP_OUT_FORMAT = "yyyy-MM-dd HH:mm:ss"
 #: A quote inside a quoted field is doubled, in files read and written.
 QUOTES = {"quote": '"', "escape": '"'}
 PROBLEM = "_problem"
+#: Times that a change starts again because another writer published first.
+RETRIES = 5
 _RAW = "_raw_record"
 
 
@@ -51,10 +54,10 @@ def _scan(spark: SparkSession, path, null_tokens=NULL_TOKENS, multi_line: bool =
     df = reader.options(columnNameOfCorruptRecord=_RAW, enforceSchema=True, columnPruning=False).schema(schema).csv(path)
     # the reader keeps the raw text of short and of long rows; only the long ones lose fields
     separators = F.regexp_count(F.regexp_replace(F.col(_RAW), F.lit('"(?:[^"]|"")*"'), F.lit("")), F.lit(","))
-    missing = F.array(*[F.lit(t) for t in null_tokens])
     return df.select(
-        *[F.when(~F.array_contains(missing, F.col(f"`{c}`")), F.col(f"`{c}`")).alias(c) for c in names],
-        F.when(separators >= len(names), F.lit("row with more fields than the header")).alias(PROBLEM))
+        *[F.when(~F.col(f"`{c}`").isin(*null_tokens), F.col(f"`{c}`")).alias(c) for c in names],
+        # the reader refuses to be asked for the raw text alone, so the message holds a column, too
+        F.when(separators >= len(names), F.concat(F.lit("row with more fields than the header: "), F.coalesce(F.col(f"`{names[0]}`"), F.lit("")))).alias(PROBLEM))
 
 
 def open_quotes(spark: SparkSession, paths) -> DataFrame:
@@ -99,35 +102,40 @@ def normalize_headers(df: DataFrame, spec: SC.TableSpec) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").alias(mapping.get(c, c)) for c in df.columns])
 
 
-def _typed(c: Column, kind: str) -> Column:
-    """The value as ``kind``, or null if ``kind`` cannot hold it exactly."""
+def _exact_kind(kind: str) -> bool:
+    return kind in ("int", "bigint") or kind.startswith("decimal")
+
+
+def _parsed(c: Column, kind: str) -> Column:
+    """The first cast of a text: to its kind, or for exact numbers to a number that holds every digit."""
     if kind == "timestamp_ntz":
         return F.try_to_timestamp(c).cast("timestamp_ntz")
     if kind == "date":
         return F.try_to_timestamp(c).cast("date")
-    if kind in ("int", "bigint") or kind.startswith("decimal"):
-        exact = c.try_cast("decimal(38,12)")
-        value = exact.try_cast(kind)
-        return F.when(value.cast("decimal(38,12)") == exact, value)
-    return c.try_cast(kind)
+    return c.try_cast("decimal(38,12)" if _exact_kind(kind) else kind)
 
 
 def typed_columns(df: DataFrame, spec: SC.TableSpec) -> DataFrame:
-    """S3: canonical text columns as their declared types; a value that does not fit becomes null and is named in
-    ``PROBLEM``. Other columns are left as they are."""
+    """S3: canonical text columns as their declared types; a value that its type cannot hold exactly becomes null and is
+    named in ``PROBLEM``. Other columns are left as they are.
+
+    Texts are cast once, in a projection of their own; the next one compares the casts with the texts."""
     types, kinds = {**spec.types, **spec.extra_types}, dict(df.dtypes)
-    out, misfits = [], [F.col(PROBLEM)] if PROBLEM in df.columns else []
-    for c in df.columns:
-        col = F.col(f"`{c}`")
-        want = types.get(c)
-        if c == PROBLEM:
-            continue
-        if want is None or kinds[c] != "string" or want == "string":
-            out.append(col)
-            continue
-        out.append(_typed(col, want).alias(c))
-        misfits.append(F.when(col.isNotNull() & _typed(col, want).isNull(), F.concat(F.lit(f"{c} is not {want}: "), col)))
-    return df.select(*out, (F.coalesce(*misfits) if misfits else F.lit(None).cast("string")).alias(PROBLEM))
+    casts = {c: types[c] for c in df.columns if kinds[c] == "string" and types.get(c, "string") != "string" and c != PROBLEM}
+    step = df.select("*", *[_parsed(F.col(f"`{c}`"), k).alias(f"_cast_{c}") for c, k in casts.items()])
+    step = step.select("*", *[F.col(f"_cast_{c}").try_cast(k).alias(f"_value_{c}") for c, k in casts.items() if _exact_kind(k)])
+    values, misfits = {}, [F.col(PROBLEM)] if PROBLEM in df.columns else []
+    for c, kind in casts.items():
+        cast = F.col(f"_cast_{c}")
+        if _exact_kind(kind):
+            value = F.col(f"_value_{c}")
+            values[c] = F.when(value.cast("decimal(38,12)") == cast, value)
+            misfit = cast.isNull() | value.isNull() | (value.cast("decimal(38,12)") != cast)
+        else:
+            values[c], misfit = cast, cast.isNull()
+        misfits.append(F.when(F.col(f"`{c}`").isNotNull() & misfit, F.concat(F.lit(f"{c} is not {kind}: "), F.col(f"`{c}`"))))
+    out = [values[c].alias(c) if c in values else F.col(f"`{c}`") for c in df.columns if c != PROBLEM]
+    return step.select(*out, (F.coalesce(*misfits) if misfits else F.lit(None).cast("string")).alias(PROBLEM))
 
 
 def coerce_types(df: DataFrame, spec: SC.TableSpec, strict: bool = True) -> DataFrame:
@@ -143,16 +151,30 @@ def derive_netsale(df: DataFrame) -> DataFrame:
     return df
 
 
-def parse_files(spark: SparkSession, path, spec: SC.TableSpec) -> DataFrame:
+def parse_files(spark: SparkSession, path, spec: SC.TableSpec, multi_line: bool = False) -> DataFrame:
     """S1 -> S2 -> S3 -> S4 for files that share a header, with ``PROBLEM`` per row."""
-    return derive_netsale(typed_columns(normalize_headers(_scan(spark, path, multi_line=spec.multi_line), spec), spec))
+    return derive_netsale(typed_columns(normalize_headers(_scan(spark, path, multi_line=multi_line), spec), spec))
 
 
 def load_file(spark: SparkSession, path, spec: SC.TableSpec, strict: bool = True) -> DataFrame:
-    """S1 -> S2 -> S3 -> S4 for one file, directory or list of same-header files."""
-    if not spec.multi_line and not open_quotes(spark, path).isEmpty():
-        raise ValueError(f"quoted line break in {path}; {spec.name} is read line by line")
-    parsed = parse_files(spark, path, spec)
+    """S1 -> S2 -> S3 -> S4 for one file, directory or list of same-header files.
+
+    Files are read line by line, in parts. Where the table's ``multi_line`` is None, just the files with a quoted
+    line break are read whole, one task each; False refuses such files, True reads every file whole."""
+    if spec.multi_line is not True:
+        broken = {r["path"] for r in open_quotes(spark, path).collect()}  # names of files that cannot be split
+        if broken and spec.multi_line is False:
+            raise ValueError(f"quoted line break in {path}; {spec.name} is read line by line")
+    whole = spec.multi_line is True or bool(broken)
+    if whole and spec.multi_line is None:
+        every = {r["path"] for r in spark.read.text(path).select(F.input_file_name().alias("path")).distinct().collect()}
+        if every - broken:
+            parsed = [parse_files(spark, sorted(names), spec, multi_line=m) for names, m in ((every - broken, False), (broken, True))]
+            parsed = parsed[0].unionByName(parsed[1], allowMissingColumns=True)
+        else:
+            parsed = parse_files(spark, path, spec, multi_line=True)
+    else:
+        parsed = parse_files(spark, path, spec, multi_line=whole)
     return _raise_problems(parsed) if strict else parsed.drop(PROBLEM)
 
 
@@ -168,36 +190,47 @@ def route_file(filename: str, registry=None) -> str | None:
 # ----------------------------------------------------------------------------- table access
 
 class TableStore:
-    """Named tables on a shared filesystem (one Parquet directory each), or in
-    the session catalog when ``root`` is ``None``."""
+    """Named tables in one folder of a shared filesystem, published in whole snapshots, or in the session catalog
+    when ``root`` is ``None`` (there each write stands alone, and the file stream cannot use it)."""
 
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
-        self.root = root.rstrip("/") if root else None
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
+        self.snapshots = Snapshots(spark, root) if root else None
 
     def exists(self, name: str) -> bool:
-        """S9. What cannot be looked up does not exist for the caller, nor does the folder that a failed first write
-        leaves behind."""
+        """S9. What cannot be looked up does not exist for the caller, nor does what was staged but not published."""
         try:
-            if self.root is None:
-                return self.spark.catalog.tableExists(name)
-            p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path(name)}/part-*")
-            return len(p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p) or ()) > 0
+            return self.spark.catalog.tableExists(name) if self.snapshots is None else self.snapshots.exists(name)
         except Exception:  # noqa: BLE001
             log.exception("looking up %s", name)
             return False
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.table(name) if self.root is None else self.spark.read.parquet(self.path(name))
+        return self.spark.table(name) if self.snapshots is None else self.snapshots.read(name)
 
     def write(self, df: DataFrame, name: str, mode: str) -> None:
-        if self.root is None:
+        """One table changes in a step of its own; mode ``append`` or ``overwrite``."""
+        if self.snapshots is None:
             df.write.mode(mode).saveAsTable(name)
         else:
-            df.write.mode(mode).parquet(self.path(name))
+            self.together({name: df}, mode)
+
+    def together(self, frames: dict[str, DataFrame], mode: str) -> None:
+        """Some tables change in one step: all of them or, if any fails, none. (In the catalog: one by one.)"""
+        if self.snapshots is None:
+            for name, df in frames.items():
+                df.write.mode(mode).saveAsTable(name)
+            return
+        for attempt in range(RETRIES):
+            change = self.snapshots.change()
+            for name, df in frames.items():
+                (change.append if mode == "append" else change.replace)(name, df)
+            try:
+                change.publish()
+                return
+            except Conflict:
+                if attempt == RETRIES - 1:
+                    raise
 
 
 @dataclass(frozen=True)
@@ -244,15 +277,15 @@ def load_predictions(store: TableStore) -> DataFrame:
 # ----------------------------------------------------------------------------- S5, S7
 
 def bootstrap(store: TableStore, source_dir: str, registry=None, strict: bool = True) -> dict[str, bool]:
-    """Rebuild every table from its master file (overwrite). A missing master file is logged and skipped; any
-    other failure aborts. Returns which tables were written."""
+    """Rebuild every table from its master file (overwrite), in one step: readers see the old tables until all
+    new ones are published together. A missing master file is logged and skipped; any other failure aborts and leaves
+    every table as it was. Returns which tables were written."""
     masters = {name: f"{source_dir.rstrip('/')}/{spec.master_file}" for name, spec in (registry or SC.INGESTED).items()}
     there = {name: _path_exists(store.spark, path) for name, path in masters.items()}
     for name, path in masters.items():
-        if there[name]:
-            store.write(load_file(store.spark, path, SC.spec_for(name), strict), name, "overwrite")
-        else:
+        if not there[name]:
             log.error("no master file %s; table %s is left alone", path, name)
+    store.together({name: load_file(store.spark, path, SC.spec_for(name), strict) for name, path in masters.items() if there[name]}, "overwrite")
     return there
 
 

@@ -22,9 +22,9 @@ class TableSpec:
     master_file: str
     file_prefix: str
     extra_types: dict = field(default_factory=dict)  # derived columns stored with the table
-    # Quoted line breaks keep Spark from splitting a file, so they are a choice per table; where they are off, a
-    # file with an open quote is refused.
-    multi_line: bool = False
+    # Quoted line breaks keep Spark from splitting a file. None: files that have one are read whole, all others
+    # in parts; True: every file is read whole; False: a file with a quoted line break is refused.
+    multi_line: bool | None = None
 
     @property
     def columns(self) -> list[str]:

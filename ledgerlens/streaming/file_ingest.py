@@ -7,14 +7,17 @@ incoming folder and is not in the ledger, so a name that is dropped again with n
 1. a file is known by (path, length, modification time); known ones are skipped;
 2. the name gives the table (S6); files of one table that share a header line are read together and bound by name;
 3. the rows of a group are checked first, in one job that lists the files with a bad row; those are rejected and
-   the rest is appended, so one bad file never holds back another;
-4. files are archived under a free name after their append committed.
-
-The ledger (``_ingested_files``) gets a row "started" before an append and "stored" after it. Delivery is at least
-once, so a file that is started but not stored when it is seen again may have been appended: only then the target
-is searched for it (by ``_source_file`` and ``_batch_id``), and it is appended only if it is not there. A table that
-was built by the batch rebuild has no such columns; appends to it keep its schema and have no such guard.
-A rejected file stays where it is and is tried again when its content changes.
+   the rest is staged, so one bad file never holds back another;
+4. the rows of all groups, the ledger rows of their files and the reject log are published in one snapshot
+   (``sources.snapshots``): after a crash at any point either all of a batch is there or nothing, and a file counts as
+   stored exactly if its rows are;
+5. files are archived under a free name after that; a file that is stored but still lies there is only archived.
+
+The ledger (``_ingested_files``) is bucketed by path and merged as it grows, so a batch opens the buckets of its own
+files only, and the number of ledger files does not follow the number of batches. A file
+dropped again under a known name is new if its length or time is.
+A rejected file stays where it is and is tried again when its content changes. Two ingests of one store do not disturb
+each other: the one that publishes second starts its batch again from the ledger as it is then.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from pyspark.sql import functions as F
 from ..session import unique_dir
 from ..sources import ingest as I
 from ..sources import schemas as SC
+from ..sources.snapshots import Conflict, file_system
 
 log = logging.getLogger(__name__)
 
@@ -38,10 +42,8 @@ BOOKKEEPING = ("_source_file", "_batch_id")
 FILES_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-def _fs_for(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return jvm, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+def _path(spark: SparkSession):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path
 
 
 def read_headers(spark: SparkSession, paths: list[str]) -> dict[str, str]:
@@ -62,7 +64,7 @@ def _plain(path: str) -> str:
 
 def incoming_files(spark: SparkSession, incoming_dir: str) -> list[tuple[str, int, int]]:
     """(path, length, modification time) of every CSV file that lies in the folder."""
-    jvm, fs, p = _fs_for(spark, incoming_dir)
+    fs, p = file_system(spark, incoming_dir)
     if not fs.exists(p):
         return []
     return sorted((st.getPath().toString(), int(st.getLen()), int(st.getModificationTime())) for st in fs.listStatus(p)
@@ -70,53 +72,37 @@ def incoming_files(spark: SparkSession, incoming_dir: str) -> list[tuple[str, in
 
 
 def _state(spark: SparkSession, path: str) -> tuple[str, int, int]:
-    _, fs, p = _fs_for(spark, path)
+    fs, p = file_system(spark, path)
     st = fs.getFileStatus(p)
     return st.getPath().toString(), int(st.getLen()), int(st.getModificationTime())
 
 
 def archive_file(spark: SparkSession, src: str, archive_dir: str, modified: int) -> bool:
     """Moves a file into the archive; if its name is taken there, the modification time is added to it."""
-    jvm, fs, p = _fs_for(spark, src)
-    folder = jvm.org.apache.hadoop.fs.Path(archive_dir)
+    fs, p = file_system(spark, src)
+    folder = _path(spark)(archive_dir)
     fs.mkdirs(folder)
-    target, n = jvm.org.apache.hadoop.fs.Path(folder, p.getName()), 0
+    target, n = _path(spark)(folder, p.getName()), 0
     while fs.exists(target):
         stem, dot, end = p.getName().rpartition(".")
-        target, n = jvm.org.apache.hadoop.fs.Path(folder, f"{stem}-{modified}{f'-{n}' if n else ''}{dot}{end}"), n + 1
+        target, n = _path(spark)(folder, f"{stem}-{modified}{f'-{n}' if n else ''}{dot}{end}"), n + 1
     return bool(fs.rename(p, target))
 
 
-def _ledger(store: I.TableStore, files: Iterable[tuple[str, int, int]]) -> dict[tuple[str, int, int], set[str]]:
-    """What the ledger says of some files."""
-    if not store.exists(LEDGER):
+def ledger_statuses(store: I.TableStore, files: Iterable[tuple[str, int, int]]) -> dict[tuple[str, int, int], str]:
+    """What the ledger says of some files: ``stored`` or ``rejected``."""
+    files = list(files)
+    if not files or not store.exists(LEDGER):
         return {}
-    asked = store.spark.createDataFrame(list(files), "path string, length bigint, modified bigint")
-    rows = store.read(LEDGER).join(asked, ["path", "length", "modified"], "left_semi").collect()  # a few per file
-    out: dict[tuple[str, int, int], set[str]] = {}
-    for r in rows:
-        out.setdefault((r["path"], r["length"], r["modified"]), set()).add(r["status"])
-    return out
-
-
-def _note(store: I.TableStore, files: list[tuple[str, int, int]], status: str, batch_id: int) -> None:
-    if files:
-        store.write(store.spark.createDataFrame([(*f, status, batch_id) for f in files], LEDGER_SCHEMA).coalesce(1), LEDGER, "append")
-
+    asked = store.spark.createDataFrame(files, "path string, length bigint, modified bigint")
+    known = store.snapshots.read(LEDGER, keys=[f[0] for f in files])
+    rows = known.join(asked, ["path", "length", "modified"], "left_semi").collect()  # one a file
+    return {(r["path"], r["length"], r["modified"]): r["status"] for r in rows}
 
-def _stored_already(store: I.TableStore, table: str, files: list[tuple[str, int, int]], known: dict) -> set[tuple[str, int, int]]:
-    """Files that were started earlier and whose rows are in the target."""
-    doubtful = [f for f in files if "started" in known.get(f, ())]
-    if not doubtful or not store.exists(table) or BOOKKEEPING[0] not in store.read(table).columns:
-        return set()
-    names = [f"{p}|{n}|{m}" for p, n, m in doubtful]
-    found = {r[0] for r in store.read(table).where(F.col(BOOKKEEPING[0]).isin(names)).select(BOOKKEEPING[0]).distinct().collect()}
-    return {f for f, name in zip(doubtful, names, strict=True) if name in found}
 
-
-def _bad_files(spark: SparkSession, parsed: DataFrame, spec: SC.TableSpec, paths: list[str], strict: bool) -> dict[str, str]:
+def _bad_files(parsed: DataFrame, strict: bool) -> dict[str, str]:
     """Files with a row that does not fit, and why (one aggregate over the group)."""
-    bad = {_plain(r["path"]): "quoted line break" for r in ([] if spec.multi_line else I.open_quotes(spark, paths).collect())}
+    bad = {}
     if strict:
         rows = parsed.where(F.col(I.PROBLEM).isNotNull()).groupBy(F.input_file_name().alias("path")).agg(F.min(I.PROBLEM).alias("why")).collect()
         bad |= {_plain(r["path"]): r["why"] for r in rows}
@@ -126,13 +112,45 @@ def _bad_files(spark: SparkSession, parsed: DataFrame, spec: SC.TableSpec, paths
 def process_batch(store: I.TableStore, archive_dir: str, files: list, batch_id: int, strict: bool = True) -> dict:
     """Ingest some files, given by path or by (path, length, modification time). Returns
     ``{'appended': [...], 'rejected': [...]}`` (paths)."""
+    if store.snapshots is None:
+        raise ValueError("the file stream needs a table store in a folder")
     spark = store.spark
     files = sorted(_state(spark, f) if isinstance(f, str) else f for f in files)
-    known = _ledger(store, files) if files else {}
-    settled = [f for f in files if "stored" in known.get(f, ())]  # stored, but not yet archived
+    for attempt in range(I.RETRIES):
+        try:
+            stored, rejects = _publish_batch(store, files, batch_id, strict)
+            break
+        except Conflict:
+            if attempt == I.RETRIES - 1:
+                raise
+    moved = []
+    for path, _, modified in stored:
+        try:
+            if archive_file(spark, path, archive_dir, modified):
+                moved.append(path)
+        except Exception:  # noqa: BLE001 - the ledger keeps it from being appended again
+            log.exception("archive move failed for %s", path)
+    return {"appended": moved, "rejected": [f[0] for f, _ in rejects]}
+
+
+def _groups(spark: SparkSession, spec: SC.TableSpec, group: list) -> list[tuple[list, bool]]:
+    """Files that can be split, and files with a quoted line break, which are read whole (True)."""
+    if spec.multi_line:
+        return [(group, True)]
+    broken = {_plain(r["path"]) for r in I.open_quotes(spark, [f[0] for f in group]).collect()}
+    parts = [([f for f in group if _plain(f[0]) not in broken], False), ([f for f in group if _plain(f[0]) in broken], True)]
+    return [(fs, whole) for fs, whole in parts if fs]
+
+
+def _publish_batch(store: I.TableStore, files: list, batch_id: int, strict: bool) -> tuple[list, list]:
+    """(files whose rows are stored, rejected files with the reason) after one published change."""
+    spark = store.spark
+    change = store.snapshots.change()
+    known = ledger_statuses(store, files)
+    stored = [f for f in files if known.get(f) == "stored"]  # not yet archived
+    todo = [f for f in files if f not in known]
     rejects: list[tuple[tuple[str, int, int], str]] = []
     groups: dict[tuple[str, str], list[tuple[str, int, int]]] = {}
-    todo = [f for f in files if not known.get(f, set()) & {"stored", "rejected"}]
     headers = read_headers(spark, [f[0] for f in todo if I.route_file(f[0])]) if any(I.route_file(f[0]) for f in todo) else {}
     for f in todo:
         table, header = I.route_file(f[0]), headers.get(_plain(f[0]))
@@ -140,66 +158,72 @@ def process_batch(store: I.TableStore, archive_dir: str, files: list, batch_id:
             rejects.append((f, "unrecognised file prefix" if table is None else "empty file"))
         else:
             groups.setdefault((table, header), []).append(f)
-
-    appended = list(settled)
+    fresh = []
     for (table, _), group in groups.items():
-        spec = SC.spec_for(table)
+        spec, before = SC.spec_for(table), change.tables.get(table)
+        done = []
         try:
-            cols, types = I.target_layout(store, spec)
-            marked = BOOKKEEPING[0] in cols or not store.exists(table)
-            cols = [c for c in cols if c not in BOOKKEEPING]
-            parsed = I.parse_files(spark, [f[0] for f in group], spec)
-            problem = I.schema_problem([c for c in parsed.columns if c != I.PROBLEM], cols)
-            bad = dict.fromkeys((_plain(f[0]) for f in group), problem) if problem else _bad_files(spark, parsed, spec, [f[0] for f in group], strict)
-            rejects += [(f, bad[_plain(f[0])]) for f in group if _plain(f[0]) in bad]
-            good = [f for f in group if _plain(f[0]) not in bad]
-            there = _stored_already(store, table, good, known) if marked else set()
-            new = [f for f in good if f not in there]
-            if new:
-                _note(store, new, "started", batch_id)
-                rows = I.parse_files(spark, [f[0] for f in new], spec)
-                if marked:
-                    rows = rows.withColumn("_path", F.input_file_name())
-                out = I.align_to(rows.drop(I.PROBLEM), [*cols, "_path"] if marked else cols, types)
-                if marked:
-                    name = F.create_map(*[F.lit(x) for f in new for x in (_plain(f[0]), f"{f[0]}|{f[1]}|{f[2]}")])
-                    plain = F.regexp_replace(F.url_decode(F.replace("_path", F.lit("+"), F.lit("%2B"))), "^file:/*", "file:/")
-                    out = out.withColumn(BOOKKEEPING[0], name[plain]).withColumn(BOOKKEEPING[1], F.lit(batch_id).cast("bigint")).drop("_path")
-                store.write(out, table, "append")
-            _note(store, good, "stored", batch_id)
-            appended += good
+            for part, whole in _groups(spark, spec, group):
+                if whole and spec.multi_line is False:
+                    rejects += [(f, "quoted line break") for f in part]
+                    continue
+                cols, types = _layout(store, change, spec)
+                parsed = I.parse_files(spark, [f[0] for f in part], spec, multi_line=whole)
+                plain_cols = [c for c in cols if c not in BOOKKEEPING]
+                problem = I.schema_problem([c for c in parsed.columns if c != I.PROBLEM], plain_cols)
+                bad = dict.fromkeys((_plain(f[0]) for f in part), problem) if problem else _bad_files(parsed, strict)
+                rejects += [(f, bad[_plain(f[0])]) for f in part if _plain(f[0]) in bad]
+                good = [f for f in part if _plain(f[0]) not in bad]
+                if good:
+                    rows = I.parse_files(spark, [f[0] for f in good], spec, multi_line=whole).drop(I.PROBLEM)
+                    if BOOKKEEPING[0] in cols:
+                        plain = F.regexp_replace(F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B"))), "^file:/*", "file:/")
+                        rows = rows.withColumn(BOOKKEEPING[0], plain).withColumn(BOOKKEEPING[1], F.lit(batch_id).cast("bigint"))
+                    change.append(table, I.align_to(rows, cols, types))
+                    done += good
         except Exception as e:  # noqa: BLE001 - a bad group must not stop the others
             log.exception("append failed for %s", group)
-            rejects += [(f, f"append failed: {type(e).__name__}") for f in group if f not in appended]
-
-    moved = []
-    for path, _, modified in appended:
-        try:
-            if archive_file(spark, path, archive_dir, modified):
-                moved.append(path)
-        except Exception:  # noqa: BLE001 - the ledger keeps it from being appended again
-            log.exception("archive move failed for %s", path)
+            change.tables.pop(table, None) if before is None else change.tables.update({table: before})
+            refused = {f for f, _ in rejects}
+            rejects += [(f, f"append failed: {type(e).__name__}") for f in group if f not in refused]
+            done = []
+        fresh += done
+    # a group that failed to be written is tried again, so it is not in the ledger
+    settled = [(*f, "stored", batch_id) for f in fresh] + [(*f, "rejected", batch_id) for f, why in rejects if not why.startswith("append failed")]
+    if settled:
+        change.append(LEDGER, spark.createDataFrame(settled, LEDGER_SCHEMA).coalesce(1), key="path")
     if rejects:
         rows = [(f[0], why, batch_id) for f, why in rejects]
         frame = spark.createDataFrame(rows, "path string, reason string, batch_id bigint").withColumn("logged_at", F.current_timestamp())
-        store.write(frame, REJECTED, "append")
-        _note(store, [f for f, why in rejects if not why.startswith("append failed")], "rejected", batch_id)
-    return {"appended": moved, "rejected": [f[0] for f, _ in rejects]}
+        change.append(REJECTED, frame.coalesce(1))
+    if settled or rejects:
+        change.publish()
+    return stored + fresh, rejects
+
+
+def _layout(store: I.TableStore, change, spec: SC.TableSpec) -> tuple[list[str], dict]:
+    """Columns and types that a file is appended under; a table that the stream makes has the bookkeeping columns."""
+    staged = change.tables.get(spec.name)
+    if staged is not None:
+        types = {f.name: f.dataType.simpleString() for f in staged.struct}
+        return list(types), types
+    cols, types = I.target_layout(store, spec)
+    return ([*cols, *BOOKKEEPING], {**types, BOOKKEEPING[0]: "string", BOOKKEEPING[1]: "bigint"}) if not store.exists(spec.name) else (cols, types)
 
 
 def publish_parts(spark: SparkSession, staging_dir: str, incoming_dir: str, stem: str) -> list[str]:
     """Move the ``part-*.csv`` files of a Spark CSV write into ``incoming_dir``
     as ``<stem>_<n>.csv`` (rename only; the number of files is the number of
     written partitions)."""
-    jvm, fs, p = _fs_for(spark, staging_dir)
-    dest = jvm.org.apache.hadoop.fs.Path(incoming_dir)
+    fs, p = file_system(spark, staging_dir)
+    dest = _path(spark)(incoming_dir)
     fs.mkdirs(dest)
     out = []
     parts = sorted(st.getPath().toString() for st in fs.listStatus(p)
                    if st.getPath().getName().startswith("part-") and st.getPath().getName().endswith(".csv"))
     for i, src in enumerate(parts):
-        target = jvm.org.apache.hadoop.fs.Path(dest, f"{stem}_{i:05d}.csv")
-        fs.rename(jvm.org.apache.hadoop.fs.Path(src), target)
+        target = _path(spark)(dest, f"{stem}_{i:05d}.csv")
+        fs.rename(_path(spark)(src), target)
         out.append(target.toString())
     return out
 

@@ -1,6 +1,9 @@
 import os
 
+import pytest
+
 from ledgerlens.sources import ingest as I
+from ledgerlens.sources import snapshots as SN
 from ledgerlens.streaming import file_ingest as FI
 
 HEADER = "OrderID,Timestamp,ProductID,Quantity,GrossValue,DiscountValue,CostOfGoodsSold,CustomerID,Channel\n"
@@ -46,13 +49,91 @@ def test_replayed_batch_does_not_duplicate(spark, tmp_path):
     assert FI._state(spark, path) == state
     FI.process_batch(store, str(tmp_path / "arch"), [state], batch_id=7)
     assert store.read("sales").count() == 1 and not p.exists()
-    # the crash came between the append and its ledger row
-    os.rename(tmp_path / "arch" / "sales_9.csv", p)
-    ledger = store.read(FI.LEDGER).where("status = 'started'").collect()
-    store.write(spark.createDataFrame(ledger, FI.LEDGER_SCHEMA), "copy", "overwrite")
-    store.write(store.read("copy"), FI.LEDGER, "overwrite")
-    FI.process_batch(store, str(tmp_path / "arch"), [state], batch_id=8)
-    assert store.read("sales").count() == 1
+
+
+def dropped(tmp_path):
+    inc = tmp_path / "in"
+    inc.mkdir()
+    (inc / "sales_1.csv").write_text(HEADER + "A1,2025-01-01 10:00:00,P1,1,10,1,4,C1,web\nA2,2025-01-01 11:00:00,P1,1,10,1,4,C1,web\n")
+    (inc / "customer_1.csv").write_text("CustomerID,City\nC1,Riyadh\n")
+    (inc / "notes.csv").write_text("a\n1\n")
+    return inc
+
+
+class Crash(BaseException):
+    """Not an error that any handler would take."""
+
+
+@pytest.mark.parametrize("target, name, before", [
+    ("Change", "_write", 0), ("Change", "_write", 1), ("Change", "_write", 2), ("Change", "_write", 3), ("Change", "publish", 0),
+    ("Change", "_rename", 0), ("ingest", "archive_file", 0), ("ingest", "archive_file", 1)])
+def test_a_crash_at_any_step_leaves_every_row_once(spark, tmp_path, monkeypatch, target, name, before):
+    inc, store = dropped(tmp_path), I.TableStore(spark, str(tmp_path / "tables"))
+    owner = SN.Change if target == "Change" else FI
+    real, calls = getattr(owner, name), []
+
+    def crashing(*args, **kw):
+        calls.append(1)
+        if len(calls) > before:
+            if name == "_write":  # some files of the job are there, its commit did not come
+                folder = tmp_path / "tables" / args[2] / "000000000001-half"
+                folder.mkdir(parents=True)
+                (folder / "part-00000.parquet").write_text("half a file")
+            raise Crash
+        return real(*args, **kw)
+
+    monkeypatch.setattr(owner, name, crashing)
+    files = FI.incoming_files(spark, str(inc))
+    with pytest.raises(Crash):
+        FI.process_batch(store, str(tmp_path / "arch"), files, batch_id=1)
+    monkeypatch.undo()
+    there = store.exists("sales")
+    assert there == (name == "archive_file") == store.exists("customers") == store.exists(FI.LEDGER)
+    for _ in range(2):  # the next run of a restarted ingest, and one more
+        FI.process_batch(store, str(tmp_path / "arch"), FI.incoming_files(spark, str(inc)), batch_id=2)
+        assert sorted(r.orderid for r in store.read("sales").collect()) == ["A1", "A2"] and store.read("customers").count() == 1
+        assert store.read(FI.REJECTED).count() == 1 and store.read(FI.LEDGER).count() == 3
+    assert sorted(os.listdir(tmp_path / "arch")) == ["customer_1.csv", "sales_1.csv"] and os.listdir(inc) == ["notes.csv"]
+
+
+def test_the_second_of_two_ingests_starts_again(spark, tmp_path, monkeypatch):
+    inc, store = dropped(tmp_path), I.TableStore(spark, str(tmp_path / "tables"))
+    other, real, calls = I.TableStore(spark, str(tmp_path / "tables")), SN.Change.publish, []
+
+    def publish(self):
+        calls.append(1)
+        if len(calls) == 1:  # the other one is faster
+            FI.process_batch(other, str(tmp_path / "arch"), FI.incoming_files(spark, str(inc)), batch_id=5)
+        return real(self)
+
+    monkeypatch.setattr(SN.Change, "publish", publish)
+    FI.process_batch(store, str(tmp_path / "arch"), FI.incoming_files(spark, str(inc)), batch_id=1)
+    assert store.read("sales").count() == 2 and store.read("customers").count() == 1
+
+
+def test_quoted_line_breaks_are_streamed(spark, tmp_path):
+    inc, store = tmp_path / "in", I.TableStore(spark, str(tmp_path / "tables"))
+    inc.mkdir()
+    (inc / "customer_1.csv").write_text('CustomerID,City\nC1,"two\nlines"\n')
+    (inc / "customer_2.csv").write_text("CustomerID,City\nC2,x\n")
+    FI.run_once(spark, str(inc), store, str(tmp_path / "archive"))
+    assert {r.customerid: r.city for r in store.read("customers").collect()} == {"C1": "two\nlines", "C2": "x"}
+
+
+def test_ledger_files_do_not_follow_the_batches(spark, tmp_path):
+    store = SN.Snapshots(spark, str(tmp_path / "tables"), fanout=3)
+    for i in range(28):
+        change = store.change()
+        change.append("_log", spark.createDataFrame([(f"f{i}", i)], "path string, n long").coalesce(1), key="path")
+        change.publish()
+    table = store.manifest().tables["_log"]
+    assert len(table.folders) <= 2 * 4 and max(f.level for f in table.folders) == 3  # under 3 of each of 4 levels
+    assert sorted(r.n for r in store.read("_log").collect()) == list(range(28))
+    some = store.read("_log", keys=["f3"])
+    assert [r.n for r in some.where("path = 'f3'").collect()] == [3] and some.count() < 28  # other buckets stay closed
+    assert store.vacuum() > 20
+    files = [f for _, _, names in os.walk(tmp_path / "tables") for f in names if f.endswith(".parquet")]
+    assert len(files) <= SN.BUCKETS * 8 and store.read("_log").count() == 28
 
 
 def test_a_bad_file_does_not_hold_back_a_good_one(spark, tmp_path):
