@@ -30,6 +30,7 @@ from ..sources import ingest as ING
 from ..sources import schemas as SCH
 from ..streaming import file_ingest as FI
 from . import oracle as O
+from . import refresh as R
 from . import workspace as W
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -878,12 +879,15 @@ for _name, _ctes, _source in (
     _register_ingest(_name, _ctes, _source)
 
 
-@query("refresh_counts", O.with_(O.CUSTOMERS, O.FUNNEL) + """
-SELECT 'customers' AS table_name, COUNT(*) AS row_count FROM customers UNION ALL SELECT 'sales_funnel', COUNT(*) FROM funnel
-UNION ALL SELECT unnest(['sales', 'deliveries', 'marketing_campaigns', 'marketing_attribution', 'competitors']), 0""")
+_INGEST_TABLES = ("sales", "deliveries", "customers", "sales_funnel", "marketing_campaigns", "marketing_attribution", "competitors")
+
+
+@query("refresh_counts", O.with_(O.SALES, O.DELIVERIES, O.CUSTOMERS, O.FUNNEL, O.CAMPAIGNS, O.COMPETITORS) + "\nUNION ALL ".join(
+    f"SELECT '{name}' AS table_name, COUNT(*) AS row_count FROM {source}" for name, source in zip(
+        _INGEST_TABLES, ("sales_e", "deliveries", "customers", "funnel", "campaigns", "attribution", "competitors"))))
 def q_refresh_counts(spark, sf_dir):
-    """Rows of every ingested table after a rebuild of two; the others are empty."""
-    frames = ING.refresh_all(_rebuilt(spark, sf_dir, "customers", "sales_funnel"))
+    """Rows of every ingested table after a rebuild of all of them in one snapshot."""
+    frames = ING.refresh_all(_rebuilt(spark, sf_dir, *_INGEST_TABLES))
     counts = [df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).cast("bigint").alias("row_count")) for name, df in frames.items()]
     return reduce(DataFrame.unionByName, counts)
 
@@ -932,3 +936,57 @@ def q_stream_ingest(spark, sf_dir):
     store = ING.TableStore(spark, f"{root}/tables")
     FI.run_once(spark, incoming, store, f"{root}/archive")
     return _ingested(ING.load_table_safely(store, "sales"))
+
+
+#: Key, label and measure of every ingested table, for the mixed stream.
+_STREAMED = {"sales": ("orderid", "channel", "grossvalue"), "deliveries": ("deliveryid", "status", "deliverycost"),
+             "customers": ("customerid", "segment", None), "sales_funnel": ("week", None, "visits"),
+             "marketing_campaigns": ("campaignid", "channel", "totalcost"), "marketing_attribution": ("orderid", "campaignid", None),
+             "competitors": ("productid", "competitor", "price")}
+_STREAM_SOURCES = {"sales": "sales_e", "sales_funnel": "funnel", "marketing_campaigns": "campaigns", "marketing_attribution": "attribution"}
+
+
+def _streamed_sql() -> str:
+    def one(name: str) -> str:
+        key, label, measure = _STREAMED[name]
+        return (f"SELECT '{name}' AS table_name, CAST({key} AS VARCHAR) AS key, {f'CAST({label} AS VARCHAR)' if label else 'NULL'} AS label, "
+                f"{f'CAST({measure} AS DOUBLE)' if measure else 'NULL'} AS measure FROM {_STREAM_SOURCES.get(name, name)}")
+    return O.with_(O.SALES, O.DELIVERIES, O.CUSTOMERS, O.FUNNEL, O.CAMPAIGNS, O.COMPETITORS) + "\nUNION ALL ".join(map(one, _STREAMED))
+
+
+@query("stream_all_tables", _streamed_sql())
+def q_stream_all_tables(spark, sf_dir):
+    """Files of all seven tables lie mixed in the incoming folder; one run of the stream stores each where its
+    name says. Every row is read back."""
+    root, masters = unique_dir(spark, "stream-all"), _masters(spark, sf_dir)
+    for name in _INGEST_TABLES:
+        spec = SCH.spec_for(name)
+        ING.write_csv(ING.rename_headers(masters[name], spec), f"{root}/staging/{name}")
+        FI.publish_parts(spark, f"{root}/staging/{name}", f"{root}/incoming", f"{spec.file_prefix}drop")
+    store = ING.TableStore(spark, f"{root}/tables")
+    FI.run_once(spark, f"{root}/incoming", store, f"{root}/archive")
+    out = []
+    for name, (key, label, measure) in _STREAMED.items():
+        df = ING.load_table_safely(store, name)
+        out.append(df.select(F.lit(name).alias("table_name"), F.col(key).cast("string").alias("key"),
+                             (F.col(label) if label else F.lit(None)).cast("string").alias("label"),
+                             (F.col(measure) if measure else F.lit(None)).cast("double").alias("measure")))
+    return reduce(DataFrame.unionByName, out)
+
+
+@query("refresh_incremental", _INGESTED_SALES_SQL)
+def q_refresh_incremental(spark, sf_dir):
+    """The sales up to the last day are rebuilt from a master file and derived by month; the last day's file comes
+    by the stream, and a second refresh rewrites its month only. The derived table is the whole of the sales."""
+    root, sales = unique_dir(spark, "refresh"), A.sales(A.DriverTables(spark, sf_dir))
+    spec = SCH.spec_for("sales")
+    last = F.col("timestamp").cast("date") == sales.agg(F.max(F.col("timestamp").cast("date"))).scalar()
+    ING.write_csv(ING.rename_headers(sales.where(~last), spec), f"{root}/masters/{spec.master_file}")
+    store = ING.TableStore(spark, f"{root}/tables")
+    ING.bootstrap(store, f"{root}/masters", {"sales": spec})
+    R.refresh(store)
+    ING.write_csv(ING.rename_headers(sales.where(last), spec), f"{root}/staging")
+    FI.publish_parts(spark, f"{root}/staging", f"{root}/incoming", "sales_day")
+    FI.run_once(spark, f"{root}/incoming", store, f"{root}/archive")
+    R.refresh(store)
+    return _out(R.months(store, "sales_months"))

@@ -23,7 +23,7 @@ import inspect
 import threading
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
@@ -36,6 +36,7 @@ LINE_INPUTS = ("lineitem", "orders", "part", "customer", "supplier", "nation", "
 DELIVERY_COLUMNS = ["deliveryid", "orderid", "orderdate", "promiseddate", "actualdeliverydate", "status",
                     "deliverypartner", "city", "deliverycost", "date", "delivery_time_days", "on_time"]
 MONTH = "fact_month"
+NO_MONTH = 0  # of lines without a date
 ROWS_PER_FILE = 8_000_000  # hard cap on rows in one output file
 BYTES_PER_BUCKET = 256 * 1024 * 1024  # input bytes for each order-hash bucket of a month
 MATERIALIZE_CONF = "spark.ledgerlens.materialize"
@@ -81,16 +82,19 @@ def committed(spark: SparkSession, base: str) -> str | None:
     return next((b for b in builds if fs.exists(_fs(spark, f"{b}/_SUCCESS")[1])), None)
 
 
-def write_lines(lines: DataFrame, path: str, input_bytes: int) -> None:
+def month_of(column: str) -> Column:
+    return (F.year(column) * 100 + F.month(column)).cast("int")
+
+
+def write_lines(lines: DataFrame, path: str, input_bytes: int, date: str = "timestamp") -> None:
     """Writes order lines in the layout above."""
     per_month = max(1, -(-input_bytes // (BYTES_PER_BUCKET * 64)))
-    month = (F.year("timestamp") * 100 + F.month("timestamp")).cast("int")
-    out = lines.withColumn(MONTH, month).withColumn("_bucket", F.pmod(F.xxhash64("orderid"), F.lit(per_month)))
+    out = lines.withColumn(MONTH, F.coalesce(month_of(date), F.lit(NO_MONTH))).withColumn("_bucket", F.pmod(F.xxhash64("orderid"), F.lit(per_month)))
     (out.hint("rebalance", MONTH, "_bucket").sortWithinPartitions(MONTH, "orderid").drop("_bucket")
      .write.partitionBy(MONTH).option("maxRecordsPerFile", ROWS_PER_FILE).parquet(path))
 
 
-def _month(day) -> int:
+def month_number(day) -> int:
     y, m = str(day).split("-")[:2]
     return int(y) * 100 + int(m)
 
@@ -135,9 +139,9 @@ class Workspace:
         """The wide order-line fact; with dates, only the months they touch."""
         lines = self.spark.read.parquet(self.path())
         if start is not None:
-            lines = lines.where(F.col(MONTH) >= _month(start))
+            lines = lines.where(F.col(MONTH) >= month_number(start))
         if end is not None:
-            lines = lines.where(F.col(MONTH) <= _month(end))
+            lines = lines.where((F.col(MONTH) <= month_number(end)) & (F.col(MONTH) != NO_MONTH))
         return lines
 
     def sales(self, start=None, end=None) -> DataFrame:
