@@ -671,29 +671,31 @@ def q_churn_features(spark, sf_dir):
 def _split_sql(rest: str) -> str:
     """The features with the part that the split gives them, then ``rest``."""
     return _FEATURES_SQL.replace("\nSELECT *, CASE", ",\nlabelled AS (SELECT *, CASE") + f"""),
-parts AS (SELECT *, CAST('0x' || substr(md5(CAST(customerid AS VARCHAR) || '|{CH.SEED}|' || CAST(churn AS VARCHAR)), 1, 8) AS BIGINT)
-  % 10 < {CH.TRAIN_SHARE} AS training FROM labelled)
+parts AS (SELECT *, row_number() OVER (PARTITION BY churn ORDER BY
+    CAST('0x' || substr(md5(CAST(customerid AS VARCHAR) || '|{CH.SEED}|' || CAST(churn AS VARCHAR)), 1, {CH.HASH_DIGITS}) AS BIGINT), customerid)
+  <= (count(*) OVER (PARTITION BY churn) * {CH.TRAIN_SHARE} + 5) // 10 AS training FROM labelled)
 """ + rest
 
 
 @query("churn_split_counts", _split_sql("""
 SELECT churn, CASE WHEN training THEN 'train' ELSE 'test' END AS part, COUNT(*) AS customers FROM parts GROUP BY ALL"""))
 def q_churn_split_counts(spark, sf_dir):
-    return CH.split_counts(_features(spark, sf_dir))
+    return CH.split_counts(CH.checkpointed(_features(spark, sf_dir)))
 
 
 @query("churn_class_weights", _split_sql("""
 SELECT churn, CAST((SELECT COUNT(*) FROM parts WHERE training) AS DOUBLE) / (2.0 * COUNT(*)) AS class_weight
 FROM parts WHERE training GROUP BY churn"""))
 def q_churn_class_weights(spark, sf_dir):
-    return CH.class_weights(CH.split_train_test(_features(spark, sf_dir))[0])
+    return CH.class_weights(CH.split_train_test(CH.checkpointed(_features(spark, sf_dir)))[0])
 
 
 @query("churn_scaler_stats", _split_sql("\nUNION ALL ".join(
     f"SELECT '{c}' AS feature, round(AVG(CAST(COALESCE({c}, 0) AS DOUBLE)), 4) AS mean, "
-    f"round(stddev_samp(CAST(COALESCE({c}, 0) AS DOUBLE)), 4) AS std FROM parts WHERE training" for c in CH.FEATURES)))
+    f"round(stddev_pop(CAST(COALESCE({c}, 0) AS DOUBLE)), 4) AS std FROM parts WHERE training" for c in CH.FEATURES)))
 def q_churn_scaler_stats(spark, sf_dir):
-    return CH.scaler_stats(CH.split_train_test(_features(spark, sf_dir))[0])
+    """The scaler of the trained model."""
+    return CH.scaler_stats(_trained(spark, sf_dir)[0], spark)
 
 
 @query("churn_support", _split_sql("""
@@ -704,11 +706,38 @@ def q_churn_support(spark, sf_dir):
     return CH.evaluation(CH.score(model, test)).where("support > 0").select("label", "support")
 
 
+def _scored_sql(rest: str, steps: int = 40) -> str:
+    """The test of the solver: Newton's method as a recursive query, each step with its own elimination of the normal
+    equations, then ``rest`` over ``scored`` (all customers) and ``tested`` (those that were not trained on)."""
+    k = len(CH.FEATURES) + 1
+    x = ", ".join(["1.0::DOUBLE", *[f"(COALESCE({c}, 0)::DOUBLE - m_{c}) / (CASE WHEN s_{c} = 0 THEN 1 ELSE s_{c} END)" for c in CH.FEATURES]])
+    stats = ", ".join(f"AVG(COALESCE({c}, 0)::DOUBLE) AS m_{c}, stddev_pop(COALESCE({c}, 0)::DOUBLE) AS s_{c}" for c in CH.FEATURES)
+    rows = []
+    for i in range(1, k + 1):
+        cells = [f"SUM(w * p * (1 - p) * x[{i}] * x[{j}])" + (" + 1.0" if i == j else "") for j in range(1, k + 1)]
+        rows.append(f"[{', '.join(cells)}, SUM(w * (p - y) * x[{i}]) + theta[{i}]]")
+    solved = f"""SELECT step, theta, [{", ".join(rows)}] AS m
+      FROM (SELECT step, theta, x, y, w, 1 / (1 + exp(-list_dot_product(x, theta))) AS p FROM newton, tr WHERE step < {steps}) GROUP BY step, theta"""
+    for j in range(1, k + 1):
+        solved = f"""SELECT step, theta, list_transform(m, lambda line, i: CASE WHEN i = {j} THEN list_transform(line, lambda v: v / m[{j}][{j}])
+        ELSE list_transform(line, lambda v, c: v - line[{j}] * m[{j}][c] / m[{j}][{j}]) END) AS m FROM ({solved})"""
+    sql = _split_sql(f""", st AS (SELECT {stats}, COUNT(*) AS n, COUNT(*) FILTER (churn = 1) AS n1 FROM parts WHERE training),
+xs AS MATERIALIZED (SELECT customerid, churn, training, [{x}] AS x, churn::DOUBLE AS y, n / (2.0 * CASE WHEN churn = 1 THEN n1 ELSE n - n1 END) AS w FROM parts, st),
+tr AS MATERIALIZED (SELECT x, y, w FROM xs WHERE training),
+newton AS (SELECT 0 AS step, [{", ".join(["0.0::DOUBLE"] * k)}] AS theta
+  UNION ALL SELECT step + 1, list_transform(theta, lambda t, i: t - m[i][{k + 1}]) FROM ({solved})),
+scored AS MATERIALIZED (SELECT customerid, churn, training, 1 / (1 + exp(-list_dot_product(x, theta))) AS churn_probability
+  FROM xs, (SELECT theta FROM newton WHERE step = {steps})),
+tested AS (SELECT churn, CAST(churn_probability > 0.5 AS INTEGER) AS prediction FROM scored WHERE NOT training)
+""" + rest)
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 _MODELS: dict = {}
 
 
 def _trained(spark, sf_dir):
-    """Model, features and test set; trained once for the inputs as they are."""
+    """Model, features, test set and published store; trained once for the inputs as they are."""
     key = (spark.sparkContext.applicationId, sf_dir, W.signature(W.input_state(spark, sf_dir, W.LINE_INPUTS)))
     if key not in _MODELS:
         feats = CH.checkpointed(_features(spark, sf_dir))
@@ -717,22 +746,73 @@ def _trained(spark, sf_dir):
     return _MODELS[key]
 
 
-@query("churn_confusion")
+def _published(spark, sf_dir) -> ING.TableStore:
+    """P10: a store with the trained model's scores."""
+    model, feats, _ = _trained(spark, sf_dir)
+    store = ING.TableStore(spark, unique_dir(spark, "churn-store"))
+    CH.publish_scores(store, model, feats)
+    return store
+
+
+@query("churn_confusion", _scored_sql("""
+SELECT label, prediction, (SELECT COUNT(*) FROM tested t WHERE t.churn = a.label AND t.prediction = b.prediction) AS count
+FROM (SELECT unnest([0, 1]) AS label) a, (SELECT unnest([0, 1]) AS prediction) b"""))
 def q_churn_confusion(spark, sf_dir):
     model, _, test = _trained(spark, sf_dir)
     return CH.confusion(CH.score(model, test))
 
 
-@query("churn_evaluation")
+@query("churn_evaluation", _scored_sql("""
+, c AS (SELECT unnest([0, 1]) AS label),
+e AS (SELECT label, COUNT(*) FILTER (churn = label AND prediction = label)::DOUBLE AS tp, COUNT(*) FILTER (churn <> label AND prediction = label)::DOUBLE AS fp,
+  COUNT(*) FILTER (churn = label AND prediction <> label)::DOUBLE AS fn, COUNT(*) FILTER (churn = prediction)::DOUBLE / COUNT(*) AS accuracy FROM c, tested GROUP BY label),
+r AS (SELECT *, CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END AS precision, CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END AS recall FROM e)
+SELECT accuracy, label, precision, recall, CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END AS f1,
+  CAST(tp + fn AS BIGINT) AS support FROM r"""))
 def q_churn_evaluation(spark, sf_dir):
     model, _, test = _trained(spark, sf_dir)
     return CH.evaluation(CH.score(model, test))
 
 
-@query("churn_scores")
+@query("churn_scores", _scored_sql("SELECT customerid, round(churn_probability, 6) AS churn_probability FROM scored"))
 def q_churn_scores(spark, sf_dir):
     model, feats, _ = _trained(spark, sf_dir)
-    return CH.score(model, feats).select("customerid", "churn_probability")
+    return CH.score(model, feats).select("customerid", F.round("churn_probability", 6).alias("churn_probability"))
+
+
+@query("churn_published_scores", _scored_sql("SELECT CAST(customerid AS VARCHAR) AS customerid, round(churn_probability, 6) AS churn_probability FROM scored"))
+def q_churn_published_scores(spark, sf_dir):
+    """Model and scores published in one snapshot, a second round of scoring over the same features, and the
+    scores loaded from the store."""
+    store = _published(spark, sf_dir)
+    CH.rescore(store, _trained(spark, sf_dir)[1])
+    return ING.load_predictions(store).withColumn("churn_probability", F.round("churn_probability", 6))
+
+
+@query("churn_risk_bands", _scored_sql("""
+SELECT 1 AS position, 'High' AS band, COUNT(*) FILTER (churn_probability > 0.7) AS customers FROM scored
+UNION ALL SELECT 2, 'Medium', COUNT(*) FILTER (churn_probability > 0.4 AND churn_probability <= 0.7) FROM scored
+UNION ALL SELECT 3, 'Low', COUNT(*) FILTER (churn_probability <= 0.4) FROM scored"""))
+def q_churn_risk_bands(spark, sf_dir):
+    """P11 over the published scores of the trained model."""
+    return CH.risk_bands(ING.load_predictions(_published(spark, sf_dir)))
+
+
+@query("churn_risk_histogram", _scored_sql(f"""
+, n AS (SELECT CAST(LEAST(GREATEST(floor(churn_probability * {CH.HIST_BINS}.0), 0), {CH.HIST_BINS - 1}) AS INTEGER) AS bin, COUNT(*) AS customers FROM scored GROUP BY 1)
+SELECT CAST(r.i AS INTEGER) AS bin, CAST(r.i AS DOUBLE) / {CH.HIST_BINS}.0 AS bin_start, CAST(r.i + 1 AS DOUBLE) / {CH.HIST_BINS}.0 AS bin_end,
+  COALESCE(n.customers, 0) AS customers FROM range({CH.HIST_BINS}) r(i) LEFT JOIN n ON n.bin = r.i"""))
+def q_churn_risk_histogram(spark, sf_dir):
+    """P12 over the published scores of the trained model."""
+    return CH.risk_histogram(ING.load_predictions(_published(spark, sf_dir)))
+
+
+@query("churn_high_risk", _scored_sql("""
+SELECT CAST(customerid AS VARCHAR) AS customerid, round(churn_probability, 6) AS churn_probability FROM scored WHERE churn_probability > 0.7"""))
+def q_churn_high_risk(spark, sf_dir):
+    """K10 over the published scores of the trained model."""
+    out = CH.high_risk_customers(ING.load_predictions(_published(spark, sf_dir)))
+    return out.withColumn("churn_probability", F.round("churn_probability", 6))
 
 
 def _predictions(spark, sf_dir):
