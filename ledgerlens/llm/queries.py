@@ -74,23 +74,20 @@ _SQL_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
 
 @query(f"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, md5(coalesce(text, '')) AS digest,
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
   coalesce('h' || source, 'none') AS host FROM documents),
 w AS (SELECT *, {_SQL_WORDS.format('text')} AS words FROM d),
 grams AS (SELECT r, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS g
   FROM (SELECT r, words, unnest(generate_series(1, len(words) - 2)) AS i FROM w WHERE len(words) >= 3)),
 twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM grams) WHERE c > 1),
 repeated AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY r),
-l AS (SELECT r, host, digest, unnest(string_split(text, chr(10))) AS line FROM d),
+l AS (SELECT r, host, doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
 lw AS (SELECT *, {_SQL_KEY} AS key, len({_SQL_WORDS.format('line')}) AS n FROM l),
 real_lines AS (SELECT * FROM lw WHERE n > 0),
 dups AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM real_lines GROUP BY r),
-limits AS (SELECT host, count(DISTINCT digest) AS texts FROM real_lines GROUP BY host),
-often AS (SELECT host, key, count(DISTINCT digest) AS docs, min(digest) AS keeper FROM real_lines GROUP BY host, key),
-common AS (SELECT o.* FROM often o JOIN limits USING (host)
-  WHERE docs > {quality_rules.MAX_DOCS} AND docs > {quality_rules.MAX_SHARE} * texts),
+common AS (SELECT host, key, min(doc_id) AS keeper FROM real_lines GROUP BY host, key HAVING count(DISTINCT r) > {quality_rules.MAX_DOCS}),
 removed AS (SELECT x.r, sum(x.n) AS n FROM real_lines x JOIN common c ON x.host = c.host AND x.key = c.key
-  WHERE x.digest <> c.keeper GROUP BY x.r),
+  WHERE x.doc_id IS DISTINCT FROM c.keeper GROUP BY x.r),
 base AS (SELECT w.r, doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
   length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols, coalesce(dups.n, 0) AS n_dup_lines,
   coalesce(repeated.n, 0) AS n_repeat_words, CAST(coalesce(removed.n, 0) AS BIGINT) AS n_removed_words

@@ -210,16 +210,16 @@ def test_quality_measures_and_verdicts(spark, documents):
     texts += [(20 + i, f"{words_of(5, 90 + i)}\n" + "\n".join([f"SHARED {j} " + words_of(30, 70 + j) for j in range(3)]), "h") for i in range(6)]
     texts += [(30, None, "h"), (31, "", None), (32, "a b c " * 30, "h"), (33, " \t\n x#$ \x0b x#$\n x#$ ", None), (34, "é ü\ne f", "g"),
               (None, body[7], None), (35, body[6] + "\n" + body[6], "g"), (35, body[6] + "\n" + body[6], "g")]
-    rows = quality_rules.assess(documents(texts), max_docs=3, max_share=0.1).collect()
+    texts += [(40 + i % 4, words_of(70, 40), "copies") for i in range(6)] + [(None, words_of(70, 40), "copies")]  # copies count
+    texts += [(None, words_of(70, 41), "none") for _ in range(5)] + [(50, "Shared line of five words\n" + body[7], "h")]
+    rows = quality_rules.assess(documents(texts), max_docs=3).collect()
     got = Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.n_removed_words, r.base_failed, r.kept) for r in rows)
     ws = re.compile(r"[^\x20\x09-\x0D]+")
-    digest = lambda t: hashlib.md5((t or "").encode()).hexdigest()
-    holders, per_host = defaultdict(set), defaultdict(set)
-    for _, t, host in texts:
+    holders = defaultdict(dict)  # (host, line) -> the rows that hold it and their ids
+    for row, (doc, t, host) in enumerate(texts):
         for line in (t or "").split("\n"):
             if ws.search(line):
-                holders[host, _key(line)].add(digest(t))
-                per_host[host].add(digest(t))
+                holders[host, _key(line)][row] = doc
     expect = Counter()
     for doc, t, host in texts:
         t = t or ""
@@ -232,14 +232,16 @@ def test_quality_measures_and_verdicts(spark, documents):
         gone = 0
         for x in lines:
             h = holders[host, _key(x)]
-            if len(h) > 3 and len(h) > 0.1 * len(per_host[host]) and digest(t) != min(h):
+            if len(h) > 3 and doc != min((i for i in h.values() if i is not None), default=None):
                 gone += len(ws.findall(x))
         failed = len(w) < 50 or 2 * len(covered) > len(w)
         expect[doc, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered), gone, failed,
                not failed and len(w) - gone >= 0.3 * len(w)] += 1
     assert got == expect
     assert any(r.n_removed_words > 90 and not r.kept for r in rows) and any(r.doc_id == 20 for r in rows)
-    kept = quality_rules.keep(documents(texts), max_docs=3, max_share=0.1)
+    assert sorted((r.doc_id or 0, r.kept) for r in rows if r.doc_id in (40, 41, 42, 43)) == [
+        (40, True), (40, True), (41, False), (41, False), (42, False), (43, False)]
+    kept = quality_rules.keep(documents(texts), max_docs=3)
     assert Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in rows if r.kept)
     assert quality_rules.assess(documents([])).count() == 0
 
@@ -247,8 +249,7 @@ def test_quality_measures_and_verdicts(spark, documents):
 def test_lines_above_the_limits_go_from_kept_texts(spark, documents):
     texts = [(i, f" Shared LINE\n{words_of(60, i)}\n\nshared line\nonly here {i}", "h") for i in range(6)]
     texts += [(2, texts[2][1], "h"), (20, "shared line\n" + words_of(60, 20), "g"), (21, words_of(60, 21), "h"), (22, "shared line", "h"), (23, None, "h")]
-    keeper = min((hashlib.md5(t.encode()).hexdigest(), t) for _, t, h in texts if t and h == "h" and "hared" in t)[1]
-    expect = Counter((i, t if h == "g" or t == keeper else "\n".join(x for x in t.split("\n") if _key(x) != "shared line"))
+    expect = Counter((i, t if h == "g" or i == 0 else "\n".join(x for x in t.split("\n") if _key(x) != "shared line"))
                      for i, t, h in texts if t and len(t) > 20)
     out = quality_rules.keep(documents(texts), max_docs=3)
     assert Counter((r.doc_id, r.text) for r in out.collect()) == expect
@@ -256,6 +257,24 @@ def test_lines_above_the_limits_go_from_kept_texts(spark, documents):
     assert sum("hared" not in t for _, t in expect.elements()) >= 5
 
 
+def test_verdicts_do_not_follow_the_size_of_the_host(spark, documents):
+    shared = "\n".join(f"shared {j} " + words_of(12, 200 + j) for j in range(5))
+    few = [(i, shared + f"\nown {i}", "h") for i in range(30)]
+    more = [(1000 + i, words_of(60, 1000 + i), "h") for i in range(600)]
+    kept = lambda rows: sorted(r.doc_id for r in quality_rules.keep(documents(rows)).collect() if r.doc_id < 1000)
+    assert kept(few) == kept(few + more) == [0]
+    copies = [(i, words_of(80, 300), "h") for i in range(30)]
+    assert kept(copies) == kept(copies + more) == [0]
+    assert kept(copies[:20]) == list(range(20))  # at the limit, not above it
+
+
+def test_a_very_long_text_is_judged_whole(spark, documents):
+    long = "\n".join(words_of(9, i, kinds=10**6) for i in range(60_000)) + "\nat the very end"
+    rows = [(1, long, "h"), (2, "at the very end\n" + words_of(60, 2), "h"), (3, "At the very END \n" + words_of(60, 3), "h")]
+    got = {r.doc_id: (r.n_words, r.n_removed_words, r.kept) for r in quality_rules.assess(documents(rows), max_docs=2).collect()}
+    assert got == {1: (540_004, 0, True), 2: (64, 4, True), 3: (64, 4, True)}
+
+
 def test_pipeline_writes_the_texts_without_common_lines(spark, documents):
     import corpus_pipeline
 
