@@ -3,17 +3,20 @@
 :func:`blocks` turns a page into its sequence of leaf blocks: the text between two block-level tags, with the path
 of open elements. Each block becomes a vector: hashed tokens of the tag path (element names, words of class, id
 and role), hashed words of the whole text, and a few measures. The LSTM reads the sequence in both directions, so
-each label depends on the whole page. Everything is numpy; a batch of pages is run in step, longest first.
+each label depends on the whole page. Everything is numpy; a batch of pages is run in step, longest first, and rows
+are not padded, so memory follows the number of blocks however unequal the pages are.
 
 The model is fitted on the driver on about ``SAMPLE_PAGES`` pages, twice as many at most (a bounded sample by a
-hash of the page's key). Their blocks are labelled by the page's own semantic elements, and dealt anew into ``TRAINING_PAGES``
+hash of the page's key). Blocks of those with at most ``SAMPLE_BLOCKS`` blocks are labelled by the page's own semantic
+elements; the texts of all of them are dealt anew into ``TRAINING_PAGES``
 layouts with other elements, class names and orders, so that the model reads layout and context rather than one
 template. Fitting is deterministic. All pages are labelled, each by its whole html, in one pass without a shuffle.
 
 Defined cases: null or empty html gives empty text; text without any tag is one block; broken or unclosed markup is
 read as browsers do for paragraphs and lists, and what is open at the end is closed; repeated rows and null
 page_id are labelled like others; an empty table gives an empty result (the model is then fitted on invented
-words); extra columns are ignored.
+words); extra columns are ignored. A very long page is labelled whole, in a batch of its own. Ties: a block whose score
+is exactly 0.5 does not belong to the main text.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 SAMPLE_PAGES = 200
+SAMPLE_BLOCKS = 200  # sampled pages with more blocks lend their texts to the layouts, but are not fitted on themselves
+GATE_ROWS = 4096  # blocks whose gate inputs are held at a time
 TRAINING_PAGES = 900
 EPOCHS = 5
 HIDDEN, PATH_DIM, WORD_DIM = 16, 16, 8
@@ -224,56 +229,63 @@ def _gates(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return s[:, :HIDDEN], s[:, HIDDEN : 2 * HIDDEN], s[:, 2 * HIDDEN :], np.tanh(z[:, 3 * HIDDEN :])
 
 
-def _run(z: np.ndarray, wh: np.ndarray, lengths: np.ndarray, keep: list | None = None) -> np.ndarray:
-    """States after every step. ``z``: (steps, pages, 4 * hidden) with pages in descending order of length."""
-    steps, pages = z.shape[:2]
-    out, h, c = np.zeros((steps, pages, HIDDEN), np.float32), np.zeros((pages, HIDDEN), np.float32), np.zeros((pages, HIDDEN), np.float32)
-    for t in range(steps):
-        n = int(np.searchsorted(-lengths, -t, side="left"))  # pages with more than t blocks
-        i, f, o, g = _gates(z[t, :n] + h[:n] @ wh)
+def _run(x: np.ndarray, wx: np.ndarray, bias: np.ndarray, wh: np.ndarray, counts: np.ndarray, keep: list | None = None) -> np.ndarray:
+    """States after every step. Rows of ``x`` and of the result stand step by step, ``counts[t]`` pages in step t; a
+    page that goes on keeps its place in the step. The inputs of the gates are made for some steps at a time."""
+    pages = int(counts[0]) if len(counts) else 0
+    out, h, c = np.zeros((len(x), HIDDEN), np.float32), np.zeros((pages, HIDDEN), np.float32), np.zeros((pages, HIDDEN), np.float32)
+    at, z, made = 0, None, (0, 0)
+    for n in counts.tolist():
+        if at + n > made[1]:
+            made = (at, max(at + n, at + GATE_ROWS))
+            z = x[made[0] : made[1]] @ wx + bias
+        i, f, o, g = _gates(z[at - made[0] : at - made[0] + n] + h[:n] @ wh)
         before = c[:n].copy() if keep is not None else None
         c[:n] = f * c[:n] + i * g
         tanh = np.tanh(c[:n])
         if keep is not None:
-            keep.append((n, i, f, o, g, before, tanh, h[:n].copy()))
+            keep.append((i, f, o, g, before, tanh, h[:n].copy()))
         h[:n] = o * tanh
-        out[t, :n] = h[:n]
+        out[at : at + n] = h[:n]
+        at += n
     return out
 
 
-def _back(keep: list, dout: np.ndarray, wh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _back(keep: list, dout: np.ndarray, wh: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Gradients of the gate inputs and of the recurrent weights."""
-    steps, pages = dout.shape[:2]
-    dz, dwh = np.zeros((steps, pages, 4 * HIDDEN), np.float32), np.zeros_like(wh)
+    pages, at = int(counts[0]) if len(counts) else 0, len(dout)
+    dz, dwh = np.zeros((len(dout), 4 * HIDDEN), np.float32), np.zeros_like(wh)
     dh, dc = np.zeros((pages, HIDDEN), np.float32), np.zeros((pages, HIDDEN), np.float32)
-    for t in range(steps - 1, -1, -1):
-        n, i, f, o, g, before, tanh, h = keep[t]
-        d = dh[:n] + dout[t, :n]
+    for t in range(len(counts) - 1, -1, -1):
+        n = int(counts[t])
+        at -= n
+        i, f, o, g, before, tanh, h = keep[t]
+        d = dh[:n] + dout[at : at + n]
         dcell = dc[:n] + d * o * (1 - tanh * tanh)
-        dz[t, :n] = np.concatenate([dcell * g * i * (1 - i), dcell * before * f * (1 - f), d * tanh * o * (1 - o), dcell * i * (1 - g * g)], axis=1)
-        dwh += h.T @ dz[t, :n]
-        dh[:n] = dz[t, :n] @ wh.T
+        own = dz[at : at + n]
+        own[:] = np.concatenate([dcell * g * i * (1 - i), dcell * before * f * (1 - f), d * tanh * o * (1 - o), dcell * i * (1 - g * g)], axis=1)
+        dwh += h.T @ own
+        dh[:n] = own @ wh.T
         dc[:n] = dcell * f
     return dz, dwh
 
 
-def _reverse(x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Each page's steps in reverse; padding stays at the end."""
-    t = np.arange(x.shape[0])[:, None]
-    turned = np.where(t < lengths, lengths - 1 - t, t)
-    return np.take_along_axis(x, turned[:, :, None], axis=0)
-
-
 class Batch:
-    """Pages side by side: features of (steps, pages)."""
+    """Pages side by side, without padding: one row of features a block, whatever the lengths of the pages.
+
+    Rows stand page by page. ``place`` says where each stands when all pages are read in step, forwards or backwards:
+    pages are in descending order of length, so those that still have a block in a step are its first ``counts[t]``."""
 
     def __init__(self, pages: list[Page], path_table: np.ndarray, word_table: np.ndarray, cache: dict | None = None):
         self.order = sorted(range(len(pages)), key=lambda k: -len(pages[k].texts))
         pages = [pages[k] for k in self.order]
         self.lengths = np.array([len(p.texts) for p in pages])
         steps, self.total = int(self.lengths[0]) if pages else 0, int(self.lengths.sum())
-        self.step = np.concatenate([np.arange(n) for n in self.lengths]) if self.total else np.zeros(0, np.int64)
-        self.page = np.repeat(np.arange(len(pages)), self.lengths)
+        step = np.concatenate([np.arange(n) for n in self.lengths]) if self.total else np.zeros(0, np.int64)
+        page = np.repeat(np.arange(len(pages)), self.lengths)
+        self.counts = np.searchsorted(-self.lengths, -np.arange(steps), side="left")  # pages with more than t blocks
+        begin = np.cumsum(self.counts) - self.counts
+        self.place = {"f": begin[step] + page, "b": begin[self.lengths[page] - 1 - step] + page} if self.total else {"f": step, "b": step}
         self.paths = [path for p in pages for path in p.paths]
         vectors, self.buckets, self.owner = word_means([t for p in pages for t in p.texts], word_table)
         ids: dict = {} if cache is None else cache
@@ -288,8 +300,13 @@ class Batch:
             rows.append(v)
         flat = np.concatenate([np.array(rows, np.float32).reshape(-1, PATH_DIM), vectors,
                                np.concatenate([_measures(p) for p in pages]) if pages else np.zeros((0, MEASURES), np.float32)], axis=1)
-        self.x = np.zeros((steps, len(pages), flat.shape[1]), np.float32)
-        self.x[self.step, self.page] = flat
+        self.x = flat
+
+    def in_step(self, flat: np.ndarray, side: str) -> np.ndarray:
+        """Rows of the pages in the order in which a side of the network reads them."""
+        out = np.empty_like(flat)
+        out[self.place[side]] = flat
+        return out
 
     def split(self, flat: np.ndarray) -> list[np.ndarray]:
         """Per page, in the order given."""
@@ -302,17 +319,16 @@ class Batch:
 def scores(model: dict, batch: Batch, keep: dict | None = None) -> np.ndarray:
     """Probability of main text for every block (in the batch's order)."""
     states = []
-    for d in "fb":
-        x = batch.x if d == "f" else _reverse(batch.x, batch.lengths)
-        kept = None if keep is None else []
-        h = _run(x @ model[f"x{d}"] + model[f"b{d}"], model[f"h{d}"], batch.lengths, kept)
+    for side in "fb":
+        x, kept = batch.in_step(batch.x, side), None if keep is None else []
+        h = _run(x, model[f"x{side}"], model[f"b{side}"], model[f"h{side}"], batch.counts, kept)
         if keep is not None:
-            keep[d] = (x, kept)
-        states.append(h if d == "f" else _reverse(h, batch.lengths))
-    h = np.concatenate(states, axis=2)
+            keep[side] = (x, kept)
+        states.append(h[batch.place[side]])
+    h = np.concatenate(states, axis=1)
     if keep is not None:
         keep["h"] = h
-    return _sigmoid(h[batch.step, batch.page] @ model["wo"] + model["bo"])
+    return _sigmoid(h @ model["wo"] + model["bo"])
 
 
 def gradients(model: dict, batch: Batch, labels: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -320,20 +336,15 @@ def gradients(model: dict, batch: Batch, labels: np.ndarray) -> tuple[float, dic
     p = scores(model, batch, keep)
     loss = float(-np.mean(np.where(labels > 0, np.log(p + 1e-7), np.log(1 - p + 1e-7))))
     d = ((p - labels) / max(1, len(labels))).astype(np.float32)
-    h = keep["h"]
-    out = {"wo": h[batch.step, batch.page].T @ d, "bo": d.sum(keepdims=True)}
-    dh = np.zeros_like(h)
-    dh[batch.step, batch.page] = d[:, None] * model["wo"]
-    dx = np.zeros_like(batch.x)
+    out = {"wo": keep["h"].T @ d, "bo": d.sum(keepdims=True)}
+    dh = (d[:, None] * model["wo"]).astype(np.float32)
+    flat = np.zeros_like(batch.x)
     for k, side in enumerate("fb"):
         x, kept = keep[side]
-        part = dh[:, :, k * HIDDEN : (k + 1) * HIDDEN]
-        dz, out[f"h{side}"] = _back(kept, part if side == "f" else _reverse(part, batch.lengths), model[f"h{side}"])
-        out[f"x{side}"] = np.einsum("tpd,tpz->dz", x, dz)
-        out[f"b{side}"] = dz.sum(axis=(0, 1))
-        back = dz @ model[f"x{side}"].T
-        dx += back if side == "f" else _reverse(back, batch.lengths)
-    flat = dx[batch.step, batch.page]
+        dz, out[f"h{side}"] = _back(kept, batch.in_step(dh[:, k * HIDDEN : (k + 1) * HIDDEN], side), model[f"h{side}"], batch.counts)
+        out[f"x{side}"] = x.T @ dz
+        out[f"b{side}"] = dz.sum(axis=0)
+        flat += (dz @ model[f"x{side}"].T)[batch.place[side]]
     out["path"], out["word"] = np.zeros_like(model["path"]), np.zeros_like(model["word"])
     for path, g in zip(batch.paths, flat[:, :PATH_DIM], strict=True):
         ids = _path_ids(path)
@@ -488,7 +499,7 @@ def train(sources: list[str], pages: int = TRAINING_PAGES, seed: int = 7) -> dic
     texts = [t for p in sampled for t in p.texts]
     for p in sampled:
         y = own_labels(p)
-        if y is not None and len(p.texts) <= 200:
+        if y is not None and len(p.texts) <= SAMPLE_BLOCKS:
             own.append((p, y))
     made = []
     for _ in range(pages):

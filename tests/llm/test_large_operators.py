@@ -96,6 +96,28 @@ def test_held_out_layouts():
 
 # -- archives
 
+def test_a_very_long_page_among_small_ones_takes_memory_by_its_blocks():
+    import tracemalloc
+
+    r = random.Random(3)
+    model = block_lstm.new_model(1)
+    small = [block_lstm.blocks(block_lstm.layout(r, [])) for _ in range(500)]
+    small = [p for p in small if p.texts]
+    long = block_lstm.blocks("<html><body><ul>" + "".join(f"<li>item {i} of a list" for i in range(20_000)) + "</ul></body></html>")
+    assert len(long.texts) == 20_000
+    tracemalloc.start()
+    batch = block_lstm.Batch([*small[:250], long, *small[250:]], model["path"], model["word"])
+    together = batch.split(block_lstm.scores(model, batch))
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 200 << 20
+    assert len(together[250]) == 20_000
+    for k in (0, 100, 250, len(small)):  # each page scores as it does alone
+        page = [*small[:250], long, *small[250:]][k]
+        alone = block_lstm.Batch([page], model["path"], model["word"])
+        assert np.abs(block_lstm.scores(model, alone) - together[k]).max() < 1e-5
+
+
 def test_archives_round_trip(spark, monkeypatch):
     big, same = words_of(300, 1), "é" * 50
     rows = [(5, "http://a/ b\nc", same), (3, "http://b", same), (9, None, same), (4, "-", "short"), (6, "", "short"), (7, "u", None), (8, "v", ""),
