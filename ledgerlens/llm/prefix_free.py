@@ -16,7 +16,9 @@ A byte is removed if a string of ``SPAN`` bytes that covers it also starts in a
 
 Texts are stored once, as segments of about ``SEGMENT`` bytes in a table that is bucketed by segment number; the
 answers are joined to the buckets, so texts are never shuffled. A passage in a third of all documents is one
-dictionary entry a segment. Every step works on bounded pieces: a segment, or one trigger bucket.
+dictionary entry a segment. A text longer than a segment is parsed in pieces that overlap by a window, and only such
+texts move once more, to meet the spans of their pieces. Every step works on bounded pieces: a segment, or one
+trigger bucket, of which there are as many as the bytes ask for.
 
 Defined cases: null text counts as empty; rows with a null doc_id come after all others and do not count against
 each other, nor do rows of equal doc_id; an empty table gives an empty result; a text longer than a segment is a
@@ -25,6 +27,7 @@ segment of its own; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -41,6 +44,7 @@ from . import common as C
 SPAN = 50
 GRAM = 20
 SEGMENT = 4 << 20
+BUCKET_BYTES = 32 << 20  # bytes of text for each bucket of triggers
 LAST = (1 << 63) - 1
 
 _ENTRY = np.dtype([("name", "<u8"), ("more", "<u2")])  # a phrase's name and 16 further bits of its trigger
@@ -68,14 +72,13 @@ def parse(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, span: int = SP
     sums = C.prefix_sums(data)
     places = np.arange(len(data) - gram + 1)
     grams = C.range_hashes(sums, places, places + gram)
-    bits = np.uint64(int(len(data)).bit_length())
-    low = ((grams >> bits) << bits) | places.astype(np.uint64)
+    low, low_at = grams, places.astype(np.int32 if len(data) < 1 << 31 else np.int64)
     width, want = 1, span - gram + 1
-    while 2 * width <= want:
-        low = np.minimum(low[:-width], low[width:])
-        width *= 2
-    if want > width:
-        low = np.minimum(low[: len(low) - (want - width)], low[want - width :])
+    while width < want:
+        step = min(width, want - width)
+        right = low[step:] < low[:-step]  # whole hashes are compared; of equal ones the left stays
+        low, low_at = np.where(right, low[step:], low[:-step]), np.where(right, low_at[step:], low_at[:-step])
+        width += step
     inside = np.zeros(len(data) - span + 1, bool)
     for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
         if b - a >= span:
@@ -83,7 +86,7 @@ def parse(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, span: int = SP
     window = np.flatnonzero(inside)
     if not len(window):
         return parse(data[:0], starts[:0], ends[:0])
-    at = (low[window] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    at = low_at[window].astype(np.int64)
     cut = np.flatnonzero((np.diff(at) != 0) | (np.diff(window) != 1)) + 1
     first, last = window[np.concatenate([[0], cut])], window[np.concatenate([cut - 1, [len(window) - 1]])]
     at = at[np.concatenate([[0], cut])]
@@ -107,28 +110,40 @@ def _first_holders(p: Parse, order: np.ndarray) -> np.ndarray:
 
 # -- segments -----------------------------------------------------------------------------------
 
-_SEGMENT = "segment bigint, orders binary, sizes binary, data binary"
+_SEGMENT = "segment bigint, orders binary, sizes binary, data binary, digest string, offset bigint"
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    number, held, orders, size = TaskContext.get().partitionId() << 32, [], [], 0
+def _segments(segment: int):
+    """Short texts side by side in segments; a text over a segment in pieces of its own that overlap by a window, so
+    that each of its windows lies in one piece. Pieces carry the text's digest and their place."""
 
-    def row() -> pa.RecordBatch:
+    def row(number: int, held: list[bytes], orders: list[int], digest: str | None = None, offset: int | None = None) -> pa.RecordBatch:
         sizes = np.array([len(t) for t in held], "<i8")
         columns = [np.array(orders, "<i8").tobytes(), sizes.tobytes(), b"".join(held)]
-        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([c], pa.binary()) for c in columns)],
-                                          names=["segment", "orders", "sizes", "data"])
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([c], pa.binary()) for c in columns),
+                                           pa.array([digest], pa.string()), pa.array([offset], pa.int64())],
+                                          names=["segment", "orders", "sizes", "data", "digest", "offset"])
 
-    for batch in batches:
-        for order, text in zip(batch.column("_order").to_pylist(), C.text_bytes(batch.column("text")), strict=True):
-            if held and size + len(text) > SEGMENT:
-                yield row()
-                number, held, orders, size = number + 1, [], [], 0
-            held.append(text)
-            orders.append(order)
-            size += len(text)
-    if held:
-        yield row()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, orders, size = TaskContext.get().partitionId() << 32, [], [], 0
+        for batch in batches:
+            for order, text in zip(batch.column("_order").to_pylist(), C.text_bytes(batch.column("text")), strict=True):
+                if len(text) > segment:
+                    digest = hashlib.md5(text).hexdigest()
+                    for offset in range(0, len(text) - SPAN + 1, segment):
+                        yield row(number, [text[offset : offset + segment + SPAN - 1]], [order], digest, offset)
+                        number += 1
+                    continue
+                if held and size + len(text) > segment:
+                    yield row(number, held, orders)
+                    number, held, orders, size = number + 1, [], [], 0
+                held.append(text)
+                orders.append(order)
+                size += len(text)
+        if held:
+            yield row(number, held, orders)
+
+    return run
 
 
 def _opened(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -155,6 +170,8 @@ def _entries(buckets: int):
             for _, segment, data, starts, ends, orders in _opened(batch):
                 p = parse(data, starts, ends)
                 one = _first_holders(p, orders)
+                if not len(one):  # texts shorter than a window only
+                    continue
                 where = _bucket(p.trigger[one], buckets)
                 by = np.lexsort((orders[p.doc[one]], where))
                 one, where = one[by], where[by]
@@ -300,13 +317,14 @@ def _shared_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 # -- cutting ------------------------------------------------------------------------------------
 
-_OUT = "doc_id bigint, n_bytes bigint, spans array<struct<first:bigint,last:bigint>>, kept binary"
+_OUT = "doc_id bigint, n_bytes bigint, spans array<struct<first:bigint,last:bigint>>, kept binary, digest string"
 _SPAN_LIST = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         answers, windows = batch.column("answers").to_pylist(), batch.column("windows").to_pylist()
+        digests, offsets = batch.column("digest").to_pylist(), batch.column("offset").to_pylist()
         for i, _, data, starts, ends, orders in _opened(batch):
             repeated, _ = _read_answers(answers[i])
             pairs = [np.frombuffer(x, "<u8").reshape(2, -1) for x in windows[i] or ()]
@@ -333,8 +351,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans, kept = [], []
             for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
                 own = gone[a:b]
-                if own.any():
-                    edges = np.flatnonzero(np.diff(own.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
+                if digests[i] is not None:  # a piece: its place in the text, which is cut when all pieces are known
+                    edges = _edges(own) + offsets[i]
+                    spans.append([{"first": x, "last": y} for x, y in edges.tolist()])
+                    kept.append(None)
+                elif own.any():
+                    edges = _edges(own)
                     spans.append([{"first": x, "last": y} for x, y in edges.tolist()])
                     kept.append(data[a:b][~own].tobytes())
                 else:
@@ -342,18 +364,42 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     kept.append(data[a:b].tobytes())
             yield pa.RecordBatch.from_arrays(
                 [pa.array([None if o == LAST else o for o in orders.tolist()], pa.int64()), pa.array(ends - starts, pa.int64()),
-                 pa.array(spans, _SPAN_LIST), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
+                 pa.array(spans, _SPAN_LIST), pa.array(kept, pa.binary()), pa.array([digests[i]] * len(orders), pa.string())],
+                names=["doc_id", "n_bytes", "spans", "kept", "digest"])
+
+
+def _edges(gone: np.ndarray) -> np.ndarray:
+    """(first, last) of every run of removed bytes."""
+    return np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
+
+
+def _cut_long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Long texts against the spans of all their pieces, one text at a time."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            data = np.frombuffer(C.text_bytes(batch.column("text").slice(i, 1))[0], np.uint8)
+            gone = np.zeros(len(data), bool)
+            for piece in batch.column("pieces")[i].as_py() or ():
+                for x in piece:
+                    gone[x["first"] : x["last"]] = True
+            spans = [{"first": x, "last": y} for x, y in _edges(gone).tolist()]
+            order = batch.column("_order")[i].as_py()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([None if order == LAST else order], pa.int64()), pa.array([len(data)], pa.int64()), pa.array([spans], _SPAN_LIST),
+                 pa.array([data[~gone].tobytes()], pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
 
-def dedup_substrings(docs: DataFrame, buckets: int | None = None) -> DataFrame:
+def dedup_substrings(docs: DataFrame, buckets: int | None = None, segment: int = SEGMENT) -> DataFrame:
     """(doc_id, n_bytes, spans, kept): the removed byte spans and the bytes that stay of every document."""
     spark = docs.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("_order"), "text")
     name = f"text_segments_{uuid.uuid4().hex}"
-    (texts.mapInArrow(_segments, _SEGMENT).write.bucketBy(buckets, "segment").option("path", unique_dir(spark, "segments"))
+    (texts.mapInArrow(_segments(segment), _SEGMENT).write.bucketBy(buckets, "segment").option("path", unique_dir(spark, "segments"))
      .option("compression", "zstd").saveAsTable(name))
     segments = spark.table(name)
+    stored = segments.agg(F.sum(F.octet_length("data")).alias("n"), F.count("digest").alias("pieces")).first()
+    buckets = max(buckets, -(-(stored["n"] or 0) // BUCKET_BYTES))
     rows, answer = "segment bigint, bucket int, payload binary", "segment bigint, payload binary"
 
     def by_segment(answers: DataFrame, column: str) -> DataFrame:
@@ -364,4 +410,12 @@ def dedup_substrings(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     shared = C.saved(asked.mapInArrow(_phrases(buckets), rows).repartition(buckets, "bucket").mapInArrow(_shared_windows, answer), "window-answers")
     out = segments.join(by_segment(found, "answers"), "segment", "left").join(by_segment(shared, "windows"), "segment", "left").mapInArrow(_cut, _OUT)
     spark.sql(f"DROP TABLE {name}")
-    return out
+    if not stored["pieces"]:
+        return out.drop("digest")
+    # texts longer than a segment: the spans of their pieces meet the text itself
+    out = C.saved(out, "cut-segments")
+    pieces = (out.where(F.col("digest").isNotNull()).select(F.coalesce("doc_id", F.lit(LAST)).alias("_order"), "digest", "spans").distinct()
+              .groupBy("_order", "digest").agg(F.collect_list("spans").alias("pieces")))
+    long = texts.where(F.octet_length("text") > segment).withColumn("digest", F.md5(F.col("text").cast("binary")))
+    whole = long.join(pieces, ["_order", "digest"], "left").select("_order", "text", "pieces").mapInArrow(_cut_long, _OUT.removesuffix(", digest string"))
+    return out.where(F.col("digest").isNull()).drop("digest").unionByName(whole)

@@ -290,20 +290,47 @@ def _removed(texts, span=50):
     return out
 
 
-@pytest.mark.parametrize("segment", [4 << 20, 700])
-def test_repeated_bytes_go(spark, documents, monkeypatch, segment):
-    monkeypatch.setattr(prefix_free, "SEGMENT", segment)
+@pytest.mark.parametrize("segment", [4 << 20, 700, 100])
+def test_repeated_bytes_go(spark, documents, segment):
     r, passage = random.Random(2), words_of(60, 1)
     texts = [(i, words_of(r.randint(5, 60), 100 + i) + passage[r.randrange(80) : r.randrange(100, 300)] + words_of(9, 200 + i)) for i in range(25)]
     texts += [(50, "a" * 120), (51, "a" * 49), (52, "b" + "a" * 60 + "\0\0" + "a" * 50), (53, "ab" * 60), (54, "ba" * 40), (55, "é" * 60), (56, "xé" + "é" * 25)]
     texts += [(60, None), (61, ""), (None, passage), (None, passage), (62, passage), (62, passage), (40, passage[30:79]), (41, passage[30:80]), (42, passage[30:81])]
     texts += [(70 + i, "z" * i + passage[100:180]) for i in range(6)]
-    rows = prefix_free.dedup_substrings(documents(texts)).collect()
+    rows = prefix_free.dedup_substrings(documents(texts), segment=segment).collect()
     got = Counter((x.doc_id, x.n_bytes, sum(s.last - s.first for s in x.spans), len(x.spans), bytes(x.kept)) for x in rows)
     assert got == _removed(texts)
     assert prefix_free.dedup_substrings(documents([])).count() == 0
 
 
+def test_a_window_has_one_trigger_in_segments_of_any_size(monkeypatch):
+    """Also where hashes differ in their lowest bits only."""
+    r = np.random.default_rng(5)
+    window = r.integers(0, 256, 50).astype(np.uint8)
+    real = prefix_free.C.range_hashes
+    for mask in ((1 << 64) - 1, 0xFFFF, 3):
+        monkeypatch.setattr(prefix_free.C, "range_hashes", lambda *a, m=mask: real(*a) & np.uint64(m))
+        places = set()
+        for size in (50, 100, 5_000, 4 << 20):
+            data = r.integers(0, 256, size).astype(np.uint8)
+            at = size // 2 if size > 100 else size - 50
+            data[at : at + 50] = window
+            p = prefix_free.parse(data, np.array([0]), np.array([size]))
+            k = int(np.searchsorted(p.first, at, side="right")) - 1
+            assert p.first[k] <= at <= p.last[k]
+            places.add(int(p.at[k]) - at)
+        assert len(places) == 1
+
+
+def test_a_text_of_many_segments_is_cut_whole(spark, documents):
+    r = np.random.default_rng(1)
+    long = r.integers(97, 123, 9 << 20).astype(np.uint8).tobytes().decode()
+    texts = [(1, long[4_194_200:4_194_400] + "x"), (2, long), (2, long), (3, long[:5_000_000]), (4, "y" + long[8_388_500:8_388_700]), (5, None)]
+    got = {(x.doc_id, x.n_bytes, len(x.kept), tuple((s.first, s.last) for s in x.spans)) for x in prefix_free.dedup_substrings(documents(texts)).collect()}
+    cut = ((4_194_200, 4_194_400),)
+    assert got == {(1, 201, 201, ()), (2, len(long), len(long) - 200, cut), (3, 5_000_000, 0, ((0, 5_000_000),)), (4, 201, 1, ((1, 201),)), (5, 0, 0, ())}
+
+
 def test_suffix_order_is_lexicographic():
     data = np.frombuffer(b"banana\0banana\xff" + words_of(30, 1).encode(), np.uint8)
     starts = np.arange(len(data) - 12)
