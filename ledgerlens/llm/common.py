@@ -27,11 +27,12 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return saved_at(df, label)[0]
 
 
-def saved_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """As :func:`saved`, with the folder, for tables that their writer discards."""
+def saved_at(df: DataFrame, label: str, by: str | None = None) -> tuple[DataFrame, str]:
+    """As :func:`saved`, with the folder, for tables that their writer discards; ``by`` gives each value of a column
+    files of its own."""
     spark = df.sparkSession
     path = unique_dir(spark, label)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

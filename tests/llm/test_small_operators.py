@@ -158,6 +158,28 @@ def test_lines_in_many_documents_go(spark, documents):
     assert line_runs.drop_frequent_lines(documents([])).count() == 0
 
 
+def test_the_query_builds_and_compacts_levels(spark, documents, tmp_path, monkeypatch):
+    seen, real = [], line_runs.LineRuns.close
+
+    def close(self):
+        seen.append([len(level) for level in self.levels])
+        real(self)
+        assert not self._paths  # no run's files stay
+
+    monkeypatch.setattr(line_runs.LineRuns, "close", close)
+    documents([(i, f"common\nown {i}") for i in range(40)]).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.op4_line_dedup(spark, str(tmp_path))
+    assert {(r.n_lines, r.n_dropped) for r in out.collect()} == {(2, 1)}
+    assert seen == [[line_runs.BATCHES - line_runs.FANOUT, 1]]
+
+
+def test_very_long_texts_lose_their_lines_too(spark, documents):
+    long = "\n".join(["x", *(f"line {i}" for i in range(100_000)), "X "])
+    out = line_runs.drop_frequent_lines(documents([(1, long), (2, "x\ny"), (3, "z\n x")]), min_docs=3)
+    got = {r._doc.doc_id: (r._n_lines, r._n_dropped, len(r._doc.text)) for r in out.collect()}
+    assert got == {1: (100_002, 2, len(long) - 5), 2: (2, 1, 1), 3: (2, 1, 1)}
+
+
 def test_unseen_lines_of_a_batch(spark):
     runs = line_runs.LineRuns(spark, min_docs=2, fanout=2, buckets=4)
     for batch in ([1, 2], [2, 3], [3, 4], [4]):
