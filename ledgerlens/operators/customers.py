@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import whole_days
+from .ordering import POSITION, with_position
 
 # Status labels and their day thresholds.
 NEW = "New"
@@ -131,10 +132,15 @@ def customers_by_value(status_df: DataFrame) -> DataFrame:
     return status_df.orderBy(F.col("monetary").desc_nulls_last(), F.col("customerid"))
 
 
+def customers_ranked(status_df: DataFrame) -> DataFrame:
+    """K9 with the gapless position of every customer in the export order."""
+    return with_position(status_df, F.col("monetary").desc_nulls_last(), F.col("customerid"))
+
+
 def customer_list(status_df: DataFrame, kind: str) -> DataFrame:
-    """The export selector: ``top_value`` (all, sorted), ``churn_risk``, ``new``."""
+    """The export selector: ``top_value`` (all, sorted, with their position), ``churn_risk``, ``new``."""
     if kind == "top_value":
-        return customers_by_value(status_df)
+        return customers_ranked(status_df).orderBy(POSITION)
     if kind == "churn_risk":
         return status_df.where(F.col("status") == CHURN_RISK)
     if kind == "new":

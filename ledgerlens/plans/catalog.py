@@ -404,6 +404,13 @@ def q_customers_by_value(spark, sf_dir):
     return C.customers_by_value(_status(spark, sf_dir))
 
 
+@query("customers_ranked", _status_sql() + """
+SELECT *, row_number() OVER (ORDER BY monetary DESC NULLS LAST, customerid) AS position FROM status""")
+def q_customers_ranked(spark, sf_dir):
+    """The whole export order, as positions."""
+    return C.customers_ranked(_status(spark, sf_dir))
+
+
 # ----------------------------------------------------------------------------- marketing
 
 def _perf_sql(mode: str) -> str:
@@ -984,23 +991,34 @@ def q_predictions_stored(spark, sf_dir):
 _EXPORTS = ("top_value", "churn_risk", "new")
 
 
-@query("customer_exports", _status_sql() + """
-, x AS (SELECT 'top_value' AS list, * FROM status
-  UNION ALL SELECT 'churn_risk', * FROM status WHERE status = 'Churn Risk'
-  UNION ALL SELECT 'new', * FROM status WHERE status = 'New')
-SELECT list, CAST(customerid AS VARCHAR) AS customerid, city, segment, status, CAST(frequency AS VARCHAR) AS frequency FROM x
-UNION ALL SELECT 'high_risk', CAST(c_custkey AS VARCHAR), NULL, NULL, NULL, NULL FROM customer WHERE ((c_custkey * 7919) % 1000) / 1000.0 > 0.7""")
+_EXPORT_TYPES = {"customerid": "string", "city": "string", "segment": "string", "status": "string", "frequency": "bigint", "monetary": "double",
+                 "recency": "bigint", "joindate": "string", "position": "bigint", "churn_probability": "double"}
+
+
+@query("customer_exports", "SELECT * FROM (" + _status_sql() + """
+, ranked AS (SELECT *, row_number() OVER (ORDER BY monetary DESC NULLS LAST, customerid) AS position FROM status),
+x AS (SELECT 'top_value' AS list, * FROM ranked
+  UNION ALL SELECT 'churn_risk', * REPLACE (NULL AS position) FROM ranked WHERE status = 'Churn Risk'
+  UNION ALL SELECT 'new', * REPLACE (NULL AS position) FROM ranked WHERE status = 'New')
+SELECT list, CAST(customerid AS VARCHAR) AS customerid, city, segment, status, CAST(frequency AS BIGINT) AS frequency, CAST(monetary AS DOUBLE) AS monetary,
+  recency, strftime(joindate, '%Y-%m-%d %H:%M:%S') AS joindate, position, CAST(NULL AS DOUBLE) AS churn_probability FROM x)
+UNION ALL SELECT * FROM (""" + _scored_sql("""
+SELECT 'high_risk' AS list, CAST(customerid AS VARCHAR) AS customerid, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, round(churn_probability, 6)
+FROM scored WHERE churn_probability > 0.7""") + ")")
 def q_customer_exports(spark, sf_dir):
-    """The three customer lists and the high-risk list, exported as CSV and read back."""
+    """The three customer lists and the high-risk list (from the published scores), exported as CSV and read back
+    with all their columns; the first list's order is its position."""
     root, status = unique_dir(spark, "exports"), _status(spark, sf_dir)
-    lists = {k: C.customer_list(status, k) for k in _EXPORTS} | {"high_risk": CH.high_risk_customers(_predictions(spark, sf_dir))}
-    columns, out = ["customerid", "city", "segment", "status", "frequency"], []
+    lists = {k: C.customer_list(status, k) for k in _EXPORTS}
+    lists["high_risk"] = CH.high_risk_customers(ING.load_predictions(_published(spark, sf_dir)))
+    out = []
     for name, df in lists.items():
         path = ING.export_csv(df, root, name, day="2025-01-01")
         if path:
-            out.append(ING.align_to(ING.read_csv(spark, path), columns).select(F.lit(name).alias("list"), *columns))
-    empty = spark.createDataFrame([], ", ".join(f"{c} string" for c in ["list", *columns]))
-    return reduce(DataFrame.unionByName, out, empty)
+            back = ING.align_to(ING.read_csv(spark, path), list(_EXPORT_TYPES))
+            out.append(back.select(F.lit(name).alias("list"), *[F.col(c).cast(t).alias(c) for c, t in _EXPORT_TYPES.items()]))
+    empty = spark.createDataFrame([], "list string, " + ", ".join(f"{c} {t}" for c, t in _EXPORT_TYPES.items()))
+    return reduce(DataFrame.unionByName, out, empty).withColumn("churn_probability", F.round("churn_probability", 6))
 
 
 @query("stream_ingest", _INGESTED_SALES_SQL)

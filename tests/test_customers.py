@@ -1,6 +1,9 @@
 import datetime as dt
 from decimal import Decimal
 
+import pytest
+from pyspark.sql import functions as F
+
 from ledgerlens.operators import customers as C
 
 AS_OF = dt.datetime(2025, 7, 1)
@@ -75,3 +78,17 @@ def test_export_lists_select_and_write(spark, tmp_path):
     out = I.export_csv(C.customer_list(st, "new"), str(tmp_path), "new_customers", day="2025-02-03")
     assert out.endswith("new_customers_2025-02-03.csv")
     assert [r.customerid for r in I.read_csv(spark, out).collect()] == ["b"]
+
+
+@pytest.mark.parametrize("n, ranges", [(0, 3), (1, 4), (7, 3), (2000, 7)])
+def test_positions_are_gapless_over_all_ranges(spark, tmp_path, n, ranges):
+    from ledgerlens.operators.ordering import with_position
+
+    rows = [(f"c{i:05}", None if i % 11 == 0 else float(i % 5 if i % 2 else 7)) for i in range(n)]  # most values are equal
+    df = spark.createDataFrame(rows, "customerid string, monetary double").repartition(5)
+    out = with_position(df, F.col("monetary").desc_nulls_last(), F.col("customerid"), ranges=ranges)
+    want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    assert [(r.customerid, r.monetary) for r in sorted(out.collect(), key=lambda r: r.position)] == want
+    assert sorted(r.position for r in out.collect()) == list(range(1, n + 1))
+    if n > 1000:
+        assert out.select(F.spark_partition_id()).distinct().count() > 1
