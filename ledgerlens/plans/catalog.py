@@ -979,6 +979,24 @@ def q_refresh_counts(spark, sf_dir):
     return reduce(DataFrame.unionByName, counts)
 
 
+@query("ingest_inferred", """
+SELECT CAST(c_custkey AS VARCHAR) AS customerid, CAST(c_nationkey AS BIGINT) AS points, CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal END AS balance,
+  c_acctbal > 0 AS solvent, CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey AS VARCHAR) ELSE 'n' || c_custkey END AS code, c_name AS note,
+  CAST(NULL AS DOUBLE) AS nothing FROM customer""")
+def q_ingest_inferred(spark, sf_dir):
+    """A customer master file with columns that no spec names; they come back under the types of their values."""
+    root, spec = unique_dir(spark, "inferred"), SCH.spec_for("customers")
+    key = F.col("c_custkey")
+    more = spark.read.parquet(f"{sf_dir.rstrip('/')}/customer.parquet").select(
+        key.alias(spec.aliases["customerid"][0]), F.col("c_nationkey").alias("points"), F.when(key % 7 != 0, F.col("c_acctbal")).alias("balance"),
+        (F.col("c_acctbal") > 0).alias("solvent"), F.when(key % 2 == 0, key.cast("string")).otherwise(F.concat(F.lit("n"), key)).alias("code"),
+        F.col("c_name").alias("note"), F.lit(None).cast("string").alias("nothing"))
+    ING.write_csv(more, f"{root}/masters/{spec.master_file}")
+    store = ING.TableStore(spark, f"{root}/tables")
+    ING.bootstrap(store, f"{root}/masters", {"customers": spec})
+    return ING.load_table_safely(store, "customers")
+
+
 @query("predictions_stored", O.with_(O.PREDICTIONS) + """
 SELECT CAST(customerid AS VARCHAR) AS customerid, churn_probability FROM predictions""")
 def q_predictions_stored(spark, sf_dir):

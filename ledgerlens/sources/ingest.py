@@ -12,7 +12,7 @@ from __future__ import annotations
 import datetime as _dt
 import logging
 import posixpath
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -138,6 +138,46 @@ def typed_columns(df: DataFrame, spec: SC.TableSpec) -> DataFrame:
     return step.select(*out, (F.coalesce(*misfits) if misfits else F.lit(None).cast("string")).alias(PROBLEM))
 
 
+# The words that the reference's CSV reader takes as truth values in a column without any other.
+TRUTH = {"true": ["True", "TRUE", "true"], "false": ["False", "FALSE", "false"]}
+
+
+def inferred_types(df: DataFrame, columns: list[str]) -> dict[str, str]:
+    """Types of text columns that no spec names: the narrowest of ``boolean``, ``bigint``, ``double`` and ``string``
+    that holds every value. All columns are judged in one pass: each row adds four flags a column to one aggregate.
+
+    bigint lies below double; truth values and numbers together are text; a column without any value is double, as
+    the reference's reader has it. A whole number that needs more than 64 bits makes the column double."""
+    if not columns:
+        return {}
+    flags = []
+    for i, c in enumerate(columns):
+        v = F.col(f"`{c}`")
+        there, plain = v.isNotNull(), F.btrim(v)
+        whole = plain.rlike("^[+-]?[0-9]+$") & plain.try_cast("bigint").isNotNull()
+        number = plain.try_cast("double").isNotNull() & plain.rlike("[0-9]|^[+-]?(inf|infinity)$")
+        flags += [F.bool_or(there).alias(f"any{i}"), F.bool_and(F.when(there, v.isin(*TRUTH["true"], *TRUTH["false"]))).alias(f"truth{i}"),
+                  F.bool_and(F.when(there, whole)).alias(f"whole{i}"), F.bool_and(F.when(there, number)).alias(f"number{i}")]
+    seen = df.agg(*flags).first()
+    return {c: "double" if not seen[f"any{i}"] else "boolean" if seen[f"truth{i}"] else "bigint" if seen[f"whole{i}"]
+            else "double" if seen[f"number{i}"] else "string" for i, c in enumerate(columns)}
+
+
+def with_inferred_types(df: DataFrame, spec: SC.TableSpec) -> DataFrame:
+    """Columns that the table's spec does not name get the type that their values have."""
+    named = {**spec.types, **spec.extra_types}
+    unknown = [c for c, kind in df.dtypes if kind == "string" and c not in named and c != PROBLEM]
+    types = inferred_types(df, unknown)
+
+    def typed(c: str) -> Column:
+        v = F.col(f"`{c}`")
+        if types[c] == "boolean":
+            return F.when(v.isNotNull(), v.isin(*TRUTH["true"])).alias(c)
+        return F.btrim(v).try_cast(types[c]).alias(c) if types[c] != "string" else v
+
+    return df.select(*[typed(c) if c in types else F.col(f"`{c}`") for c in df.columns])
+
+
 def coerce_types(df: DataFrame, spec: SC.TableSpec, strict: bool = True) -> DataFrame:
     """S3. ``strict`` (the default) raises on a value that does not fit; otherwise it becomes null."""
     typed = typed_columns(df, spec)
@@ -156,8 +196,15 @@ def parse_files(spark: SparkSession, path, spec: SC.TableSpec, multi_line: bool
     return derive_netsale(typed_columns(normalize_headers(_scan(spark, path, multi_line=multi_line), spec), spec))
 
 
-def load_file(spark: SparkSession, path, spec: SC.TableSpec, strict: bool = True) -> DataFrame:
-    """S1 -> S2 -> S3 -> S4 for one file, directory or list of same-header files.
+def as_stored(spec: SC.TableSpec, types: dict[str, str]) -> SC.TableSpec:
+    """The spec with the columns that a stored table has besides, under their stored types."""
+    more = {c: t for c, t in types.items() if c not in spec.types and c not in spec.extra_types}
+    return replace(spec, extra_types={**spec.extra_types, **more})
+
+
+def load_file(spark: SparkSession, path, spec: SC.TableSpec, strict: bool = True, infer: bool = True) -> DataFrame:
+    """S1 -> S2 -> S3 -> S4 for one file, directory or list of same-header files. ``infer`` looks at columns that the
+    spec does not name, in one more pass over the file if there are any; without it they stay text.
 
     Files are read line by line, in parts. Where the table's ``multi_line`` is None, just the files with a quoted
     line break are read whole, one task each; False refuses such files, True reads every file whole."""
@@ -175,6 +222,8 @@ def load_file(spark: SparkSession, path, spec: SC.TableSpec, strict: bool = True
             parsed = parse_files(spark, path, spec, multi_line=True)
     else:
         parsed = parse_files(spark, path, spec, multi_line=whole)
+    if infer:
+        parsed = with_inferred_types(parsed, spec)
     return _raise_problems(parsed) if strict else parsed.drop(PROBLEM)
 
 
@@ -319,8 +368,8 @@ def append_file(store: TableStore, path: str, strict: bool = True) -> bool:
         spec = SC.spec_for(route_file(path) or "")
         if spec is None:
             raise ValueError("no table for this file name")
-        df = load_file(store.spark, path, spec, strict)
         cols, types = target_layout(store, spec)
+        df = load_file(store.spark, path, as_stored(spec, types), strict, infer=False)
         problem = schema_problem(df.columns, cols)
         if problem:
             raise ValueError(problem)

@@ -168,14 +168,15 @@ def _publish_batch(store: I.TableStore, files: list, batch_id: int, strict: bool
                     rejects += [(f, "quoted line break") for f in part]
                     continue
                 cols, types = _layout(store, change, spec)
-                parsed = I.parse_files(spark, [f[0] for f in part], spec, multi_line=whole)
+                typed = I.as_stored(spec, types)
+                parsed = I.parse_files(spark, [f[0] for f in part], typed, multi_line=whole)
                 plain_cols = [c for c in cols if c not in BOOKKEEPING]
                 problem = I.schema_problem([c for c in parsed.columns if c != I.PROBLEM], plain_cols)
                 bad = dict.fromkeys((_plain(f[0]) for f in part), problem) if problem else _bad_files(parsed, strict)
                 rejects += [(f, bad[_plain(f[0])]) for f in part if _plain(f[0]) in bad]
                 good = [f for f in part if _plain(f[0]) not in bad]
                 if good:
-                    rows = I.parse_files(spark, [f[0] for f in good], spec, multi_line=whole).drop(I.PROBLEM)
+                    rows = I.parse_files(spark, [f[0] for f in good], typed, multi_line=whole).drop(I.PROBLEM)
                     if BOOKKEEPING[0] in cols:
                         plain = F.regexp_replace(F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B"))), "^file:/*", "file:/")
                         rows = rows.withColumn(BOOKKEEPING[0], plain).withColumn(BOOKKEEPING[1], F.lit(batch_id).cast("bigint"))

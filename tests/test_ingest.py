@@ -32,6 +32,27 @@ def test_alias_order_first_alias_wins(spark):
     assert I.header_mapping(["ORDER_ID", "qty"], SC.REGISTRY["sales"]) == {"ORDER_ID": "orderid", "qty": "quantity"}
 
 
+def test_columns_without_a_spec_get_the_types_of_their_values(spark, tmp_path):
+    f = write(tmp_path / "customer_data.csv",
+              "CustomerID,a,b,c,d,e,f,g,h,i,j\n"
+              "1,1,1.5,True,x,1,NA,99999999999999999999, 7,1e3,True\n"
+              "2,-2,2,false,1,True,,1,+8,nan,1\n"
+              "3,,inf,TRUE,,,null,2,9,-.5,\n")
+    types = dict(I.load_file(spark, f, SC.REGISTRY["customers"]).dtypes)
+    assert {c: types[c] for c in "abcdefghij"} == {"a": "bigint", "b": "double", "c": "boolean", "d": "string", "e": "string", "f": "double",
+                                                   "g": "double", "h": "bigint", "i": "double", "j": "string"}
+    rows = {r.customerid: r for r in I.load_file(spark, f, SC.REGISTRY["customers"]).collect()}
+    assert (rows["1"].a, rows["1"].c, rows["1"].h, rows["1"].i) == (1, True, 7, 1000.0) and rows["2"].i is None
+    assert (rows["2"].b, rows["2"].c, rows["2"].e, rows["3"].a, rows["3"].b) == (2.0, False, "True", None, float("inf"))
+    assert I.load_file(spark, f, SC.REGISTRY["customers"], infer=False).schema["a"].dataType.simpleString() == "string"
+    # later files must hold values of the stored type
+    store = I.TableStore(spark, str(tmp_path / "tables"))
+    I.bootstrap(store, str(tmp_path))
+    assert I.append_file(store, write(tmp_path / "customer_1.csv", "CustomerID,a,c\n4,40,True\n"))
+    assert not I.append_file(store, write(tmp_path / "customer_2.csv", "CustomerID,a\n5,forty\n"))
+    assert {r.customerid: (r.a, r.c) for r in store.read("customers").collect()}["4"] == (40, True) and store.read("customers").count() == 4
+
+
 def test_routing_first_prefix_match():
     assert I.route_file("/in/sales_funnel_1.csv") == "sales"
     assert I.route_file("marketing_campaigns.csv") is None
