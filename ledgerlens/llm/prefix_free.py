@@ -72,24 +72,26 @@ def parse(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, span: int = SP
     sums = C.prefix_sums(data)
     places = np.arange(len(data) - gram + 1)
     grams = C.range_hashes(sums, places, places + gram)
-    low, low_at = grams, places.astype(np.int32 if len(data) < 1 << 31 else np.int64)
-    width, want = 1, span - gram + 1
-    while width < want:
+    low, width, want = grams, 1, span - gram + 1
+    while width < want:  # smallest hash of every window
         step = min(width, want - width)
-        right = low[step:] < low[:-step]  # whole hashes are compared; of equal ones the left stays
-        low, low_at = np.where(right, low[step:], low[:-step]), np.where(right, low_at[step:], low_at[:-step])
+        low = np.minimum(low[:-step], low[step:])
         width += step
-    inside = np.zeros(len(data) - span + 1, bool)
+    inside = np.zeros(len(low), bool)
     for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
         if b - a >= span:
             inside[a : b - span + 1] = True
-    window = np.flatnonzero(inside)
-    if not len(window):
+    # a phrase ends where the smallest hash changes or where its place, the first of equal ones, leaves the window
+    cut = np.ones(len(low) + 1, bool)
+    cut[1:-1] = (low[1:] != low[:-1]) | (grams[: len(low) - 1] == low[:-1]) | (inside[1:] != inside[:-1])
+    first, last = np.flatnonzero(cut[:-1] & inside), np.flatnonzero(cut[1:] & inside)
+    if not len(first):
         return parse(data[:0], starts[:0], ends[:0])
-    at = low_at[window].astype(np.int64)
-    cut = np.flatnonzero((np.diff(at) != 0) | (np.diff(window) != 1)) + 1
-    first, last = window[np.concatenate([[0], cut])], window[np.concatenate([cut - 1, [len(window) - 1]])]
-    at = at[np.concatenate([[0], cut])]
+    at, open_ = first.copy(), np.arange(len(first))
+    smallest = low[first]
+    while len(open_):  # at most as many steps as a window has places
+        open_ = open_[grams[at[open_]] != smallest[open_]]
+        at[open_] += 1
     trigger = grams[at]
     phrase = C.mix(C.range_hashes(sums, first, last + span) + (at - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     name = (phrase & _LOW48) | ((trigger & np.uint64(0xFFFF)) << np.uint64(48))
