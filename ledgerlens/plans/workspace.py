@@ -109,6 +109,7 @@ class Workspace:
         self._building = threading.Lock()
         self._known: tuple[str, str] | None = None  # signature, path
         self._sales_cols: list[str] | None = None
+        self._frame: tuple[str, DataFrame] | None = None  # path, scan
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> "Workspace":
@@ -137,7 +138,10 @@ class Workspace:
 
     def lines(self, start=None, end=None) -> DataFrame:
         """The wide order-line fact; with dates, only the months they touch."""
-        lines = self.spark.read.parquet(self.path())
+        path = self.path()
+        if self._frame is None or self._frame[0] != path:  # a build never changes: its schema and files are looked up once
+            self._frame = (path, self.spark.read.parquet(path))
+        lines = self._frame[1]
         if start is not None:
             lines = lines.where(F.col(MONTH) >= month_number(start))
         if end is not None:
