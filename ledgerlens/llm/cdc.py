@@ -13,7 +13,7 @@ are joined back, in a sort-merge join that Spark can split where a digest is hot
 
 Defined cases: null text counts as empty; rows with a null doc_id come after all others; rows of one doc_id
 are one document, so a chunk that stays in one of them stays at the same offset of the others; ties go to the
-smaller offset; an empty table gives an empty result; extra columns are ignored.
+smaller offset; an empty table gives an empty result; extra columns are ignored; a very long text is cut whole.
 """
 
 from __future__ import annotations

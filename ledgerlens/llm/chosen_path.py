@@ -16,7 +16,8 @@ checked in tasks of bounded size, which emit a link count per set and a forest o
 
 Defined cases: null text and text without words is never similar to anything (its class is itself); null doc_id
 is allowed, a class is named after its smallest doc_id (null if all are null); repeated rows are copies; copies
-count as links of each other; an empty table gives an empty result; extra columns are ignored.
+count as links of each other; an empty table gives an empty result; extra columns are ignored; all shingles of a very
+long text count.
 """
 
 from __future__ import annotations

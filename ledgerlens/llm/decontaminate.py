@@ -17,7 +17,8 @@ each document that holds it.
 Defined cases: null text and text without words: no words, not contaminated; benchmark items without words,
 null or repeated item ids: an item without words never matches, equal item_ids count once and a null item_id
 counts hits but names no item; repeated documents each get their row; empty tables give an empty result or no
-hits; extra columns pass through :func:`hits`.
+hits; extra columns pass through :func:`hits`; a very long text is searched whole, in a
+slice of its own.
 """
 
 from __future__ import annotations
