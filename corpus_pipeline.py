@@ -3,8 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
 next stage's docs. All stages but the last return the columns of ``documents``.
 
-1. quality rules: documents that the rules reject go, and lines above the limits of their host go from all texts of
-   the others but one (native expressions only);
+1. quality rules: documents that the rules reject go, and lines in more documents of their host than the limit go from
+   all of the others but one (native expressions only);
 2. line dedup: lines found in at least ten documents go, the rest of the text stays; documents without text go on;
 3. near duplicates: of every class of documents with a shingle similarity of 0.8 or more, the one with the
    smallest doc_id stays, and one of equal texts without words;
@@ -13,7 +13,8 @@ next stage's docs. All stages but the last return the columns of ``documents``.
 
 Defined cases are those of the operators: null text counts as empty, repeated rows are judged alike in stages 1,
 2, 4 and 5 and only one of them stays in stage 3, an empty table gives an empty result, and columns that
-``documents`` does not have pass through the first four stages.
+``documents`` does not have pass through the first four stages. Texts of any length are worked on whole. Ties: where one
+of several documents stays, it is that with the smallest doc_id, in stages 1 and 3.
 """
 
 from __future__ import annotations
