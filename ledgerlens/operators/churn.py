@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import guarded_ratio, whole_days
+from ..functions.exprs import guarded_ratio, safe_division, whole_days
 from .customers import as_of_column, order_rollup
 
 # Feature order, label threshold, split, risk bands.
@@ -302,9 +302,9 @@ def evaluation(scored: DataFrame) -> DataFrame:
     for k in (0, 1):
         other = 1 - k
         tp, fp, fn = F.col(f"c{k}{k}"), F.col(f"c{other}{k}"), F.col(f"c{k}{other}")
-        precision = guarded_ratio(tp, tp + fp)
-        recall = guarded_ratio(tp, tp + fn)
-        f1 = guarded_ratio(F.lit(2.0) * precision * recall, precision + recall)
+        precision = safe_division(tp, tp + fp)
+        recall = safe_division(tp, tp + fn)
+        f1 = safe_division(F.lit(2.0) * precision * recall, precision + recall)
         rows.append(F.struct(F.lit(k).alias("label"), precision.alias("precision"), recall.alias("recall"),
                              f1.alias("f1"), (tp + fn).cast("bigint").alias("support")))
     total = F.col("c00") + F.col("c01") + F.col("c10") + F.col("c11")
