@@ -154,6 +154,18 @@ def _roots(sets: DataFrame, first: int, runs: int, seed: int) -> DataFrame:
     return sets.select(F.explode(F.array(*paths)).alias("node"), "id")
 
 
+def _with_pivots(large: DataFrame, sketch: DataFrame) -> DataFrame:
+    """Rows of large buckets with their own sketch and their pivot's. The smallest id is the pivot, so a group of copies
+    has the same one in most buckets of all runs: a bucket's rows are dealt to as many salts as it holds leaves, and the
+    pivot stands once at each salt of its largest bucket, so no task gets a whole bucket."""
+    salts = F.ceil(F.col("_n") / LEAF).cast("int")
+    dealt = large.withColumn("_salt", F.pmod(F.xxhash64("node", "id"), salts).cast("int"))
+    pivots = (large.groupBy(F.col("_pivot").alias("id")).agg(F.max(salts).alias("_salts")).join(sketch, "id")
+              .select(F.col("id").alias("_pivot"), F.col("_sketch").alias("_pivot_sketch"),
+                      F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt")))
+    return dealt.join(sketch, "id").join(pivots, ["_pivot", "_salt"]).drop("_salt")
+
+
 def _split(sketch: DataFrame, rows: DataFrame, leaf: int, leaves: list, links: list) -> list[DataFrame]:
     """Splits the buckets of ``rows`` down to leaves; adds to ``leaves`` and ``links``. Gives the ids that were split
     a third time, a fourth time and so on."""
@@ -167,9 +179,7 @@ def _split(sketch: DataFrame, rows: DataFrame, leaf: int, leaves: list, links: l
         large = met.where(F.col("_n") > leaf)
         if large.isEmpty():
             return deep
-        # the smallest id is the pivot, so a group of copies has the same one in most buckets of all runs
-        pivots = large.select(F.col("_pivot").alias("id")).distinct().join(sketch, "id").select(F.col("id").alias("_pivot"), F.col("_sketch").alias("_pivot_sketch"))
-        near = C.saved(large.join(sketch, "id").join(pivots, "_pivot").withColumn("_same", _equal_tokens("_sketch", "_pivot_sketch"))
+        near = C.saved(_with_pivots(large, sketch).withColumn("_same", _equal_tokens("_sketch", "_pivot_sketch"))
                        .drop("_pivot_sketch").where(F.col("id") != F.col("_pivot")), "near-pivots")
         links.append(near.where(F.col("_same") >= PIVOT_LINK).select(F.col("id").alias("u"), F.col("_pivot").alias("v")).distinct())
         rest = near.where(F.col("_same") < PIVOT_LEAVE)

@@ -99,7 +99,22 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(C.table(spark, sf_dir, "documents")).drop("_host", "_digest")
 
 
-@query()
+@query(rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+g AS (SELECT r, CASE WHEN len(w) < {chosen_path.SHINGLE} THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - {chosen_path.SHINGLE} + 2), lambda i: array_to_string(w[i : i + {chosen_path.SHINGLE - 1}], ' '))) END AS s
+  FROM d WHERE len(w) > 0),
+n AS (SELECT r, len(s) AS n FROM g),
+s AS (SELECT r, hash(unnest(s)) AS h FROM g),
+c AS (SELECT a.r AS a, b.r AS b, count(*) AS k FROM s a JOIN s b ON a.h = b.h AND a.r < b.r GROUP BY ALL),
+pairs AS (SELECT a, b FROM c JOIN n x ON x.r = a JOIN n y ON y.r = b
+  WHERE {chosen_path.SIMILARITY[1]} * k >= {chosen_path.SIMILARITY[0]} * (x.n + y.n - k)),
+links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach(r, t) AS (SELECT r, r FROM d UNION SELECT reach.r, links.b FROM reach JOIN links ON links.a = reach.t),
+class AS (SELECT reach.r, min(o.doc_id) AS class_id FROM reach JOIN d o ON o.r = reach.t GROUP BY ALL)
+SELECT d.doc_id, class.class_id, (SELECT count(*) FROM links WHERE links.a = d.r) AS n_links FROM d JOIN class USING (r)""")
 def op3_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.classes(C.table(spark, sf_dir, "documents").select("doc_id", "text"))
 
