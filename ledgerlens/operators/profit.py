@@ -81,18 +81,29 @@ def recommendations(lines: DataFrame) -> DataFrame:
 
     (1) total profit > 0 and returns loss > 10 % of it; (2) the first loss-
     making channel in *key order* (not the worst one); (3) the product with
-    the highest mean margin. The channel and product are scalar subqueries
-    over their own aggregates; the totals are one aggregate row.
+    the highest mean margin. One scan: totals, channels and products are
+    grouping sets of one aggregate, and its rows are folded to one.
     """
     ret = F.col("orderstatus") == "Returned"
-    totals = lines.agg(
+    g = lines.groupingSets([[], [F.col("channel")], [F.col("productname")]], F.col("channel"), F.col("productname")).agg(
+        F.grouping_id().alias("_gid"),
         F.count(F.lit(1)).alias("_rows"),
         F.sum("net_profit").alias("_np"),
         (F.coalesce(F.sum(F.when(ret, F.col("total_cost"))), _zero())
          + F.coalesce(F.sum(F.when(ret, F.col("netsale"))), _zero())).alias("_lost"),
+        _mean("profit_margin").alias("_margin"),
+    )
+    # a set bit of the id: not grouped by channel (2), by product (1)
+    total, by_channel, by_product = (F.col("_gid") == i for i in (3, 1, 2))
+    totals = g.agg(
+        F.max(F.when(total, F.col("_rows"))).alias("_rows"),
+        F.max(F.when(total, F.col("_np"))).alias("_np"),
+        F.max(F.when(total, F.col("_lost"))).alias("_lost"),
+        F.min(F.when(by_channel & (F.col("_np") < 0), F.col("channel"))).alias("_channel"),
+        F.min(F.when(by_product & F.col("productname").isNotNull() & F.col("_margin").isNotNull(),
+                     F.struct((-F.col("_margin")).alias("m"), "productname"))).alias("_best"),
     ).where(F.col("_rows") > 0)
-    channel = profit_by(lines, "channel").where(F.col("net_profit") < 0).agg(F.min("channel")).scalar()
-    product = top_margin_products(lines, 1).select("productname").scalar()
+    channel, product = F.col("_channel"), F.col("_best.productname")
     r1 = (F.col("_np").isNotNull() & (F.col("_np") > 0)
           & (F.col("_lost") > F.col("_np") * F.lit(RETURNS_SHARE).cast("decimal(2,1)")))
     r2 = channel.isNotNull()

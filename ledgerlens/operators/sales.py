@@ -80,6 +80,11 @@ def sales_kpis(sales: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("orderid").isNotNull(), F.col("returned"))), F.lit(0))
         .cast("bigint").alias("returned_orders"),
     )
+    return kpi_measures(agg)
+
+
+def kpi_measures(totals: DataFrame) -> DataFrame:
+    """A1-A5 from one row of row_count, rev, cogs, total_orders and returned_orders."""
     rev = F.col("rev").cast("double")
     net = (F.col("rev") - F.col("cogs")).cast("double")
     orders = F.col("total_orders")
@@ -94,7 +99,7 @@ def sales_kpis(sales: DataFrame) -> DataFrame:
         "return_rate": guarded_ratio(F.col("returned_orders"), orders, 100.0, zero_test=orders <= 0),
     }
     empty = F.col("row_count") == 0
-    return agg.select(
+    return totals.select(
         "row_count",
         *[F.when(~empty, v).alias(k) for k, v in measures.items()],
     )
@@ -110,12 +115,17 @@ def sales_funnel(sales: DataFrame, funnel: DataFrame) -> DataFrame:
     """
     fulfilled = (sales.where(F.col("orderstatus") == "Completed")
                  .agg(F.count_distinct("orderid").cast("bigint")).scalar())
+    return funnel_stages(funnel, fulfilled, sales.select(F.lit(1)).exists())
+
+
+def funnel_stages(funnel: DataFrame, fulfilled: Column, any_sales: Column) -> DataFrame:
+    """A6 from the funnel table, the number of completed orders and whether there are sales."""
     f = funnel.agg(
         F.count(F.lit(1)).alias("weeks"),
         F.coalesce(F.sum("visits"), F.lit(0)).cast("bigint").alias("visits"),
         F.coalesce(F.sum("carts"), F.lit(0)).cast("bigint").alias("carts"),
         F.coalesce(F.sum("orders"), F.lit(0)).cast("bigint").alias("orders"),
-    ).where((F.col("weeks") > 0) & sales.select(F.lit(1)).exists())
+    ).where((F.col("weeks") > 0) & any_sales)
     stages = F.array(
         F.struct(F.lit(1).alias("stage_order"), F.lit("Visits").alias("stage"), F.col("visits").alias("value")),
         F.struct(F.lit(2).alias("stage_order"), F.lit("Carts").alias("stage"), F.col("carts").alias("value")),

@@ -24,6 +24,7 @@ from ..operators import delivery as D
 from ..operators import marketing as M
 from ..operators import profit as P
 from ..operators import sales as S
+from ..operators.rollup import KEYS as ROLLUP_KEYS
 from ..session import unique_dir
 from ..sources import adapters as A
 from ..sources import ingest as ING
@@ -32,6 +33,7 @@ from ..streaming import file_ingest as FI
 from . import oracle as O
 from . import refresh as R
 from . import workspace as W
+from .rollup import SalesRollup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -217,6 +219,48 @@ def q_sales_breakdowns(spark, sf_dir):
     return S.sales_breakdowns(S.filter_sales(_sales(spark, sf_dir)))
 
 
+# -- the same views of a period from the roll-up (day cells, spanning orders, month sums)
+
+_PERIOD = ("1995-03-10", "1997-08-20")
+_IN_PERIOD = f"\"date\" BETWEEN DATE '{_PERIOD[0]}' AND DATE '{_PERIOD[1]}'"
+
+
+def _rollup(spark, sf_dir) -> SalesRollup:
+    return SalesRollup(W.Workspace.of(spark, sf_dir))
+
+
+@query("rollup_kpis", O.with_(O.SALES) + _KPI_SQL.replace("{where}", _IN_PERIOD))
+def q_rollup_kpis(spark, sf_dir):
+    return _rollup(spark, sf_dir).kpis(*_PERIOD)
+
+
+@query("rollup_kpis_channel", O.with_(O.SALES) + _KPI_SQL.replace("{where}", f"{_IN_PERIOD} AND channel = '1-URGENT'"))
+def q_rollup_kpis_channel(spark, sf_dir):
+    return _rollup(spark, sf_dir).kpis(*_PERIOD, "1-URGENT")
+
+
+@query("rollup_funnel", ORACLE["sales_funnel"].replace('"date" IS NOT NULL', _IN_PERIOD))
+def q_rollup_funnel(spark, sf_dir):
+    return _rollup(spark, sf_dir).funnel(A.sales_funnel(A.DriverTables(spark, sf_dir)), *_PERIOD)
+
+
+@query("rollup_trend_week", _trend_sql("week").replace("WHERE", f"WHERE {_IN_PERIOD} AND"))
+def q_rollup_trend_week(spark, sf_dir):
+    return _rollup(spark, sf_dir).trend("week", *_PERIOD)
+
+
+@query("rollup_breakdowns", O.with_(O.SALES) + "\n UNION ALL \n".join(
+    f"""SELECT '{k}' AS breakdown, CAST("{k}" AS VARCHAR) AS key, {O.msum('netsale')} AS netsale
+FROM sales_e WHERE {_IN_PERIOD} AND "{k}" IS NOT NULL GROUP BY "{k}\"""" for k in (*ROLLUP_KEYS, "channel")))
+def q_rollup_breakdowns(spark, sf_dir):
+    return _rollup(spark, sf_dir).breakdowns(*_PERIOD)
+
+
+@query("rollup_top_products", _by_sql("productname", 10).replace('"date" IS NOT NULL', f"{_IN_PERIOD} AND channel = '1-URGENT'"))
+def q_rollup_top_products(spark, sf_dir):
+    return _rollup(spark, sf_dir).top("productname", 10, *_PERIOD, "1-URGENT")
+
+
 @query("sales_filter_domain", O.with_(O.SALES) + """
 SELECT DISTINCT channel FROM sales_e WHERE channel IS NOT NULL""")
 def q_sales_filter_domain(spark, sf_dir):

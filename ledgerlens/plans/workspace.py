@@ -73,13 +73,13 @@ def signature(state) -> str:
     return hashlib.sha1(f"{code_version()}|{state}".encode()).hexdigest()[:16]
 
 
-def committed(spark: SparkSession, base: str) -> str | None:
-    """The first committed build below ``base``."""
+def committed(spark: SparkSession, base: str, marker: str = "_SUCCESS") -> str | None:
+    """The first committed build below ``base``; ``marker`` is what its last write leaves."""
     fs, p = _fs(spark, base)
     if not fs.exists(p):
         return None
     builds = sorted(f"{base}/{st.getPath().getName()}" for st in fs.listStatus(p))
-    return next((b for b in builds if fs.exists(_fs(spark, f"{b}/_SUCCESS")[1])), None)
+    return next((b for b in builds if fs.exists(_fs(spark, f"{b}/{marker}")[1])), None)
 
 
 def month_of(column: str) -> Column:
