@@ -24,6 +24,7 @@ class SalesRollup:
         self.workspace = workspace
         self.spark = workspace.spark
         self._known: tuple[str, str] | None = None  # fact path, roll-up path
+        self._frames: dict[str, DataFrame] = {}  # scans by path: a roll-up never changes, its files are listed once
 
     def path(self) -> str:
         fact = self.workspace.path()
@@ -43,12 +44,14 @@ class SalesRollup:
         return path
 
     def _table(self, name: str) -> DataFrame:
-        path = self.path()
+        path = f"{self.path()}/{name}"
+        if path in self._frames:
+            return self._frames[path]
         lines = self.workspace.sales()
         # the schema follows from the lines, so an empty table can be read, too, and no job looks for it
         schema = {"keys": lambda: R.month_keys(lines), "spanning": lambda: R.spanning_orders(R.order_cells(lines)),
                   "cells": lambda: R.day_cells(lines, R.order_cells(lines))}[name]().schema
-        return self.spark.read.schema(schema).parquet(f"{path}/{name}")
+        return self._frames.setdefault(path, self.spark.read.schema(schema).parquet(path))
 
     @property
     def cells(self) -> DataFrame:
