@@ -11,8 +11,9 @@ repeated until the chance to miss a pair is below 1 - ``recall``: first as many
 the sets that were split more often, until every set has had the runs that its own deepest bucket needs.
 
 The candidate links (a forest per bucket, never all pairs) join sets to candidate groups; inside a group every
-pair is checked exactly on the whole shingle sets. Groups of any size are dealt into tiles, and pairs of tiles are
-checked in tasks of bounded size, which emit a link count per set and a forest of the true links, not the pairs.
+pair that can be similar by its sizes is checked exactly on the whole shingle sets. Groups of any size are dealt into
+tiles by bands of set sizes, and pairs of tiles of the same or neighbouring bands are checked in tasks of bounded size,
+which emit a link count per set and a forest of the true links, not the pairs.
 
 Defined cases: null text and text without words is never similar to anything (its class is itself); null doc_id
 is allowed, a class is named after its smallest doc_id (null if all are null); repeated rows are copies; copies
@@ -30,7 +31,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -44,6 +45,8 @@ LEAF = 1024
 #: Equal tokens: for a candidate in a leaf, for a link to a pivot, and for leaving the bucket after that.
 LEAF_LINK, PIVOT_LINK, PIVOT_LEAVE = 38, 28, 45
 TILE_SETS, TILE_BYTES = 1024, 4 << 20
+#: Sizes of a band reach up to this factor: a little more than two similar sets can differ by.
+BAND = 1.04 * SIMILARITY[1] / SIMILARITY[0]
 LAST = (1 << 63) - 1
 
 _FACTORS = np.random.default_rng(5).integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -264,6 +267,35 @@ def _keyed(docs: DataFrame) -> DataFrame:
                        F.col("text"))
 
 
+def _tiles(candidates: DataFrame) -> DataFrame:
+    """How each (component, _band) is dealt: the row of its tiles, their number, and those of the rows below and above.
+    Similar sets lie in the same band of sizes or in neighbours, so no other bands meet. A component of one tile is one row."""
+    def tiles(n: Column, size: Column) -> Column:
+        return F.ceil(F.greatest(n / TILE_SETS, size / TILE_BYTES))
+
+    component = Window.partitionBy("component")
+    bands = (candidates.groupBy("component", "_band").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col("_size").cast("bigint") * 8).alias("_bytes"))
+             .withColumn("_one", tiles(F.sum("_n").over(component), F.sum("_bytes").over(component)) <= 1)
+             .withColumn("_tiles", F.when(F.col("_one"), 1).otherwise(tiles(F.col("_n"), F.col("_bytes")))))
+
+    def beside(step: int) -> Column:
+        at = component.orderBy("_band")
+        near = ~F.col("_one") & (F.lag("_band", -step).over(at) == F.col("_band") + step)
+        return F.when(near, F.lag("_tiles", -step).over(at)).otherwise(0)
+
+    return bands.select("component", "_band", F.when(F.col("_one"), 0).otherwise(F.col("_band")).alias("_row"), "_tiles",
+                        beside(-1).alias("_below"), beside(1).alias("_above"))
+
+
+def _label(row: Column, tile: Column) -> Column:
+    return F.shiftleft(row.cast("bigint"), 32) + tile
+
+
+def _labels(row: Column, tiles: str) -> Column:
+    """All tiles of a row (none if it has none)."""
+    return F.when(F.col(tiles) > 0, F.transform(F.sequence(F.lit(1), F.col(tiles)), lambda t: _label(row, t - 1))).otherwise(F.array().cast("array<bigint>"))
+
+
 def similar(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     """(_order, _digest, _first, n_links) for every different (doc_id, text) with words; ``_first`` is the struct
     (_order, _digest) of its class's first document. ``_order`` is the doc_id, or the largest bigint for null."""
@@ -274,13 +306,12 @@ def similar(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     sets = C.saved(sets.withColumn("id", F.monotonically_increasing_id()), "sets")
     groups = C.saved(connected(candidate_links(sets, recall)), "candidate-groups")
     # whole texts of the candidates: one row a set
-    wanted = sets.join(groups, "id").select("id", "component", "_copies", F.col("_first._order").alias("_order"), F.col("_first._digest").alias("_digest"))
+    candidates = sets.join(groups, "id").withColumn("_band", F.floor(F.log(BAND, "_size")))
+    wanted = candidates.select("id", "component", "_band", "_copies", F.col("_first._order").alias("_order"), F.col("_first._digest").alias("_digest"))
     texts = keyed.join(wanted, ["_order", "_digest"]).dropDuplicates(["id"])
-    sizes = (sets.join(groups, "id").groupBy("component")
-             .agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col("_size").cast("bigint") * 8).alias("_bytes")))
-    tiles = sizes.select("component", F.greatest(F.ceil(F.col("_n") / TILE_SETS), F.ceil(F.col("_bytes") / TILE_BYTES)).cast("int").alias("_tiles"))
-    dealt = texts.join(tiles, "component").withColumn("_tile", F.pmod(F.xxhash64("id"), F.col("_tiles")).cast("int"))
-    dealt = dealt.select("component", "id", "_copies", "text", "_tile", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)).alias("_with"))
+    dealt = texts.join(_tiles(candidates), ["component", "_band"])
+    dealt = dealt.select("component", "id", "_copies", "text", _label(F.col("_row"), F.pmod(F.xxhash64("id"), F.col("_tiles"))).alias("_tile"), F.explode(F.concat(
+        *[_labels(F.col("_row") + step, tiles) for step, tiles in ((-1, "_below"), (0, "_tiles"), (1, "_above"))])).alias("_with"))
     checked = C.saved(dealt.groupBy("component", F.least("_tile", "_with").alias("_a"), F.greatest("_tile", "_with").alias("_b"))
                       .agg(F.collect_list(F.struct("id", "_copies", "_tile", "text")).alias("_group")).select("_a", "_b", "_group")
                       .mapInArrow(_verified, "id bigint, other bigint, n bigint"), "links")
