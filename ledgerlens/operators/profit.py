@@ -3,7 +3,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MEAN_DIGITS = 6  # means of DOUBLE columns are rounded: summation order varies by plan
@@ -14,6 +14,7 @@ MSG_RETURNS = "High profit loss from returns detected. Investigate top returned
 MSG_CHANNEL = "Channel '{}' is unprofitable. Review marketing strategy."
 MSG_PRODUCT = "'{}' has a high margin. Consider promoting it."
 MSG_NONE = "No critical issues detected."
+TOTAL = "all"
 
 
 def _zero():
@@ -34,21 +35,44 @@ def _mean(c: str):
     return F.round(F.avg(c), MEAN_DIGITS)
 
 
-def profit_kpis(lines: DataFrame) -> DataFrame:
-    """A28 + A29: total net profit, unweighted mean line margin, and the
-    profit lost to returns = cost + net sale of Returned lines."""
+def _measures() -> list[Column]:
     ret = F.col("orderstatus") == "Returned"
-    agg = lines.agg(
+    return [
         F.count(F.lit(1)).cast("bigint").alias("row_count"),
-        F.coalesce(F.sum("net_profit"), _zero()).alias("_np"),
-        _mean("profit_margin").alias("avg_profit_margin"),
+        F.sum("net_profit").alias("_np"),
+        _mean("profit_margin").alias("profit_margin"),
         (F.coalesce(F.sum(F.when(ret, F.col("total_cost"))), _zero())
          + F.coalesce(F.sum(F.when(ret, F.col("netsale"))), _zero())).alias("_lost"),
-    )
+    ]
+
+
+def profit_cells(lines: DataFrame, keys=("channel", "productname")) -> DataFrame:
+    """Measures of all lines and of every value of each key in one scan (grouping sets of one aggregate); ``_by``
+    names the key of a row, ``all`` the total. The functions ``*_of`` below read their view from it."""
+    by = F.lit(TOTAL)
+    for k in keys:
+        by = F.when(F.grouping(k) == 0, F.lit(k)).otherwise(by)
+    cols = [F.col(k) for k in keys]
+    return lines.groupingSets([[], *[[c] for c in cols]], *cols).agg(by.alias("_by"), *_measures())
+
+
+def profit_kpis(lines: DataFrame) -> DataFrame:
+    """A28 + A29: total net profit, unweighted mean line margin, and the
+    profit lost to returns = cost + net sale of Returned lines."""
+    return _kpis(lines.agg(*_measures()))
+
+
+def profit_kpis_of(cells: DataFrame) -> DataFrame:
+    total = F.col("_by") == TOTAL
+    return _kpis(cells.agg(F.coalesce(F.max(F.when(total, F.col("row_count"))), F.lit(0)).cast("bigint").alias("row_count"),
+                           *[F.max(F.when(total, F.col(c))).alias(c) for c in ("_np", "profit_margin", "_lost")]))
+
+
+def _kpis(total: DataFrame) -> DataFrame:
     some = F.col("row_count") > 0  # F8: no lines -> null measures
-    return agg.select("row_count", F.when(some, F.col("_np").cast("double")).alias("total_net_profit"),
-                      "avg_profit_margin",
-                      F.when(some, F.col("_lost").cast("double")).alias("profit_lost_to_returns"))
+    return total.select("row_count", F.when(some, F.coalesce("_np", _zero()).cast("double")).alias("total_net_profit"),
+                        F.col("profit_margin").alias("avg_profit_margin"),
+                        F.when(some, F.col("_lost").cast("double")).alias("profit_lost_to_returns"))
 
 
 def profit_by(lines: DataFrame, key: str) -> DataFrame:
@@ -57,21 +81,41 @@ def profit_by(lines: DataFrame, key: str) -> DataFrame:
             .agg(F.coalesce(F.sum("net_profit"), _zero()).cast("double").alias("net_profit")))
 
 
+def profit_by_of(cells: DataFrame, key: str) -> DataFrame:
+    return _of(cells, key).select(key, F.coalesce("_np", _zero()).cast("double").alias("net_profit"))
+
+
+def _of(cells: DataFrame, key: str) -> DataFrame:
+    return cells.where((F.col("_by") == key) & F.col(key).isNotNull())
+
+
 def margin_by_product(lines: DataFrame) -> DataFrame:
     """Mean line margin per product."""
     return (lines.where(F.col("productname").isNotNull()).groupBy("productname")
             .agg(_mean("profit_margin").alias("profit_margin")))
 
 
+def margin_by_product_of(cells: DataFrame) -> DataFrame:
+    return _of(cells, "productname").select("productname", "profit_margin")
+
+
 def top_margin_products(lines: DataFrame, n: int = 10) -> DataFrame:
     """K5: highest mean margin; lower product name wins a tie; no-margin products skipped."""
-    return (margin_by_product(lines).where(F.col("profit_margin").isNotNull())
-            .orderBy(F.col("profit_margin").desc(), F.col("productname")).limit(n))
+    return highest_margins(margin_by_product(lines), n)
 
 
 def low_margin_products(lines: DataFrame, n: int = 10) -> DataFrame:
     """K6: lowest mean margin."""
-    return (margin_by_product(lines).where(F.col("profit_margin").isNotNull())
+    return lowest_margins(margin_by_product(lines), n)
+
+
+def highest_margins(margins: DataFrame, n: int = 10) -> DataFrame:
+    return (margins.where(F.col("profit_margin").isNotNull())
+            .orderBy(F.col("profit_margin").desc(), F.col("productname")).limit(n))
+
+
+def lowest_margins(margins: DataFrame, n: int = 10) -> DataFrame:
+    return (margins.where(F.col("profit_margin").isNotNull())
             .orderBy(F.col("profit_margin").asc(), F.col("productname")).limit(n))
 
 
@@ -81,27 +125,20 @@ def recommendations(lines: DataFrame) -> DataFrame:
 
     (1) total profit > 0 and returns loss > 10 % of it; (2) the first loss-
     making channel in *key order* (not the worst one); (3) the product with
-    the highest mean margin. One scan: totals, channels and products are
-    grouping sets of one aggregate, and its rows are folded to one.
+    the highest mean margin. One scan: see :func:`profit_cells`, whose rows are folded to one.
     """
-    ret = F.col("orderstatus") == "Returned"
-    g = lines.groupingSets([[], [F.col("channel")], [F.col("productname")]], F.col("channel"), F.col("productname")).agg(
-        F.grouping_id().alias("_gid"),
-        F.count(F.lit(1)).alias("_rows"),
-        F.sum("net_profit").alias("_np"),
-        (F.coalesce(F.sum(F.when(ret, F.col("total_cost"))), _zero())
-         + F.coalesce(F.sum(F.when(ret, F.col("netsale"))), _zero())).alias("_lost"),
-        _mean("profit_margin").alias("_margin"),
-    )
-    # a set bit of the id: not grouped by channel (2), by product (1)
-    total, by_channel, by_product = (F.col("_gid") == i for i in (3, 1, 2))
-    totals = g.agg(
-        F.max(F.when(total, F.col("_rows"))).alias("_rows"),
+    return recommendations_of(profit_cells(lines))
+
+
+def recommendations_of(cells: DataFrame) -> DataFrame:
+    total, by_channel, by_product = (F.col("_by") == k for k in (TOTAL, "channel", "productname"))
+    totals = cells.agg(
+        F.max(F.when(total, F.col("row_count"))).alias("_rows"),
         F.max(F.when(total, F.col("_np"))).alias("_np"),
         F.max(F.when(total, F.col("_lost"))).alias("_lost"),
         F.min(F.when(by_channel & (F.col("_np") < 0), F.col("channel"))).alias("_channel"),
-        F.min(F.when(by_product & F.col("productname").isNotNull() & F.col("_margin").isNotNull(),
-                     F.struct((-F.col("_margin")).alias("m"), "productname"))).alias("_best"),
+        F.min(F.when(by_product & F.col("productname").isNotNull() & F.col("profit_margin").isNotNull(),
+                     F.struct((-F.col("profit_margin")).alias("m"), "productname"))).alias("_best"),
     ).where(F.col("_rows") > 0)
     channel, product = F.col("_channel"), F.col("_best.productname")
     r1 = (F.col("_np").isNotNull() & (F.col("_np") > 0)

@@ -66,21 +66,26 @@ def sales_kpis(sales: DataFrame) -> DataFrame:
     order rows are summed once. A hot order is harmless: both stages are
     partial (map-side) aggregates.
     """
+    return kpi_measures(sales_totals(sales))
+
+
+def sales_totals(sales: DataFrame) -> DataFrame:
+    """The one row behind A1-A5 and the last stage of A6 (distinct Completed orders)."""
     per_order = sales.groupBy("orderid").agg(
         F.sum("netsale").alias("rev"),
         F.sum("costofgoodssold").alias("cogs"),
         F.count(F.lit(1)).alias("n"),
-        F.max(F.when(F.col("orderstatus") == "Returned", 1).otherwise(0)).alias("returned"),
+        *[F.max(F.when(F.col("orderstatus") == status, 1).otherwise(0)).alias(flag)
+          for status, flag in (("Returned", "returned"), ("Completed", "completed"))],
     )
-    agg = per_order.agg(
+    return per_order.agg(
         F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("row_count"),
         _money_sum("rev").alias("rev"),
         _money_sum("cogs").alias("cogs"),
         F.count("orderid").cast("bigint").alias("total_orders"),
-        F.coalesce(F.sum(F.when(F.col("orderid").isNotNull(), F.col("returned"))), F.lit(0))
-        .cast("bigint").alias("returned_orders"),
+        *[F.coalesce(F.sum(F.when(F.col("orderid").isNotNull(), F.col(flag))), F.lit(0)).cast("bigint").alias(f"{flag}_orders")
+          for flag in ("returned", "completed")],
     )
-    return kpi_measures(agg)
 
 
 def kpi_measures(totals: DataFrame) -> DataFrame:
@@ -157,30 +162,40 @@ def top_by_netsale(sales: DataFrame, key: str, n: int = 10) -> DataFrame:
 
     Plans as TakeOrderedAndProject: each partition keeps its own top ``n``.
     """
-    return sales_by(sales, key).orderBy(F.col("netsale").desc(), F.col(key).asc()).limit(n)
+    return highest_netsales(sales_by(sales, key), key, n)
+
+
+def sales_cells(sales: DataFrame, keys=BREAKDOWN_KEYS) -> DataFrame:
+    """Net sales of every value of each key in one scan (GROUPING SETS): the keys, ``_by`` (the name of the key that
+    a row is grouped by) and ``netsale``."""
+    by = F.lit(None).cast("string")
+    for k in keys:
+        by = F.when(F.grouping(k) == 0, F.lit(k)).otherwise(by)
+    cols = [F.col(k) for k in keys]
+    return sales.groupingSets([[c] for c in cols], *cols).agg(by.alias("_by"), _money_sum("netsale").cast("double").alias("netsale"))
+
+
+def sales_by_of(cells: DataFrame, key: str) -> DataFrame:
+    """:func:`sales_by` read from :func:`sales_cells`."""
+    return cells.where((F.col("_by") == key) & F.col(key).isNotNull()).select(key, "netsale")
+
+
+def highest_netsales(by_key: DataFrame, key: str, n: int = 10) -> DataFrame:
+    return by_key.orderBy(F.col("netsale").desc(), F.col(key).asc()).limit(n)
 
 
 def sales_breakdowns(sales: DataFrame, keys=BREAKDOWN_KEYS) -> DataFrame:
-    """All one-key net-sales breakdowns in a single scan (GROUPING SETS).
+    """All one-key net-sales breakdowns in a single scan.
 
     Result: ``breakdown`` (key name), ``key`` (value as text), ``netsale``.
     Equal to running :func:`sales_by` / :func:`sales_trend` per key.
     """
     keys = [k for k in keys if k in sales.columns]
-    gid_of = {}
-    n = len(keys)
-    for i, k in enumerate(keys):
-        # grouping_id bit for column i is set when the column is NOT grouped
-        gid_of[k] = sum(1 << (n - 1 - j) for j in range(n) if j != i)
-    g = sales.groupingSets([[F.col(k)] for k in keys], *[F.col(k) for k in keys]).agg(
-        F.grouping_id().alias("_gid"), _money_sum("netsale").cast("double").alias("netsale"))
-    name = F.lit(None).cast("string")
     value = F.lit(None).cast("string")
     for k in keys:
-        hit = F.col("_gid") == gid_of[k]
-        name = F.when(hit, F.lit(k)).otherwise(name)
-        value = F.when(hit, F.col(k).cast("string")).otherwise(value)
-    return g.select(name.alias("breakdown"), value.alias("key"), "netsale").where(F.col("key").isNotNull())
+        value = F.when(F.col("_by") == k, F.col(k).cast("string")).otherwise(value)
+    return (sales_cells(sales, keys).select(F.col("_by").alias("breakdown"), value.alias("key"), "netsale")
+            .where(F.col("key").isNotNull()))
 
 
 def channel_domain(sales: DataFrame, key: str = "channel") -> DataFrame:

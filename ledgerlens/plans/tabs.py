@@ -1,14 +1,19 @@
 """One call per dashboard tab: every output of the tab as a named, lazy DataFrame.
 
 These functions only compose the operators; nothing is evaluated until the
-caller acts on a result. Inputs are canonical frames (enriched sales, see
+caller acts on a result. The sales, customer and profit tabs share their
+aggregates: the first output that is acted on fills them, the others read them
+instead of the lines (a lost part is derived again), and ``release()`` frees
+them. Inputs are canonical frames (enriched sales, see
 ``operators.sales.enrich_sales``; enriched deliveries; raw customers, funnel,
 campaigns, attribution, competitor prices, score table).
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import churn as CH
 from ..operators import competitors as CP
@@ -19,21 +24,45 @@ from ..operators import profit as P
 from ..operators import sales as S
 
 
+class Tab(dict):
+    """Named outputs and the aggregates that they share."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.shared: list[DataFrame] = []
+
+    def share(self, df: DataFrame) -> DataFrame:
+        self.shared.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return df
+
+    def release(self) -> None:
+        for df in self.shared:
+            df.unpersist()
+
+
 def sales_tab(sales: DataFrame, funnel: DataFrame, start=None, end=None, channel: str = S.ALL,
               grain: str = "date") -> dict[str, DataFrame]:
     """KPIs, funnel, trend at ``grain``, category and channel shares, top
     products, cities and branches for one period and channel."""
+    if grain not in S.GRAINS:
+        raise ValueError(f"grain must be one of {S.GRAINS}")
     s = S.filter_sales(sales, start, end, channel)
-    return {
-        "kpis": S.sales_kpis(s),
-        "funnel": S.sales_funnel(s, funnel),
-        "trend": S.sales_trend(s, grain),
-        "by_category": S.sales_by(s, "category"),
-        "top_products": S.top_by_netsale(s, "productname"),
-        "by_channel": S.sales_by(s, "channel"),
-        "top_cities": S.top_by_netsale(s, "city"),
-        "top_branches": S.top_by_netsale(s, "locationid"),
+    tab = Tab()
+    totals = tab.share(S.sales_totals(s))
+    cells = tab.share(S.sales_cells(s, (grain, "category", "channel", "productname", "city", "locationid")))
+    any_sales = totals.where("row_count > 0").select(F.lit(1)).exists()
+    top = lambda key: S.highest_netsales(S.sales_by_of(cells, key), key)
+    tab |= {
+        "kpis": S.kpi_measures(totals),
+        "funnel": S.funnel_stages(funnel, totals.select("completed_orders").scalar(), any_sales),
+        "trend": S.sales_by_of(cells, grain).orderBy(grain),
+        "by_category": S.sales_by_of(cells, "category"),
+        "top_products": top("productname"),
+        "by_channel": S.sales_by_of(cells, "channel"),
+        "top_cities": top("city"),
+        "top_branches": top("locationid"),
     }
+    return tab
 
 
 def delivery_tab(deliveries: DataFrame, start=None, end=None, partner: str = D.ALL) -> dict[str, DataFrame]:
@@ -47,8 +76,9 @@ def delivery_tab(deliveries: DataFrame, start=None, end=None, partner: str = D.A
 
 
 def customer_tab(customers: DataFrame, sales: DataFrame, as_of=None, top_n: int = 20) -> dict[str, DataFrame]:
-    status = C.customer_status(customers, sales, as_of)
-    return {
+    tab = Tab()
+    status = tab.share(C.customer_status(customers, sales, as_of))
+    tab |= {
         "status": status,
         "counts": C.status_counts(status),
         "distribution": C.status_distribution(status),
@@ -56,6 +86,7 @@ def customer_tab(customers: DataFrame, sales: DataFrame, as_of=None, top_n: int
         "churn_risk": C.churn_risk_customers(status),
         "new": C.new_customers(status),
     }
+    return tab
 
 
 def marketing_tab(sales: DataFrame, campaigns: DataFrame, attribution: DataFrame,
@@ -70,15 +101,18 @@ def marketing_tab(sales: DataFrame, campaigns: DataFrame, attribution: DataFrame
 
 
 def profit_tab(sales: DataFrame) -> dict[str, DataFrame]:
-    lines = P.profit_lines(sales)
-    return {
-        "kpis": P.profit_kpis(lines),
-        "by_channel": P.profit_by(lines, "channel"),
-        "by_category": P.profit_by(lines, "category"),
-        "top_margin": P.top_margin_products(lines),
-        "low_margin": P.low_margin_products(lines),
-        "recommendations": P.recommendations(lines),
+    tab = Tab()
+    cells = tab.share(P.profit_cells(P.profit_lines(sales), ("channel", "category", "productname")))
+    margins = P.margin_by_product_of(cells)
+    tab |= {
+        "kpis": P.profit_kpis_of(cells),
+        "by_channel": P.profit_by_of(cells, "channel"),
+        "by_category": P.profit_by_of(cells, "category"),
+        "top_margin": P.highest_margins(margins),
+        "low_margin": P.lowest_margins(margins),
+        "recommendations": P.recommendations_of(cells),
     }
+    return tab
 
 
 def competitor_tab(our_sales: DataFrame, competitors: DataFrame, rival_a: str, rival_b: str) -> dict[str, DataFrame]:

@@ -137,3 +137,62 @@ def test_no_local_folder_on_a_cluster(spark, monkeypatch):
     context = N(master="spark://host:7077", _jsc=N(sc=lambda: N(getCheckpointDir=lambda: N(isDefined=lambda: False))))
     with pytest.raises(ValueError):
         session.shared_dir(N(conf=N(get=lambda *_: None), sparkContext=context))
+
+
+def _lines_read(df) -> int:
+    """Scans of a table with order lines outside the shared aggregates."""
+    leaves = df._jdf.queryExecution().withCachedData().collectLeaves()
+    return sum("costofgoodssold" in leaves.apply(i).output().toString() and leaves.apply(i).nodeName() != "InMemoryRelation"
+               for i in range(leaves.size()))
+
+
+def test_tabs_read_the_lines_once_or_twice(spark):
+    from ledgerlens.operators import customers as C
+    from ledgerlens.operators import profit as P
+    from ledgerlens.operators import sales as S
+    from ledgerlens.plans import tabs
+    from ledgerlens.plans.workspace import Workspace
+    from ledgerlens.sources import adapters as A
+
+    t = A.DriverTables(spark, SF)
+    sales, funnel, customers = Workspace.of(spark, SF).sales(), A.sales_funnel(t), A.customers(t)
+    s, lines = S.filter_sales(sales, "1995-01-01", "1996-06-30"), P.profit_lines(sales)
+    status = C.customer_status(customers, sales)
+    alone = {
+        "sales": {"kpis": S.sales_kpis(s), "funnel": S.sales_funnel(s, funnel), "trend": S.sales_trend(s, "week"),
+                  "by_category": S.sales_by(s, "category"), "by_channel": S.sales_by(s, "channel"),
+                  "top_products": S.top_by_netsale(s, "productname"), "top_cities": S.top_by_netsale(s, "city"),
+                  "top_branches": S.top_by_netsale(s, "locationid")},
+        "profit": {"kpis": P.profit_kpis(lines), "by_channel": P.profit_by(lines, "channel"), "by_category": P.profit_by(lines, "category"),
+                   "top_margin": P.top_margin_products(lines), "low_margin": P.low_margin_products(lines),
+                   "recommendations": P.recommendations(lines)},
+        "customer": {"counts": C.status_counts(status), "distribution": C.status_distribution(status),
+                     "top_value": C.top_customers(status)},
+    }
+    want = {(tab, k): (df.dtypes, sorted(map(str, df.collect()))) for tab, views in alone.items() for k, df in views.items()}
+    assert all(_lines_read(df) for df in (alone["sales"]["kpis"], alone["profit"]["kpis"], alone["customer"]["counts"]))
+    for tab, views in {"sales": tabs.sales_tab(sales, funnel, "1995-01-01", "1996-06-30", grain="week"),
+                       "profit": tabs.profit_tab(sales), "customer": tabs.customer_tab(customers, sales)}.items():
+        assert len(views.shared) <= 2
+        for k, df in views.items():
+            assert _lines_read(df) == 0, (tab, k)
+            if (tab, k) in want:
+                assert (df.dtypes, sorted(map(str, df.collect()))) == want[tab, k], (tab, k)
+        views.release()
+        assert not any(df.is_cached for df in views.shared)
+
+
+def test_tabs_of_an_empty_period(spark):
+    from ledgerlens.plans import tabs
+    from ledgerlens.plans.workspace import Workspace
+    from ledgerlens.sources import adapters as A
+
+    sales = Workspace.of(spark, SF).sales()
+    views = tabs.sales_tab(sales, A.sales_funnel(A.DriverTables(spark, SF)), "2050-01-01", "2050-12-31")
+    profit = tabs.profit_tab(sales.where("false"))
+    assert views["kpis"].first().row_count == 0 and views["kpis"].first().aov is None
+    assert all(views[k].isEmpty() for k in views if k != "kpis")
+    assert tuple(profit["kpis"].first()) == (0, None, None, None)
+    assert all(profit[k].isEmpty() for k in profit if k != "kpis")
+    views.release()
+    profit.release()
