@@ -227,22 +227,6 @@ def test_empty_tiles_count_nothing(spark, documents, monkeypatch):
     assert got == Counter({(i, 0, 2): 1 for i in range(3)})
 
 
-def test_bands_of_sizes_lose_no_link(spark, documents, monkeypatch):
-    monkeypatch.setattr(chosen_path, "TILE_SETS", 8)
-    words = words_of(420, 77).split()
-    texts = [(i, " ".join(words[: 40 + 4 * i])) for i in range(90)]  # one chain from 36 to 392 shingles
-    texts += [(200 + i, words_of(50, 400 + i // 2)) for i in range(20)]  # pairs of copies: no tiles
-    got = Counter((r.doc_id, r.class_id, r.n_links) for r in chosen_path.classes(documents(texts)).collect())
-    assert got == Counter((doc, c, n) for (doc, _), (c, n) in zip(texts, _linked(texts), strict=True))
-
-
-def test_only_neighbouring_bands_meet(spark, monkeypatch):
-    monkeypatch.setattr(chosen_path, "TILE_SETS", 10)
-    rows = [(1, b, 1) for b, n in {3: 25, 4: 10, 6: 5}.items() for _ in range(n)] + [(2, 3, 1), (2, 9, 1)]
-    got = {tuple(r) for r in chosen_path._tiles(spark.createDataFrame(rows, "component long, _band long, _size int")).collect()}
-    assert got == {(1, 3, 3, 3, 0, 1), (1, 4, 4, 1, 3, 0), (1, 6, 6, 1, 0, 0), (2, 3, 0, 1, 0, 0), (2, 9, 0, 1, 0, 0)}
-
-
 def test_one_of_each_class_stays(spark, documents):
     texts = _near_copies()
     out = chosen_path.keep_one(documents(texts))
