@@ -80,7 +80,7 @@ def _follow(store: I.TableStore, change, d: Derived) -> list[int] | None:
         rows = store.snapshots.frame(now, old).unionByName(rows) if old else rows
         kept = [f for f in kept if _month_of(f) not in touched]
     folder = change.folder(d.name)
-    W.write_lines(rows, f"{store.snapshots.root}/{folder}", _bytes(store, [f.path for f in fresh]), d.date)
+    W.write_lines(W.laid_out(rows, _bytes(store, [f.path for f in fresh]), d.date), f"{store.snapshots.root}/{folder}")
     fs, p = file_system(store.spark, f"{store.snapshots.root}/{folder}/{W.MONTH}=*")
     for st in fs.globStatus(p) or ():
         months.append(Folder(f"{folder}/{st.getPath().getName()}", 0, since, upto))

@@ -8,7 +8,10 @@ second shuffle before every per-order aggregate).
 Join order is written for scale: dimension joins that change the partitioning
 key (part on ``partkey``, customer on ``custkey``) come first and the
 ``orderkey`` join comes last, so the result is hash-partitioned by order and
-the per-order aggregates downstream reuse that exchange. There is no broadcast
+the per-order aggregates downstream reuse that exchange. Nation and region names
+are looked up after the last of these joins, so that no shuffle carries them, and
+supplier and customer are joined as bare key columns, whose size the planner
+knows. There is no broadcast
 hint: every join is left to the planner and AQE, whose broadcast conversion is
 bounded by ``spark.sql.autoBroadcastJoinThreshold``.
 
@@ -49,24 +52,31 @@ def _parts(t: DriverTables) -> DataFrame:
 
 
 def _suppliers(t: DriverTables) -> DataFrame:
-    """Supplier with its nation and region names."""
-    region = t("region").select("r_regionkey", F.col("r_name").alias("s_region"))
-    nation = t("nation").select("n_nationkey", F.col("n_name").alias("s_nation"), "n_regionkey")
-    geo = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left")
-    return t("supplier").select("s_suppkey", "s_nationkey").join(
-        geo, F.col("s_nationkey") == F.col("n_nationkey"), "left").select("s_suppkey", "s_nation", "s_region")
+    return t("supplier").select("s_suppkey", "s_nationkey")
 
 
 def _orders(t: DriverTables, with_city: bool) -> DataFrame:
     orders = t("orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     if with_city:
-        nation = t("nation").select("n_nationkey", F.col("n_name").alias("c_nation"))
-        cust = t("customer").select("c_custkey", "c_nationkey").join(
-            nation, F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", "c_nation")
-        orders = orders.join(cust, orders.o_custkey == cust.c_custkey, "left")
+        cust = t("customer").select("c_custkey", "c_nationkey")
+        orders = orders.join(cust, orders.o_custkey == cust.c_custkey, "left").drop("c_custkey")
     return orders
 
 
+def _customer_nation(rows: DataFrame, t: DriverTables) -> DataFrame:
+    """Rows with ``c_nationkey`` get ``c_nation``."""
+    nation = t("nation").select(F.col("n_nationkey").alias("_nation"), F.col("n_name").alias("c_nation"))
+    return rows.join(nation, F.col("c_nationkey") == F.col("_nation"), "left").drop("_nation")
+
+
+def _supplier_nation(rows: DataFrame, t: DriverTables) -> DataFrame:
+    """Rows with ``s_nationkey`` get ``s_nation`` and ``s_region``."""
+    nation = t("nation").select(F.col("n_nationkey").alias("_nation"), F.col("n_name").alias("s_nation"), F.col("n_regionkey").alias("_of"))
+    region = t("region").select(F.col("r_regionkey").alias("_region"), F.col("r_name").alias("s_region"))
+    named = rows.join(nation, F.col("s_nationkey") == F.col("_nation"), "left").drop("_nation")
+    return named.join(region, F.col("_of") == F.col("_region"), "left").drop("_of", "_region")
+
+
 def _sales_columns(with_part: bool, with_city: bool) -> list:
     gross = F.col("l_extendedprice").cast("decimal(12,2)")
     cols = [
@@ -128,7 +138,7 @@ def sales(t: DriverTables, with_part: bool = True, with_city: bool = True) -> Da
     if with_part:
         li = li.join(_parts(t), F.col("l_partkey") == F.col("p_partkey"), "left")
     j = li.join(_orders(t, with_city), F.col("l_orderkey") == F.col("o_orderkey"), "left")
-    return j.select(*_sales_columns(with_part, with_city))
+    return (_customer_nation(j, t) if with_city else j).select(*_sales_columns(with_part, with_city))
 
 
 def deliveries(t: DriverTables) -> DataFrame:
@@ -136,21 +146,32 @@ def deliveries(t: DriverTables) -> DataFrame:
     li = _lines(t).join(_suppliers(t), F.col("l_suppkey") == F.col("s_suppkey"), "left")
     orders = t("orders").select("o_orderkey", "o_orderdate")
     j = li.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
-    return j.select(*_delivery_columns())
+    return _supplier_nation(j, t).select(*_delivery_columns())
 
 
 DELIVERY_CITY = "delivery_city"
 
 
+def order_line_rows(t: DriverTables) -> DataFrame:
+    """Order lines with their part, supplier, order and customer, as the tables have them: keys in place of nation names,
+    no derived column. Rows that are still to be shuffled stay narrow; :func:`order_line_columns` derives the rest."""
+    li = (_lines(t).join(_parts(t), F.col("l_partkey") == F.col("p_partkey"), "left").drop("p_partkey")
+          .join(_suppliers(t), F.col("l_suppkey") == F.col("s_suppkey"), "left").drop("s_suppkey"))
+    return li.join(_orders(t, True), F.col("l_orderkey") == F.col("o_orderkey"), "left").drop("o_orderkey")
+
+
+def order_line_columns(rows: DataFrame, t: DriverTables, *keep: str) -> DataFrame:
+    """Every sales and delivery column of :func:`order_line_rows`; ``keep`` names columns of theirs that stay."""
+    named = _supplier_nation(_customer_nation(rows, t), t)
+    return named.select(*_sales_columns(True, True), *_delivery_columns(DELIVERY_CITY, with_orderid=False), *keep)
+
+
 def order_lines(t: DriverTables) -> DataFrame:
     """Every sales column and every delivery column of an order line, from
     one join pipeline (lineitem x part x supplier, then x orders x customer).
     The delivery city is ``delivery_city`` (``city`` is the customer's).
     Equal to :func:`sales` and :func:`deliveries` side by side."""
-    li = (_lines(t).join(_parts(t), F.col("l_partkey") == F.col("p_partkey"), "left")
-          .join(_suppliers(t), F.col("l_suppkey") == F.col("s_suppkey"), "left"))
-    j = li.join(_orders(t, True), F.col("l_orderkey") == F.col("o_orderkey"), "left")
-    return j.select(*_sales_columns(True, True), *_delivery_columns(DELIVERY_CITY, with_orderid=False))
+    return order_line_columns(order_line_rows(t), t)
 
 
 def customers(t: DriverTables) -> DataFrame:
