@@ -958,7 +958,7 @@ def _rebuilt(spark, sf_dir, *names: str) -> ING.TableStore:
     masters = _masters(spark, sf_dir)
     for name in names:
         spec = SCH.spec_for(name)
-        ING.write_csv(ING.rename_headers(masters[name], spec), f"{root}/masters/{spec.master_file}")
+        ING.write_csv(ING.rename_headers(masters[name], spec), f"{root}/masters/{spec.master_file}", packed=True)
     store = ING.TableStore(spark, f"{root}/tables")
     ING.bootstrap(store, f"{root}/masters", {n: SCH.spec_for(n) for n in names})
     return store
@@ -1121,7 +1121,7 @@ def q_stream_all_tables(spark, sf_dir):
     root, masters = unique_dir(spark, "stream-all"), _masters(spark, sf_dir)
     for name in _INGEST_TABLES:
         spec = SCH.spec_for(name)
-        ING.write_csv(ING.rename_headers(masters[name], spec), f"{root}/staging/{name}")
+        ING.write_csv(ING.rename_headers(masters[name], spec), f"{root}/staging/{name}", packed=True)
         FI.publish_parts(spark, f"{root}/staging/{name}", f"{root}/incoming", f"{spec.file_prefix}drop")
     store = ING.TableStore(spark, f"{root}/tables")
     FI.run_once(spark, f"{root}/incoming", store, f"{root}/archive")
@@ -1140,12 +1140,12 @@ def q_refresh_incremental(spark, sf_dir):
     by the stream, and a second refresh rewrites its month only. The derived table is the whole of the sales."""
     root, sales = unique_dir(spark, "refresh"), A.sales(A.DriverTables(spark, sf_dir))
     spec = SCH.spec_for("sales")
-    last = F.col("timestamp").cast("date") == sales.agg(F.max(F.col("timestamp").cast("date"))).scalar()
-    ING.write_csv(ING.rename_headers(sales.where(~last), spec), f"{root}/masters/{spec.master_file}")
+    last = F.to_date(spec.aliases["timestamp"][0]) == sales.agg(F.max(F.col("timestamp").cast("date"))).scalar()
+    ING.write_csv_split(ING.rename_headers(sales, spec).withColumn("_last", last), "_last",
+                        {False: f"{root}/masters/{spec.master_file}", True: f"{root}/staging"}, f"{root}/split")
     store = ING.TableStore(spark, f"{root}/tables")
     ING.bootstrap(store, f"{root}/masters", {"sales": spec})
     R.refresh(store)
-    ING.write_csv(ING.rename_headers(sales.where(last), spec), f"{root}/staging")
     FI.publish_parts(spark, f"{root}/staging", f"{root}/incoming", "sales_day")
     FI.run_once(spark, f"{root}/incoming", store, f"{root}/archive")
     R.refresh(store)

@@ -70,17 +70,22 @@ def _follow(store: I.TableStore, change, d: Derived) -> list[int] | None:
             return None
         if began == since and not any(f.first <= held < f.last for f in source.folders):
             kept, fresh = list(now.folders), [f for f in source.folders if f.first > held]
-    rows = store.snapshots.frame(source, fresh)
-    rows = d.derive(rows.drop(*BOOKKEEPING))
-    months = []
+    new = store.snapshots.frame(source, fresh).drop(*BOOKKEEPING)
+    rows = d.derive(new)
+    months, old = [], []
     if kept:
         named = F.coalesce(W.month_of(d.date), F.lit(W.NO_MONTH)).alias("m")
         touched = {r["m"] for r in rows.select(named).distinct().collect()}  # one row a month
         old = [f for f in kept if _month_of(f) in touched]
-        rows = store.snapshots.frame(now, old).unionByName(rows) if old else rows
         kept = [f for f in kept if _month_of(f) not in touched]
-    folder = change.folder(d.name)
-    W.write_lines(W.laid_out(rows, _bytes(store, [f.path for f in fresh]), d.date), f"{store.snapshots.root}/{folder}")
+    folder, size = change.folder(d.name), _bytes(store, [f.path for f in fresh])
+    if old:
+        lines = W.laid_out(store.snapshots.frame(now, old).unionByName(rows), size, d.date)
+    elif dict(new.dtypes).get(d.date) == dict(rows.dtypes)[d.date]:  # no derived column is shuffled
+        lines = W.laid_out(new, size, d.date, derive=d.derive)
+    else:
+        lines = W.laid_out(rows, size, d.date)
+    W.write_lines(lines, f"{store.snapshots.root}/{folder}")
     fs, p = file_system(store.spark, f"{store.snapshots.root}/{folder}/{W.MONTH}=*")
     for st in fs.globStatus(p) or ():
         months.append(Folder(f"{folder}/{st.getPath().getName()}", 0, since, upto))

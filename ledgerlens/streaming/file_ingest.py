@@ -23,6 +23,7 @@ each other: the one that publishes second starts its batch again from the ledger
 from __future__ import annotations
 
 import logging
+import posixpath
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,12 +64,12 @@ def _plain(path: str) -> str:
 
 
 def incoming_files(spark: SparkSession, incoming_dir: str) -> list[tuple[str, int, int]]:
-    """(path, length, modification time) of every CSV file that lies in the folder."""
+    """(path, length, modification time) of every CSV file, plain or packed, that lies in the folder."""
     fs, p = file_system(spark, incoming_dir)
     if not fs.exists(p):
         return []
     return sorted((st.getPath().toString(), int(st.getLen()), int(st.getModificationTime())) for st in fs.listStatus(p)
-                  if st.isFile() and st.getPath().getName().endswith(".csv"))
+                  if st.isFile() and st.getPath().getName().endswith(I.CSV_ENDINGS))
 
 
 def _state(spark: SparkSession, path: str) -> tuple[str, int, int]:
@@ -77,6 +78,12 @@ def _state(spark: SparkSession, path: str) -> tuple[str, int, int]:
     return st.getPath().toString(), int(st.getLen()), int(st.getModificationTime())
 
 
+def _split_name(name: str) -> tuple[str, str]:
+    """Stem and ending; ``.csv.gz`` is one ending."""
+    end = next((e for e in I.CSV_ENDINGS if name.endswith(e)), posixpath.splitext(name)[1])
+    return name.removesuffix(end), end
+
+
 def archive_file(spark: SparkSession, src: str, archive_dir: str, modified: int) -> bool:
     """Moves a file into the archive; if its name is taken there, the modification time is added to it."""
     fs, p = file_system(spark, src)
@@ -84,8 +91,8 @@ def archive_file(spark: SparkSession, src: str, archive_dir: str, modified: int)
     fs.mkdirs(folder)
     target, n = _path(spark)(folder, p.getName()), 0
     while fs.exists(target):
-        stem, dot, end = p.getName().rpartition(".")
-        target, n = _path(spark)(folder, f"{stem}-{modified}{f'-{n}' if n else ''}{dot}{end}"), n + 1
+        stem, end = _split_name(p.getName())
+        target, n = _path(spark)(folder, f"{stem}-{modified}{f'-{n}' if n else ''}{end}"), n + 1
     return bool(fs.rename(p, target))
 
 
@@ -213,26 +220,26 @@ def _layout(store: I.TableStore, change, spec: SC.TableSpec) -> tuple[list[str],
 
 
 def publish_parts(spark: SparkSession, staging_dir: str, incoming_dir: str, stem: str) -> list[str]:
-    """Move the ``part-*.csv`` files of a Spark CSV write into ``incoming_dir``
-    as ``<stem>_<n>.csv`` (rename only; the number of files is the number of
-    written partitions)."""
+    """Move the ``part-*.csv`` (or packed ``part-*.csv.gz``) files of a Spark CSV
+    write into ``incoming_dir`` as ``<stem>_<n>.csv`` (``.csv.gz``; rename only,
+    the number of files is the number of written ones)."""
     fs, p = file_system(spark, staging_dir)
     dest = _path(spark)(incoming_dir)
     fs.mkdirs(dest)
     out = []
     parts = sorted(st.getPath().toString() for st in fs.listStatus(p)
-                   if st.getPath().getName().startswith("part-") and st.getPath().getName().endswith(".csv"))
+                   if st.getPath().getName().startswith("part-") and st.getPath().getName().endswith(I.CSV_ENDINGS))
     for i, src in enumerate(parts):
-        target = _path(spark)(dest, f"{stem}_{i:05d}.csv")
+        target = _path(spark)(dest, f"{stem}_{i:05d}{_split_name(src)[1]}")
         fs.rename(_path(spark)(src), target)
         out.append(target.toString())
     return out
 
 
 def file_stream(spark: SparkSession, incoming_dir: str, max_files_per_trigger: int = 1000) -> DataFrame:
-    """Streaming frame of new ``*.csv`` files under ``incoming_dir`` (metadata)."""
+    """Streaming frame of new ``*.csv`` and ``*.csv.gz`` files under ``incoming_dir`` (metadata)."""
     return (spark.readStream.format("binaryFile").schema(FILES_SCHEMA)
-            .option("pathGlobFilter", "*.csv")
+            .option("pathGlobFilter", "*.{csv,csv.gz}")
             .option("maxFilesPerTrigger", max_files_per_trigger)
             .load(incoming_dir)
             .select("path"))
