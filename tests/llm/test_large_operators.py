@@ -3,6 +3,7 @@
 import hashlib
 import html
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -340,6 +341,82 @@ def test_suffix_order_is_lexicographic():
     assert new.tolist() == [i == 0 or strings[order[i]] != strings[order[i - 1]] for i in range(len(order))]
 
 
+@pytest.mark.parametrize("span,gram", [(50, 20), (12, 5)])
+def test_a_parse_in_blocks_is_the_parse_of_the_whole(span, gram):
+    r = random.Random(4)
+    texts = [words_of(r.randint(0, 90), 700 + i).encode() for i in range(30)] + [b"", b"a" * 700, b"ab" * 300, b"x" * span, b"y" * (span - 1)]
+    data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(x) for x in texts])
+    starts = ends - [len(x) for x in texts]
+    whole = prefix_free.parse(data, starts, ends, span, gram, block=1 << 20)
+    assert len(whole.first) > 100 and (whole.last - whole.first <= span - gram).all()
+    for block in (64, 65, 100, 1000):
+        part = prefix_free.parse(data, starts, ends, span, gram, block=block)
+        assert all(np.array_equal(getattr(part, k), v) for k, v in vars(whole).items())
+
+
+def _held(f, *args) -> int:
+    """MB that a call holds at most."""
+    tracemalloc.start()
+    f(*args)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return most >> 20
+
+
+def test_a_segment_and_a_large_bucket_take_little_memory():
+    """op8 ran out of executor memory at 6 GB: hashes of a whole segment and windows of a whole bucket were held at once."""
+    data = np.random.default_rng(3).integers(97, 123, 4 << 20).astype(np.uint8)
+    assert _held(prefix_free.parse, data, np.arange(0, 4 << 20, 1 << 14), np.arange(1 << 14, (4 << 20) + 1, 1 << 14)) < 80
+    n, at = 400_000, 4
+    names, orders, sizes = np.arange(n, dtype="<u8"), np.arange(n, dtype="<i8"), np.full(n, 60, "<u2")
+    raw = np.resize(data, 60 * n)
+    payload = [np.uint32(n).tobytes(), names.tobytes(), orders.tobytes(), sizes.tobytes()]
+    payload += [bytes(n), raw.tobytes()]
+    batch = prefix_free._rows([0], [0], [b"".join(payload)])
+    assert _held(lambda: list(prefix_free._shared_windows(iter([batch])))) < 300
+
+
+def test_windows_sorted_in_parts_are_the_same():
+    r = np.random.default_rng(8)
+    size = r.integers(50, 81, 300)
+    data = r.integers(97, 99, int(size.sum())).astype(np.uint8)
+    data[1000:9000] = np.tile(data[:400], 20)
+    order = r.integers(0, 60, 300)
+    bits, first, begin = [], {}, np.cumsum(size) - size
+    windows = [(k, i, data[begin[k] + i : begin[k] + i + 50].tobytes()) for k in range(300) for i in range(size[k] - 49)]
+    for k, _, w in windows:
+        first[w] = min(first.get(w, 99), order[k])
+    bits = [sum(1 << i for j, i, w in windows if j == k and first[w] < order[k]) for k in range(300)]
+    assert any(bits)
+    for most in (1 << 20, 500, 7):
+        assert prefix_free.shared(data, size, order, most).tolist() == bits
+
+
+@pytest.mark.parametrize("hot", [1, 3, 4096])
+def test_phrases_of_a_common_line_are_dealt_by_what_surrounds_it(spark, documents, hot):
+    r = random.Random(6)
+    line, passage = "A line that stands in every document of this corpus, and its neighbours differ.", words_of(30, 2)
+    near = [words_of(3, 900 + i) for i in range(4)]
+    texts = [(i, f"{words_of(r.randint(1, 12), 300 + i)} {r.choice(near)}\n{line}\n{r.choice(near)} {words_of(9, 400 + i)}{passage[r.randrange(60):]}") for i in range(40)]
+    texts += [(40 + i, "z" * i + line[: 50 + i]) for i in range(25)] + [(None, line), (None, line[9:]), (3, line[11:70])]
+    rows = prefix_free.dedup_substrings(documents(texts), segment=600, hot=hot).collect()
+    got = Counter((x.doc_id, x.n_bytes, sum(s.last - s.first for s in x.spans), len(x.spans), bytes(x.kept)) for x in rows)
+    assert got == _removed(texts)
+
+
+def test_a_task_holds_one_bucket(spark, documents):
+    """Hashed bucket numbers put up to six buckets in one task and none in others."""
+    texts = [(i, words_of(400, 50 + i % 9)) for i in range(60)]
+    seen = []
+    real = prefix_free.C.saved
+    try:
+        prefix_free.C.saved = lambda df, label: seen.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, label)
+        prefix_free.dedup_substrings(documents(texts), buckets=16, segment=9000).count()
+    finally:
+        prefix_free.C.saved = real
+    assert len(seen) == 2 and not any("hashpartitioning(bucket" in x for x in seen)
+
+
 # -- pipeline
 
 def test_pipeline_stages(spark, tmp_path, documents):
